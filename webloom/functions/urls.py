@@ -12,13 +12,14 @@ from urllib.parse import uses_netloc, uses_relative
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.common import col as _c
+from webloom.functions.common import let
+
 # RFC 3986 appendix B split; the scheme rule is the one urlsplit applies (ASCII letter first).
-_SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
-
-
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+_NETLOC_SCHEMES = [s for s in uses_netloc if s]
+_RELATIVE_SCHEMES = [s for s in uses_relative if s]
 
 
 def _clean(u: Column) -> Column:
@@ -26,11 +27,12 @@ def _clean(u: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(u, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
 
 
-def _parts(u: Column):
-    u = _clean(u)
-    pat = "(?s)" + _SPLIT
-    return (F.lower(F.regexp_extract(u, pat, 1)), F.regexp_extract(u, pat, 2),
-            F.regexp_extract(u, pat, 3), F.regexp_extract(u, pat, 4), F.regexp_extract(u, pat, 5))
+def url_parts(u) -> Column:
+    """struct(scheme, netloc, path, query, fragment) as ``urlsplit`` gives them ('' when absent)."""
+    return let(_clean(_c(u)), lambda v: F.struct(
+        F.lower(F.regexp_extract(v, _SPLIT, 1)).alias("scheme"), F.regexp_extract(v, _SPLIT, 2).alias("netloc"),
+        F.regexp_extract(v, _SPLIT, 3).alias("path"), F.regexp_extract(v, _SPLIT, 4).alias("query"),
+        F.regexp_extract(v, _SPLIT, 5).alias("fragment")))
 
 
 def netloc(url) -> Column:
@@ -44,7 +46,7 @@ def site_root(url) -> Column:
 
 
 def _unsplit(scheme: Column, net: Column, path: Column, query: Column, frag: Column) -> Column:
-    in_netloc = scheme.isin(*[s for s in uses_netloc if s])
+    in_netloc = scheme.isin(*_NETLOC_SCHEMES)
     p = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
     body = F.when((net != "") | (in_netloc & ~path.startswith("//")),
                   F.concat(F.lit("//"), net, p)).otherwise(path)
@@ -54,37 +56,50 @@ def _unsplit(scheme: Column, net: Column, path: Column, query: Column, frag: Col
 
 
 def _merge_path(bpath: Column, path: Column) -> Column:
-    bp = F.split(bpath, "/", -1)
-    base_parts = F.when(F.element_at(bp, -1) != "", F.slice(bp, 1, F.size(bp) - 1)).otherwise(bp)
-    rel = F.concat(base_parts, F.split(path, "/", -1))
-    n = F.size(rel)
-    rel = F.when(n <= 2, rel).otherwise(
-        F.concat(F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, n - 2), lambda s: s != ""), F.slice(rel, -1, 1)))
+    def with_rel(rel):
+        n = F.size(rel)
+        return F.when(n <= 2, rel).otherwise(F.concat(
+            F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, n - 2), lambda s: s != ""), F.slice(rel, -1, 1)))
+
+    def fold(segs):
+        folded = F.aggregate(
+            segs, F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+        folded = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))) \
+            .otherwise(folded)
+        return let(F.array_join(folded, "/"), lambda j: F.when(j == "", F.lit("/")).otherwise(j))
+
+    base_parts = let(F.split(bpath, "/", -1), lambda bp: F.when(
+        F.element_at(bp, -1) != "", F.slice(bp, 1, F.size(bp) - 1)).otherwise(bp))
+    rel = let(F.concat(base_parts, F.split(path, "/", -1)), with_rel)
     segs = F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(rel)
-    folded = F.aggregate(
-        segs, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-    folded = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    joined = F.array_join(folded, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    return let(segs, fold)
 
 
 def resolve_url(base, href) -> Column:
     """``urljoin(base, href)``."""
     base, href = _c(base), _c(href)
-    bs, bn, bp, bq, _bf = _parts(base)
-    s0, n0, p0, q0, f0 = _parts(href)
-    scheme = F.when(s0 == "", bs).otherwise(s0)
-    relative_ok = scheme.isin(*[s for s in uses_relative if s]) & (scheme == bs)
-    has_net = scheme.isin(*[s for s in uses_netloc if s]) & (n0 != "")
-    net = F.when(scheme.isin(*[s for s in uses_netloc if s]), bn).otherwise(n0)
-    same_doc = _unsplit(scheme, net, bp, F.when(q0 == "", bq).otherwise(q0), f0)
-    merged = _unsplit(scheme, net, _merge_path(bp, p0), q0, f0)
-    joined = (F.when(~relative_ok, href)
-              .when(has_net, _unsplit(scheme, n0, p0, q0, f0))
-              .when(p0 == "", same_doc)
-              .otherwise(merged))
+
+    def body(r):
+        b, h = r["b"], r["h"]
+        scheme = F.when(h["scheme"] == "", b["scheme"]).otherwise(h["scheme"])
+        return let(F.struct(scheme.alias("s")), lambda sc: _join(sc["s"], b, h, r["href"]))
+
+    def _join(scheme, b, h, raw):
+        relative_ok = scheme.isin(*_RELATIVE_SCHEMES) & (scheme == b["scheme"])
+        in_netloc = scheme.isin(*_NETLOC_SCHEMES)
+        net = F.when(in_netloc, b["netloc"]).otherwise(h["netloc"])
+        same_doc = _unsplit(scheme, net, b["path"], F.when(h["query"] == "", b["query"]).otherwise(h["query"]),
+                            h["fragment"])
+        merged = let(_merge_path(b["path"], h["path"]),
+                     lambda p: _unsplit(scheme, net, p, h["query"], h["fragment"]))
+        return (F.when(~relative_ok, raw)
+                .when(in_netloc & (h["netloc"] != ""), _unsplit(scheme, h["netloc"], h["path"], h["query"], h["fragment"]))
+                .when(h["path"] == "", same_doc)
+                .otherwise(merged))
+
+    joined = let(F.struct(url_parts(base).alias("b"), url_parts(href).alias("h"), href.alias("href")), body)
     return (F.when(base.isNull() | (base == ""), href)
             .when(href.isNull() | (href == ""), base)
             .otherwise(joined))

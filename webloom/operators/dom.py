@@ -272,10 +272,20 @@ def _dom_arrays(htmls):
     return texts, tpar, nodes, pa.array(errors, pa.string())
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Give the parse at least one task per core.  A page archive at scale already arrives in many
+    splits (then this is a no-op); a small or single-row-group input would otherwise parse in one task."""
+    par = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < par:
+        return pages.repartition(par)
+    return pages
+
+
 def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = False) -> DataFrame:
     """Append ``texts, text_parent, nodes, parse_error`` to every page row (one Arrow pass).
 
     Filter and project *before* calling this: the Python stage is an optimizer barrier."""
+    pages = spread(pages)
     keep = [f for f in pages.schema.fields if keep_html or f.name != html_col]
     out_schema = T.StructType(keep + DOM_FIELDS)
     keep_names = [f.name for f in keep]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.functions.common import let
 from webloom.functions.text import parse_number, py_strip
 from webloom.functions.urls import is_external, link_ok, netloc, resolve_url
 from webloom.operators.select import compile_css, compile_xpath
@@ -36,19 +37,19 @@ def TPAR_():
 def text_of(el: Column, texts: Column | None = None) -> Column:
     """``get_text(strip=True)``: each text piece stripped, empties dropped, joined with ''."""
     texts = TEXTS_() if texts is None else texts
-    pieces = F.slice(texts, el["t0"] + 1, el["t1"] - el["t0"])
-    return F.when(el.isNotNull(), F.array_join(F.filter(F.transform(pieces, py_strip), lambda x: x != ""), ""))
+    return let(el, lambda e: F.when(e.isNotNull(), F.array_join(F.filter(
+        F.transform(F.slice(texts, e["t0"] + 1, e["t1"] - e["t0"]), py_strip), lambda x: x != ""), "")))
 
 
 def raw_text_of(el: Column, texts: Column | None = None) -> Column:
     """All descendant text concatenated as is (XPath string value)."""
     texts = TEXTS_() if texts is None else texts
-    return F.when(el.isNotNull(), F.array_join(F.slice(texts, el["t0"] + 1, el["t1"] - el["t0"]), ""))
+    return let(el, lambda e: F.when(e.isNotNull(), F.array_join(F.slice(texts, e["t0"] + 1, e["t1"] - e["t0"]), "")))
 
 
 def descendants(el: Column, nodes: Column | None = None) -> Column:
     nodes = NODES_() if nodes is None else nodes
-    return F.slice(nodes, el["id"] + 2, el["last"] - el["id"])
+    return let(el, lambda e: F.slice(nodes, e["id"] + 2, e["last"] - e["id"]))
 
 
 def first(arr: Column) -> Column:
@@ -100,27 +101,29 @@ class Field:
         return Field(**cfg)
 
 
-def _css_value(f: Field, base: Column, html: Column | None) -> tuple[Column, str]:
-    if f.selector.startswith("@"):
-        el = base
-    else:
-        pred = compile_css(f.selector)
-        el = find_in(base, lambda n: pred(n, NODES_()))
+def _css_value(f: Field, base: Column, html: Column | None) -> Column:
     dtype = "double" if f.type == "number" else "string"
     default = F.lit(f.default).cast(dtype)
-    if f.type == "html":
-        if html is None:
-            raise ValueError("field type 'html' needs parse_pages(..., keep_html=True)")
-        v = F.substring(html, el["s0"] + 1, el["s1"] - el["s0"])
-    elif f.type == "attribute":
-        v = F.coalesce(el["attrs"].getItem(f.attribute or ""), default)
-    elif f.type == "number":
-        v = parse_number(text_of(el), f.default)
-    else:
-        v = text_of(el)
-    if f.transform is not None:
-        v = F.when(_truthy(v, dtype), f.transform(v)).otherwise(v)
-    return F.when(el.isNull(), default).otherwise(v), dtype
+    if f.type == "html" and html is None:
+        raise ValueError("field type 'html' needs parse_pages(..., keep_html=True)")
+
+    def compute(el):
+        if f.type == "html":
+            v = F.substring(html, el["s0"] + 1, el["s1"] - el["s0"])
+        elif f.type == "attribute":
+            v = F.coalesce(el["attrs"].getItem(f.attribute or ""), default)
+        elif f.type == "number":
+            v = parse_number(text_of(el), f.default)
+        else:
+            v = text_of(el)
+        if f.transform is not None:
+            v = let(v, lambda x: F.when(_truthy(x, dtype), f.transform(x)).otherwise(x))
+        return F.when(el.isNull(), default).otherwise(v)
+
+    if f.selector.startswith("@"):
+        return compute(base)
+    pred = compile_css(f.selector)
+    return let(find_in(base, lambda n: pred(n, NODES_())), compute)
 
 
 def extract_css(parsed: DataFrame, base_selector: str, fields: dict, multiple: bool = True,
@@ -134,7 +137,7 @@ def extract_css(parsed: DataFrame, base_selector: str, fields: dict, multiple: b
         bases = F.slice(bases, 1, 1)
     rec = F.transform(bases, lambda b: F.struct(
         b["id"].alias("node_id"),
-        *[_css_value(f, b, html)[0].alias(name) for name, f in fields.items()]))
+        *[_css_value(f, b, html).alias(name) for name, f in fields.items()]))
     keep = keep or [c for c in ("page_id", "url") if c in parsed.columns]
     return (parsed.select(*keep, F.posexplode(rec).alias("pos", "r"))
             .select(*keep, "pos", *[F.col("r")[n].alias(n) for n in fields]))
@@ -149,22 +152,23 @@ def _xpath_value(cfg, base: Column) -> Column:
         path = cfg.get("xpath", cfg.get("selector", "."))
         attr, default = cfg.get("attribute"), cfg.get("default")
     pred, terminal = compile_xpath(path)
-    el = base if pred is None else find(lambda n: pred(n, NODES_(), base["id"]))
     dflt = F.lit(default).cast("string")
-    if terminal and terminal[0] == "attr":
-        v = el["attrs"].getItem(terminal[1])
-        hit = v.isNotNull()
-        v = v if attr else py_strip(v)
-    elif terminal and terminal[0] == "text":
-        first_text = F.filter(F.sequence(el["t0"], F.greatest(el["t1"] - 1, el["t0"])),
-                              lambda i: (i < el["t1"]) & (F.get(TPAR_(), i) == el["id"]))
-        v = F.get(TEXTS_(), first(first_text))
-        hit = v.isNotNull()
-        v = v if attr else py_strip(v)
-    else:
-        hit = el.isNotNull()
-        v = el["attrs"].getItem(attr) if attr else py_strip(raw_text_of(el))
-    return F.when(hit, v).otherwise(dflt)
+
+    def compute(el):
+        if terminal and terminal[0] == "attr":
+            v = el["attrs"].getItem(terminal[1])
+        elif terminal and terminal[0] == "text":
+            own = F.filter(F.sequence(el["t0"], F.greatest(el["t1"] - 1, el["t0"])),
+                           lambda i: (i < el["t1"]) & (F.get(TPAR_(), i) == el["id"]))
+            v = F.get(TEXTS_(), first(own))
+        else:
+            v = F.when(el.isNotNull(), el["attrs"].getItem(attr) if attr else py_strip(raw_text_of(el)))
+            return F.when(el.isNotNull(), v).otherwise(dflt)
+        return let(v, lambda x: F.when(x.isNotNull(), x if attr else py_strip(x)).otherwise(dflt))
+
+    if pred is None:
+        return compute(base)
+    return let(find(lambda n: pred(n, NODES_(), base["id"])), compute)
 
 
 def extract_xpath(parsed: DataFrame, base_xpath: str, fields: dict, namespaces: dict | None = None,
@@ -189,26 +193,32 @@ LABEL_CONTAINERS = ("div", "article", "section", "li")
 
 def _label_value(el: Column, name: str, dtype: T.DataType) -> Column:
     import re as _re
-    rx = "(?i)" + name
     _re.compile(name)
+    rx = "(?i)" + name
     hits = F.filter(F.sequence(el["t0"], F.greatest(el["t1"] - 1, el["t0"])),
                     lambda i: (i < el["t1"]) & F.get(TEXTS_(), i).rlike(rx))
-    ti = first(hits)
-    txt = F.get(TEXTS_(), ti)
-    par = F.get(NODES_(), F.get(TPAR_(), ti))
-    # the parent's next sibling: a non-blank text before the next element sibling, else that element
-    nxt = F.get(NODES_(), par["next"])
-    grand = F.get(NODES_(), par["parent"])
-    stop = F.coalesce(nxt["t0"], grand["t1"], F.size(TEXTS_()))
-    sib_texts = F.filter(F.sequence(par["t1"], F.greatest(stop - 1, par["t1"])),
-                         lambda i: (i < stop) & (F.coalesce(F.get(TPAR_(), i), F.lit(-1)) == F.coalesce(par["parent"], F.lit(-1)))
-                         & (py_strip(F.get(TEXTS_(), i)) != ""))
-    sib_text = F.get(TEXTS_(), first(sib_texts))
-    value = (F.when(par.isNull(), py_strip(txt))
-             .when(sib_text.isNotNull(), py_strip(sib_text))
-             .when(nxt.isNotNull(), text_of(nxt))
-             .otherwise(py_strip(txt)))
-    value = F.when(ti.isNotNull(), value)
+
+    def from_hit(ti):
+        txt = F.get(TEXTS_(), ti)
+        par = F.get(NODES_(), F.get(TPAR_(), ti))
+        return let(F.struct(txt.alias("txt"), par.alias("par")), lambda r: from_parent(r["txt"], r["par"]))
+
+    def from_parent(txt, par):
+        # the parent's next sibling: a non-blank text before the next element sibling, else that element
+        nxt = F.get(NODES_(), par["next"])
+        grand = F.get(NODES_(), par["parent"])
+        stop = F.coalesce(nxt["t0"], grand["t1"], F.size(TEXTS_()))
+        sib = F.filter(F.sequence(par["t1"], F.greatest(stop - 1, par["t1"])),
+                       lambda i: (i < stop)
+                       & (F.coalesce(F.get(TPAR_(), i), F.lit(-1)) == F.coalesce(par["parent"], F.lit(-1)))
+                       & (py_strip(F.get(TEXTS_(), i)) != ""))
+        sib_text = F.get(TEXTS_(), first(sib))
+        return (F.when(par.isNull(), py_strip(txt))
+                .when(sib_text.isNotNull(), py_strip(sib_text))
+                .when(nxt.isNotNull(), text_of(nxt))
+                .otherwise(py_strip(txt)))
+
+    value = let(first(hits), lambda ti: F.when(ti.isNotNull(), from_hit(ti)))
     if isinstance(dtype, T.StringType):
         return value
     num = F.replace(F.regexp_extract(value, r"[\d,]+\.?\d*", 0), F.lit(","), F.lit(""))
@@ -244,10 +254,12 @@ def _cells(row: Column) -> Column:
 
 
 def table_struct(t: Column) -> Column:
-    thead = find_in(t, tag_is("thead"))
-    first_row = find_in(t, tag_is("tr"))
-    head_cells = F.when(thead.isNotNull(), F.filter(descendants(thead), tag_is("th"))) \
-        .otherwise(F.coalesce(F.when(first_row.isNotNull(), _cells(first_row)), F.array().cast(F.ArrayType(NODE_T))))
+    def head(h):
+        thead, first_row = h["thead"], h["first_row"]
+        return F.when(thead.isNotNull(), F.filter(descendants(thead), tag_is("th"))) \
+            .when(first_row.isNotNull(), _cells(first_row)).otherwise(F.array().cast(F.ArrayType(NODE_T)))
+
+    head_cells = let(F.struct(find_in(t, tag_is("thead")).alias("thead"), find_in(t, tag_is("tr")).alias("first_row")), head)
     headers = F.transform(head_cells, lambda c: text_of(c))
     body = F.coalesce(find_in(t, tag_is("tbody")), t)
     rows = F.filter(F.transform(F.filter(descendants(body), tag_is("tr")),
@@ -339,8 +351,7 @@ def _meta_content(names, nodes: Column | None = None) -> Column:
     for nm in names:
         m = F.coalesce(find(lambda n: (n["tag"] == "meta") & (n["attrs"].getItem("name") == nm), nodes),
                        find(lambda n: (n["tag"] == "meta") & (n["attrs"].getItem("property") == nm), nodes))
-        c = m["attrs"].getItem("content")
-        c = F.when(c != "", c)
+        c = let(m["attrs"].getItem("content"), lambda x: F.when(x != "", x))
         out = c if out is None else F.coalesce(out, c)
     return out
 
@@ -361,8 +372,9 @@ def _prefixed_map(attr: str, prefix: str, nodes: Column | None = None) -> Column
 def _keywords(nodes: Column | None = None, missing: Column | None = None) -> Column:
     nodes = NODES_() if nodes is None else nodes
     kw = find(lambda n: (n["tag"] == "meta") & (n["attrs"].getItem("name") == "keywords"), nodes)
-    parts = F.transform(F.split(F.coalesce(kw["attrs"].getItem("content"), F.lit("")), ",", -1), py_strip)
-    return F.when(kw.isNotNull(), parts).otherwise(F.array().cast("array<string>"))
+    return let(kw, lambda k: F.when(k.isNotNull(), F.transform(
+        F.split(F.coalesce(k["attrs"].getItem("content"), F.lit("")), ",", -1), py_strip))
+        .otherwise(F.array().cast("array<string>")))
 
 
 def page_metadata(parsed: DataFrame, nulls: bool = False, keep: list[str] | None = None) -> DataFrame:
