@@ -86,3 +86,189 @@ FROM pages
 def q_page_titles(spark, sf_dir):
     from webloom.operators.extract import page_metadata
     return page_metadata(_parsed(spark, sf_dir)).select("page_id", "title")
+
+
+# ----------------------------------------------------------------------------- rendered inputs
+
+def esc(c):
+    """HTML-escape a column for rendering (&, <, >, ")."""
+    c = F.col(c) if isinstance(c, str) else c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def bucket_pages(rows: DataFrame, key: str, frag, bucket_size: int, url_prefix: str,
+                 head: str = "", open_body: str = "<main>", close_body: str = "</main>") -> DataFrame:
+    """Render rows into pages of at most ``bucket_size`` fragments, ordered by key.
+
+    The grouping key is a key range, so every page (and the task building it) stays bounded."""
+    b = F.floor(F.col(key) / bucket_size).cast("long")
+    pages = (rows.select(b.alias("page_id"), F.struct(F.col(key).alias("k"), frag.alias("f")).alias("kf"))
+             .groupBy("page_id").agg(F.array_sort(F.collect_list("kf")).alias("kfs")))
+    body = F.array_join(F.transform("kfs", lambda x: x["f"]), "")
+    html = F.concat(F.lit(f"<!DOCTYPE html><html><head>{head}<title>page "), F.col("page_id").cast("string"),
+                    F.lit(f"</title></head><body>{open_body}"), body, F.lit(f"{close_body}</body></html>"))
+    return pages.select("page_id", F.concat(F.lit(url_prefix), F.col("page_id").cast("string")).alias("url"),
+                        html.alias("html"))
+
+
+def product_pages(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    card = F.concat(
+        F.lit('<div class="product" data-key="'), F.col("p_partkey").cast("string"), F.lit('">'),
+        F.lit('<h2 class="name">'), esc("p_name"), F.lit("</h2>"),
+        F.lit('<span class="price">$'), F.format_number("p_retailprice", 2), F.lit("</span>"),
+        F.lit('<p class="description">'), esc("p_type"), F.lit("</p>"),
+        F.lit('<a class="more" href="/part/'), F.col("p_partkey").cast("string"), F.lit('">more</a></div>'))
+    return bucket_pages(part, "p_partkey", card, 100, "https://shop.example.com/parts/")
+
+
+@query("css_products", """
+SELECT p_partkey, p_name AS name, round(p_retailprice, 2) AS price, p_type AS type,
+       'https://shop.example.com/part/' || p_partkey AS link
+FROM part
+""")
+def q_css_products(spark, sf_dir):
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import extract_css
+    from webloom.functions.urls import resolve_url
+    parsed = parse_pages(product_pages(spark, sf_dir))
+    recs = extract_css(parsed, "div.product", {
+        "key": {"selector": "@", "type": "attribute", "attribute": "data-key"},
+        "name": "h2.name",
+        "price": {"selector": "span.price", "type": "number"},
+        "type": {"selector": "p.description"},
+        "href": {"selector": "a.more", "type": "attribute", "attribute": "href"},
+    })
+    return recs.select(F.col("key").cast("long").alias("p_partkey"), "name", F.round("price", 2).alias("price"),
+                       "type", resolve_url(F.col("url"), F.col("href")).alias("link"))
+
+
+@query("xpath_products", """
+SELECT p_partkey, p_name AS name, round(p_retailprice, 2) AS price, '/part/' || p_partkey AS href
+FROM part
+""")
+def q_xpath_products(spark, sf_dir):
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import extract_xpath
+    from webloom.functions.text import parse_number
+    parsed = parse_pages(product_pages(spark, sf_dir))
+    recs = extract_xpath(parsed, "//div[@class='product']", {
+        "key": {"xpath": ".", "attribute": "data-key"},
+        "name": ".//h2",
+        "price": "./span[@class='price']/text()",
+        "href": "./a/@href",
+    })
+    return recs.select(F.col("key").cast("long").alias("p_partkey"), "name",
+                       F.round(parse_number("price"), 2).alias("price"), "href")
+
+
+@query("label_value", """
+SELECT c_custkey AS key, c_name AS name, round(abs(c_acctbal), 2) AS balance, c_mktsegment AS segment
+FROM customer
+""")
+def q_label_value(spark, sf_dir):
+    from pyspark.sql import types as T
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import extract_labels
+    cust = table(spark, sf_dir, "customer")
+    block = F.concat(
+        F.lit('<div class="customer"><span>Key</span><span>'), F.col("c_custkey").cast("string"),
+        F.lit("</span><span>Name</span> <span>"), esc("c_name"),
+        F.lit("</span><span>Balance</span><b>"), F.format_string("%.2f", "c_acctbal"),
+        F.lit("</b><span>Segment</span><i>"), esc("c_mktsegment"), F.lit("</i></div>"))
+    parsed = parse_pages(bucket_pages(cust, "c_custkey", block, 100, "https://crm.example.com/customers/"))
+    schema = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("name", T.StringType(), False),
+                           T.StructField("balance", T.DoubleType(), False),
+                           T.StructField("segment", T.StringType(), False)])
+    return extract_labels(parsed, schema).select("key", "name", F.round("balance", 2).alias("balance"), "segment")
+
+
+@query("html_tables", """
+WITH n AS (
+  SELECT n_regionkey, n_nationkey, n_name, r_name,
+         row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row_idx
+  FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n_regionkey AS page_id, 0 AS table_idx, row_idx, 0 AS col_idx, n_name AS raw, CAST(NULL AS DOUBLE) AS num,
+       'Nation|Key|Region' AS headers FROM n
+UNION ALL
+SELECT n_regionkey, 0, row_idx, 1, CAST(n_nationkey AS VARCHAR), CAST(n_nationkey AS DOUBLE), 'Nation|Key|Region' FROM n
+UNION ALL
+SELECT n_regionkey, 0, row_idx, 2, r_name, NULL, 'Nation|Key|Region' FROM n
+""")
+def q_html_tables(spark, sf_dir):
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import extract_tables, table_cells
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    tr = F.concat(F.lit("<tr><td>"), esc("n_name"), F.lit("</td><td>"), F.col("n_nationkey").cast("string"),
+                  F.lit("</td><td>"), esc("r_name"), F.lit("</td></tr>"))
+    pages = (rows.groupBy(F.col("n_regionkey").cast("long").alias("page_id"))
+             .agg(F.array_sort(F.collect_list(F.struct("n_nationkey", tr.alias("tr")))).alias("trs")))
+    html = F.concat(F.lit("<html><body><table><thead><tr><th>Nation</th><th>Key</th><th>Region</th></tr></thead><tbody>"),
+                    F.array_join(F.transform("trs", lambda x: x["tr"]), ""), F.lit("</tbody></table></body></html>"))
+    parsed = parse_pages(pages.select("page_id", F.lit("https://geo.example.com/").alias("url"), html.alias("html")))
+    tables = extract_tables(parsed)
+    return (table_cells(tables.withColumn("headers", F.array_join("headers", "|")), keep=["page_id", "headers"])
+            .select("page_id", "table_idx", "row_idx", "col_idx", "raw", "num", "headers"))
+
+
+@query("images", """
+SELECT floor(s_suppkey / 50)::BIGINT AS page_id,
+       row_number() OVER (PARTITION BY floor(s_suppkey / 50) ORDER BY s_suppkey) - 1 AS pos,
+       'https://img.example.com/img/' || s_suppkey || '.png' AS url, s_name AS alt,
+       'Supplier ' || s_suppkey AS title, CAST(s_nationkey AS VARCHAR) AS width, CAST(NULL AS VARCHAR) AS height
+FROM supplier
+""")
+def q_images(spark, sf_dir):
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import extract_images
+    sup = table(spark, sf_dir, "supplier")
+    img = F.concat(F.lit('<img alt="no source"><figure><img src="/img/'), F.col("s_suppkey").cast("string"),
+                   F.lit('.png" alt="'), esc("s_name"), F.lit('" title="Supplier '), F.col("s_suppkey").cast("string"),
+                   F.lit('" width="'), F.col("s_nationkey").cast("string"), F.lit('"></figure>'))
+    parsed = parse_pages(bucket_pages(sup, "s_suppkey", img, 50, "https://img.example.com/suppliers/"))
+    return extract_images(parsed).select("page_id", "pos", "url", "alt", "title", "width", "height")
+
+
+def meta_pages(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    head = F.concat(
+        F.lit("<html><head><title>"), esc("p_name"), F.lit("</title>"),
+        F.lit('<meta name="description" content="'), esc("p_type"), F.lit('">'),
+        F.lit('<meta name="author" content="'), esc("p_brand"), F.lit('">'),
+        F.lit('<meta name="keywords" content="'), F.replace(esc("p_name"), F.lit(" "), F.lit(", ")), F.lit('">'),
+        F.lit('<meta property="og:title" content="'), esc("p_name"), F.lit('">'),
+        F.lit('<meta property="og:type" content="product">'),
+        F.lit('<meta property="og:type" content="'), esc("p_type"), F.lit('">'),
+        F.lit('<meta name="twitter:card" content="summary">'),
+        F.lit("</head><body><p>"), esc("p_name"), F.lit("</p></body></html>"))
+    return part.select(F.col("p_partkey").alias("page_id"),
+                       F.concat(F.lit("https://shop.example.com/p/"), F.col("p_partkey").cast("string")).alias("url"),
+                       head.alias("html"))
+
+
+@query("page_metadata", """
+SELECT p_partkey AS page_id, p_name AS title, p_type AS description, p_brand AS author,
+       replace(p_name, ' ', '|') AS keywords, 'summary' AS twitter_card, 2 AS og_entries
+FROM part
+""")
+def q_page_metadata(spark, sf_dir):
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import page_metadata
+    md = page_metadata(parse_pages(meta_pages(spark, sf_dir)))
+    return md.select("page_id", "title", "description", "author", F.array_join("keywords", "|").alias("keywords"),
+                     F.col("twitter")["card"].alias("twitter_card"), F.size("og").alias("og_entries"))
+
+
+@query("og_metadata", """
+SELECT p_partkey AS page_id, 'title' AS key, p_name AS value FROM part
+UNION ALL
+SELECT p_partkey, 'type', p_type FROM part
+""")
+def q_og_metadata(spark, sf_dir):
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import page_metadata
+    md = page_metadata(parse_pages(meta_pages(spark, sf_dir)))
+    return md.select("page_id", F.explode("og").alias("key", "value"))
