@@ -272,3 +272,132 @@ def q_og_metadata(spark, sf_dir):
     from webloom.operators.extract import page_metadata
     md = page_metadata(parse_pages(meta_pages(spark, sf_dir)))
     return md.select("page_id", F.explode("og").alias("key", "value"))
+
+
+# ----------------------------------------------------------------------------- search feeds
+
+def _title_col():
+    t = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.trim(t)
+
+
+def _ad_col():
+    t = F.regexp_extract("html", '<div class="ad">([^<]*)</div>', 1)
+    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.trim(t)
+
+
+def feed_table(spark, sf_dir) -> DataFrame:
+    """Render four engines' answer documents from ``pages``: each page is a hit for the first title
+    word (whoogle/duckduckgo/bing by page_id mod 3, with case and slash URL variants) and a wikipedia
+    hit for the last title word; documents hold at most 10 hits (page_id ranges)."""
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", "url", _title_col().alias("title"), _ad_col().alias("snippet"))
+    p = p.select("*", F.lower(F.regexp_extract("title", r"^(\S+)", 1)).alias("q1"),
+                 F.lower(F.regexp_extract("title", r"(\S+)$", 1)).alias("q2"),
+                 (F.col("page_id") % 3).alias("m"), F.floor(F.col("page_id") / 10).cast("long").alias("doc_no"))
+
+    def docs(rows, query, engine, item, render):
+        g = (rows.groupBy(F.col(query).alias("query"), "doc_no")
+             .agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("it")))).alias("items")))
+        return g.select("query", F.lit(engine).alias("engine"), "doc_no",
+                        render(F.transform("items", lambda x: x["it"])).alias("payload"))
+
+    odd = (F.col("page_id") % 2) == 1
+    whoogle = docs(p.where(F.col("m").isin(0, 1)), "q1", "whoogle", F.struct(
+        "title", F.when(~odd, F.col("url")).alias("url"), F.when(odd, F.col("url")).alias("href"),
+        F.when(~odd, F.col("snippet")).alias("snippet"), F.when(odd, F.col("snippet")).alias("body")),
+        lambda items: F.to_json(F.struct(items.alias("results"))))
+    row = F.concat(F.lit('<tr class="result"><td><a class="result-link" href="'),
+                   esc(F.concat(F.upper("url"), F.lit("/"))), F.lit('">'), esc("title"),
+                   F.lit('</a></td><td class="result-snippet">'), esc("snippet"), F.lit("</td></tr>"))
+    ddg = docs(p.where(F.col("m").isin(1, 2)), "q1", "duckduckgo", row,
+               lambda items: F.concat(F.lit("<html><body><table>"), F.array_join(items, ""),
+                                      F.lit("</table></body></html>")))
+    bing = docs(p.where(F.col("m") == 0), "q1", "bing",
+                F.struct(F.col("title").alias("name"), F.concat("url", F.lit("//")).alias("url"), "snippet"),
+                lambda items: F.to_json(F.struct(F.struct(items.alias("value")).alias("webPages"))))
+    wiki = docs(p, "q2", "wikipedia",
+                F.struct("title", F.concat(F.lit('<span class="searchmatch">'), F.col("q2"), F.lit("</span> "),
+                                           F.repeat("snippet", 4)).alias("snippet")),
+                lambda items: F.to_json(F.struct(F.struct(items.alias("search")).alias("query"))))
+    return whoogle.unionByName(ddg).unionByName(bing).unionByName(wiki)
+
+
+_UNESC_T = _unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+_UNESC_A = _unescape_sql("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")
+_HITS_SQL = f"""
+WITH p0 AS (SELECT page_id, url, trim({_UNESC_T}) AS title, trim({_UNESC_A}) AS snippet FROM pages),
+p AS (SELECT *, lower(regexp_extract(title, '^(\\S+)', 1)) AS q1, lower(regexp_extract(title, '(\\S+)$', 1)) AS q2,
+             page_id % 3 AS m, page_id // 10 AS doc_no FROM p0),
+main AS (
+  SELECT q1 AS query, 'whoogle' AS engine, 0 AS er, doc_no, page_id, title, url, snippet, 0.9::DOUBLE AS base
+  FROM p WHERE m IN (0, 1)
+  UNION ALL
+  SELECT q1, 'duckduckgo', 1, doc_no, page_id, substr(title, 1, 200), substr(upper(url) || '/', 1, 500),
+         substr(snippet, 1, 300), 0.7::DOUBLE FROM p WHERE m IN (1, 2) AND title <> ''
+  UNION ALL
+  SELECT q1, 'bing', 2, doc_no, page_id, title, url || '//', snippet, 0.8::DOUBLE FROM p WHERE m = 0),
+wiki AS (
+  SELECT q2 AS query, 'wikipedia' AS engine, 3 AS er, doc_no, page_id, title || ' - Wikipedia' AS title,
+         'https://en.wikipedia.org/wiki/' || replace(title, ' ', '_') AS url,
+         CASE WHEN length(q2 || ' ' || repeat(snippet, 4)) > 300 THEN substr(q2 || ' ' || repeat(snippet, 4), 1, 300) || '...'
+              ELSE q2 || ' ' || repeat(snippet, 4) END AS snippet, 0.75::DOUBLE AS base
+  FROM p WHERE q2 NOT IN (SELECT query FROM main)),
+hits AS (SELECT * FROM main UNION ALL SELECT * FROM wiki),
+keyed AS (SELECT *, regexp_replace(lower(trim(url)), '/+$', '') AS key FROM hits),
+dedup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, key ORDER BY er, doc_no, page_id) AS rn
+                         FROM keyed WHERE key <> '') WHERE rn = 1),
+scored AS (
+  SELECT *, least(base + (CASE WHEN instr(lower(title), query) > 0 THEN 1 ELSE 0 END) * 0.15::DOUBLE
+                       + (CASE WHEN instr(lower(snippet), query) > 0 THEN 1 ELSE 0 END) * 0.05::DOUBLE
+                       + (CASE WHEN instr(url, '.edu') > 0 OR instr(url, '.gov') > 0 OR instr(url, 'wikipedia.org') > 0
+                               THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)
+                       + (CASE WHEN starts_with(url, 'https://') THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END), 1.0::DOUBLE) AS score
+  FROM dedup),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, er, doc_no, page_id) AS rank FROM scored)
+"""
+
+
+@query("search_ranked", _HITS_SQL + """
+SELECT query, rank, url, title, engine, score FROM ranked WHERE rank <= 10
+""")
+def q_search_ranked(spark, sf_dir):
+    from webloom.plans.jobs import search
+    top, _ = search(feed_table(spark, sf_dir), 10)
+    return top.select("query", F.col("rank"), "url", "title", "engine", "score")
+
+
+@query("search_answer", _HITS_SQL + """
+SELECT r.query, least(count(*), 10) AS total_results, e.engines_used, CAST(NULL AS VARCHAR) AS errors
+FROM ranked r JOIN (SELECT query, string_agg(engine, ',' ORDER BY er) AS engines_used
+                    FROM (SELECT DISTINCT query, engine, er FROM hits) GROUP BY query) e ON r.query = e.query
+GROUP BY r.query, e.engines_used
+""")
+def q_search_answer(spark, sf_dir):
+    from webloom.plans.jobs import search
+    _, ans = search(feed_table(spark, sf_dir), 10)
+    return ans.select("query", "total_results", F.array_join("engines_used", ",").alias("engines_used"),
+                      F.array_join("errors", ";").alias("errors"))
+
+
+@query("search_fallback", _HITS_SQL + """
+SELECT query, url FROM hits WHERE engine = 'wikipedia'
+""")
+def q_search_fallback(spark, sf_dir):
+    from webloom.operators.search import with_fallback
+    from webloom.sources.feeds import read_feed
+    hits = with_fallback(read_feed(feed_table(spark, sf_dir)))
+    return hits.where(F.col("engine") == "wikipedia").select("query", "url")
+
+
+@query("dedupe_urls", _HITS_SQL + """
+SELECT query, key, url, engine FROM dedup
+""")
+def q_dedupe_urls(spark, sf_dir):
+    from webloom.operators.search import dedupe_hits, with_fallback
+    from webloom.sources.feeds import read_feed
+    return dedupe_hits(with_fallback(read_feed(feed_table(spark, sf_dir)))).select("query", "key", "url", "engine")

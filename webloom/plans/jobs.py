@@ -16,3 +16,12 @@ def host_link_counts(parsed: DataFrame) -> DataFrame:
     return (links.groupBy(netloc("url").alias("host"))
             .agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("pages"),
                  F.countDistinct("url").alias("distinct_targets")))
+
+
+def search(feeds: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Feeds -> (top-n ranked hits, one answer row per query)."""
+    from webloom.operators.search import assemble_answers, dedupe_hits, score_hits, top_hits, with_fallback
+    from webloom.sources.feeds import feed_errors, read_feed
+    hits = with_fallback(read_feed(feeds))
+    top = top_hits(score_hits(dedupe_hits(hits)), n)
+    return top, assemble_answers(top, hits, feed_errors(feeds))
