@@ -401,3 +401,182 @@ def q_dedupe_urls(spark, sf_dir):
     from webloom.operators.search import dedupe_hits, with_fallback
     from webloom.sources.feeds import read_feed
     return dedupe_hits(with_fallback(read_feed(feed_table(spark, sf_dir)))).select("query", "key", "url", "engine")
+
+
+# ----------------------------------------------------------------------------- change detection
+
+_CHECK_TS, _SNAP_TS = "2024-02-01 00:00:00", "2024-01-01 00:00:00"
+
+
+def _captures(spark, sf_dir):
+    """Current captures (every third page edited) and the stored snapshots (every fifth page new)."""
+    from webloom.operators.changes import snapshot_rows
+    pages = table(spark, sf_dir, "pages")
+    edited = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</p>"), F.lit("</p>\n"))).otherwise(F.col("html"))
+    current = pages.select("url", edited.alias("html"), F.lit(_CHECK_TS).cast("timestamp").alias("ts"))
+    stored = snapshot_rows(pages.where(F.col("page_id") % 5 != 0)
+                           .select("url", "html", F.lit(_SNAP_TS).cast("timestamp").alias("ts")))
+    return current, stored
+
+
+_CHANGES_SQL = """
+WITH cur AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN replace(html, '</p>', '</p>' || chr(10)) ELSE html END AS html
+             FROM pages),
+snap AS (SELECT url, sha256(html) AS hash, substr(html, 1, 1000) AS preview FROM pages WHERE page_id % 5 <> 0),
+j AS (SELECT c.url, sha256(c.html) AS current_hash, substr(c.html, 1, 1000) AS cpre, s.hash AS ph, s.preview AS ppre
+      FROM cur c LEFT JOIN snap s ON c.url = s.url)
+"""
+
+
+@query("changes", _CHANGES_SQL + """
+SELECT url, ph IS NULL OR ph <> current_hash AS has_changed,
+       CASE WHEN ph IS NULL THEN 'initial' WHEN ph = current_hash THEN 'none' ELSE 'content' END AS change_type,
+       coalesce(ph, '') AS previous_hash, current_hash,
+       CASE WHEN ph IS NOT NULL AND ph <> current_hash THEN
+         '+' || len(list_filter(string_split(cpre, chr(10)), lambda x: NOT list_contains(string_split(ppre, chr(10)), x)))
+         || ' lines added, -' ||
+         len(list_filter(string_split(ppre, chr(10)), lambda x: NOT list_contains(string_split(cpre, chr(10)), x)))
+         || ' lines removed' END AS diff_summary
+FROM j
+""")
+def q_changes(spark, sf_dir):
+    from webloom.plans.jobs import check_for_changes
+    current, stored = _captures(spark, sf_dir)
+    changes, _ = check_for_changes(current, stored)
+    return changes.select("url", "has_changed", "change_type", "previous_hash", "current_hash", "diff_summary")
+
+
+@query("monitor_stats", _CHANGES_SQL + """
+SELECT url, '2024-02-01 00:00:00' AS last_check, substr(current_hash, 1, 16) || '...' AS hash
+FROM j
+""")
+def q_monitor_stats(spark, sf_dir):
+    from webloom.operators.changes import monitoring_stats
+    from webloom.plans.jobs import check_for_changes
+    current, stored = _captures(spark, sf_dir)
+    _, snaps = check_for_changes(current, stored)
+    return monitoring_stats(snaps).select(
+        "url", F.date_format("last_check", "yyyy-MM-dd HH:mm:ss").alias("last_check"), "hash")
+
+
+_REV_SQL = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 0 THEN x || ' (rev)' ELSE x END), chr(10))"
+
+
+def _revised(docs):
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(
+        i % 4 == 0, F.concat(x, F.lit(" (rev)"))).otherwise(x)), "\n").alias("text"))
+
+
+@query("line_diff", f"""
+SELECT doc_id,
+       len(list_filter(string_split(new, chr(10)), lambda x: NOT list_contains(string_split(text, chr(10)), x))) AS added,
+       len(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(string_split(new, chr(10)), x))) AS removed,
+       '+' || len(list_filter(string_split(substr(new, 1, 1000), chr(10)), lambda x: NOT list_contains(string_split(text, chr(10)), x)))
+       || ' lines added, -' ||
+       len(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(string_split(substr(new, 1, 1000), chr(10)), x)))
+       || ' lines removed' AS summary
+FROM (SELECT doc_id, text, {_REV_SQL} AS new FROM documents)
+""")
+def q_line_diff(spark, sf_dir):
+    from webloom.functions.text import diff_summary
+    from webloom.operators.changes import line_diff
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    new = _revised(docs)
+    counts = line_diff(docs, new)
+    summ = docs.join(new.withColumnRenamed("text", "new"), "doc_id").select(
+        "doc_id", diff_summary(F.col("text"), F.col("new")).alias("summary"))
+    return counts.join(summ, "doc_id").select("doc_id", "added", "removed", "summary")
+
+
+# ----------------------------------------------------------------------------- text fitting
+
+FIT_QUERY = "the de la und"   # parameter: common words of the four corpus languages
+
+
+def _fit_sql(limit_clause: str) -> str:
+    words = sorted(set(FIT_QUERY.lower().split()))
+    score = " + ".join(f"(CASE WHEN instr(lower(para), '{w}') > 0 THEN 1 ELSE 0 END)" for w in words)
+    return f"""
+WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
+                  unnest(string_split(text, chr(10))) AS para FROM documents),
+s AS (SELECT *, {score} AS score FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rk,
+             coalesce(sum(length(para) + 2) OVER (PARTITION BY doc_id ORDER BY score DESC, pos
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s),
+f AS (SELECT *, max(CASE WHEN used + length(para) > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY rk
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped FROM o)
+SELECT d.doc_id, coalesce(string_agg(para, chr(10) ORDER BY rk), '') AS fit
+FROM documents d LEFT JOIN (SELECT * FROM f WHERE {limit_clause}) x ON d.doc_id = x.doc_id
+GROUP BY d.doc_id
+"""
+
+
+@query("fit_paragraphs", _fit_sql("rk <= 10"))
+def q_fit_paragraphs(spark, sf_dir):
+    from webloom.operators.fit import fit_text
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", fit_text("text", FIT_QUERY, None, sep="\n").alias("fit"))
+
+
+@query("fit_budget", _fit_sql("stopped = 0"))
+def q_fit_budget(spark, sf_dir):
+    from webloom.operators.fit import fit_text
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", fit_text("text", FIT_QUERY, 2000, sep="\n").alias("fit"))
+
+
+@query("fit_budget_window", _fit_sql("stopped = 0").replace("coalesce(string_agg(para, chr(10) ORDER BY rk), '') AS fit",
+                                                          "count(x.pos) AS kept, coalesce(sum(length(para)), 0) AS kept_chars"))
+def q_fit_budget_window(spark, sf_dir):
+    from webloom.operators.fit import paragraph_table, within_budget
+    docs = table(spark, sf_dir, "documents")
+    kept = within_budget(paragraph_table(docs, "doc_id", "text", FIT_QUERY, sep="\n"), "doc_id", 2000)
+    agg = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("para")).alias("kept_chars"))
+    return (docs.select("doc_id").join(agg, "doc_id", "left")
+            .select("doc_id", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"),
+                    F.coalesce("kept_chars", F.lit(0)).cast("long").alias("kept_chars")))
+
+
+@query("chunks", """
+SELECT doc_id, i AS chunk_idx, s AS start, substr(text, s + 1, 2000) AS chunk
+FROM (SELECT doc_id, text, CASE WHEN length(text) > 2000 THEN generate_series(0, length(text) - 1, 1800) ELSE [0] END AS starts
+      FROM documents), unnest(starts) WITH ORDINALITY AS t(s, i0), LATERAL (SELECT i0 - 1 AS i)
+""")
+def q_chunks(spark, sf_dir):
+    from webloom.operators.fit import chunk_text
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_text(docs, "text", threshold=500, overlap=50, keep=["doc_id"]).select(
+        "doc_id", "chunk_idx", "start", "chunk")
+
+
+@query("truncate", """
+SELECT doc_id, CASE WHEN length(text) > 2000 THEN
+  (CASE WHEN (2000 - strpos(reverse(substr(text, 1, 2000)), '.')) > 1600 AND strpos(reverse(substr(text, 1, 2000)), '.') > 0
+        THEN substr(text, 1, 2000 - strpos(reverse(substr(text, 1, 2000)), '.') + 1)
+        ELSE substr(text, 1, 2000) END) || chr(10) || chr(10) || '[Content truncated...]'
+  ELSE text END AS truncated
+FROM documents
+""")
+def q_truncate(spark, sf_dir):
+    from webloom.functions.text import truncate_tokens
+    return table(spark, sf_dir, "documents").select("doc_id", truncate_tokens("text", 500).alias("truncated"))
+
+
+def _md_source(text):
+    """Markdown-like rendering of a document: paragraph gaps, space runs, empty links, image lines."""
+    return F.concat(F.replace(F.replace(text, F.lit("\n"), F.lit("  \n\n\n\n\n")), F.lit(". "), F.lit(".   ")),
+                    F.lit("\n[ ](https://example.com/x)\n  ![img](https://example.com/i.png)  \n\nend  "))
+
+
+@query("clean_markdown", """
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+         replace(replace(text, chr(10), '  ' || chr(10) || chr(10) || chr(10) || chr(10) || chr(10)), '. ', '.   ')
+         || chr(10) || '[ ](https://example.com/x)' || chr(10) || '  ![img](https://example.com/i.png)  ' || chr(10) || chr(10) || 'end  ',
+       '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '(?m)[ \\t\\r\\f\\v]+$', '', 'g'),
+       '\\[\\s*\\]\\([^)]*\\)', '', 'g'), '(?m)^\\s*!\\[.*?\\]\\(.*?\\)\\s*$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS md
+FROM documents
+""")
+def q_clean_markdown(spark, sf_dir):
+    from webloom.functions.text import clean_markdown
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", clean_markdown(_md_source(F.col("text"))).alias("md"))

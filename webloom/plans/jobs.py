@@ -25,3 +25,10 @@ def search(feeds: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
     hits = with_fallback(read_feed(feeds))
     top = top_hits(score_hits(dedupe_hits(hits)), n)
     return top, assemble_answers(top, hits, feed_errors(feeds))
+
+
+def check_for_changes(current: DataFrame, snapshots: DataFrame):
+    """(change events, next snapshot table)."""
+    from webloom.operators.changes import detect_changes, next_snapshots
+    changes = detect_changes(current, snapshots)
+    return changes, next_snapshots(changes, snapshots)
