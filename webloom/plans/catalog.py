@@ -580,3 +580,154 @@ def q_clean_markdown(spark, sf_dir):
     from webloom.functions.text import clean_markdown
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", clean_markdown(_md_source(F.col("text"))).alias("md"))
+
+
+# ----------------------------------------------------------------------------- fetch logs & block pages
+
+def fetch_log(spark, sf_dir) -> DataFrame:
+    """``events`` as a fetch log: user -> host, 'error' events -> failed fetches with a status
+    derived from the event value; some sign-ups are exceptions without a status."""
+    ev = table(spark, sf_dir, "events")
+    host = F.concat(F.lit("host"), F.col("user_id").cast("string"), F.lit(".example.com"))
+    err = F.col("event_type") == "error"
+    status = (F.when(err, F.when(F.col("value") < 3, 429).when(F.col("value") < 6, 503).when(F.col("value") < 9, 403)
+                     .otherwise(500))
+              .when((F.col("event_type") == "signup") & (F.col("value") < 1), F.lit(None))
+              .otherwise(200))
+    etype = (F.when(err & (F.col("value") >= 12), "TimeoutError")
+             .when((F.col("event_type") == "signup") & (F.col("value") < 1), "ConnectionError"))
+    return ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"), host.alias("host"),
+                     F.concat(F.lit("https://"), host, F.lit("/")).alias("url"), status.cast("int").alias("status_code"),
+                     etype.alias("error_type"), (~err).alias("ok"))
+
+
+_LOG_SQL = """
+WITH log AS (
+  SELECT event_id, ts, 'host' || user_id || '.example.com' AS host,
+         CASE WHEN event_type = 'error' THEN (CASE WHEN value < 3 THEN 429 WHEN value < 6 THEN 503 WHEN value < 9 THEN 403 ELSE 500 END)
+              WHEN event_type = 'signup' AND value < 1 THEN NULL ELSE 200 END AS status_code,
+         CASE WHEN event_type = 'error' AND value >= 12 THEN 'TimeoutError'
+              WHEN event_type = 'signup' AND value < 1 THEN 'ConnectionError' END AS error_type
+  FROM events)
+"""
+
+
+@query("retry_class", _LOG_SQL + """
+SELECT event_id, status_code, error_type,
+       CASE WHEN status_code IN (400, 401, 403, 404, 405) THEN false
+            WHEN status_code IN (429, 503, 504, 502, 500) THEN true
+            WHEN status_code >= 500 THEN true WHEN status_code >= 400 THEN false
+            ELSE coalesce(error_type IN ('TimeoutError', 'ConnectionError'), false) END AS retryable
+FROM log
+""")
+def q_retry_class(spark, sf_dir):
+    from webloom.functions.blocks import is_retryable
+    log = fetch_log(spark, sf_dir)
+    return log.select("event_id", "status_code", "error_type",
+                      is_retryable(F.col("status_code"), F.col("error_type")).alias("retryable"))
+
+
+@query("rate_window", _LOG_SQL + """
+SELECT event_id, host, count(*) OVER (PARTITION BY host ORDER BY epoch_us(ts)
+                                      RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS requests_in_window
+FROM log
+""")
+def q_rate_window(spark, sf_dir):
+    from webloom.operators.fetchlog import request_rate
+    return request_rate(fetch_log(spark, sf_dir), "host", "ts", seconds=6 * 3600).select(
+        "event_id", "host", "requests_in_window")
+
+
+@query("burst_flag", _LOG_SQL + """
+SELECT event_id, host, c AS burst_count, c >= 2 AS burst_exceeded
+FROM (SELECT *, count(*) OVER (PARTITION BY host ORDER BY epoch_us(ts)
+                               RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS c FROM log)
+""")
+def q_burst_flag(spark, sf_dir):
+    from webloom.operators.fetchlog import burst_exceeded
+    return burst_exceeded(fetch_log(spark, sf_dir), "host", "ts", burst_size=2, seconds=3600).select(
+        "event_id", "host", "burst_count", "burst_exceeded")
+
+
+@query("latest_status", _LOG_SQL + """
+SELECT host, event_id, status_code,
+       (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) <= 172800000000 AS fresh
+FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts DESC) AS rn FROM log) WHERE rn = 1
+""")
+def q_latest_status(spark, sf_dir):
+    from webloom.operators.fetchlog import latest_fresh
+    log = fetch_log(spark, sf_dir).select("host", "event_id", "ts", "status_code")
+    return latest_fresh(log, "host", "ts", "2024-01-31 00:00:00", 2 * 86400).select(
+        "host", "event_id", "status_code", "fresh")
+
+
+@query("failure_runs")
+def q_failure_runs(spark, sf_dir):
+    from webloom.operators.fetchlog import cooling_down
+    log = fetch_log(spark, sf_dir).withColumn("failed", F.col("status_code").isin(429, 403) | F.col("error_type").isNotNull())
+    return cooling_down(log, "url", "ts", "failed", threshold=2, cooldown_s=3 * 86400).select(
+        "event_id", "url_key", "skip_direct", "failures")
+
+
+@query("circuit_state")
+def q_circuit_state(spark, sf_dir):
+    from webloom.operators.fetchlog import circuit_state
+    return circuit_state(fetch_log(spark, sf_dir), "host", "ts", "ok", threshold=2, recovery_s=86400).select(
+        "event_id", "host", "state_seen", "state_after", "failures")
+
+
+@query("host_delay")
+def q_host_delay(spark, sf_dir):
+    from webloom.operators.fetchlog import host_delay
+    return host_delay(fetch_log(spark, sf_dir), "host", "ts", "status_code").select(
+        "event_id", "host", F.round("delay", 6).alias("delay"))
+
+
+def _block_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    m6, m7 = F.col("page_id") % 6, F.col("page_id") % 7
+    status = F.when(m6 == 1, 403).when(m6 == 2, 429).when(m6 == 3, 503).when(m6 == 4, F.lit(None)).otherwise(200)
+    extra = (F.when(m7 == 0, '<div class="g-recaptcha"></div>').when(m7 == 1, "<p>Too Many Requests</p>")
+             .when(m7 == 2, "<p>Please try again later</p>").when(m7 == 3, "<p>Access Denied</p>").otherwise(""))
+    html = F.replace("html", F.lit("</body>"), F.concat(extra, F.lit("</body>")))
+    return pages.select("page_id", status.cast("int").alias("status_code"), html.alias("html"))
+
+
+def _block_sql() -> str:
+    from webloom.functions.blocks import BLOCK_PATTERNS, BLOCK_TITLES, CAPTCHA_PATTERNS, RATE_LIMIT_PATTERNS
+    alt = lambda ps: "(?i)(?:" + "|".join(ps).replace("'", "''") + ")"
+    titles = " OR ".join(f"instr(lower(t), '{x.lower()}') > 0" for x in BLOCK_TITLES)
+    return f"""
+WITH b AS (
+  SELECT page_id,
+         CASE page_id % 6 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN NULL ELSE 200 END AS status_code,
+         replace(html, '</body>', CASE page_id % 7 WHEN 0 THEN '<div class="g-recaptcha"></div>'
+             WHEN 1 THEN '<p>Too Many Requests</p>' WHEN 2 THEN '<p>Please try again later</p>'
+             WHEN 3 THEN '<p>Access Denied</p>' ELSE '' END || '</body>') AS html
+  FROM pages),
+f AS (SELECT page_id, status_code, regexp_matches(html, '{alt(CAPTCHA_PATTERNS)}') AS cap,
+             regexp_matches(html, '{alt(BLOCK_PATTERNS)}') AS blk,
+             regexp_matches(html, '{alt(RATE_LIMIT_PATTERNS)}') AS rl,
+             trim({_unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS t FROM b)
+SELECT page_id, status_code, cap AS is_captcha,
+       coalesce(status_code IN (403, 503), false) OR blk AS is_blocked,
+       coalesce(status_code = 429, false) OR rl AS is_rate_limited,
+       cap OR coalesce(status_code IN (403, 503), false) OR blk OR coalesce(status_code = 429, false) OR rl AS requires_action,
+       CASE WHEN cap THEN 'captcha' WHEN coalesce(status_code = 429, false) OR rl THEN 'rate_limited'
+            WHEN coalesce(status_code IN (403, 503), false) OR blk THEN 'blocked' ELSE 'none' END AS type,
+       CASE WHEN rl THEN (CASE WHEN coalesce(status_code = 429, false) THEN 'high' ELSE 'medium' END)
+            WHEN cap OR blk THEN 'high' WHEN coalesce(status_code IN (403, 503), false) THEN 'medium'
+            WHEN coalesce(status_code = 429, false) THEN 'high' ELSE 'low' END AS confidence,
+       {titles} AS title_blocked
+FROM f
+"""
+
+
+@query("block_class", _block_sql())
+def q_block_class(spark, sf_dir):
+    from webloom.functions.blocks import classify_block, is_block_title
+    b = _block_pages(spark, sf_dir)
+    title = F.trim(_title_col())
+    return b.select("page_id", "status_code", classify_block(F.col("status_code"), F.col("html")).alias("v"),
+                    is_block_title(title).alias("title_blocked")).select(
+        "page_id", "status_code", "v.*", "title_blocked")
