@@ -731,3 +731,34 @@ def q_block_class(spark, sf_dir):
     return b.select("page_id", "status_code", classify_block(F.col("status_code"), F.col("html")).alias("v"),
                     is_block_title(title).alias("title_blocked")).select(
         "page_id", "status_code", "v.*", "title_blocked")
+
+
+# ----------------------------------------------------------------------------- crawl
+
+def graph_archive(spark, sf_dir):
+    """Pages re-hosted as a link graph: node i links to (7i+1) mod n and (11i+3) mod n (relative),
+    to a page missing from the archive and to another host."""
+    pages = table(spark, sf_dir, "pages")
+    n = pages.count()
+    i = F.col("page_id")
+    link = lambda j: F.concat(F.lit('<a href="/n/'), j.cast("string"), F.lit('">next</a>'))
+    html = F.concat(F.lit("<html><body><nav>"), link((i * 7 + 1) % n), link((i * 11 + 3) % n),
+                    F.lit('<a href="/missing/'), i.cast("string"), F.lit('">gone</a><a href="https://other.example.org/n/'),
+                    i.cast("string"), F.lit('">away</a><a href="#top">top</a></nav></body></html>'))
+    url = F.concat(F.lit("https://graph.example.com/n/"), i.cast("string"))
+    return pages.select("page_id", url.alias("url"), html.alias("html"), F.lit(True).alias("success"))
+
+
+@query("crawl_bfs", """
+WITH RECURSIVE nn AS (SELECT count(*) AS n FROM pages),
+e AS (SELECT page_id AS src, (7 * page_id + 1) % n AS dst FROM pages, nn
+      UNION ALL SELECT page_id, (11 * page_id + 3) % n FROM pages, nn),
+r(seed, node, depth) AS (SELECT page_id, page_id, 0 FROM pages
+                         UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3)
+SELECT seed, 'https://graph.example.com/n/' || node AS url, min(depth) AS depth FROM r GROUP BY seed, node
+""")
+def q_crawl_bfs(spark, sf_dir):
+    from webloom.operators.crawl import crawl
+    arch = graph_archive(spark, sf_dir)
+    seeds = arch.select(F.col("page_id").alias("seed"), "url")
+    return crawl(seeds, arch, max_depth=3, same_domain_only=True, max_pages=50)
