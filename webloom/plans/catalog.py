@@ -762,3 +762,115 @@ def q_crawl_bfs(spark, sf_dir):
     arch = graph_archive(spark, sf_dir)
     seeds = arch.select(F.col("page_id").alias("seed"), "url")
     return crawl(seeds, arch, max_depth=3, same_domain_only=True, max_pages=50)
+
+
+# ----------------------------------------------------------------------------- discovery
+
+def discovery_docs(spark, sf_dir):
+    """Fetched-document archive rendered from ``pages``: per host chunk sitemaps (20 pages each,
+    namespaced urlset), a sitemap index, an indented robots.txt, plus the pages themselves.
+    Returns (sites, docs); a site starts at the host's first page."""
+    from webloom.functions.urls import site_root
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", site_root(F.col("url")).alias("root"))
+    b = F.floor(F.col("page_id") / 20).cast("long")
+    entry = F.concat(F.lit("<url><loc>"), esc("url"), F.lit("</loc><lastmod>"),
+                     F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 28).cast("int")).cast("string"),
+                     F.lit("</lastmod><changefreq>"), F.when(F.col("page_id") % 2 == 0, "daily").otherwise("weekly"),
+                     F.lit("</changefreq><priority>"), F.format_string("%.1f", (F.col("page_id") % 10) / 10.0),
+                     F.lit("</priority></url>\n"))
+    chunks = (pages.groupBy("root", b.alias("b"))
+              .agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("es")))
+    chunk_url = F.concat(F.col("root"), F.lit("/sitemap-pages-"), F.col("b").cast("string"), F.lit(".xml"))
+    chunk_docs = chunks.select(chunk_url.alias("url"), F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'),
+        F.array_join(F.transform("es", lambda x: x["e"]), ""), F.lit("</urlset>")).alias("content"))
+    per_root = (chunks.groupBy("root").agg(F.array_sort(F.collect_list("b")).alias("bs")))
+    loc = lambda r, x: F.concat(r, F.lit("/sitemap-pages-"), x.cast("string"), F.lit(".xml"))
+    index_docs = per_root.select(F.concat("root", F.lit("/sitemap.xml")).alias("url"), F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'),
+        F.array_join(F.transform("bs", lambda x: F.concat(F.lit("<sitemap><loc>"), loc(F.col("root"), x),
+                                                           F.lit("</loc></sitemap>\n"))), ""),
+        F.lit("</sitemapindex>")).alias("content"))
+    robots_docs = per_root.select(F.concat("root", F.lit("/robots.txt")).alias("url"), F.concat(
+        F.lit("User-agent: *\n  Disallow: /private\n"),
+        F.array_join(F.transform("bs", lambda x: F.concat(F.lit("  Sitemap: "), loc(F.col("root"), x), F.lit("\n"))), ""),
+        F.lit("sitemap: "), F.col("root"), F.lit("/sitemap-extra.xml\n")).alias("content"))
+    docs = (chunk_docs.unionByName(index_docs).unionByName(robots_docs)
+            .unionByName(pages.select("url", F.col("html").alias("content"))))
+    sites = pages.groupBy("root").agg(F.min_by("url", "page_id").alias("site")).select("site")
+    return sites, docs
+
+
+_DISC_SQL = f"""
+WITH p AS (SELECT page_id, url, html, {_root_sql('url')} AS root FROM pages),
+s AS (SELECT root, arg_min(url, page_id) AS site, min(page_id) AS hp FROM p GROUP BY root),
+sm AS (SELECT s.site, 0 AS mr, p.page_id // 20 AS o1, p.page_id AS o2, p.url FROM p JOIN s USING (root)),
+hl AS (SELECT s.site, s.root, generate_subscripts(h, 1) AS o1, unnest(h) AS href
+       FROM s JOIN p ON p.page_id = s.hp, LATERAL (SELECT regexp_extract_all(p.html, '<a href="([^"]*)">', 1) AS h)),
+lk AS (SELECT site, 2 AS mr, o1, 0 AS o2, root || {_unescape_sql('href')} AS url FROM hl),
+u AS (SELECT * FROM sm UNION ALL SELECT * FROM lk),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY mr, o1, o2) AS rn FROM u) WHERE rn = 1),
+r AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY mr, o1, o2, url) AS rank,
+             CASE mr WHEN 0 THEN 'sitemap' WHEN 1 THEN 'robots' ELSE 'links' END AS method, url FROM d)
+"""
+
+
+@query("discover", _DISC_SQL + "SELECT * FROM r WHERE rank <= 1000")
+def q_discover(spark, sf_dir):
+    from webloom.operators.discovery import discover
+    sites, docs = discovery_docs(spark, sf_dir)
+    return discover(sites, docs, max_urls=1000)
+
+
+SITE_QUERY = "en 1"
+
+
+@query("site_search", _DISC_SQL + """
+, sc AS (SELECT *, (CASE WHEN instr(lower(url), 'en 1') > 0 THEN 10 ELSE 0 END)
+                  + (CASE WHEN instr(lower(url), '1') > 0 THEN 1 ELSE 0 END)
+                  + (CASE WHEN instr(lower(url), 'en') > 0 THEN 1 ELSE 0 END) AS relevance_score
+         FROM r WHERE rank <= 500)
+SELECT site, pos, url, relevance_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY relevance_score DESC, rank) AS pos FROM sc WHERE relevance_score > 0)
+WHERE pos <= 20
+""")
+def q_site_search(spark, sf_dir):
+    from webloom.operators.discovery import search_within_site
+    sites, docs = discovery_docs(spark, sf_dir)
+    return search_within_site(sites, docs, SITE_QUERY, 20)
+
+
+@query("sitemap_urls", f"""
+SELECT {_root_sql('url')} || '/sitemap-pages-' || (page_id // 20) || '.xml' AS sitemap_url,
+       row_number() OVER (PARTITION BY {_root_sql('url')}, page_id // 20 ORDER BY page_id) - 1 AS pos,
+       url AS loc, DATE '2024-01-01' + CAST(page_id % 28 AS INTEGER) AS lastmod,
+       CASE WHEN page_id % 2 = 0 THEN 'daily' ELSE 'weekly' END AS changefreq,
+       round((page_id % 10) / 10, 1)::DOUBLE AS priority
+FROM pages
+""")
+def q_sitemap_urls(spark, sf_dir):
+    from webloom.sources.sitemaps import read_sitemap
+    _, docs = discovery_docs(spark, sf_dir)
+    return read_sitemap(docs.where(F.col("url").contains("/sitemap-pages-")))
+
+
+@query("sitemap_index", f"""
+SELECT {_root_sql('url')} || '/sitemap.xml' AS index_url, url AS loc FROM pages
+""")
+def q_sitemap_index(spark, sf_dir):
+    from webloom.sources.sitemaps import expand_sitemap_index
+    _, docs = discovery_docs(spark, sf_dir)
+    return expand_sitemap_index(docs).select("index_url", "loc")
+
+
+@query("robots_sitemaps", f"""
+SELECT DISTINCT {_root_sql('url')} || '/robots.txt' AS robots_url,
+       {_root_sql('url')} || '/sitemap-pages-' || (page_id // 20) || '.xml' AS sitemap
+FROM pages
+UNION ALL
+SELECT DISTINCT {_root_sql('url')} || '/robots.txt', {_root_sql('url')} || '/sitemap-extra.xml' FROM pages
+""")
+def q_robots_sitemaps(spark, sf_dir):
+    from webloom.sources.sitemaps import read_robots
+    _, docs = discovery_docs(spark, sf_dir)
+    return read_robots(docs.where(F.col("url").endswith("/robots.txt"))).select("robots_url", "sitemap")
