@@ -874,3 +874,108 @@ def q_robots_sitemaps(spark, sf_dir):
     from webloom.sources.sitemaps import read_robots
     _, docs = discovery_docs(spark, sf_dir)
     return read_robots(docs.where(F.col("url").endswith("/robots.txt"))).select("robots_url", "sitemap")
+
+
+# ----------------------------------------------------------------------------- markdown
+
+@query("markdown")
+def q_markdown(spark, sf_dir):
+    from webloom.operators.markdown import to_markdown
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return to_markdown(pages).select("page_id", "url", F.length("markdown").alias("md_chars"),
+                                     F.sha2("markdown", 256).alias("md_hash"), "error")
+
+
+@query("scrape_titles", f"""
+SELECT url, trim({_unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title,
+       false AS empty_markdown, CAST(NULL AS VARCHAR) AS error
+FROM pages
+""")
+def q_scrape_titles(spark, sf_dir):
+    from webloom.plans.jobs import scrape
+    pages = table(spark, sf_dir, "pages").select("url", "html", F.lit(200).alias("status_code"), F.lit(True).alias("success"),
+                                                F.lit(None).cast("string").alias("error"))
+    out = scrape(pages.select("url"), pages)
+    return out.select("url", "title", (F.col("markdown") == "").alias("empty_markdown"), "error")
+
+
+# ----------------------------------------------------------------------------- model batch I/O
+
+def _responses(spark, sf_dir):
+    """Model responses rendered per (doc, 2000-char chunk) in five shapes by doc_id mod 5:
+    items / data / bare array / bare object / not JSON; every third doc gives n as a string."""
+    from webloom.functions.text import chunk_starts
+    docs = table(spark, sf_dir, "documents")
+    ch = docs.select("doc_id", "lang", "source", "n_chars",
+                     F.posexplode(chunk_starts("text", 500, 50)).alias("chunk_idx", "start"))
+    n = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("n_chars").cast("string").alias("n")))) \
+        .otherwise(F.to_json(F.struct(F.col("n_chars").alias("n"))))
+    item = F.concat(F.lit('{"source": "'), F.col("source"), F.lit('", "lang": "'), F.col("lang"), F.lit('", '),
+                    F.substring(n, 2, 1000))
+    tbl = F.concat(F.lit('{"headers": ["lang", "source"], "rows": [["'), F.col("lang"), F.lit('", "'), F.col("source"),
+                   F.lit('"], ["chunk", "'), F.col("chunk_idx").cast("string"), F.lit('"]], "caption": "c'),
+                   F.col("chunk_idx").cast("string"), F.lit('"}'))
+    m = F.col("doc_id") % 5
+
+    def shape(x):
+        return (F.when(m == 0, F.concat(F.lit('{"items": ['), x, F.lit("]}")))
+                .when(m == 1, F.concat(F.lit('{"data": ['), x, F.lit("]}")))
+                .when(m == 2, F.concat(F.lit("["), x, F.lit("]")))
+                .when(m == 3, x).otherwise(F.lit("Sorry, I cannot help with that.")))
+    return ch.select("doc_id", "chunk_idx", shape(item).alias("response"), shape(tbl).alias("table_response"))
+
+
+_RESP_SQL = """
+WITH ch AS (SELECT doc_id, lang, source, n_chars, unnest(CASE WHEN length(text) > 2000
+                   THEN generate_series(0, length(text) - 1, 1800) ELSE [0] END) AS start FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_idx FROM ch)
+"""
+
+
+@query("llm_items", _RESP_SQL + """
+SELECT doc_id, chunk_idx, 0 AS item_idx, source, lang, n_chars AS n FROM c WHERE doc_id % 5 <> 4
+""")
+def q_llm_items(spark, sf_dir):
+    from pyspark.sql import types as T
+    from webloom.operators.model_batch import parse_responses
+    schema = T.StructType([T.StructField("source", T.StringType(), False), T.StructField("lang", T.StringType(), True),
+                           T.StructField("n", T.LongType(), True)])
+    return parse_responses(_responses(spark, sf_dir), schema).select(
+        "doc_id", "chunk_idx", "item_idx", "source", "lang", "n")
+
+
+@query("merge_tables", _RESP_SQL + """
+SELECT doc_id, 'lang|source' AS headers, 'c0' AS caption, chunk_idx, row_idx,
+       CASE WHEN row_idx = 0 THEN lang || '|' || source ELSE 'chunk|' || chunk_idx END AS row
+FROM c, (SELECT 0 AS row_idx UNION ALL SELECT 1) r WHERE doc_id % 5 <> 4
+""")
+def q_merge_tables(spark, sf_dir):
+    from webloom.operators.model_batch import merge_tables, tables_from_responses
+    resp = _responses(spark, sf_dir).select("doc_id", "chunk_idx", F.col("table_response").alias("response"))
+    m = merge_tables(tables_from_responses(resp))
+    return m.select("doc_id", F.array_join("headers", "|").alias("headers"), "caption", "chunk_idx", "row_idx",
+                    F.array_join("row", "|").alias("row"))
+
+
+@query("llm_requests", """
+WITH ch AS (SELECT doc_id, text, unnest(CASE WHEN length(text) > 2000
+                   THEN generate_series(0, length(text) - 1, 1800) ELSE [0] END) AS start FROM documents),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_idx,
+             substr(text, start + 1, 2000) AS chunk FROM ch),
+t AS (SELECT doc_id, chunk_idx, CASE WHEN length(chunk) > 1600 THEN
+        (CASE WHEN strpos(reverse(substr(chunk, 1, 1600)), '.') > 0 AND (1600 - strpos(reverse(substr(chunk, 1, 1600)), '.')) > 1280
+              THEN substr(chunk, 1, 1600 - strpos(reverse(substr(chunk, 1, 1600)), '.') + 1)
+              ELSE substr(chunk, 1, 1600) END) || chr(10) || chr(10) || '[Content truncated...]'
+        ELSE chunk END AS content FROM c)
+SELECT doc_id, chunk_idx,
+       sha256('Extract data from this markdown content:' || chr(10) || chr(10) || '```markdown' || chr(10) || content
+              || chr(10) || '```') AS user_hash
+FROM t
+""")
+def q_llm_requests(spark, sf_dir):
+    from pyspark.sql import types as T
+    from webloom.operators.model_batch import llm_requests
+    schema = T.StructType([T.StructField("source", T.StringType(), False), T.StructField("n", T.LongType(), True)])
+    docs = table(spark, sf_dir, "documents")
+    req = llm_requests(docs, "doc_id", "text", schema, "Extract the source", chunk_threshold=500, overlap=50, max_tokens=400)
+    return req.select("doc_id", "chunk_idx", F.sha2("user_prompt", 256).alias("user_hash"))

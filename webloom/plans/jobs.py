@@ -32,3 +32,79 @@ def check_for_changes(current: DataFrame, snapshots: DataFrame):
     from webloom.operators.changes import detect_changes, next_snapshots
     changes = detect_changes(current, snapshots)
     return changes, next_snapshots(changes, snapshots)
+
+
+def scrape(urls: DataFrame, pages: DataFrame, options=None) -> DataFrame:
+    """URL list -> archive lookup -> Markdown + conversion metadata; failures keep their error."""
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import page_metadata
+    from webloom.operators.markdown import to_markdown
+    from webloom.sources.pages import fetch_batch
+    fetched = fetch_batch(urls, pages)
+    ok = fetched.where(F.col("success")).select("url", "html")
+    md = to_markdown(ok, options=options)
+    meta = page_metadata(parse_pages(ok), nulls=True, keep=["url"])
+    good = md.join(meta, "url", "left").select("url", "markdown", "title",
+                                              F.struct("source_url", "title", "description", "author", "published_date",
+                                                       "keywords").alias("metadata"),
+                                              F.col("error"))
+    bad = fetched.where(~F.col("success")).select(
+        "url", F.lit("").alias("markdown"), F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast(good.schema["metadata"].dataType).alias("metadata"), F.col("error"))
+    return good.unionByName(bad)
+
+
+def crawl_to_markdown(seeds: DataFrame, archive: DataFrame, max_depth: int = 3, max_pages: int = 50):
+    """Crawl, then Markdown for every crawled page; plus the per-seed summary."""
+    from webloom.operators.crawl import crawl
+    from webloom.operators.markdown import to_markdown
+    pages = crawl(seeds, archive, max_depth=max_depth, max_pages=max_pages)
+    md = to_markdown(pages.join(archive.select("url", "html"), "url"))
+    summary = pages.groupBy("seed").agg(F.count(F.lit(1)).alias("pages_crawled"), F.max("depth").alias("max_depth"))
+    return md, summary
+
+
+def extract(urls: DataFrame, pages: DataFrame, base_selector: str | None = None, fields: dict | None = None):
+    """Fetch, then CSS records when selectors are given (base defaults to ``body``), else tables."""
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import extract_css, extract_tables
+    from webloom.sources.pages import fetch_batch
+    ok = fetch_batch(urls, pages).where(F.col("success")).select("url", "html")
+    parsed = parse_pages(ok, keep_html=True)
+    if fields:
+        return extract_css(parsed, base_selector or "body", fields, keep=["url"])
+    return extract_tables(parsed, keep=["url"])
+
+
+def process_pages(pages: DataFrame, fn, schema) -> DataFrame:
+    """G1: user per-page function over pandas batches (``mapInPandas``), errors into an ``error`` column."""
+    from pyspark.sql import types as T
+    out = T.StructType(list(schema.fields) + [T.StructField("error", T.StringType())])
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            rows = []
+            for rec in pdf.to_dict("records"):
+                try:
+                    r = dict(fn(rec))
+                    r["error"] = None
+                except Exception as e:  # noqa: BLE001
+                    r = {f.name: None for f in schema.fields}
+                    r["error"] = f"{type(e).__name__}: {e}"
+                rows.append(r)
+            yield pd.DataFrame(rows, columns=[f.name for f in out.fields])
+    return pages.mapInPandas(run, out)
+
+
+def apply_strategy(parsed: DataFrame, strategy) -> DataFrame:
+    """A strategy is any object with ``apply(parsed) -> DataFrame`` (or a plain function)."""
+    return parsed.transform(strategy.apply if hasattr(strategy, "apply") else strategy)
+
+
+def observed(df: DataFrame, name: str = "batch"):
+    """Progress metrics (rows, successes) collected as the job runs, without an extra pass."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    succ = F.count_if(F.col("success")) if "success" in df.columns else F.lit(0)
+    return df.observe(obs, F.count(F.lit(1)).alias("total"), succ.alias("succeeded")), obs
