@@ -979,3 +979,75 @@ def q_llm_requests(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     req = llm_requests(docs, "doc_id", "text", schema, "Extract the source", chunk_threshold=500, overlap=50, max_tokens=400)
     return req.select("doc_id", "chunk_idx", F.sha2("user_prompt", 256).alias("user_hash"))
+
+
+# ----------------------------------------------------------------------------- streaming
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint dir (never a machine-local temp dir)."""
+    import uuid
+    from webloom.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/webloom-{name}-{uuid.uuid4().hex}"
+
+
+@query("stream_changes", _CHANGES_SQL + """
+SELECT url, ph IS NULL OR ph <> current_hash AS has_changed,
+       CASE WHEN ph IS NULL THEN 'initial' WHEN ph = current_hash THEN 'none' ELSE 'content' END AS change_type,
+       coalesce(ph, '') AS previous_hash, current_hash,
+       CASE WHEN ph IS NOT NULL AND ph <> current_hash THEN
+         '+' || len(list_filter(string_split(cpre, chr(10)), lambda x: NOT list_contains(string_split(ppre, chr(10)), x)))
+         || ' lines added, -' ||
+         len(list_filter(string_split(ppre, chr(10)), lambda x: NOT list_contains(string_split(cpre, chr(10)), x)))
+         || ' lines removed' END AS diff_summary
+FROM j
+""")
+def q_stream_changes(spark, sf_dir):
+    """T1 over a file stream: stored captures arrive first, current captures second (one file per
+    micro-batch); the events at the check time equal the batch change detection."""
+    from webloom.streaming.monitor import monitor_changes
+    root = _scratch(spark, "stream-changes")
+    pages = table(spark, sf_dir, "pages")
+    stored = pages.where(F.col("page_id") % 5 != 0).select("url", "html", F.lit(_SNAP_TS).cast("timestamp").alias("ts"))
+    edited = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</p>"), F.lit("</p>\n"))).otherwise(F.col("html"))
+    current = pages.select("url", edited.alias("html"), F.lit(_CHECK_TS).cast("timestamp").alias("ts"))
+    stored.coalesce(1).write.parquet(f"{root}/in/a")
+    current.coalesce(1).write.parquet(f"{root}/in/b")
+    src = (spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(f"{root}/in"))
+    q = (monitor_changes(src, emit_unchanged=True).writeStream.format("parquet")
+         .option("checkpointLocation", f"{root}/ckpt").option("path", f"{root}/out")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.where(F.col("ts") == F.lit(_CHECK_TS).cast("timestamp")).select(
+        "url", "has_changed", "change_type", "previous_hash", "current_hash", "diff_summary")
+
+
+@query("stream_rate", _LOG_SQL + """
+, w AS (SELECT host, time_bucket(INTERVAL 1 hour, ts) - to_hours(k) AS ws FROM log, range(0, 6) t(k))
+SELECT host, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) >= 2 AS burst
+FROM w GROUP BY host, ws
+""")
+def q_stream_rate(spark, sf_dir):
+    """T4 over a file stream in two micro-batches (update mode through foreachBatch: a window's
+    latest count is its final count)."""
+    from webloom.streaming.rates import stream_rate
+    root = _scratch(spark, "stream-rate")
+    log = fetch_log(spark, sf_dir).select("host", "ts")
+    mid = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    log.where(F.col("ts") < mid).coalesce(1).write.parquet(f"{root}/in/a")
+    log.where(F.col("ts") >= mid).coalesce(1).write.parquet(f"{root}/in/b")
+    src = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(f"{root}/in"))
+    rates = stream_rate(src, "host", "ts", "6 hours", "1 hour", burst=2, watermark="1 day")
+
+    def sink(batch, batch_id):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{root}/out")
+
+    q = (rates.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    final = out.groupBy("host", "window_start").agg(F.max("requests").alias("requests"))
+    return final.select("host", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                        "requests", (F.col("requests") >= 2).alias("burst"))
