@@ -63,7 +63,7 @@ def same_tag_position(node: Column, nodes: Column) -> Column:
 
 _IDENT = r"-?[_a-zA-Z\u00a0-\uffff][_a-zA-Z0-9\-\u00a0-\uffff]*"
 _TOKEN = re.compile(
-    r"\s*(?P<comb>[>+~,])\s*|(?P<ws>\s+)|(?P<type>\*|" + _IDENT + r"(?::" + _IDENT + r")?)"
+    r"\s*(?P<comb>[>+~,])\s*|(?P<ws>\s+)|(?P<type>\*|" + _IDENT + r")"
     r"|#(?P<id>" + _IDENT + r")|\.(?P<cls>" + _IDENT + r")"
     r"|\[\s*(?P<aname>[^\s~|^$*=\]]+)\s*(?:(?P<aop>[~|^$*]?=)\s*(?P<aval>\"[^\"]*\"|'[^']*'|[^\]\s]+))?\s*\]"
     r"|:(?P<pseudo>[a-zA-Z-]+)(?:\((?P<parg>[^()]*(?:\([^()]*\)[^()]*)*)\))?")
