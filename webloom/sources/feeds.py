@@ -91,8 +91,6 @@ def read_feed(raw: DataFrame, engine: str | None = None) -> DataFrame:
 def feed_errors(raw: DataFrame) -> DataFrame:
     """Documents whose payload is not a readable answer -> ``(query, engine, error)``."""
     ok = (F.when(F.col("engine") == "duckduckgo", F.col("payload").isNotNull())
-          .when(F.col("engine") == "whoogle", F.from_json("payload", _WHOOGLE).isNotNull())
-          .when(F.col("engine") == "bing", F.from_json("payload", _BING).isNotNull())
-          .otherwise(F.from_json("payload", _WIKI).isNotNull()))
+          .otherwise(F.try_parse_json("payload").isNotNull()))
     label = F.element_at(F.create_map(*[F.lit(x) for kv in ENGINE_LABEL.items() for x in kv]), F.col("engine"))
     return raw.where(~ok).select("query", "engine", F.concat(label, F.lit(": invalid payload")).alias("error"))
