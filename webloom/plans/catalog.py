@@ -1051,3 +1051,79 @@ def q_stream_rate(spark, sf_dir):
     final = out.groupBy("host", "window_start").agg(F.max("requests").alias("requests"))
     return final.select("host", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                         "requests", (F.col("requests") >= 2).alias("burst"))
+
+
+# ----------------------------------------------------------------------------- reports, lookups, counters
+
+def _report_docs(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url", _title_col().alias("title"), _ad_col().alias("snippet"))
+    p = p.select("*", F.lower(F.regexp_extract("title", r"^(\S+)", 1)).alias("query"),
+                 F.floor(F.col("page_id") / 12).cast("long").alias("doc_no"))
+    odd = (F.col("page_id") % 2) == 1
+    item = F.struct("title", F.when(~odd, F.col("url")).alias("url"), F.when(odd, F.col("url")).alias("href"),
+                    F.when(~odd, F.col("snippet")).alias("content"), F.when(odd, F.col("snippet")).alias("text"))
+    g = p.groupBy("query", "doc_no").agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("it")))).alias("its"))
+    return g.select("query", "doc_no", F.to_json(F.struct(F.transform("its", lambda x: x["it"]).alias("results"))).alias("payload"))
+
+
+@query("search_report", f"""
+WITH p AS (SELECT page_id, url, trim({_UNESC_T}) AS title, trim({_UNESC_A}) AS content FROM pages),
+q AS (SELECT *, lower(regexp_extract(title, '^(\\S+)', 1)) AS query, page_id // 12 AS doc_no,
+             row_number() OVER (PARTITION BY lower(regexp_extract(title, '^(\\S+)', 1)), page_id // 12 ORDER BY page_id) AS i
+      FROM p)
+SELECT query, doc_no,
+       '# Search Results for: ' || query || chr(10) || chr(10) || 'Found ' || count(*) || ' results' || chr(10) || chr(10) ||
+       string_agg(CASE WHEN i <= 10 THEN '## ' || i || '. ' || title || chr(10) || '**URL:** ' || url || chr(10) || chr(10)
+                       || substr(content, 1, 300) || '...' || chr(10) END, chr(10) ORDER BY i) AS report
+FROM q GROUP BY query, doc_no
+""")
+def q_search_report(spark, sf_dir):
+    from webloom.sources.reports import render_results
+    return render_results(_report_docs(spark, sf_dir), "markdown").select("query", "doc_no", "report")
+
+
+@query("fetch_batch", """
+SELECT url, true AS success, CAST(NULL AS VARCHAR) AS error FROM pages
+UNION ALL
+SELECT url || '#gone', false, 'not in page archive' FROM pages
+""")
+def q_fetch_batch(spark, sf_dir):
+    from webloom.sources.pages import fetch_batch
+    pages = table(spark, sf_dir, "pages").select("url", "html", F.lit(200).alias("status_code"),
+                                                F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+    urls = pages.select("url").unionByName(pages.select(F.concat("url", F.lit("#gone")).alias("url")))
+    return fetch_batch(urls, pages).select("url", "success", "error")
+
+
+@query("monitor_counters", _CHANGES_SQL + """
+SELECT url, CASE WHEN ph IS NULL THEN 1 ELSE 2 END AS checks,
+       CASE WHEN ph IS NOT NULL AND ph <> current_hash THEN 1 ELSE 0 END AS changes,
+       '2024-02-01 00:00:00' AS last_check
+FROM j
+""")
+def q_monitor_counters(spark, sf_dir):
+    """A5 over the check history (stored captures + current captures)."""
+    from webloom.operators.changes import detect_changes, monitor_counters, snapshot_rows
+    pages = table(spark, sf_dir, "pages")
+    stored = pages.where(F.col("page_id") % 5 != 0).select("url", "html", F.lit(_SNAP_TS).cast("timestamp").alias("ts"))
+    current, _ = _captures(spark, sf_dir)
+    history = stored.unionByName(current)
+    empty = snapshot_rows(stored).where(F.lit(False))
+    c = monitor_counters(detect_changes(history, empty))
+    return c.select("url", "checks", "changes", F.date_format("last_check", "yyyy-MM-dd HH:mm:ss").alias("last_check"))
+
+
+@query("crawl_summary", """
+WITH RECURSIVE nn AS (SELECT count(*) AS n FROM pages),
+e AS (SELECT page_id AS src, (7 * page_id + 1) % n AS dst FROM pages, nn
+      UNION ALL SELECT page_id, (11 * page_id + 3) % n FROM pages, nn),
+r(seed, node, depth) AS (SELECT page_id, page_id, 0 FROM pages
+                         UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 2)
+SELECT seed, count(DISTINCT node) AS pages_crawled, max(depth) AS max_depth FROM r GROUP BY seed
+""")
+def q_crawl_summary(spark, sf_dir):
+    """A8 (C6's summary) over a depth-2 crawl of the rendered link graph."""
+    from webloom.operators.crawl import crawl
+    arch = graph_archive(spark, sf_dir)
+    pages = crawl(arch.select(F.col("page_id").alias("seed"), "url"), arch, max_depth=2, max_pages=50)
+    return pages.groupBy("seed").agg(F.count(F.lit(1)).alias("pages_crawled"), F.max("depth").alias("max_depth"))
