@@ -61,3 +61,23 @@ def test_cooldown_skip_and_reset(spark):
     out = cooling_down(log, threshold=3, cooldown_s=300).orderBy("ts").collect()
     assert [r.skip_direct for r in out] == [False, False, False, True, False, False, False]
     assert [r.failures for r in out] == [1, 2, 3, 4, 1, 0, 1]
+
+
+def test_stream_folds_equal_batch(spark, tmp_path):
+    from webloom.streaming.folds import stream_circuit_state, stream_host_delay
+    base = dt.datetime(2024, 1, 1)
+    rows = [("h", base + dt.timedelta(seconds=s), ok, 200 if ok else 429) for s, ok in
+            [(0, False), (1, False), (2, False), (40, True), (41, True), (42, True), (43, True), (44, True), (45, True)]]
+    schema = "host string, ts timestamp, ok boolean, status_code int"
+    log = spark.createDataFrame(rows, schema)
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for name, fn, batch, cols in [
+            ("c", lambda s: stream_circuit_state(s, threshold=3, recovery_s=30),
+             circuit_state(log, threshold=3, recovery_s=30), ["ts", "state_seen", "state_after"]),
+            ("d", stream_host_delay, host_delay(log), ["ts", "delay"])]:
+        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = (fn(src).writeStream.format("parquet").option("path", str(tmp_path / name))
+             .option("checkpointLocation", str(tmp_path / (name + "ck"))).trigger(availableNow=True).start())
+        q.awaitTermination()
+        got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / name)).select(*cols).collect())
+        assert got == sorted(tuple(r) for r in batch.select(*cols).collect())

@@ -21,3 +21,14 @@ def test_feeds_dedupe_rank_and_answer(spark):
     assert a["dogs"].engines_used == ["wikipedia"] and a["dogs"].errors == ["Bing: invalid payload"]
     dog = top.where("query = 'dogs'").collect()[0]
     assert dog.title == "Dog house - Wikipedia" and dog.url == "https://en.wikipedia.org/wiki/Dog_house"
+
+
+def test_render_results(spark):
+    from webloom.sources.reports import render_results
+    p = json.dumps({"results": [{"title": "A", "href": "https://a", "content": "x" * 400}, {"url": "https://b"}]})
+    df = spark.createDataFrame([("q", p)], "query string, payload string")
+    md = render_results(df, "markdown").collect()[0].report
+    assert md.startswith("# Search Results for: q\n\nFound 2 results\n\n## 1. A\n**URL:** https://a\n\n" + "x" * 300 + "...\n")
+    assert "## 2. Untitled\n**URL:** https://b\n\n...\n" in md
+    html = render_results(df, "html").collect()[0].report
+    assert html.startswith('<h1>Search Results for: q</h1>\n<div class="result">\n<h3><a href="https://a">A</a></h3>')
