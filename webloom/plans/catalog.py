@@ -324,7 +324,8 @@ def feed_table(spark, sf_dir) -> DataFrame:
                 F.struct("title", F.concat(F.lit('<span class="searchmatch">'), F.col("q2"), F.lit("</span> "),
                                            F.repeat("snippet", 4)).alias("snippet")),
                 lambda items: F.to_json(F.struct(F.struct(items.alias("search")).alias("query"))))
-    return whoogle.unionByName(ddg).unionByName(bing).unionByName(wiki)
+    # Materialized once (reliable checkpoint): every engine reader and the error check scan it.
+    return whoogle.unionByName(ddg).unionByName(bing).unionByName(wiki).checkpoint()
 
 
 _UNESC_T = _unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")
@@ -798,7 +799,8 @@ def discovery_docs(spark, sf_dir):
     docs = (chunk_docs.unionByName(index_docs).unionByName(robots_docs)
             .unionByName(pages.select("url", F.col("html").alias("content"))))
     sites = pages.groupBy("root").agg(F.min_by("url", "page_id").alias("site")).select("site")
-    return sites, docs
+    # Materialized once (reliable checkpoint): the sitemap, robots and link branches all scan it.
+    return sites, docs.checkpoint()
 
 
 _DISC_SQL = f"""
