@@ -31,6 +31,8 @@ def crawl(seeds: DataFrame, archive: DataFrame, max_depth: int = 3, same_domain_
     each at its first depth; links are followed only out of successful pages; with
     ``same_domain_only`` the domain is fixed by the seed URL.  ``max_pages`` keeps the first pages by
     (depth, url) per seed, as the crawl's page cap."""
+    from webloom.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(archive.sparkSession)
     ok = archive.where(F.col("success")).select("url", "html")
     ok_urls = ok.select("url")
     edges = link_edges(ok).checkpoint()

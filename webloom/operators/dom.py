@@ -285,6 +285,8 @@ def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = Fals
     """Append ``texts, text_parent, nodes, parse_error`` to every page row (one Arrow pass).
 
     Filter and project *before* calling this: the Python stage is an optimizer barrier."""
+    from webloom.session import ship_package
+    ship_package(pages.sparkSession)
     pages = spread(pages)
     keep = [f for f in pages.schema.fields if keep_html or f.name != html_col]
     out_schema = T.StructType(keep + DOM_FIELDS)

@@ -51,6 +51,8 @@ def sorted_fold(log: DataFrame, key: str, order: list[str], step: Callable, init
 
     Distribution is ``repartition(key)`` + ``sortWithinPartitions(key, *order)`` (one shuffle, a
     spilling sort); the Python pass streams the sorted batches and keeps only the current key's state."""
+    from webloom.session import ship_package
+    ship_package(log.sparkSession)
     schema = T.StructType([log.schema[c] for c in keep] + out_fields)
     names = [f.name for f in out_fields]
 

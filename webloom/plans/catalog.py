@@ -24,6 +24,8 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from webloom.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)      # cluster value from spark.checkpoint.dir; a local one only when unset
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -79,6 +79,8 @@ def extract(urls: DataFrame, pages: DataFrame, base_selector: str | None = None,
 def process_pages(pages: DataFrame, fn, schema) -> DataFrame:
     """G1: user per-page function over pandas batches (``mapInPandas``), errors into an ``error`` column."""
     from pyspark.sql import types as T
+    from webloom.session import ship_package
+    ship_package(pages.sparkSession)
     out = T.StructType(list(schema.fields) + [T.StructField("error", T.StringType())])
 
     def run(batches):

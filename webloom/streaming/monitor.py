@@ -43,6 +43,8 @@ def watched(stream: DataFrame, watchlist: DataFrame | None = None) -> DataFrame:
 def monitor_changes(stream: DataFrame, emit_unchanged: bool = False, ttl_ms: int | None = None) -> DataFrame:
     """Per-URL keyed state -> change events (initial / content, and none when asked).
     ``ttl_ms`` (T7) forgets URLs not seen for that long (processing-time timeout)."""
+    from webloom.session import ship_package
+    ship_package(stream.sparkSession)
     hashed = stream.select("url", F.sha2(F.col("html"), 256).alias("hash"),
                            F.substring("html", 1, 1000).alias("preview"), F.col("ts").cast("timestamp").alias("ts"))
 
