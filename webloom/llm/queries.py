@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, chat, mixing, pii, simhash, urls
+from webloom.llm import bpe, chat, language, mixing, pii, simhash, urls
 from webloom.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def held_out(key: str, folds: int):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0
+
+
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.where(~F.coalesce(held_out("doc_id", 5), F.lit(False)))
+    model = language.train(language.training_rows(learned, "text", "lang"))
+    return language.identify(docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), "text"), model, "text",
+                             keep=["doc_id", "held_out"])
+
+
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER, "text", keep=["doc_id"])
