@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, chat, language, mixing, pii, simhash, topk, urls
+from webloom.llm import bpe, chat, language, lm, mixing, pii, simhash, topk, urls, vectors
 from webloom.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding"), 256).alias("vector"))
     found = topk.exact_topk(rows, rows.where("vec_id % 50 = 0"), k=5, key="vec_id", vector="vector")
     return found.select("query_id", "rank", F.col("doc_id").alias("vec_id"), "score")
+
+
+@query("op8_embeddings")
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", threshold=0.95)
+
+
+@query("op7_lm")
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(held_out("doc_id", 10), F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
+    return lm.score(docs, ~F.col("held_out"), ["doc_id", "held_out"], "text")
