@@ -52,9 +52,8 @@ def features(text: str) -> np.ndarray | None:
         if not is_letter.any():
             continue
         letters = True
-        codes = np.where(is_letter, codes, np.uint32(32))
+        codes = np.concatenate([[32], np.where(is_letter, codes, 32), [32]]).astype(np.uint32)
         codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]  # runs of others are one space
-        codes = np.concatenate([np.array([32], np.uint32), codes, np.array([32], np.uint32)])
         one = codes * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ (codes[1:] + np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
         three = (two[:-1] ^ (codes[2:] + np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)

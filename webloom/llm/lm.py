@@ -32,7 +32,7 @@ TAIL_CLASS = CLASSES - ENDINGS
 #: State size, steps of a window, documents scored side by side, tokens that a task holds at once.
 HIDDEN, WINDOW, LANES, HELD_TOKENS = 16, 32, 512, 4_000_000
 #: Training: documents of the sample, tasks, rounds of averaging, updates of a task in a round, lanes, step size.
-TRAIN_DOCS, TASKS, ROUNDS, UPDATES, TRAIN_LANES, RATE = 4096, 6, 4, 250, 64, 0.01
+TRAIN_DOCS, TASKS, ROUNDS, UPDATES, TRAIN_LANES, RATE = 4096, 6, 3, 250, 64, 0.02
 #: Distinct words counted in a task before they are handed on.
 COUNTED = 300_000
 END = b""  # the end token: words are never empty
@@ -287,7 +287,8 @@ def log_likelihoods(net: Network, head: Head, numbers: np.ndarray, lengths: np.n
 
 
 def train_copy(net: Network, head: Head, numbers: np.ndarray, lengths: np.ndarray, updates: int, rate: float, seed: int) -> Network:
-    """``updates`` windows of truncated backpropagation (Adam), going round the documents."""
+    """Up to ``updates`` windows of truncated backpropagation (Adam), at most one pass over the documents."""
+    updates = min(updates, max(1, len(numbers) // (TRAIN_LANES * WINDOW)))
     order = np.random.default_rng(seed).permutation(len(lengths))
     starts = np.cumsum(lengths) - lengths
     numbers = np.concatenate([numbers[starts[i]:starts[i] + lengths[i]] for i in order])
@@ -324,7 +325,7 @@ def _copy(shared, held, updates: int, k: int):
     """Group map of round ``k``: one group of texts -> its trained parameters."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         flat, lengths, _ = _numbers(_Numbers(shared.value.number), sorted(t or b"" for t in table.column("t").to_pylist()))
-        got = train_copy(Network(held.value), shared.value, flat, lengths, updates, RATE * 0.6 ** k, k)
+        got = train_copy(Network(held.value), shared.value, flat, lengths, updates, RATE * 0.7 ** k, k)
         data = np.concatenate([got.p[n].ravel() for n in sorted(got.p)]).astype(np.float32).tobytes()
         return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(flat)], pa.int64()), "p": pa.array([data], pa.binary())})
     return run
@@ -400,7 +401,8 @@ def _score(shared, params):
     return run
 
 
-def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
+def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", train_docs: int = TRAIN_DOCS,
+          rounds: int = ROUNDS, updates: int = UPDATES) -> DataFrame:
     """One row per row of ``df``: the ``key`` columns, ``n_tokens, n_known, train_tokens, base_score, score``.
 
     ``learn``: which rows to learn from. Counts cover all of them; the network is trained on those whose text hash is
@@ -420,7 +422,7 @@ def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", trai
     n_docs = int(head.counts[0])
     share = min(1.0, train_docs / max(n_docs, 1))
     hashed = F.shiftrightunsigned(F.xxhash64("t"), 11) / float(1 << 53)
-    net = train(learned.where(hashed < share), head, shared)
+    net = train(learned.where(hashed < share), head, shared, rounds, updates)
     params = spark.sparkContext.broadcast(net.p)
     source = rows.select(*[F.col(f"`{k}`") for k in key], "t")
     schema = T.StructType([source.schema[k] for k in key] + list(_SCORED))

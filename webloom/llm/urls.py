@@ -98,13 +98,13 @@ def train(rows: list[tuple[str, int]], epochs: int = 300, rate: float = 1.0, l2:
     return full, b
 
 
-def judge(df: DataFrame, url: str = "url", rules=RULES, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5,
+def judge(df: DataFrame, url: str = "url", rules=RULES, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.7,
           keep: list[str] | None = None) -> DataFrame:
     """Adds ``host, path, rule, verdict, p_block`` to every row of ``df``.
 
     The verdict is the longest fitting rule's action, else ``block`` where the model's probability of an unwanted site
-    is at least ``threshold``. The model (128 kB, a fixed size) travels with the task. A null url, or one without
-    ``://``, has an empty host and path and is allowed unless the threshold is at or below the model's value for them;
+    is at least ``threshold`` (over a half, since most sites are wanted ones). The model (128 kB, a fixed size) travels
+    with the task. A null url, or one without ``://``, has an empty host and path, no features and probability 0;
     repeated urls are judged alike; columns of ``df`` with an added name are replaced."""
     weights, bias = train(labelled_urls() if labelled is None else labelled)
     added = ("host", "path", "rule", "verdict", "p_block")
@@ -116,7 +116,7 @@ def judge(df: DataFrame, url: str = "url", rules=RULES, labelled: list[tuple[str
     def start():
         def one(part):
             f = features(part["host"], part["path"])
-            return float(1 / (1 + np.exp(-(weights[f].sum() / max(np.sqrt(len(f)), 1) + bias))))
+            return 0.0 if not len(f) else float(1 / (1 + np.exp(-(weights[f].sum() / max(np.sqrt(len(f)), 1) + bias))))
         return lambda rows: [[r["host"] for r in rows], [r["path"] for r in rows], [one(r) for r in rows]]
     scored = map_values(parts, F.col("__parts"), out, start, kept)
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
