@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.common import let
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -95,18 +97,26 @@ def paragraphs(md, sep: str = "\n\n") -> Column:
     return F.split(_c(md), re.escape(sep), -1)
 
 
-def line_diff_counts(old, new) -> Column:
-    """J4 for bounded texts: struct(added, removed) = occurrences of lines absent on the other side."""
-    o = F.split(_c(old), "\n", -1)
-    n = F.split(_c(new), "\n", -1)
-    return F.struct(F.size(F.filter(n, lambda x: ~F.array_contains(o, x))).alias("added"),
-                    F.size(F.filter(o, lambda x: ~F.array_contains(n, x))).alias("removed"))
+def line_hashes(s, chars: int | None = None) -> Column:
+    """64-bit hashes of the lines of a text, in order; ``chars`` reads only so many first characters."""
+    t = _c(s) if chars is None else F.substring(_c(s), 1, chars)
+    return F.transform(F.split(t, "\n", -1), lambda x: F.xxhash64(x))
+
+
+def line_diff_counts(old_lines, new_lines) -> Column:
+    """J4 of two arrays of line hashes: struct(added, removed) = occurrences of lines absent on the other side."""
+    def only(a, b):
+        return let(F.array_except(a, b), lambda gone: F.size(F.filter(a, lambda x: F.array_contains(gone, x))))
+    return F.struct(only(_c(new_lines), _c(old_lines)).alias("added"), only(_c(old_lines), _c(new_lines)).alias("removed"))
+
+
+def diff_text(counts: Column) -> Column:
+    return F.format_string("+%d lines added, -%d lines removed", counts["added"], counts["removed"])
 
 
-def diff_summary(old, new) -> Column:
-    """'+A lines added, -R lines removed' over the first 1000 characters of the new text."""
-    d = line_diff_counts(old, F.substring(_c(new), 1, 1000))
-    return F.format_string("+%d lines added, -%d lines removed", d["added"], d["removed"])
+def diff_summary(old, new, chars: int | None = None) -> Column:
+    """'+A lines added, -R lines removed' between two whole texts (or the first ``chars`` characters of both)."""
+    return diff_text(line_diff_counts(line_hashes(old, chars), line_hashes(new, chars)))
 
 
 # Fixed prompt texts (must equal the original wording for identical model requests).

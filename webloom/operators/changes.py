@@ -5,48 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.text import content_hash, diff_summary, url_key
+from webloom.functions.text import content_hash, diff_text, line_diff_counts, line_hashes, url_key
 
-PREVIEW_CHARS = 1000
 
+def _captures(pages: DataFrame, url: str, content: str, ts: str | None, chars: int | None) -> DataFrame:
+    when = F.col(ts) if ts and ts in pages.columns else F.current_timestamp()
+    return pages.select(F.col(url).alias("url"), content_hash(F.col(content)).alias("hash"), when.alias("ts"),
+                        F.length(content).cast("long").alias("content_length"), line_hashes(F.col(content), chars).alias("lines"))
 
-def snapshot_rows(pages: DataFrame, url: str = "url", content: str = "html", ts: str | None = "ts") -> DataFrame:
-    """One snapshot row per capture: sha256, time, length, 1000-char preview, md5 url key."""
-    t = F.col(ts) if ts and ts in pages.columns else F.current_timestamp()
-    return pages.select(F.col(url).alias("url"), content_hash(F.col(content)).alias("hash"), t.alias("ts"),
-                        F.length(content).cast("long").alias("content_length"),
-                        F.substring(content, 1, PREVIEW_CHARS).alias("preview"), url_key(F.col(url)).alias("url_key"))
+
+def snapshot_rows(pages: DataFrame, url: str = "url", content: str = "html", ts: str | None = "ts", chars: int | None = None) -> DataFrame:
+    """One snapshot row per capture: sha256, time, length, 64-bit hashes of all lines, md5 url key. ``chars`` keeps the
+    line hashes of the first characters only; give the same value to :func:`detect_changes`."""
+    return _captures(pages, url, content, ts, chars).withColumn("url_key", url_key(F.col("url")))
 
 
 def detect_changes(current: DataFrame, snapshots: DataFrame, url: str = "url", content: str = "html",
-                   ts: str | None = "ts") -> DataFrame:
-    """Each capture vs the stored snapshot (or the previous capture of the same URL in this batch).
-
-    no previous -> (true, 'initial', ''); equal hash -> (false, 'none'); else (true, 'content') with
-    a line diff of the 1000-char previews."""
-    cur = current.select(F.col(url).alias("url"), content_hash(F.col(content)).alias("current_hash"),
-                         (F.col(ts) if ts and ts in current.columns else F.current_timestamp()).alias("ts"),
-                         F.length(content).cast("long").alias("content_length"),
-                         F.substring(content, 1, PREVIEW_CHARS).alias("preview"))
-    w = Window.partitionBy("url").orderBy("ts", "current_hash")
-    cur = cur.withColumn("_prev_hash", F.lag("current_hash").over(w)).withColumn("_prev_preview", F.lag("preview").over(w))
-    snap = snapshots.select("url", F.col("hash").alias("_snap_hash"), F.col("preview").alias("_snap_preview"))
-    j = cur.join(snap, "url", "left")
-    prev_hash = F.coalesce("_prev_hash", "_snap_hash")
-    prev_preview = F.coalesce("_prev_preview", "_snap_preview")
-    change = F.when(prev_hash.isNull(), "initial").when(prev_hash == F.col("current_hash"), "none").otherwise("content")
+                   ts: str | None = "ts", chars: int | None = None) -> DataFrame:
+    """Each capture vs the previous capture of its URL in this batch, else the stored snapshot.
+
+    no previous -> (true, 'initial', ''); equal hash -> (false, 'none'); else (true, 'content') with a line diff of the
+    whole pages. A capture older than the stored snapshot is (false, 'late'), as on the stream: it is reported, is
+    compared with nothing and never becomes a snapshot."""
+    snap = snapshots.select("url", F.col("hash").alias("snap_hash"), F.col("lines").alias("snap_lines"), F.col("ts").alias("snap_ts"))
+    j = _captures(current, url, content, ts, chars).join(snap, "url", "left")
+    j = j.withColumn("late", F.coalesce(F.col("ts") < F.col("snap_ts"), F.lit(False)))
+    w = Window.partitionBy("url", "late").orderBy("ts", "hash")
+    j = j.withColumn("before", F.lag(F.struct("hash", "lines")).over(w))
+    prev_hash, prev_lines = F.coalesce("before.hash", "snap_hash"), F.coalesce("before.lines", "snap_lines")
+    change = (F.when(F.col("late"), "late").when(prev_hash.isNull(), "initial")
+              .when(prev_hash == F.col("hash"), "none").otherwise("content"))
+    diff = diff_text(line_diff_counts(F.coalesce(prev_lines, F.array().cast("array<bigint>")), F.col("lines")))
     return j.select(
-        "url", (change != "none").alias("has_changed"), change.alias("change_type"),
-        F.coalesce(prev_hash, F.lit("")).alias("previous_hash"), "current_hash",
-        F.when(change == "content", diff_summary(F.coalesce(prev_preview, F.lit("")), F.col("preview"))).alias("diff_summary"),
-        "ts", "content_length", "preview")
+        "url", change.isin("initial", "content").alias("has_changed"), change.alias("change_type"),
+        F.coalesce(F.when(F.col("late"), F.col("snap_hash")).otherwise(prev_hash), F.lit("")).alias("previous_hash"),
+        F.col("hash").alias("current_hash"), F.when(change == "content", diff).alias("diff_summary"), "ts", "content_length", "lines")
 
 
 def next_snapshots(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The latest row per URL after this batch (unchanged URLs keep their stored row)."""
-    new = changes.select("url", F.col("current_hash").alias("hash"), "ts", "content_length", "preview")
-    both = new.unionByName(snapshots.select("url", "hash", "ts", "content_length", "preview"))
-    latest = both.groupBy("url").agg(F.max_by(F.struct("hash", "ts", "content_length", "preview"), "ts").alias("s"))
+    """The latest row per URL after this batch (unchanged URLs keep their stored row); at equal times the larger hash."""
+    cols = ["hash", "ts", "content_length", "lines"]
+    new = changes.where("change_type <> 'late'").withColumnRenamed("current_hash", "hash").select("url", *cols)
+    both = new.unionByName(snapshots.select("url", *cols))
+    latest = both.groupBy("url").agg(F.max_by(F.struct(*cols), F.struct("ts", "hash")).alias("s"))
     return latest.select("url", "s.*", url_key(F.col("url")).alias("url_key"))
 
 
@@ -63,9 +64,9 @@ def read_snapshots(spark, path: str) -> DataFrame:
 
 
 def monitoring_stats(snapshots: DataFrame) -> DataFrame:
-    """A4: per URL last check and a 16-char hash prefix; total with ``.count()`` or a window."""
-    return snapshots.select("url", F.col("ts").alias("last_check"),
-                            F.concat(F.substring("hash", 1, 16), F.lit("...")).alias("hash"))
+    """A4: per URL last check and a 16-char hash prefix, with the number of monitored URLs on every row."""
+    rows = snapshots.select("url", F.col("ts").alias("last_check"), F.concat(F.substring("hash", 1, 16), F.lit("...")).alias("hash"))
+    return rows.crossJoin(rows.agg(F.count(F.lit(1)).alias("total_urls")))  # one row on the right side
 
 
 def monitor_counters(checks: DataFrame) -> DataFrame:
@@ -77,12 +78,12 @@ def monitor_counters(checks: DataFrame) -> DataFrame:
 
 
 def line_diff(old: DataFrame, new: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """J4 for whole documents: occurrences of lines absent on the other side, by two anti joins
-    on (key, line) -- linear in the text size, no per-document quadratic scan."""
-    o = old.select(key, F.explode(F.split(text, "\n", -1)).alias("line"))
-    n = new.select(key, F.explode(F.split(text, "\n", -1)).alias("line"))
-    added = n.join(o.select(key, "line").distinct(), [key, "line"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("added"))
-    removed = o.join(n.select(key, "line").distinct(), [key, "line"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("removed"))
-    keys = old.select(key).unionByName(new.select(key)).distinct()
-    return (keys.join(added, key, "left").join(removed, key, "left")
-            .select(key, F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("removed", F.lit(0)).alias("removed")))
+    """J4 for whole documents: occurrences of lines absent on the other side. Lines of both sides are counted by
+    (key, line), then by key: two partial aggregates, linear in the text size. A null text has no lines."""
+    def lines(df, side):
+        return df.select(key, F.explode_outer(F.split(text, "\n", -1)).alias("line"), F.lit(side).alias("side"))
+    def count(side):
+        return F.count_if((F.col("side") == side) & F.col("line").isNotNull())
+    counted = (lines(old, 0).unionByName(lines(new, 1)).groupBy(key, "line").agg(count(0).alias("before"), count(1).alias("after")))
+    return counted.groupBy(key).agg(F.sum(F.when(F.col("before") == 0, F.col("after")).otherwise(0)).alias("added"),
+                                    F.sum(F.when(F.col("after") == 0, F.col("before")).otherwise(0)).alias("removed"))

@@ -1,17 +1,20 @@
 """Crawl (C2): level-synchronous BFS over a page archive, many seeds at once.
 
 The archive is ``(url, html, success)``; links are extracted once from successful pages into an
-edge table ``(src, dst)`` (reliably checkpointed, reused by every level).  Each level is one join of
-the frontier with the edges, an anti join against the visited set and a semi join with the
-successful pages; the driver only runs one emptiness check per level (at most ``max_depth``).
+edge table ``(src, dst)`` that every level reads. Each level is one join of the frontier with the edges and an anti
+join against the levels before; the driver only runs one emptiness check per level (at most ``max_depth``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.urls import link_ok, netloc, resolve_url
+from webloom.functions.urls import link_ok, resolve_url, same_netloc
+from webloom.session import materialize
+from webloom.sources.pages import successful
 
 
 def link_edges(archive: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -26,31 +29,35 @@ def link_edges(archive: DataFrame, url: str = "url", html: str = "html") -> Data
 
 
 def crawl(seeds: DataFrame, archive: DataFrame, max_depth: int = 3, same_domain_only: bool = True,
-          max_pages: int | None = 50) -> DataFrame:
+          max_pages: int | None = None) -> DataFrame:
     """-> (seed, url, depth): successful pages reachable from each seed within ``max_depth`` levels,
     each at its first depth; links are followed only out of successful pages; with
     ``same_domain_only`` the domain is fixed by the seed URL.  ``max_pages`` keeps the first pages by
-    (depth, url) per seed, as the crawl's page cap."""
-    from webloom.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(archive.sparkSession)
-    ok = archive.where(F.col("success")).select("url", "html")
-    ok_urls = ok.select("url")
-    edges = link_edges(ok).checkpoint()
-    s = seeds.select(F.col("seed"), F.col("url"), netloc(F.col("url")).alias("seed_host"))
-    frontier = s.join(ok_urls, "url", "left_semi").withColumn("depth", F.lit(0)).checkpoint()
-    visited = frontier
+    (depth, url) per seed, as the crawl's page cap (default: all).
+
+    Edges that no crawl can use go before the loop: links to pages that the archive lacks and, with
+    ``same_domain_only``, links to another host (a crawl never leaves its seed's). Each level writes its own new pages
+    only; what was visited is the union of the levels. A seed whose cap is reached goes no deeper: pages of deeper
+    levels come after it."""
+    ok = successful(archive).select("url", "html")
+    ok_urls = ok.select("url").distinct()
+    edges = link_edges(ok)
+    if same_domain_only:
+        edges = edges.where(same_netloc(F.col("src"), F.col("dst")))
+    edges = materialize(edges.join(ok_urls.withColumnRenamed("url", "dst"), "dst", "left_semi"), "edges")
+    frontier = materialize(seeds.select("seed", "url").distinct().join(ok_urls, "url", "left_semi").withColumn("depth", F.lit(0)), "level")
+    levels = [frontier]
     for d in range(1, max_depth + 1):
+        visited = reduce(lambda a, b: a.unionByName(b), levels)
+        if max_pages:
+            full = visited.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_pages)
+            frontier = frontier.join(full, "seed", "left_anti")
+        reached = frontier.join(edges, frontier.url == edges.src).select("seed", F.col("dst").alias("url")).distinct()
+        frontier = materialize(reached.join(visited.select("seed", "url"), ["seed", "url"], "left_anti").withColumn("depth", F.lit(d)), "level")
         if frontier.isEmpty():
             break
-        cand = (frontier.join(edges, frontier.url == edges.src)
-                .select("seed", "seed_host", F.col("dst").alias("url")).distinct())
-        if same_domain_only:
-            cand = cand.where(netloc(F.col("url")) == F.col("seed_host"))
-        new = (cand.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
-               .join(ok_urls, "url", "left_semi").withColumn("depth", F.lit(d)))
-        frontier = new.checkpoint()
-        visited = visited.unionByName(frontier).checkpoint()
-    out = visited.select("seed", "url", "depth")
+        levels.append(frontier)
+    out = reduce(lambda a, b: a.unionByName(b), levels).select("seed", "url", "depth")
     if max_pages:
         rk = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "url"))
         out = out.withColumn("_rk", rk).where(F.col("_rk") <= max_pages).drop("_rk")

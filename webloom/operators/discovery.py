@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.urls import link_ok, netloc, resolve_url, site_root
-from webloom.sources.sitemaps import robots_to_sitemaps, sitemap_urls
+from webloom.functions.text import match_count, query_words
+from webloom.functions.urls import link_ok, resolve_url, same_netloc, site_root
+from webloom.operators.fit import with_queries
+from webloom.session import materialize
+from webloom.sources.sitemaps import read_robots, sitemap_urls
 
 METHODS = ["sitemap", "robots", "links"]
 
@@ -23,25 +26,29 @@ def homepage_links(sites: DataFrame, docs: DataFrame) -> DataFrame:
                         lambda a: a["attrs"].getItem("href"))
     e = parsed.select("site", F.posexplode(hrefs).alias("o1", "href")).where(link_ok(F.col("href")))
     e = e.withColumn("url", resolve_url(F.col("site"), F.col("href")))
-    return e.where(netloc(F.col("url")) == netloc(F.col("site"))).select(
+    return e.where(same_netloc(F.col("url"), F.col("site"))).select(
         "site", F.lit(0).alias("o0"), "o1", F.lit(0).alias("o2"), "url")
 
 
 def union_methods(sites: DataFrame, docs: DataFrame, methods=None) -> DataFrame:
-    """Discovered URLs of the selected methods -> (site, method_rank, o0, o1, o2, url)."""
+    """Discovered URLs of the selected methods -> (site, method_rank, o0, o1, o2, url).
+
+    The sitemap and robots methods name their documents together: all named documents are read in one pass, each once
+    however many sites and methods name it."""
     methods = methods or METHODS
     root = site_root(F.col("site"))
-    parts = []
+    names, parts = [], []
     if "sitemap" in methods:
-        roots = sites.select(F.col("site").alias("key"), F.lit(0).alias("o0"),
-                             F.concat(root, F.lit("/sitemap.xml")).alias("url"))
-        parts.append(sitemap_urls(docs, roots).select(F.col("key").alias("site"), F.lit(0).alias("method_rank"),
-                                                      "o0", "o1", "o2", F.col("loc").alias("url")))
+        names.append(sites.select(F.struct("site", F.lit(0).alias("method_rank")).alias("key"), F.lit(0).alias("o0"),
+                                  F.concat(root, F.lit("/sitemap.xml")).alias("url")))
     if "robots" in methods:
-        robots = docs.join(sites.select(F.concat(root, F.lit("/robots.txt")).alias("url"), "site"), "url")
-        r = robots_to_sitemaps(robots.select("url", "content"), docs)
-        parts.append(r.join(robots.select(F.col("url").alias("key"), "site"), "key").select(
-            "site", F.lit(1).alias("method_rank"), "o0", "o1", "o2", F.col("loc").alias("url")))
+        robots = sites.select(F.concat(root, F.lit("/robots.txt")).alias("url"), "site")
+        lines = read_robots(docs.join(robots.select("url").distinct(), "url", "left_semi"))
+        names.append(lines.join(robots, lines.robots_url == robots.url).select(
+            F.struct("site", F.lit(1).alias("method_rank")).alias("key"), F.col("pos").alias("o0"), F.col("sitemap").alias("url")))
+    if names:
+        named = materialize(reduce(lambda a, b: a.unionByName(b), names), "sitemaps")
+        parts.append(sitemap_urls(docs, named).select("key.site", "key.method_rank", "o0", "o1", "o2", F.col("loc").alias("url")))
     if "links" in methods:
         parts.append(homepage_links(sites, docs).select("site", F.lit(2).alias("method_rank"), "o0", "o1", "o2", "url"))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -53,33 +60,40 @@ def distinct_first(urls: DataFrame) -> DataFrame:
     return urls.groupBy("site", "url").agg(first.alias("o")).select("site", "url", "o.*")
 
 
-def limit_urls(urls: DataFrame, n: int = 1000) -> DataFrame:
-    """First n per site in discovery order, with 1-based ``rank``."""
+def limit_urls(urls: DataFrame, n: int | None = None) -> DataFrame:
+    """First n per site in discovery order (None: all), with 1-based ``rank``."""
     w = Window.partitionBy("site").orderBy("method_rank", "o0", "o1", "o2", "url")
-    return urls.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    ranked = urls.withColumn("rank", F.row_number().over(w))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
-def discover(sites: DataFrame, docs: DataFrame, methods=None, max_urls: int = 1000) -> DataFrame:
-    """-> (site, rank, method, url)."""
+def discover(sites: DataFrame, docs: DataFrame, methods=None, max_urls: int | None = None) -> DataFrame:
+    """-> (site, rank, method, url); ``max_urls`` keeps the first URLs of each site (O4), default all."""
     names = F.element_at(F.array(*[F.lit(m) for m in METHODS]), F.col("method_rank") + 1)
     out = limit_urls(distinct_first(union_methods(sites, docs, methods)), max_urls)
     return out.select("site", "rank", names.alias("method"), "url")
 
 
-def url_relevance(url, query: str) -> Column:
+def relevance(url: Column, query: Column) -> Column:
     """+10 when the whole lower-cased query is in the lower-cased URL, +1 per query word in it."""
-    u = F.lower(F.col(url) if isinstance(url, str) else url)
-    q = query.lower()
-    words = sorted(set(q.split()))
-    score = F.when(F.instr(u, q) > 0, 10).otherwise(0)
-    for w in words:
-        score = score + F.when(F.instr(u, w) > 0, 1).otherwise(0)
-    return score
-
-
-def search_within_site(sites: DataFrame, docs: DataFrame, query: str, n: int = 20) -> DataFrame:
-    """C4: discover (500 per site), score, keep score > 0, stable sort by score desc, top n (O3)."""
-    found = discover(sites, docs, max_urls=500).withColumn("relevance_score", url_relevance("url", query))
+    u, q = F.lower(url), F.lower(query)
+    return F.when(F.instr(u, q) > 0, 10).otherwise(0) + match_count(query_words(query), u)
+
+
+def url_relevance(url, query: str) -> Column:
+    """F9 for one literal query."""
+    return relevance(F.col(url) if isinstance(url, str) else url, F.lit(query))
+
+
+def score_urls(urls: DataFrame, queries: DataFrame, url: str = "url") -> DataFrame:
+    """Every URL with every query of the table ``queries(query)`` that it is relevant to, and its score."""
+    scored = with_queries(urls, queries).withColumn("relevance_score", relevance(F.col(url), F.col("query")))
+    return scored.where(F.col("relevance_score") > 0)
+
+
+def search_within_site(sites: DataFrame, docs: DataFrame, query: str, n: int = 20, max_urls: int | None = None) -> DataFrame:
+    """C4: discover, score, keep score > 0, stable sort by score desc, top n (O3)."""
+    found = discover(sites, docs, max_urls=max_urls).withColumn("relevance_score", url_relevance("url", query))
     w = Window.partitionBy("site").orderBy(F.desc("relevance_score"), "rank")
     return (found.where(F.col("relevance_score") > 0).withColumn("pos", F.row_number().over(w))
             .where(F.col("pos") <= n).select("site", "pos", "url", "relevance_score"))

@@ -69,6 +69,8 @@ class _Builder(HTMLParser):
             i = src.find("\n", i + 1)
         self.root = Elem("[document]", {}, 0)
         self.stack = [self.root]
+        self.preserving = 0   # open pre/textarea elements
+        self.open_tags = {}   # open elements by tag: an end tag without one is ignored at once
         self.pending = []
 
     def _pos(self) -> int:
@@ -80,7 +82,7 @@ class _Builder(HTMLParser):
             return
         data = "".join(self.pending)
         self.pending = []
-        if data.translate(_ASCII_SPACES) == "" and not any(e.tag in PRESERVE_WS for e in self.stack):
+        if data.translate(_ASCII_SPACES) == "" and not self.preserving:
             data = "\n" if "\n" in data else " "
         cur = self.stack[-1]
         cur.children.append(_text(data, cur.tag not in NON_TEXT_CONTAINERS))
@@ -100,13 +102,15 @@ class _Builder(HTMLParser):
         e = self._open(tag, attrs)
         if tag not in VOID_TAGS:
             self.stack.append(e)
+            self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+            self.preserving += tag in PRESERVE_WS
 
     def handle_startendtag(self, tag, attrs):
         self._open(tag, attrs)
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag in VOID_TAGS:
+        if tag in VOID_TAGS or not self.open_tags.get(tag):
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
@@ -116,6 +120,9 @@ class _Builder(HTMLParser):
                 for e in self.stack[i + 1:]:
                     e.s1 = start
                 self.stack[i].s1 = end
+                for e in self.stack[i:]:
+                    self.open_tags[e.tag] -= 1
+                    self.preserving -= e.tag in PRESERVE_WS
                 del self.stack[i:]
                 return
 
@@ -161,7 +168,6 @@ def flatten(root: Elem) -> _PageNodes:
     """Pre-order numbering of the element tree (iterative: unclosed tags nest arbitrarily deep)."""
     out = _PageNodes()
     texts, tpar = out.texts, out.text_parent
-    ids = {}
 
     def visit_children(elem, my_id, depth):
         prev_sib = None
@@ -203,7 +209,6 @@ def flatten(root: Elem) -> _PageNodes:
             continue
         ch, nid, depth = nxt
         stack.append((nid, visit_children(ch, nid, depth)))
-    del ids
     return out
 
 
@@ -230,18 +235,21 @@ _ARROW_NODE = pa.struct([
     ("t0", _I32), ("t1", _I32), ("s0", _I32), ("s1", _I32)])
 
 
-def _dom_arrays(htmls):
-    """Parse a batch of pages into the four Arrow columns."""
+def _dom_arrays(htmls, bases, markdown=None):
+    """Parse a batch of pages into the four Arrow columns, and their Markdown if asked for."""
     cols = {k: [] for k in _PageNodes.__slots__}
     page_off, text_off, attr_off = [0], [0], [0]
-    errors = []
-    for h in htmls:
-        err = None
+    errors, mds = [], []
+    for h, base_url in zip(htmls, bases):
+        err, md = None, ""
         try:
-            p = flatten(build_tree(h or ""))
+            tree = build_tree(h or "")
+            p = flatten(tree)
+            md = markdown(tree, base_url) if markdown else ""
         except Exception as e:  # a broken page yields an empty DOM and an error, never a failed job
             p, err = _PageNodes(), f"{type(e).__name__}: {e}"
         errors.append(err)
+        mds.append(md)
         n = len(p.tag)
         base = len(cols["tag"])
         for f in ("parent", "prev", "next", "idx", "last", "depth", "tag", "t0", "t1", "s0", "s1"):
@@ -269,33 +277,32 @@ def _dom_arrays(htmls):
     t_off = pa.array(text_off, _I32)
     texts = pa.ListArray.from_arrays(t_off, pa.array(cols["texts"], pa.string()))
     tpar = pa.ListArray.from_arrays(t_off, pa.array(cols["text_parent"], _I32))
-    return texts, tpar, nodes, pa.array(errors, pa.string())
+    return texts, tpar, nodes, pa.array(errors, pa.string()), pa.array(mds, pa.string())
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Give the parse at least one task per core.  A page archive at scale already arrives in many
-    splits (then this is a no-op); a small or single-row-group input would otherwise parse in one task."""
-    par = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < par:
-        return pages.repartition(par)
-    return pages
+def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = False, partitions: int | None = None,
+                markdown=None) -> DataFrame:
+    """Append ``texts, text_parent, nodes, parse_error`` to every page row (one Arrow pass; no job is started here,
+    and a stream can be parsed).
 
-
-def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = False) -> DataFrame:
-    """Append ``texts, text_parent, nodes, parse_error`` to every page row (one Arrow pass).
-
-    Filter and project *before* calling this: the Python stage is an optimizer barrier."""
+    Filter and project *before* calling this: the Python stage is an optimizer barrier. ``partitions`` deals the pages
+    out anew first, for an input of fewer splits than cores (``spark.sql.files.maxPartitionBytes`` makes more splits
+    without a shuffle). ``markdown`` (html, base url, tree -> text) adds a ``markdown`` column from the same parse;
+    the base is the ``url`` column, if there is one."""
     from webloom.session import ship_package
     ship_package(pages.sparkSession)
-    pages = spread(pages)
+    if partitions:
+        pages = pages.repartition(partitions)
     keep = [f for f in pages.schema.fields if keep_html or f.name != html_col]
-    out_schema = T.StructType(keep + DOM_FIELDS)
+    out_schema = T.StructType(keep + DOM_FIELDS + ([T.StructField("markdown", T.StringType())] if markdown else []))
     keep_names = [f.name for f in keep]
 
     def run(batches):
         for b in batches:
-            texts, tpar, nodes, errs = _dom_arrays(b.column(html_col).to_pylist())
-            arrays = [b.column(n) for n in keep_names] + [texts, tpar, nodes, errs]
-            yield pa.RecordBatch.from_arrays(arrays, names=keep_names + [f.name for f in DOM_FIELDS])
+            htmls = b.column(html_col).to_pylist()
+            bases = b.column("url").to_pylist() if "url" in b.schema.names else [None] * len(htmls)
+            texts, tpar, nodes, errs, mds = _dom_arrays(htmls, bases, markdown)
+            arrays = [b.column(n) for n in keep_names] + [texts, tpar, nodes, errs] + ([mds] if markdown else [])
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema])
 
     return pages.mapInArrow(run, out_schema)

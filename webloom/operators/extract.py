@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from webloom.functions.common import let
 from webloom.functions.text import parse_number, py_strip
 from webloom.functions.urls import is_external, link_ok, netloc, resolve_url
+from webloom.operators.dom import NODE_TYPE
 from webloom.operators.select import compile_css, compile_xpath
 
 
@@ -257,7 +258,7 @@ def table_struct(t: Column) -> Column:
     def head(h):
         thead, first_row = h["thead"], h["first_row"]
         return F.when(thead.isNotNull(), F.filter(descendants(thead), tag_is("th"))) \
-            .when(first_row.isNotNull(), _cells(first_row)).otherwise(F.array().cast(F.ArrayType(NODE_T)))
+            .when(first_row.isNotNull(), _cells(first_row)).otherwise(F.array().cast(T.ArrayType(NODE_TYPE)))
 
     head_cells = let(F.struct(find_in(t, tag_is("thead")).alias("thead"), find_in(t, tag_is("tr")).alias("first_row")), head)
     headers = F.transform(head_cells, lambda c: text_of(c))
@@ -268,9 +269,6 @@ def table_struct(t: Column) -> Column:
     return F.struct(t["id"].alias("node_id"), headers.alias("headers"), rows.alias("rows"))
 
 
-NODE_T = None  # filled lazily below (avoids importing dom at module import for type only)
-
-
 def extract_tables(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(keys, table_idx, node_id, headers ARRAY<STRING>, rows ARRAY<ARRAY<STRING>>).
 
@@ -396,11 +394,3 @@ def page_metadata(parsed: DataFrame, nulls: bool = False, keep: list[str] | None
         *keep, F.coalesce(title, e).alias("title"), F.coalesce(desc, e).alias("description"),
         _keywords().alias("keywords"), F.coalesce(author, e).alias("author"),
         _prefixed_map("property", "og:").alias("og"), _prefixed_map("name", "twitter:").alias("twitter"))
-
-
-def _node_type():
-    from webloom.operators.dom import NODE_TYPE
-    return NODE_TYPE
-
-
-NODE_T = _node_type()

@@ -1,19 +1,13 @@
-"""Fetch-log measures: request rates (W2, W3), failure runs with cooldown (W4), latest fresh
-status (W5), and per-host state folds (T5 circuit state, T6 recommended delay) as batch jobs.
+"""Fetch-log measures: request rates (W2, W3), failure runs with cooldown (W4), latest fresh status.
 
-A fetch log is ``(host, url, ts TIMESTAMP, status_code, ok)``.  Windows are native.  The folds are
-sequential by nature: rows are hash-partitioned by key, sorted by time inside each partition and
-folded by one streaming pass over Arrow batches (state for one key at a time, memory bounded even
-for a key with a third of all rows)."""
+A fetch log is ``(host, url, ts TIMESTAMP, status_code, ...)``. All measures are native. A key that holds a third of
+all rows is split by time: rates look back one window length, so rows are dealt by (key, window-long bucket) with a
+copy in the next bucket; running numbers of W4 are counted inside time buckets and carried over by bucket totals."""
 
 from __future__ import annotations
 
-from typing import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _us(ts) -> Column:
@@ -21,146 +15,85 @@ def _us(ts) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def request_rate(log: DataFrame, key: str = "host", ts: str = "ts", seconds: int = 60) -> DataFrame:
+def request_rate(log: DataFrame, key: str = "host", ts: str = "ts", seconds: int = 60, name: str = "requests_in_window") -> DataFrame:
     """Requests in the trailing window (strictly newer than ts - seconds) per key."""
-    w = Window.partitionBy(key).orderBy(_us(ts)).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return log.withColumn("requests_in_window", F.count(F.lit(1)).over(w))
+    size = seconds * 1_000_000
+    bucket = F.floor(_us(ts) / size).cast("long")
+    placed = log.withColumn("_at", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")),
+                                                     F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))))
+    w = Window.partitionBy(key, "_at.b").orderBy(_us(ts)).rangeBetween(-size + 1, 0)
+    return placed.withColumn(name, F.count(F.lit(1)).over(w)).where("_at.own").drop("_at")
 
 
 def burst_exceeded(log: DataFrame, key: str = "host", ts: str = "ts", burst_size: int = 1, seconds: int = 1) -> DataFrame:
     """Count inside the burst window >= burst size."""
-    w = Window.partitionBy(key).orderBy(_us(ts)).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return log.withColumn("burst_count", F.count(F.lit(1)).over(w)) \
-        .withColumn("burst_exceeded", F.col("burst_count") >= burst_size)
+    return request_rate(log, key, ts, seconds, "burst_count").withColumn("burst_exceeded", F.col("burst_count") >= burst_size)
 
 
 def latest_fresh(df: DataFrame, key: str, ts: str, now, max_age_s: int = 300) -> DataFrame:
-    """Latest row per key (``max_by``, a partial aggregate) and whether it is at most
-    ``max_age_s`` old at ``now``."""
+    """Latest row per key (``max_by``, a partial aggregate; at equal times the largest row) and whether it is at
+    most ``max_age_s`` old at ``now``."""
     cols = [c for c in df.columns if c != key]
-    latest = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_l")).select(key, "_l.*")
+    row = F.struct(*cols)
+    latest = df.groupBy(key).agg(F.max_by(row, F.struct(ts, row)).alias("_l")).select(key, "_l.*")
     now_c = F.lit(now).cast("timestamp") if not isinstance(now, Column) else now
     return latest.withColumn("fresh", (F.unix_micros(now_c) - _us(ts)) <= max_age_s * 1_000_000)
 
 
-# ----------------------------------------------------------------------------- sorted folds
-
-def sorted_fold(log: DataFrame, key: str, order: list[str], step: Callable, init: Callable,
-                out_fields: list[T.StructField], keep: list[str]) -> DataFrame:
-    """Fold ``step(state, row) -> (state, outputs)`` over each key's rows in ``order``.
-
-    Distribution is ``repartition(key)`` + ``sortWithinPartitions(key, *order)`` (one shuffle, a
-    spilling sort); the Python pass streams the sorted batches and keeps only the current key's state."""
-    from webloom.session import ship_package
-    ship_package(log.sparkSession)
-    schema = T.StructType([log.schema[c] for c in keep] + out_fields)
-    names = [f.name for f in out_fields]
-
-    def run(batches):
-        cur_key, state = object(), None
-        for pdf in batches:
-            outs = {n: [] for n in names}
-            for row in pdf.itertuples(index=False):
-                r = row._asdict()
-                k = r[key]
-                if k != cur_key:
-                    cur_key, state = k, init()
-                state, o = step(state, r)
-                for n in names:
-                    outs[n].append(o[n])
-            res = pdf[keep].copy()
-            for n in names:
-                res[n] = outs[n]
-            yield res
-
-    return (log.repartition(key).sortWithinPartitions(key, *order)
-            .mapInPandas(run, schema))
-
-
-def _ts_seconds(v) -> float:
-    return pd.Timestamp(v).value / 1e9
-
-
-def circuit_state(log: DataFrame, key: str = "host", ts: str = "ts", ok: str = "ok", threshold: int = 5,
-                  recovery_s: float = 30.0, half_open: int = 3) -> DataFrame:
-    """T5: per host: the state each request sees (CLOSED / OPEN / HALF_OPEN) and the state after it."""
-
-    def init():
-        return {"state": "CLOSED", "failures": 0, "last_fail": None, "half": 0}
-
-    def step(s, r):
-        t = _ts_seconds(r[ts])
-        if s["state"] == "OPEN" and s["last_fail"] is not None and t - s["last_fail"] > recovery_s:
-            s["state"], s["half"] = "HALF_OPEN", 0
-        seen = s["state"]
-        if r[ok]:
-            if s["state"] == "HALF_OPEN":
-                s["half"] += 1
-                if s["half"] >= half_open:
-                    s["state"], s["failures"] = "CLOSED", 0
-            elif s["state"] == "CLOSED":
-                s["failures"] = max(0, s["failures"] - 1)
-        else:
-            s["failures"] += 1
-            s["last_fail"] = t
-            if s["state"] == "HALF_OPEN" or (s["state"] == "CLOSED" and s["failures"] >= threshold):
-                s["state"] = "OPEN"
-        return s, {"state_seen": seen, "state_after": s["state"], "failures": s["failures"]}
-
-    keep = [c for c in log.columns]
-    return sorted_fold(log, key, [ts], step, init, [
-        T.StructField("state_seen", T.StringType()), T.StructField("state_after", T.StringType()),
-        T.StructField("failures", T.IntegerType())], keep)
-
-
-def host_delay(log: DataFrame, key: str = "host", ts: str = "ts", status: str = "status_code", min_s: float = 1.0,
-               max_s: float = 3.0, backoff: float = 1.5, recovery: float = 0.95, streak: int = 5) -> DataFrame:
-    """Recommended per-host delay after each response: 429 -> min(2*max, d*backoff);
-    every ``streak`` consecutive successes -> max(min, d*recovery)."""
-
-    def init():
-        return {"delay": min_s, "ok_run": 0}
-
-    def step(s, r):
-        code = r[status]
-        if code == 429:
-            s["delay"] = min(max_s * 2, s["delay"] * backoff)
-            s["ok_run"] = 0
-        else:
-            s["ok_run"] += 1
-            if s["ok_run"] >= streak:
-                s["delay"] = max(min_s, s["delay"] * recovery)
-                s["ok_run"] = 0
-        return s, {"delay": float(s["delay"])}
-
-    return sorted_fold(log, key, [ts], step, init, [T.StructField("delay", T.DoubleType())], list(log.columns))
+# ----------------------------------------------------------------------------- failure runs
+
+def _carried(df: DataFrame, key: str, order: list[str], bucket: str, sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
+    """Running sums up to each row (itself included) and values of the row before, over (key, order): inside a time
+    bucket by a window, across buckets by totals, of which there is one row a key and bucket."""
+    inside = Window.partitionBy(key, bucket).orderBy(*order)
+    until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()], *[v.alias(f"_l_{n}") for n, v in lasts.items()])
+    totals = df.groupBy(key, bucket).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+                                         *[F.max_by(F.struct(f"_l_{n}"), F.struct(*order)).alias(f"_e_{n}") for n in lasts])
+    over = Window.partitionBy(key).orderBy(bucket)
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(key, bucket, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
+                          *[F.lag(f"_e_{n}").over(over)[f"_l_{n}"].alias(f"_p_{n}") for n in lasts])
+    first = F.row_number().over(inside) == 1
+    joined = df.withColumn("_first", first)
+    for n in sums:
+        joined = joined.withColumn(f"_v_{n}", F.sum(f"_v_{n}").over(until))
+    for n in lasts:
+        joined = joined.withColumn(f"_l_{n}", F.lag(f"_l_{n}").over(inside))
+    joined = joined.join(carry, [key, bucket])
+    keep = [c for c in df.columns if not c.startswith(("_v_", "_l_"))]
+    return joined.select(*keep, *[(F.col(f"_v_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums],
+                         *[F.when(F.col("_first"), F.col(f"_p_{n}")).otherwise(F.col(f"_l_{n}")).alias(n) for n in lasts])
 
 
 def cooling_down(log: DataFrame, key: str = "url", ts: str = "ts", failed: str = "failed", threshold: int = 3,
-                 cooldown_s: float = 300.0) -> DataFrame:
-    """Per md5(url): whether the direct path would be skipped when this row's request arrives
-    (failures since the last success >= threshold and the last failure newer than the cooldown;
-    past the cooldown the count restarts), then the row's outcome updates the count."""
+                 cooldown_s: float = 300.0, tie: str | None = None, bucket_s: int = 86_400) -> DataFrame:
+    """Per md5(url): whether the direct path would be skipped when a row's request arrives (failures since the last
+    success >= threshold and the last failure newer than the cooldown; past the cooldown a count that has reached the
+    threshold begins anew), then the count after the row's own outcome.
+
+    Gaps and islands: a run is the rows after a success up to the next one, a segment of it is parted from the one
+    before by a pause of at least the cooldown. Only a pause can end a count, so each run folds its segments' sizes;
+    there are no more of them than cooldowns in the run's time. ``tie`` orders rows of equal time."""
     from webloom.functions.text import url_key
-    keyed = log.withColumn("url_key", url_key(F.col(key)))
-
-    def init():
-        return {"count": 0, "last": None}
-
-    def step(s, r):
-        t = _ts_seconds(r[ts])
-        skip = False
-        if s["count"] >= threshold:
-            if s["last"] is not None and t - s["last"] < cooldown_s:
-                skip = True
-            else:
-                s["count"] = 0
-        if r[failed]:
-            s["count"] += 1
-            s["last"] = t
-        else:
-            s["count"], s["last"] = 0, None
-        return s, {"skip_direct": skip, "failures": s["count"]}
-
-    return sorted_fold(keyed, "url_key", [ts], step, init, [
-        T.StructField("skip_direct", T.BooleanType()), T.StructField("failures", T.IntegerType())], list(keyed.columns))
+    order = ["_us", *([tie] if tie else [])]
+    base = (log.withColumn("url_key", url_key(F.col(key))).withColumn("_us", _us(ts))
+            .withColumn("_b", F.floor(F.col("_us") / (bucket_s * 1_000_000)).cast("long")).withColumn("_f", F.coalesce(F.col(failed), F.lit(False))))
+    one = _carried(base, "url_key", order, "_b", {"_n": F.lit(1), "_ok": (~F.col("_f")).cast("long")}, {"_before": F.struct("_us", "_f")})
+    pause = F.col("_before").isNotNull() & F.col("_before._f") & (F.col("_us") - F.col("_before._us") >= int(cooldown_s * 1_000_000))
+    two = one.withColumn("_run", F.col("_ok") - (~F.col("_f")).cast("long")).withColumn("_pause", pause.cast("long"))
+    rows = _carried(two, "url_key", order, "_b", {"_seg": F.col("_pause")}, {})
+    sizes = rows.groupBy("url_key", "_run", "_seg").agg(F.count_if("_f").alias("_size"), F.min("_n").alias("_from"))
+    segs = sizes.groupBy("url_key", "_run").agg(F.array_sort(F.collect_list(F.struct("_seg", "_size", "_from"))).alias("_segs"))
+
+    def step(acc, seg):
+        begun = F.when(acc["c"] >= threshold, F.lit(0).cast("long")).otherwise(acc["c"])
+        return F.struct((begun + seg["_size"]).alias("c"),
+                        F.concat(acc["out"], F.array(F.struct(seg["_seg"].alias("_seg"), seg["_from"].alias("_from"), begun.alias("_begun")))).alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<_seg:bigint,_from:bigint,_begun:bigint>>").alias("out"))
+    begun = segs.select("url_key", "_run", F.explode(F.aggregate("_segs", start, step, lambda acc: acc["out"])).alias("s")).select(
+        "url_key", "_run", "s.*")
+    count = F.col("_begun") + F.col("_n") - F.col("_from")  # failures before this row; all earlier rows of a run have failed
+    out = rows.join(begun, ["url_key", "_run", "_seg"])
+    return out.select(*log.columns, "url_key", ((count >= threshold) & (F.col("_n") > F.col("_from"))).alias("skip_direct"),
+                      F.when(F.col("_f"), count + 1).otherwise(0).cast("int").alias("failures"))

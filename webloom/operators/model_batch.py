@@ -32,7 +32,10 @@ def schema_json(schema: T.StructType, title: str = "Item") -> str:
 
 def llm_requests(docs: DataFrame, key: str, text: str, schema: T.StructType, instruction: str | None = None,
                  fmt: str = "markdown", chunk_threshold: int = 4000, overlap: int = 200, max_tokens: int = 4000) -> DataFrame:
-    """L1: one request per (doc, chunk): content chunked (F14), truncated (F13), prompts (F16)."""
+    """L1: one request per (doc, chunk): content chunked (F14), truncated (F13), prompts (F16). Chunks must fit in
+    ``max_tokens``: text that one request cut would be in no other."""
+    if max_tokens < chunk_threshold:
+        raise ValueError("max_tokens must be at least chunk_threshold")
     size = chunk_threshold * 4
     ch = docs.select(key, text, F.posexplode(chunk_starts(text, chunk_threshold, overlap)).alias("chunk_idx", "start"))
     content = truncate_tokens(F.substring(text, F.col("start") + 1, size), max_tokens)

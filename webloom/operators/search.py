@@ -22,9 +22,8 @@ def union_feeds(*hits: DataFrame) -> DataFrame:
 
 
 def with_fallback(hits: DataFrame, fallback_engine: str = "wikipedia") -> DataFrame:
-    """Use the fallback engine's hits only for queries without any hit from the others.
-
-    The query set of the others is map-side distinct (small per key), so a hot query stays cheap."""
+    """Use the fallback engine's hits only for queries without any hit from the others. ``hits`` is read twice:
+    give a table, not a parse. The queries that others answer come from a partial aggregate, one row a query and task."""
     fb = F.col("engine") == fallback_engine
     answered = hits.where(~fb).select("query").distinct()
     return hits.where(~fb).unionByName(hits.where(fb).join(answered, "query", "left_anti"))
@@ -69,7 +68,8 @@ def top_hits(ranked: DataFrame, n: int = 10, by: str = "query") -> DataFrame:
 
 def assemble_answers(top: DataFrame, hits: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """A3: per query: results (ordered array), total_results, engines_used (engines with >= 1 hit,
-    in engine order), errors or NULL."""
+    in engine order), errors or NULL (each different message of an engine once, so their number is bounded by the
+    engines and messages, not by the documents that failed)."""
     engines = (hits.groupBy("query").agg(F.array_sort(F.collect_set(F.struct("engine_rank", "engine"))).alias("e"))
                .select("query", F.transform("e", lambda x: x["engine"]).alias("engines_used")))
     res = (top.groupBy("query").agg(
@@ -79,7 +79,7 @@ def assemble_answers(top: DataFrame, hits: DataFrame, errors: DataFrame | None =
         "query", F.coalesce("results", F.array().cast(res.schema["results"].dataType)).alias("results"),
         F.coalesce("total_results", F.lit(0)).alias("total_results"), "engines_used")
     if errors is not None:
-        errs = errors.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(
+        errs = errors.select("query", "engine", "error").distinct().groupBy("query").agg(F.array_sort(F.collect_list(F.struct(
             F.element_at(F.create_map(*[F.lit(x) for kv in ENGINE_RANK.items() for x in kv]), F.col("engine")).alias("r"),
             "error"))).alias("errs"))
         out = out.join(errs, "query", "full").select(

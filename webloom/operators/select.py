@@ -9,7 +9,8 @@ Unsupported syntax raises ``ValueError`` here, at plan time, never inside a task
 CSS: type, ``*``, ``.c``, ``#i``, ``[a]``, ``[a=v]``, ``~= ^= $= *= |=``, descendant, ``>``, ``+``, ``~``,
 comma lists, ``:first-child :last-child :only-child :nth-child(an+b|odd|even) :nth-of-type(k) :not(...)``.
 XPath: absolute/relative location paths with ``/`` and ``//`` steps, ``*``, name tests, predicates
-``[k]``, ``[@a]``, ``[@a='v']``, ``[contains(@a,'v')]``, ``[starts-with(@a,'v')]``, ``[text()='v']``, ``and``;
+``[k]``, ``[@a]``, ``[@a='v']``, ``[contains(@a,'v')]``, ``[starts-with(@a,'v')]``, ``and``;
+several in a row, each position among the siblings that pass what stands before it;
 terminal ``/@a`` and ``/text()``.
 """
 
@@ -199,7 +200,6 @@ def _parse_css(sel: str):
             comp.tests.append(_attr_test(m.group("aname"), m.group("aop"), m.group("aval")))
         elif m.group("pseudo"):
             comp.tests.append(_pseudo_test(m.group("pseudo"), m.group("parg")))
-        del g
     if comp is not None:
         cur.append((comb, comp))
     elif comb not in (None, " "):
@@ -245,7 +245,7 @@ def compile_css(selector: str):
 @dataclass
 class XPath:
     absolute: bool                 # starts at the document, else at the context node
-    steps: list                    # [(axis, Compound, position or None)], axis in {"child", "desc"}
+    steps: list                    # [(axis, [Compound or position, ...])], axis in {"child", "desc"}
     terminal: tuple | None = None  # ("attr", name) | ("text",) | None for elements
 
 
@@ -315,21 +315,34 @@ def parse_xpath(path: str) -> XPath:
         m = _STEP.match(tok)
         if not m:
             raise ValueError(f"unsupported XPath step {tok!r} in {path!r}")
-        comp = Compound(tag=m.group("name").lower())
-        pos = None
+        tests = [Compound(tag=m.group("name").lower())]
         for pe in _PRED.findall(m.group("preds")):
-            r = _xpred(pe, comp)
-            if r is not None:
-                pos = r
-        steps.append((axis, comp, pos))
+            comp = tests[-1] if isinstance(tests[-1], Compound) else Compound(tag="*")
+            pos = _xpred(pe, comp)
+            if pos is not None:
+                tests.append(pos)
+            elif comp is not tests[-1]:
+                tests.append(comp)
+        steps.append((axis, tests))
     return XPath(absolute, steps, terminal)
 
 
+def _passes(tests: list, node, nodes):
+    """All of a step's tests; a number is the position among the siblings that pass the tests before it."""
+    *before, last = tests
+    if isinstance(last, Compound):
+        return last.pred(node, nodes) & _passes(before, node, nodes) if before else last.pred(node, nodes)
+    if len(before) == 1 and not before[0].tests:
+        place = node["idx"] if before[0].tag == "*" else same_tag_position(node, nodes)
+    else:
+        place = F.size(F.filter(nodes, lambda s: s["parent"].eqNullSafe(node["parent"]) & (s["id"] <= node["id"])
+                                & F.coalesce(_passes(before, s, nodes), F.lit(False))))
+    return _passes(before, node, nodes) & (place == last)
+
+
 def _xstep_pred(xp: XPath, k: int, node, nodes, ctx):
-    axis, comp, pos = xp.steps[k]
-    c = comp.pred(node, nodes)
-    if pos is not None:
-        c = c & ((node["idx"] if comp.tag == "*" else same_tag_position(node, nodes)) == pos)
+    axis, tests = xp.steps[k]
+    c = _passes(tests, node, nodes)
     if k == 0:
         if xp.absolute or ctx is None:
             return c & node["parent"].isNull() if axis == "child" else c

@@ -7,9 +7,12 @@ is rendered from the relational tables with Spark SQL first and the oracle reads
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.session import materialize
+from webloom.sources.feeds import USUAL_LIMITS
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -57,7 +60,13 @@ _LINKS_SQL = f"""
 
 def _parsed(spark, sf_dir):
     from webloom.operators.dom import parse_pages
-    return parse_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return parse_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), partitions=_parse_partitions(spark))
+
+
+def _parse_partitions(spark) -> int | None:
+    """``webloom.parse.partitions`` of the session: set by who reads one unsplittable file, else no shuffle."""
+    n = spark.conf.get("webloom.parse.partitions", None)
+    return int(n) if n else None
 
 
 @query("page_links", f"""
@@ -326,8 +335,7 @@ def feed_table(spark, sf_dir) -> DataFrame:
                 F.struct("title", F.concat(F.lit('<span class="searchmatch">'), F.col("q2"), F.lit("</span> "),
                                            F.repeat("snippet", 4)).alias("snippet")),
                 lambda items: F.to_json(F.struct(F.struct(items.alias("search")).alias("query"))))
-    # Materialized once (reliable checkpoint): every engine reader and the error check scan it.
-    return whoogle.unionByName(ddg).unionByName(bing).unionByName(wiki).checkpoint()
+    return whoogle.unionByName(ddg).unionByName(bing).unionByName(wiki)
 
 
 _UNESC_T = _unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")
@@ -365,12 +373,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 """
 
 
+def _hits(spark, sf_dir):
+    from webloom.sources.feeds import read_feed
+    return materialize(read_feed(feed_table(spark, sf_dir), limits=USUAL_LIMITS), "hits")
+
+
 @query("search_ranked", _HITS_SQL + """
 SELECT query, rank, url, title, engine, score FROM ranked WHERE rank <= 10
 """)
 def q_search_ranked(spark, sf_dir):
     from webloom.plans.jobs import search
-    top, _ = search(feed_table(spark, sf_dir), 10)
+    top, _ = search(feed_table(spark, sf_dir), 10, USUAL_LIMITS)
     return top.select("query", F.col("rank"), "url", "title", "engine", "score")
 
 
@@ -382,7 +395,7 @@ GROUP BY r.query, e.engines_used
 """)
 def q_search_answer(spark, sf_dir):
     from webloom.plans.jobs import search
-    _, ans = search(feed_table(spark, sf_dir), 10)
+    _, ans = search(feed_table(spark, sf_dir), 10, USUAL_LIMITS)
     return ans.select("query", "total_results", F.array_join("engines_used", ",").alias("engines_used"),
                       F.array_join("errors", ";").alias("errors"))
 
@@ -392,8 +405,7 @@ SELECT query, url FROM hits WHERE engine = 'wikipedia'
 """)
 def q_search_fallback(spark, sf_dir):
     from webloom.operators.search import with_fallback
-    from webloom.sources.feeds import read_feed
-    hits = with_fallback(read_feed(feed_table(spark, sf_dir)))
+    hits = with_fallback(_hits(spark, sf_dir))
     return hits.where(F.col("engine") == "wikipedia").select("query", "url")
 
 
@@ -402,8 +414,7 @@ SELECT query, key, url, engine FROM dedup
 """)
 def q_dedupe_urls(spark, sf_dir):
     from webloom.operators.search import dedupe_hits, with_fallback
-    from webloom.sources.feeds import read_feed
-    return dedupe_hits(with_fallback(read_feed(feed_table(spark, sf_dir)))).select("query", "key", "url", "engine")
+    return dedupe_hits(with_fallback(_hits(spark, sf_dir))).select("query", "key", "url", "engine")
 
 
 # ----------------------------------------------------------------------------- change detection
@@ -425,8 +436,8 @@ def _captures(spark, sf_dir):
 _CHANGES_SQL = """
 WITH cur AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN replace(html, '</p>', '</p>' || chr(10)) ELSE html END AS html
              FROM pages),
-snap AS (SELECT url, sha256(html) AS hash, substr(html, 1, 1000) AS preview FROM pages WHERE page_id % 5 <> 0),
-j AS (SELECT c.url, sha256(c.html) AS current_hash, substr(c.html, 1, 1000) AS cpre, s.hash AS ph, s.preview AS ppre
+snap AS (SELECT url, sha256(html) AS hash, html FROM pages WHERE page_id % 5 <> 0),
+j AS (SELECT c.url, sha256(c.html) AS current_hash, c.html AS cpre, s.hash AS ph, s.html AS ppre
       FROM cur c LEFT JOIN snap s ON c.url = s.url)
 """
 
@@ -450,7 +461,7 @@ def q_changes(spark, sf_dir):
 
 
 @query("monitor_stats", _CHANGES_SQL + """
-SELECT url, '2024-02-01 00:00:00' AS last_check, substr(current_hash, 1, 16) || '...' AS hash
+SELECT url, '2024-02-01 00:00:00' AS last_check, substr(current_hash, 1, 16) || '...' AS hash, count(*) OVER () AS total_urls
 FROM j
 """)
 def q_monitor_stats(spark, sf_dir):
@@ -459,7 +470,7 @@ def q_monitor_stats(spark, sf_dir):
     current, stored = _captures(spark, sf_dir)
     _, snaps = check_for_changes(current, stored)
     return monitoring_stats(snaps).select(
-        "url", F.date_format("last_check", "yyyy-MM-dd HH:mm:ss").alias("last_check"), "hash")
+        "url", F.date_format("last_check", "yyyy-MM-dd HH:mm:ss").alias("last_check"), "hash", "total_urls")
 
 
 _REV_SQL = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 0 THEN x || ' (rev)' ELSE x END), chr(10))"
@@ -474,9 +485,9 @@ def _revised(docs):
 SELECT doc_id,
        len(list_filter(string_split(new, chr(10)), lambda x: NOT list_contains(string_split(text, chr(10)), x))) AS added,
        len(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(string_split(new, chr(10)), x))) AS removed,
-       '+' || len(list_filter(string_split(substr(new, 1, 1000), chr(10)), lambda x: NOT list_contains(string_split(text, chr(10)), x)))
+       '+' || len(list_filter(string_split(new, chr(10)), lambda x: NOT list_contains(string_split(text, chr(10)), x)))
        || ' lines added, -' ||
-       len(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(string_split(substr(new, 1, 1000), chr(10)), x)))
+       len(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(string_split(new, chr(10)), x)))
        || ' lines removed' AS summary
 FROM (SELECT doc_id, text, {_REV_SQL} AS new FROM documents)
 """)
@@ -601,7 +612,7 @@ def fetch_log(spark, sf_dir) -> DataFrame:
              .when((F.col("event_type") == "signup") & (F.col("value") < 1), "ConnectionError"))
     return ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"), host.alias("host"),
                      F.concat(F.lit("https://"), host, F.lit("/")).alias("url"), status.cast("int").alias("status_code"),
-                     etype.alias("error_type"), (~err).alias("ok"))
+                     etype.alias("error_type"), F.coalesce(status == 200, F.lit(False)).alias("ok"))
 
 
 _LOG_SQL = """
@@ -655,7 +666,7 @@ def q_burst_flag(spark, sf_dir):
 @query("latest_status", _LOG_SQL + """
 SELECT host, event_id, status_code,
        (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) <= 172800000000 AS fresh
-FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts DESC) AS rn FROM log) WHERE rn = 1
+FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts DESC, event_id DESC) AS rn FROM log) WHERE rn = 1
 """)
 def q_latest_status(spark, sf_dir):
     from webloom.operators.fetchlog import latest_fresh
@@ -664,28 +675,25 @@ def q_latest_status(spark, sf_dir):
         "host", "event_id", "status_code", "fresh")
 
 
-@query("failure_runs")
+@query("failure_runs", _LOG_SQL.replace("WITH log", "WITH RECURSIVE log") + """
+, k AS (SELECT event_id, md5('https://' || host || '/') AS url_key, epoch_us(ts) AS us, coalesce(status_code <> 200, true) AS failed,
+               row_number() OVER (PARTITION BY host ORDER BY epoch_us(ts), event_id) AS n FROM log),
+f(url_key, n, event_id, skip_direct, failures, last) AS (
+  SELECT url_key, n, event_id, false, failed::INT, CASE WHEN failed THEN us END FROM k WHERE n = 1
+  UNION ALL
+  SELECT k.url_key, k.n, k.event_id, f.failures >= 2 AND k.us - f.last < 259200000000,
+         CASE WHEN NOT k.failed THEN 0 WHEN f.failures >= 2 AND k.us - f.last >= 259200000000 THEN 1 ELSE f.failures + 1 END,
+         CASE WHEN k.failed THEN k.us END
+  FROM f JOIN k ON k.url_key = f.url_key AND k.n = f.n + 1)
+SELECT event_id, url_key, skip_direct, failures FROM f
+""")
 def q_failure_runs(spark, sf_dir):
     from webloom.operators.fetchlog import cooling_down
-    log = fetch_log(spark, sf_dir).withColumn("failed", F.col("status_code").isin(429, 403) | F.col("error_type").isNotNull())
-    return cooling_down(log, "url", "ts", "failed", threshold=2, cooldown_s=3 * 86400).select(
+    log = fetch_log(spark, sf_dir).withColumn("failed", ~F.col("ok"))  # only status 200 is a success
+    return cooling_down(log, "url", "ts", "failed", threshold=2, cooldown_s=3 * 86400, tie="event_id").select(
         "event_id", "url_key", "skip_direct", "failures")
 
 
-@query("circuit_state")
-def q_circuit_state(spark, sf_dir):
-    from webloom.operators.fetchlog import circuit_state
-    return circuit_state(fetch_log(spark, sf_dir), "host", "ts", "ok", threshold=2, recovery_s=86400).select(
-        "event_id", "host", "state_seen", "state_after", "failures")
-
-
-@query("host_delay")
-def q_host_delay(spark, sf_dir):
-    from webloom.operators.fetchlog import host_delay
-    return host_delay(fetch_log(spark, sf_dir), "host", "ts", "status_code").select(
-        "event_id", "host", F.round("delay", 6).alias("delay"))
-
-
 def _block_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     m6, m7 = F.col("page_id") % 6, F.col("page_id") % 7
@@ -739,32 +747,47 @@ def q_block_class(spark, sf_dir):
 # ----------------------------------------------------------------------------- crawl
 
 def graph_archive(spark, sf_dir):
-    """Pages re-hosted as a link graph: node i links to (7i+1) mod n and (11i+3) mod n (relative),
-    to a page missing from the archive and to another host."""
-    pages = table(spark, sf_dir, "pages")
-    n = pages.count()
-    i = F.col("page_id")
-    link = lambda j: F.concat(F.lit('<a href="/n/'), j.cast("string"), F.lit('">next</a>'))
-    html = F.concat(F.lit("<html><body><nav>"), link((i * 7 + 1) % n), link((i * 11 + 3) % n),
-                    F.lit('<a href="/missing/'), i.cast("string"), F.lit('">gone</a><a href="https://other.example.org/n/'),
-                    i.cast("string"), F.lit('">away</a><a href="#top">top</a></nav></body></html>'))
-    url = F.concat(F.lit("https://graph.example.com/n/"), i.cast("string"))
-    return pages.select("page_id", url.alias("url"), html.alias("html"), F.lit(True).alias("success"))
-
-
-@query("crawl_bfs", """
-WITH RECURSIVE nn AS (SELECT count(*) AS n FROM pages),
-e AS (SELECT page_id AS src, (7 * page_id + 1) % n AS dst FROM pages, nn
-      UNION ALL SELECT page_id, (11 * page_id + 3) % n FROM pages, nn),
-r(seed, node, depth) AS (SELECT page_id, page_id, 0 FROM pages
-                         UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3)
-SELECT seed, 'https://graph.example.com/n/' || node AS url, min(depth) AS depth FROM r GROUP BY seed, node
-""")
+    """The pages with links put first: on each host the i-th of its n URLs links to the (7i+1) mod n-th
+    and the (11i+3) mod n-th, to a page that the archive lacks and to another host."""
+    from webloom.functions.urls import netloc
+    pages = table(spark, sf_dir, "pages").groupBy("url").agg(F.min("html").alias("html"))
+    pages = pages.withColumn("host", netloc(F.col("url")))
+    w = Window.partitionBy("host")
+    pages = pages.select("*", (F.row_number().over(w.orderBy("url")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    place = pages.select("host", F.col("i").alias("j"), F.col("url").alias("to"))
+    out = pages.select("url", "html", "host", F.explode(F.array((F.col("i") * 7 + 1) % F.col("n"), (F.col("i") * 11 + 3) % F.col("n"))).alias("j"))
+    link = F.concat(F.lit('<a href="'), esc("to"), F.lit('">next</a>'))
+    added = out.join(place, ["host", "j"]).groupBy("url", "html").agg(F.array_join(F.array_sort(F.collect_set(link)), "").alias("links"))
+    extra = '<a href="/missing/page">gone</a><a href="https://other.example.org/n/1">away</a><a href="#top">top</a>'
+    html = F.concat(F.col("links"), F.lit(extra), F.col("html"))
+    return added.select("url", html.alias("html"), F.lit(True).alias("success"))
+
+
+def _crawl_seeds(arch):
+    """The first two URLs of each host."""
+    from webloom.functions.urls import netloc
+    rank = F.row_number().over(Window.partitionBy(netloc(F.col("url"))).orderBy("url"))
+    return arch.select("url", rank.alias("r")).where("r <= 2").select(F.col("url").alias("seed"), "url")
+
+
+# links of a page itself count as well, where the archive has their target
+_CRAWL_SQL = f"""
+WITH RECURSIVE p AS (SELECT url, {_netloc_sql('url')} AS host, row_number() OVER (PARTITION BY {_netloc_sql('url')} ORDER BY url) - 1 AS i,
+                            count(*) OVER (PARTITION BY {_netloc_sql('url')}) AS n FROM (SELECT DISTINCT url FROM pages)),
+e AS (SELECT a.url AS src, b.url AS dst FROM p a JOIN p b ON a.host = b.host AND b.i IN ((a.i * 7 + 1) % a.n, (a.i * 11 + 3) % a.n)
+      UNION SELECT l.src_url, q.url FROM ({_LINKS_SQL}) l JOIN p q ON q.url = {_root_sql('l.src_url')} || {_unescape_sql('l.href')}),
+r(seed, url, depth) AS (SELECT url, url, 0 FROM p WHERE i < 2
+                        UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.url = e.src WHERE r.depth < DEPTH),
+d AS (SELECT seed, url, min(depth) AS depth FROM r GROUP BY seed, url),
+c AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, url) AS rk FROM d)
+"""
+
+
+@query("crawl_bfs", _CRAWL_SQL.replace("DEPTH", "3") + "SELECT seed, url, depth FROM c WHERE rk <= 6")
 def q_crawl_bfs(spark, sf_dir):
     from webloom.operators.crawl import crawl
     arch = graph_archive(spark, sf_dir)
-    seeds = arch.select(F.col("page_id").alias("seed"), "url")
-    return crawl(seeds, arch, max_depth=3, same_domain_only=True, max_pages=50)
+    return crawl(_crawl_seeds(arch), arch, max_depth=3, same_domain_only=True, max_pages=6)
 
 
 # ----------------------------------------------------------------------------- discovery
@@ -797,12 +820,19 @@ def discovery_docs(spark, sf_dir):
     robots_docs = per_root.select(F.concat("root", F.lit("/robots.txt")).alias("url"), F.concat(
         F.lit("User-agent: *\n  Disallow: /private\n"),
         F.array_join(F.transform("bs", lambda x: F.concat(F.lit("  Sitemap: "), loc(F.col("root"), x), F.lit("\n"))), ""),
-        F.lit("sitemap: "), F.col("root"), F.lit("/sitemap-extra.xml\n")).alias("content"))
-    docs = (chunk_docs.unionByName(index_docs).unionByName(robots_docs)
+        F.lit("sitemap: "), F.col("root"), F.lit("/sitemap-extra.xml\nSitemap: https://cdn.example.org/shared.xml\n")).alias("content"))
+
+    def urlset(*locs):
+        return F.concat(F.lit("<urlset>"), *[F.concat(F.lit("<url><loc>"), x, F.lit("</loc></url>")) for x in locs], F.lit("</urlset>"))
+    # named by robots files only: one for each host, and one that all hosts share
+    extra_docs = per_root.select(F.concat("root", F.lit("/sitemap-extra.xml")).alias("url"), urlset(
+        F.concat("root", F.lit("/extra/a")), F.concat("root", F.lit("/extra/b"))).alias("content"))
+    shared = per_root.select(F.lit("https://cdn.example.org/shared.xml").alias("url"), urlset(
+        F.lit("https://cdn.example.org/s/1"), F.lit("https://cdn.example.org/s/2")).alias("content")).distinct()
+    docs = (chunk_docs.unionByName(index_docs).unionByName(robots_docs).unionByName(extra_docs).unionByName(shared)
             .unionByName(pages.select("url", F.col("html").alias("content"))))
     sites = pages.groupBy("root").agg(F.min_by("url", "page_id").alias("site")).select("site")
-    # Materialized once (reliable checkpoint): the sitemap, robots and link branches all scan it.
-    return sites, docs.checkpoint()
+    return sites, materialize(docs, "docs")   # the sitemap, robots and link branches all scan it
 
 
 _DISC_SQL = f"""
@@ -812,18 +842,20 @@ sm AS (SELECT s.site, 0 AS mr, p.page_id // 20 AS o1, p.page_id AS o2, p.url FRO
 hl AS (SELECT s.site, s.root, generate_subscripts(h, 1) AS o1, unnest(h) AS href
        FROM s JOIN p ON p.page_id = s.hp, LATERAL (SELECT regexp_extract_all(p.html, '<a href="([^"]*)">', 1) AS h)),
 lk AS (SELECT site, 2 AS mr, o1, 0 AS o2, root || {_unescape_sql('href')} AS url FROM hl),
-u AS (SELECT * FROM sm UNION ALL SELECT * FROM lk),
+rb AS (SELECT site, 1 AS mr, 1000000 + x.k AS o1, x.k AS o2, CASE WHEN x.k < 2 THEN root ELSE 'https://cdn.example.org' END || x.path AS url
+       FROM s, (VALUES (0, '/extra/a'), (1, '/extra/b'), (2, '/s/1'), (3, '/s/2')) x(k, path)),
+u AS (SELECT * FROM sm UNION ALL SELECT * FROM rb UNION ALL SELECT * FROM lk),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY mr, o1, o2) AS rn FROM u) WHERE rn = 1),
 r AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY mr, o1, o2, url) AS rank,
              CASE mr WHEN 0 THEN 'sitemap' WHEN 1 THEN 'robots' ELSE 'links' END AS method, url FROM d)
 """
 
 
-@query("discover", _DISC_SQL + "SELECT * FROM r WHERE rank <= 1000")
+@query("discover", _DISC_SQL + "SELECT * FROM r WHERE rank <= 30")
 def q_discover(spark, sf_dir):
     from webloom.operators.discovery import discover
     sites, docs = discovery_docs(spark, sf_dir)
-    return discover(sites, docs, max_urls=1000)
+    return discover(sites, docs, max_urls=30)   # hosts have more: O4 acts
 
 
 SITE_QUERY = "en 1"
@@ -841,7 +873,7 @@ WHERE pos <= 20
 def q_site_search(spark, sf_dir):
     from webloom.operators.discovery import search_within_site
     sites, docs = discovery_docs(spark, sf_dir)
-    return search_within_site(sites, docs, SITE_QUERY, 20)
+    return search_within_site(sites, docs, SITE_QUERY, 20, max_urls=500)
 
 
 @query("sitemap_urls", f"""
@@ -873,6 +905,8 @@ SELECT DISTINCT {_root_sql('url')} || '/robots.txt' AS robots_url,
 FROM pages
 UNION ALL
 SELECT DISTINCT {_root_sql('url')} || '/robots.txt', {_root_sql('url')} || '/sitemap-extra.xml' FROM pages
+UNION ALL
+SELECT DISTINCT {_root_sql('url')} || '/robots.txt', 'https://cdn.example.org/shared.xml' FROM pages
 """)
 def q_robots_sitemaps(spark, sf_dir):
     from webloom.sources.sitemaps import read_robots
@@ -880,6 +914,30 @@ def q_robots_sitemaps(spark, sf_dir):
     return read_robots(docs.where(F.col("url").endswith("/robots.txt"))).select("robots_url", "sitemap")
 
 
+@query("robots_urls", f"""
+WITH r AS (SELECT DISTINCT {_root_sql('url')} AS root FROM pages)
+SELECT {_root_sql('url')} || '/robots.txt' AS robots_url, url AS loc FROM pages
+UNION ALL
+SELECT root || '/robots.txt', CASE WHEN k < 2 THEN root ELSE 'https://cdn.example.org' END || path
+FROM r, (VALUES (0, '/extra/a'), (1, '/extra/b'), (2, '/s/1'), (3, '/s/2')) x(k, path)
+""")
+def q_robots_urls(spark, sf_dir):
+    """J6, with one sitemap that every robots file names."""
+    from webloom.sources.sitemaps import robots_to_sitemaps
+    _, docs = discovery_docs(spark, sf_dir)
+    return robots_to_sitemaps(docs.where(F.col("url").endswith("/robots.txt")), docs).select(F.col("key").alias("robots_url"), "loc")
+
+
+@query("discovery_summary", _DISC_SQL + """
+SELECT site, count(*) AS total_urls, string_agg(DISTINCT method, ',' ORDER BY method) AS methods_used FROM r GROUP BY site""")
+def q_discovery_summary(spark, sf_dir):
+    """A8 of a discovery without a limit."""
+    from webloom.operators.discovery import discover
+    from webloom.plans.jobs import discovery_summary
+    sites, docs = discovery_docs(spark, sf_dir)
+    return discovery_summary(discover(sites, docs)).select("site", "total_urls", F.array_join("methods_used", ",").alias("methods_used"))
+
+
 # ----------------------------------------------------------------------------- markdown
 
 @query("markdown")
@@ -893,7 +951,7 @@ def q_markdown(spark, sf_dir):
 @query("scrape_titles", f"""
 SELECT url, trim({_unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title,
        false AS empty_markdown, CAST(NULL AS VARCHAR) AS error
-FROM pages
+FROM (SELECT url, max(html) AS html FROM pages GROUP BY url)
 """)
 def q_scrape_titles(spark, sf_dir):
     from webloom.plans.jobs import scrape
@@ -965,33 +1023,27 @@ def q_merge_tables(spark, sf_dir):
 WITH ch AS (SELECT doc_id, text, unnest(CASE WHEN length(text) > 2000
                    THEN generate_series(0, length(text) - 1, 1800) ELSE [0] END) AS start FROM documents),
 c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_idx,
-             substr(text, start + 1, 2000) AS chunk FROM ch),
-t AS (SELECT doc_id, chunk_idx, CASE WHEN length(chunk) > 1600 THEN
-        (CASE WHEN strpos(reverse(substr(chunk, 1, 1600)), '.') > 0 AND (1600 - strpos(reverse(substr(chunk, 1, 1600)), '.')) > 1280
-              THEN substr(chunk, 1, 1600 - strpos(reverse(substr(chunk, 1, 1600)), '.') + 1)
-              ELSE substr(chunk, 1, 1600) END) || chr(10) || chr(10) || '[Content truncated...]'
-        ELSE chunk END AS content FROM c)
+             substr(text, start + 1, 2000) AS content FROM ch)
 SELECT doc_id, chunk_idx,
        sha256('Extract data from this markdown content:' || chr(10) || chr(10) || '```markdown' || chr(10) || content
               || chr(10) || '```') AS user_hash
-FROM t
+FROM c
 """)
 def q_llm_requests(spark, sf_dir):
     from pyspark.sql import types as T
     from webloom.operators.model_batch import llm_requests
     schema = T.StructType([T.StructField("source", T.StringType(), False), T.StructField("n", T.LongType(), True)])
     docs = table(spark, sf_dir, "documents")
-    req = llm_requests(docs, "doc_id", "text", schema, "Extract the source", chunk_threshold=500, overlap=50, max_tokens=400)
+    req = llm_requests(docs, "doc_id", "text", schema, "Extract the source", chunk_threshold=500, overlap=50, max_tokens=500)
     return req.select("doc_id", "chunk_idx", F.sha2("user_prompt", 256).alias("user_hash"))
 
 
 # ----------------------------------------------------------------------------- streaming
 
 def _scratch(spark, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint dir (never a machine-local temp dir)."""
-    import uuid
-    from webloom.session import checkpoint_dir
-    return f"{checkpoint_dir(spark)}/webloom-{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the cluster's shared checkpoint dir, removed when the driver's Python ends."""
+    from webloom.session import scratch_path
+    return scratch_path(spark, name)
 
 
 @query("stream_changes", _CHANGES_SQL + """
@@ -1006,22 +1058,20 @@ SELECT url, ph IS NULL OR ph <> current_hash AS has_changed,
 FROM j
 """)
 def q_stream_changes(spark, sf_dir):
-    """T1 over a file stream: stored captures arrive first, current captures second (one file per
-    micro-batch); the events at the check time equal the batch change detection."""
+    """T1 over a file stream, run twice from one checkpoint: stored captures are there for the first run, current
+    captures for the second; the events at the check time equal the batch change detection."""
     from webloom.streaming.monitor import monitor_changes
     root = _scratch(spark, "stream-changes")
     pages = table(spark, sf_dir, "pages")
     stored = pages.where(F.col("page_id") % 5 != 0).select("url", "html", F.lit(_SNAP_TS).cast("timestamp").alias("ts"))
     edited = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</p>"), F.lit("</p>\n"))).otherwise(F.col("html"))
     current = pages.select("url", edited.alias("html"), F.lit(_CHECK_TS).cast("timestamp").alias("ts"))
-    stored.coalesce(1).write.parquet(f"{root}/in/a")
-    current.coalesce(1).write.parquet(f"{root}/in/b")
-    src = (spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1)
-           .option("recursiveFileLookup", "true").parquet(f"{root}/in"))
-    q = (monitor_changes(src, emit_unchanged=True).writeStream.format("parquet")
+    for part, rows in (("a", stored), ("b", current)):
+        rows.write.parquet(f"{root}/in/{part}")
+        src = spark.readStream.schema(stored.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        (monitor_changes(src, emit_unchanged=True).writeStream.format("parquet")
          .option("checkpointLocation", f"{root}/ckpt").option("path", f"{root}/out")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+         .trigger(availableNow=True).start().awaitTermination())
     out = spark.read.parquet(f"{root}/out")
     return out.where(F.col("ts") == F.lit(_CHECK_TS).cast("timestamp")).select(
         "url", "has_changed", "change_type", "previous_hash", "current_hash", "diff_summary")
@@ -1039,18 +1089,16 @@ def q_stream_rate(spark, sf_dir):
     root = _scratch(spark, "stream-rate")
     log = fetch_log(spark, sf_dir).select("host", "ts")
     mid = F.lit("2024-01-16 00:00:00").cast("timestamp")
-    log.where(F.col("ts") < mid).coalesce(1).write.parquet(f"{root}/in/a")
-    log.where(F.col("ts") >= mid).coalesce(1).write.parquet(f"{root}/in/b")
-    src = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
-           .option("recursiveFileLookup", "true").parquet(f"{root}/in"))
-    rates = stream_rate(src, "host", "ts", "6 hours", "1 hour", burst=2, watermark="1 day")
 
     def sink(batch, batch_id):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{root}/out")
-
-    q = (rates.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")  # a replayed batch overwrites itself
+
+    for part, rows in (("a", log.where(F.col("ts") < mid)), ("b", log.where(F.col("ts") >= mid))):
+        rows.write.parquet(f"{root}/in/{part}")
+        src = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        rates = stream_rate(src, "host", "ts", "6 hours", "1 hour", burst=2, watermark="1 day")
+        (rates.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{root}/ckpt")
+         .trigger(availableNow=True).start().awaitTermination())
     out = spark.read.parquet(f"{root}/out")
     final = out.groupBy("host", "window_start").agg(F.max("requests").alias("requests"))
     return final.select("host", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
@@ -1083,20 +1131,22 @@ FROM q GROUP BY query, doc_no
 """)
 def q_search_report(spark, sf_dir):
     from webloom.sources.reports import render_results
-    return render_results(_report_docs(spark, sf_dir), "markdown").select("query", "doc_no", "report")
+    return render_results(_report_docs(spark, sf_dir), "markdown", shown=10, chars=300).select("query", "doc_no", "report")
 
 
 @query("fetch_batch", """
-SELECT url, true AS success, CAST(NULL AS VARCHAR) AS error FROM pages
+SELECT DISTINCT url, true AS success, CAST(NULL AS VARCHAR) AS error FROM pages
 UNION ALL
-SELECT url || '#gone', false, 'not in page archive' FROM pages
+SELECT DISTINCT url || '#gone', false, 'not in page archive' FROM pages
 """)
 def q_fetch_batch(spark, sf_dir):
     from webloom.sources.pages import fetch_batch
     pages = table(spark, sf_dir, "pages").select("url", "html", F.lit(200).alias("status_code"),
                                                 F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
-    urls = pages.select("url").unionByName(pages.select(F.concat("url", F.lit("#gone")).alias("url")))
-    return fetch_batch(urls, pages).select("url", "success", "error")
+    older = pages.withColumn("html", F.lit("")).withColumn("success", F.lit(False)).withColumn("error", F.lit("HTTP 500"))
+    archive = pages.withColumn("ts", F.lit(2)).unionByName(older.withColumn("ts", F.lit(1)))   # every URL is there twice
+    urls = pages.select("url").unionByName(pages.select("url")).unionByName(pages.select(F.concat("url", F.lit("#gone")).alias("url")))
+    return fetch_batch(urls, archive).select("url", "success", "error")
 
 
 @query("monitor_counters", _CHANGES_SQL + """
@@ -1117,17 +1167,103 @@ def q_monitor_counters(spark, sf_dir):
     return c.select("url", "checks", "changes", F.date_format("last_check", "yyyy-MM-dd HH:mm:ss").alias("last_check"))
 
 
-@query("crawl_summary", """
-WITH RECURSIVE nn AS (SELECT count(*) AS n FROM pages),
-e AS (SELECT page_id AS src, (7 * page_id + 1) % n AS dst FROM pages, nn
-      UNION ALL SELECT page_id, (11 * page_id + 3) % n FROM pages, nn),
-r(seed, node, depth) AS (SELECT page_id, page_id, 0 FROM pages
-                         UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 2)
-SELECT seed, count(DISTINCT node) AS pages_crawled, max(depth) AS max_depth FROM r GROUP BY seed
-""")
+@query("crawl_summary", _CRAWL_SQL.replace("DEPTH", "2") + """
+SELECT seed, count(*) AS pages_crawled, max(depth) AS max_depth FROM c GROUP BY seed""")
 def q_crawl_summary(spark, sf_dir):
     """A8 (C6's summary) over a depth-2 crawl of the rendered link graph."""
     from webloom.operators.crawl import crawl
+    from webloom.plans.jobs import crawl_summary
+    arch = graph_archive(spark, sf_dir)
+    return crawl_summary(crawl(_crawl_seeds(arch), arch, max_depth=2))
+
+
+@query("crawl_markdown", _CRAWL_SQL.replace("DEPTH", "1") + """
+SELECT seed, url, depth, false AS empty_markdown, CAST(NULL AS VARCHAR) AS error FROM c""")
+def q_crawl_markdown(spark, sf_dir):
+    """Every crawled page with its Markdown."""
+    from webloom.plans.jobs import crawl_to_markdown
     arch = graph_archive(spark, sf_dir)
-    pages = crawl(arch.select(F.col("page_id").alias("seed"), "url"), arch, max_depth=2, max_pages=50)
-    return pages.groupBy("seed").agg(F.count(F.lit(1)).alias("pages_crawled"), F.max("depth").alias("max_depth"))
+    md, _ = crawl_to_markdown(_crawl_seeds(arch), arch, max_depth=1)
+    return md.select("seed", "url", "depth", (F.col("markdown") == "").alias("empty_markdown"), "error")
+
+
+# ----------------------------------------------------------------------------- query tables, positions, Markdown blocks
+
+_QUERY_WORDS = "SELECT DISTINCT lower(r_name) || ' ' || CASE r_regionkey % 2 WHEN 0 THEN 'the de' ELSE 'und la' END AS query FROM region"
+
+
+def _region_queries(spark, sf_dir):
+    return table(spark, sf_dir, "region").select(F.concat(
+        F.lower("r_name"), F.when(F.col("r_regionkey") % 2 == 0, " the de").otherwise(" und la")).alias("query")).distinct()
+
+
+@query("score_paragraphs", f"""
+WITH q AS ({_QUERY_WORDS}),
+p AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS pos, unnest(ps) AS para FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)),
+s AS (SELECT doc_id, pos, query, len(list_filter(list_distinct(string_split(query, ' ')), lambda w: contains(lower(para), w))) AS score FROM p, q)
+SELECT doc_id, pos, query, score FROM s WHERE score > 0
+""")
+def q_score_paragraphs(spark, sf_dir):
+    """J7 with a table of queries."""
+    from webloom.operators.fit import score_paragraphs
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_paragraphs(docs, "doc_id", "text", _region_queries(spark, sf_dir), sep="\n").select("doc_id", "pos", "query", "score")
+
+
+@query("score_urls", """
+WITH q AS (SELECT DISTINCT lower(n_name) AS query FROM nation WHERE n_regionkey > 0 UNION SELECT 'en ' || n_regionkey FROM nation),
+s AS (SELECT page_id, query, (CASE WHEN contains(lower(url), query) THEN 10 ELSE 0 END)
+             + len(list_filter(list_distinct(string_split(query, ' ')), lambda w: contains(lower(url), w))) AS relevance_score FROM pages, q)
+SELECT page_id, query, relevance_score FROM s WHERE relevance_score > 0
+""")
+def q_score_urls(spark, sf_dir):
+    """J8 with a table of queries."""
+    from webloom.operators.discovery import score_urls
+    nation = table(spark, sf_dir, "nation")
+    queries = nation.where("n_regionkey > 0").select(F.lower("n_name").alias("query")).unionByName(
+        nation.select(F.concat(F.lit("en "), F.col("n_regionkey").cast("string")).alias("query")))
+    return score_urls(table(spark, sf_dir, "pages").select("page_id", "url"), queries).select("page_id", "query", "relevance_score")
+
+
+@query("xpath_positions", """
+WITH i AS (SELECT p_partkey, p_name, p_partkey // 100 AS page_id, p_partkey % 3 = 0 AS odd,
+                  row_number() OVER (PARTITION BY p_partkey // 100, p_partkey % 3 = 0 ORDER BY p_partkey) AS k FROM part)
+SELECT page_id, p_partkey AS key, p_name AS name FROM i WHERE odd AND k = 2
+""")
+def q_xpath_positions(spark, sf_dir):
+    """A position counts the siblings that pass the predicate before it."""
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import extract_xpath
+    part = table(spark, sf_dir, "part")
+    row = F.concat(F.lit("<div class='"), F.when(F.col("p_partkey") % 3 == 0, "odd").otherwise("even"), F.lit("' id='"),
+                   F.col("p_partkey").cast("string"), F.lit("'><b>"), esc("p_name"), F.lit("</b></div>"))
+    parsed = parse_pages(bucket_pages(part, "p_partkey", row, 100, "https://shop.example.com/list/"))
+    recs = extract_xpath(parsed, "//main/div[@class='odd'][2]", {"key": {"xpath": ".", "attribute": "id"}, "name": "./b"}, keep=["page_id"])
+    return recs.select("page_id", F.col("key").cast("long").alias("key"), "name")
+
+
+@query("markdown_blocks", """
+WITH p AS (SELECT *, p_partkey // 20 AS page_id FROM part),
+b AS (SELECT page_id, p_partkey,
+             '## ' || p_name || chr(10) || chr(10) || 'Made by **' || p_type || '** as *' || p_brand || '*' || chr(10) || chr(10)
+             || '- ' || p_type || chr(10) || '- size ' || p_size || chr(10) || '  - ' || p_type || chr(10) || chr(10)
+             || '> ' || p_type || chr(10) || chr(10)
+             || '```sql' || chr(10) || 'SELECT ' || p_partkey || chr(10) || '```' || chr(10) || chr(10)
+             || '| key | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_partkey || ' | ' || p_size || ' |' || chr(10) || chr(10)
+             || '[more](https://shop.example.com/part/' || p_partkey || ')' || chr(10) || chr(10) || chr(10)
+             || '1. ' || p_brand || chr(10) || chr(10) || '2. ' || p_type AS md FROM p)
+SELECT page_id, 'page ' || page_id || chr(10) || string_agg(md, chr(10) || chr(10) ORDER BY p_partkey) AS markdown FROM b GROUP BY page_id
+""")
+def q_markdown_blocks(spark, sf_dir):
+    """Headings, inline marks, nested and numbered lists, quotes, code, tables and links of ``part``."""
+    from webloom.operators.markdown import to_markdown
+    part = table(spark, sf_dir, "part")
+    c = lambda name: esc(F.col(name).cast("string"))
+    block = F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in (
+        "<h2>", c("p_name"), "</h2><p>Made by <strong>", c("p_type"), "</strong> as <em>", c("p_brand"), "</em></p><ul><li>", c("p_type"),
+        "</li><li>size ", c("p_size"), "<ul><li>", c("p_type"), "</li></ul></li></ul><blockquote>", c("p_type"),
+        "</blockquote><pre><code class='language-sql'>SELECT ", c("p_partkey"), "</code></pre><table><thead><tr><th>key</th><th>size</th></tr></thead><tbody><tr><td>",
+        c("p_partkey"), "</td><td>", c("p_size"), "</td></tr></tbody></table><p><a href='/part/", c("p_partkey"), "'>more</a></p><ol><li>",
+        c("p_brand"), "</li><li>", c("p_type"), "</li></ol>")])
+    pages = bucket_pages(part, "p_partkey", block, 20, "https://shop.example.com/md/")
+    return to_markdown(pages).select("page_id", "markdown")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import netloc
+from webloom.session import materialize
 
 
 def host_link_counts(parsed: DataFrame) -> DataFrame:
-    """Flagship: links per target host.  Partial aggregation runs before the shuffle, so a host
-    holding a third of all links costs one pre-aggregated row per task, not a hot partition."""
+    """Flagship: links per target host. Spark expands the two distinct counts and deals the rows by (host, page) and
+    (host, url), so a host that holds a third of all links is spread over the shuffle; by host only sums meet."""
     from webloom.operators.extract import extract_links
     links = extract_links(parsed)
     return (links.groupBy(netloc("url").alias("host"))
@@ -18,11 +19,12 @@ def host_link_counts(parsed: DataFrame) -> DataFrame:
                  F.countDistinct("url").alias("distinct_targets")))
 
 
-def search(feeds: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Feeds -> (top-n ranked hits, one answer row per query)."""
+def search(feeds: DataFrame, n: int = 10, limits: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Feeds -> (top-n ranked hits, one answer row per query). Every feed document is parsed once: the hits are
+    written to the shared checkpoint folder and read by ranking, fallback and answers. ``limits``: see ``read_feed``."""
     from webloom.operators.search import assemble_answers, dedupe_hits, score_hits, top_hits, with_fallback
     from webloom.sources.feeds import feed_errors, read_feed
-    hits = with_fallback(read_feed(feeds))
+    hits = with_fallback(materialize(read_feed(feeds, limits=limits), "hits"))
     top = top_hits(score_hits(dedupe_hits(hits)), n)
     return top, assemble_answers(top, hits, feed_errors(feeds))
 
@@ -34,46 +36,71 @@ def check_for_changes(current: DataFrame, snapshots: DataFrame):
     return changes, next_snapshots(changes, snapshots)
 
 
-def scrape(urls: DataFrame, pages: DataFrame, options=None) -> DataFrame:
-    """URL list -> archive lookup -> Markdown + conversion metadata; failures keep their error."""
+def scrape(urls: DataFrame, pages: DataFrame, options=None, partitions: int | None = None) -> DataFrame:
+    """URL list -> archive lookup -> Markdown + conversion metadata, from one parse of each page; one row per URL,
+    failures keep their error."""
     from webloom.operators.dom import parse_pages
     from webloom.operators.extract import page_metadata
-    from webloom.operators.markdown import to_markdown
+    from webloom.operators.markdown import tree_to_markdown
     from webloom.sources.pages import fetch_batch
-    fetched = fetch_batch(urls, pages)
-    ok = fetched.where(F.col("success")).select("url", "html")
-    md = to_markdown(ok, options=options)
-    meta = page_metadata(parse_pages(ok), nulls=True, keep=["url"])
-    good = md.join(meta, "url", "left").select("url", "markdown", "title",
-                                              F.struct("source_url", "title", "description", "author", "published_date",
-                                                       "keywords").alias("metadata"),
-                                              F.col("error"))
-    bad = fetched.where(~F.col("success")).select(
-        "url", F.lit("").alias("markdown"), F.lit(None).cast("string").alias("title"),
-        F.lit(None).cast(good.schema["metadata"].dataType).alias("metadata"), F.col("error"))
-    return good.unionByName(bad)
-
-
-def crawl_to_markdown(seeds: DataFrame, archive: DataFrame, max_depth: int = 3, max_pages: int = 50):
-    """Crawl, then Markdown for every crawled page; plus the per-seed summary."""
+    fetched = fetch_batch(urls, pages).select("url", "html", "success", "error")
+    parsed = parse_pages(fetched.withColumn("html", F.when(F.col("success"), F.col("html")).otherwise("")), partitions=partitions,
+                         markdown=lambda tree, base: tree_to_markdown(tree, base, options))
+    rows = page_metadata(parsed, nulls=True, keep=["url", "markdown", "success", "error", "parse_error"])
+    meta = F.struct("source_url", "title", "description", "author", "published_date", "keywords")
+    return rows.select("url", "markdown", F.when(F.col("success"), F.col("title")).alias("title"),
+                       F.when(F.col("success"), meta).alias("metadata"), F.coalesce("error", "parse_error").alias("error"))
+
+
+def crawl_to_markdown(seeds: DataFrame, archive: DataFrame, max_depth: int = 3, max_pages: int | None = None):
+    """Crawl, then Markdown for every crawled page, converted once however many seeds reach it; plus the per-seed
+    summary (A8)."""
     from webloom.operators.crawl import crawl
     from webloom.operators.markdown import to_markdown
+    from webloom.sources.pages import latest_pages
     pages = crawl(seeds, archive, max_depth=max_depth, max_pages=max_pages)
-    md = to_markdown(pages.join(archive.select("url", "html"), "url"))
-    summary = pages.groupBy("seed").agg(F.count(F.lit(1)).alias("pages_crawled"), F.max("depth").alias("max_depth"))
-    return md, summary
+    reached = latest_pages(archive.where(F.col("success")).join(pages.select("url").distinct(), "url", "left_semi"))
+    md = pages.join(to_markdown(reached.select("url", "html")), "url")
+    return md, crawl_summary(pages)
+
+
+def crawl_summary(pages: DataFrame) -> DataFrame:
+    """A8 of a crawl: pages and deepest level of each seed."""
+    return pages.groupBy("seed").agg(F.count(F.lit(1)).alias("pages_crawled"), F.max("depth").alias("max_depth"))
+
+
+def discovery_summary(found: DataFrame) -> DataFrame:
+    """A8 of a discovery: URLs found and the methods that gave any, per site (at most three names)."""
+    return found.groupBy("site").agg(F.count(F.lit(1)).alias("total_urls"), F.array_sort(F.collect_set("method")).alias("methods_used"))
 
 
 def extract(urls: DataFrame, pages: DataFrame, base_selector: str | None = None, fields: dict | None = None):
-    """Fetch, then CSS records when selectors are given (base defaults to ``body``), else tables."""
+    """Fetch, then CSS records when selectors are given (base defaults to ``body``), else tables. The source markup
+    goes along only if a field asks for it (type ``html``)."""
     from webloom.operators.dom import parse_pages
     from webloom.operators.extract import extract_css, extract_tables
     from webloom.sources.pages import fetch_batch
     ok = fetch_batch(urls, pages).where(F.col("success")).select("url", "html")
-    parsed = parse_pages(ok, keep_html=True)
     if fields:
-        return extract_css(parsed, base_selector or "body", fields, keep=["url"])
-    return extract_tables(parsed, keep=["url"])
+        markup = any(isinstance(f, dict) and f.get("type") == "html" for f in fields.values())
+        return extract_css(parse_pages(ok, keep_html=markup), base_selector or "body", fields, keep=["url"])
+    return extract_tables(parse_pages(ok), keep=["url"])
+
+
+def table_requests(docs: DataFrame, key: str, text: str, schema, instruction: str | None = None, **chunking) -> DataFrame:
+    """First half of C9: texts that begin with ``<`` become Markdown (X12), all are chunked into requests."""
+    from webloom.operators.markdown import to_markdown
+    from webloom.operators.model_batch import llm_requests
+    page = F.ltrim(F.col(text)).startswith("<")
+    plain = docs.where(~F.coalesce(page, F.lit(False))).select(key, F.coalesce(text, F.lit("")).alias("content"))
+    pages = to_markdown(docs.where(page).select(key, F.col(text).alias("html")), base_col=None).select(key, F.col("markdown").alias("content"))
+    return llm_requests(plain.unionByName(pages), key, "content", schema, instruction, **chunking)
+
+
+def table_extraction(responses: DataFrame) -> DataFrame:
+    """Second half of C9: model responses of the requests -> tables (L2, L3), merged by document."""
+    from webloom.operators.model_batch import merge_tables, tables_from_responses
+    return merge_tables(tables_from_responses(responses))
 
 
 def process_pages(pages: DataFrame, fn, schema) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings applied when a session is built here; an existing cluster session keeps its own.
 DEFAULT_CONF = {
@@ -17,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Python tasks run side by side: one numpy thread each.
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -61,6 +65,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCRATCH: list = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder, removed when the driver's Python ends."""
+    path = f"{checkpoint_dir(spark)}/webloom-{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_drop_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def _drop_scratch() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has gone: the cluster owns the folder
+            return
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back, so that several consumers share one
+    run of what is above and a lost executor costs a re-read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 

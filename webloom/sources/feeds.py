@@ -46,8 +46,9 @@ def read_bing(raw: DataFrame) -> DataFrame:
                  F.coalesce(it["snippet"], F.lit("")))
 
 
-def read_wikipedia(raw: DataFrame) -> DataFrame:
-    """Query.search[]: '<title> - Wikipedia', article URL, search-match spans removed, cut at 300 + '...'."""
+def read_wikipedia(raw: DataFrame, limits: dict | None = None) -> DataFrame:
+    """Query.search[]: '<title> - Wikipedia', article URL, search-match spans removed; the snippet is cut at
+    ``limits["wikipedia_snippet"]`` + '...' if that is given."""
     from webloom.functions.text import cut
     from webloom.functions.urls import wiki_url
     it = F.col("it")
@@ -55,12 +56,14 @@ def read_wikipedia(raw: DataFrame) -> DataFrame:
     snip = F.replace(F.replace(F.coalesce(it["snippet"], F.lit("")), F.lit('<span class="searchmatch">'), F.lit("")),
                      F.lit("</span>"), F.lit(""))
     return _hits(raw.withColumn("_d", F.from_json("payload", _WIKI)), "wikipedia", F.col("_d.query.search"),
-                 F.concat(title, F.lit(" - Wikipedia")), wiki_url(title), cut(snip, 300))
+                 F.concat(title, F.lit(" - Wikipedia")), wiki_url(title),
+                 cut(snip, limits["wikipedia_snippet"]) if (limits or {}).get("wikipedia_snippet") else snip)
 
 
-def read_duckduckgo(raw: DataFrame) -> DataFrame:
-    """HTML answer: first 10 ``tr.result`` rows; ``a.result-link`` href/text and ``td.result-snippet``;
-    rows without url or title are skipped; title/url/snippet cut to 200/500/300 characters."""
+def read_duckduckgo(raw: DataFrame, limits: dict | None = None) -> DataFrame:
+    """HTML answer: ``tr.result`` rows; ``a.result-link`` href/text and ``td.result-snippet``; rows without url or
+    title are skipped. ``limits`` may hold ``rows`` (O6) and characters of ``title``, ``url`` and ``snippet``."""
+    limits = limits or {}
     from webloom.operators.dom import parse_pages
     from webloom.operators.extract import extract_css
     parsed = parse_pages(raw.select("query", "doc_no", F.col("payload").alias("html")))
@@ -69,22 +72,32 @@ def read_duckduckgo(raw: DataFrame) -> DataFrame:
         "title": {"selector": "a.result-link", "default": None},
         "snippet": {"selector": "td.result-snippet", "default": ""},
     }, keep=["query", "doc_no"])
-    rows = rows.where((F.col("pos") < 10) & F.col("title").isNotNull() & (F.col("url") != "") & (F.col("title") != ""))
+    rows = rows.where(F.col("title").isNotNull() & (F.col("url") != "") & (F.col("title") != ""))
+    if "rows" in limits:
+        rows = rows.where(F.col("pos") < limits["rows"])
+
+    def text(name):
+        return (F.substring(name, 1, limits[name]) if name in limits else F.col(name)).alias(name)
     return rows.select("query", F.lit("duckduckgo").alias("engine"), F.lit(ENGINE_RANK["duckduckgo"]).alias("engine_rank"),
-                       "doc_no", "pos", F.substring("title", 1, 200).alias("title"),
-                       F.substring("url", 1, 500).alias("url"), F.substring("snippet", 1, 300).alias("snippet"),
+                       "doc_no", "pos", text("title"), text("url"), text("snippet"),
                        F.lit(BASE_SCORE["duckduckgo"]).alias("score"))
 
 
+#: The limits of the rule that the search queries reproduce.
+USUAL_LIMITS = {"rows": 10, "title": 200, "url": 500, "snippet": 300, "wikipedia_snippet": 300}
+
 READERS = {"whoogle": read_whoogle, "duckduckgo": read_duckduckgo, "bing": read_bing, "wikipedia": read_wikipedia}
 
 
-def read_feed(raw: DataFrame, engine: str | None = None) -> DataFrame:
-    """Dispatch on ``engine`` (or on the feed's ``engine`` column when None: one reader per engine, unioned)."""
+def read_feed(raw: DataFrame, engine: str | None = None, limits: dict | None = None) -> DataFrame:
+    """Dispatch on ``engine`` (or on the feed's ``engine`` column when None: one reader per engine, unioned). Without
+    ``limits`` nothing is cut."""
+    def read(e, rows):
+        return READERS[e](rows, limits) if e in ("duckduckgo", "wikipedia") else READERS[e](rows)
     if engine is not None:
-        return READERS[engine](raw)
+        return read(engine, raw)
     from functools import reduce
-    parts = [READERS[e](raw.where(F.col("engine") == e)) for e in READERS]
+    parts = [read(e, raw.where(F.col("engine") == e)) for e in READERS]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -19,11 +19,23 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return df
 
 
-def fetch_batch(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every requested URL gets exactly one outcome row (the archive's latest row per URL is
-    expected upstream); URLs missing from the archive -> success false + error."""
+def latest_pages(pages: DataFrame, ts: str | None = None) -> DataFrame:
+    """One row per URL: the latest by ``ts`` (a column named ts if there is one), then a successful one, then the
+    largest row, so that the choice is the same in every run."""
+    ts = ts or ("ts" if "ts" in pages.columns else None)
     cols = [c for c in pages.columns if c != "url"]
-    j = urls.select("url").join(pages, "url", "left")
+    plain = [c for c in cols if pages.schema[c].dataType.typeName() not in ("map", "variant")]
+    order = F.struct(*([F.col(ts)] if ts else []), *[F.col(c) for c in ("success",) if c in cols], *plain)
+    return pages.groupBy("url").agg(F.max_by(F.struct(*cols), order).alias("_p")).select("url", "_p.*")
+
+
+def fetch_batch(urls: DataFrame, pages: DataFrame, ts: str | None = None) -> DataFrame:
+    """Every requested URL gets exactly one outcome row, from the archive's latest row of it, however often either
+    side names it; URLs missing from the archive -> success false + error."""
+    wanted = urls.select("url").distinct()
+    known = latest_pages(pages.join(wanted, "url", "left_semi"), ts)
+    cols = [c for c in pages.columns if c != "url"]
+    j = wanted.join(known, "url", "left")
     return j.select("url", *[F.col(c) for c in cols if c not in ("success", "error")],
                     F.coalesce(F.col("success"), F.lit(False)).alias("success"),
                     F.when(F.col("success").isNull(), F.lit("not in page archive")).otherwise(F.col("error")).alias("error"))

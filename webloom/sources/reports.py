@@ -15,17 +15,20 @@ def _items(payload: Column) -> Column:
         "array<struct<title: string, url: string, href: string, content: string, text: string>>"))
 
 
-def render_results(answers: DataFrame, fmt: str = "markdown", query: str = "query", payload: str = "payload") -> DataFrame:
-    """-> answers + ``report``.  Items: title (default 'Untitled'), url = href else url else '#',
-    content = content else text else ''; the first 10 items are shown, content cut at 300 + '...'."""
+def render_results(answers: DataFrame, fmt: str = "markdown", query: str = "query", payload: str = "payload",
+                   shown: int | None = None, chars: int | None = None) -> DataFrame:
+    """-> answers + ``report``.  Items: title (default 'Untitled'), url = href else url else '#', content = content else
+    text else ''. ``shown`` limits the items of a report, ``chars`` cuts each content and adds '...'."""
     items = _items(F.col(payload))
-    top = F.slice(items, 1, 10)
+    top = items if shown is None else F.slice(items, 1, shown)
     q = F.col(query)
 
     def fields(x):
         title = F.coalesce(x["title"], F.lit("Untitled"))
         url = F.coalesce(x["href"], x["url"], F.lit("#"))
-        content = F.concat(F.substring(F.coalesce(x["content"], x["text"], F.lit("")), 1, 300), F.lit("..."))
+        content = F.coalesce(x["content"], x["text"], F.lit(""))
+        if chars is not None:
+            content = F.concat(F.substring(content, 1, chars), F.lit("..."))
         return title, url, content
 
     if fmt == "json":

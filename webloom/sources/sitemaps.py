@@ -43,11 +43,12 @@ def index_children(docs: DataFrame) -> DataFrame:
             .where(F.col("child").isNotNull() & (F.col("child") != "")))
 
 
-def expand_sitemap_index(docs: DataFrame, recursive: bool = True) -> DataFrame:
-    """Index -> child sitemaps (self equi-join on the child URL) -> their entries, one level.
+def expand_sitemap_index(docs: DataFrame, recursive: bool = True, indexes: DataFrame | None = None) -> DataFrame:
+    """Index -> child sitemaps (equi-join on the child URL) -> their entries, one level.
     A nested index found there yields its child sitemap URLs as they are.  ``recursive=False``
-    yields the child URLs only.  -> (index_url, o1, o2, loc)."""
-    kids = index_children(docs)
+    yields the child URLs only.  ``indexes``: the index documents to expand (default: all of ``docs``).
+    -> (index_url, o1, o2, loc)."""
+    kids = index_children(docs if indexes is None else indexes)
     if not recursive:
         return kids.select("index_url", F.col("pos").alias("o1"), F.lit(0).alias("o2"), F.col("child").alias("loc"))
     child_docs = docs.join(kids.select(F.col("child").alias("url")).distinct(), "url", "left_semi")
@@ -66,12 +67,13 @@ def read_robots(docs: DataFrame) -> DataFrame:
 
 
 def sitemap_urls(docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """URLs behind sitemap documents named in ``roots(key, o0, url)``: a urlset gives its entries,
-    an index gives its children's entries (J5).  -> (key, o0, o1, o2, loc)."""
-    r = roots.join(docs, "url")
-    plain = read_sitemap(r.select("url", "content")).select(
-        F.col("sitemap_url").alias("url"), F.lit(0).alias("o1"), F.col("pos").alias("o2"), "loc")
-    idx = expand_sitemap_index(docs).select(F.col("index_url").alias("url"), "o1", "o2", "loc")
+    """URLs behind sitemap documents named in ``roots(key, o0, url)``: a urlset gives its entries, an index gives its
+    children's entries (J5). However many roots name a document, it is read once: only documents that are wanted, or
+    are children of a wanted index, are parsed. -> (key, o0, o1, o2, loc)."""
+    wanted = roots.select("url").distinct()
+    named = docs.join(wanted, "url", "left_semi")
+    plain = read_sitemap(named).select(F.col("sitemap_url").alias("url"), F.lit(0).alias("o1"), F.col("pos").alias("o2"), "loc")
+    idx = expand_sitemap_index(docs, indexes=named).select(F.col("index_url").alias("url"), "o1", "o2", "loc")
     return roots.join(plain.unionByName(idx), "url").select("key", "o0", "o1", "o2", "loc")
 
 

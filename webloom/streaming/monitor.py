@@ -1,9 +1,9 @@
 """Streaming change monitor.
 
-Captures ``(url, html, ts)`` arrive as a stream.  The content hash and 1000-char preview are computed
-natively *before* the keyed shuffle, so state and shuffle carry 64 hex chars + preview, never pages.
-Per URL the state holds (hash, preview, last ts); each capture is compared with it in time order.
-Rows older than the state's last ts are late and ignored."""
+Captures ``(url, html, ts)`` arrive as a stream. The content hash and the 64-bit hashes of all lines are computed
+natively *before* the keyed shuffle, so state and shuffle carry hashes, never pages. Per URL the state holds (hash,
+line hashes, last ts); each capture is compared with it in time order. Rows older than the state's last ts are late:
+they change nothing, and are reported as such when unchanged captures are."""
 
 from __future__ import annotations
 
@@ -13,30 +13,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from webloom.functions.text import diff_summary  # noqa: F401  (same rule, Python twin below)
+from webloom.functions.text import content_hash, line_hashes
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("has_changed", T.BooleanType()),
     T.StructField("change_type", T.StringType()), T.StructField("previous_hash", T.StringType()),
     T.StructField("current_hash", T.StringType()), T.StructField("diff_summary", T.StringType()),
     T.StructField("ts", T.TimestampType())])
-STATE_SCHEMA = T.StructType([T.StructField("hash", T.StringType()), T.StructField("preview", T.StringType()),
+STATE_SCHEMA = T.StructType([T.StructField("hash", T.StringType()), T.StructField("lines", T.ArrayType(T.LongType())),
                              T.StructField("last_ts", T.TimestampType())])
 
 
-def _diff(old: str, new: str) -> str:
-    o, n = old.split("\n"), new.split("\n")
-    so, sn = set(o), set(n)
-    return f"+{sum(1 for x in n if x not in so)} lines added, -{sum(1 for x in o if x not in sn)} lines removed"
+def _absent(lines, others) -> int:
+    """How many of ``lines`` (with repeats) are not among ``others``."""
+    known = set(others)
+    return sum(x not in known for x in lines)
 
 
 def watched(stream: DataFrame, watchlist: DataFrame | None = None) -> DataFrame:
-    """Only status-200 captures of URLs on the watch list (a stream-static semi join)."""
+    """Only status-200 captures of URLs on the watch list. A plain semi join: Spark broadcasts a list that it
+    knows to be under its size threshold, and shuffles any other."""
     if "status_code" in stream.columns:
         stream = stream.where(F.col("status_code") == 200)
     if watchlist is not None:
-        stream = stream.join(F.broadcast(watchlist.select("url").distinct()), "url", "left_semi") \
-            if watchlist.isStreaming is False else stream.join(watchlist.select("url"), "url", "left_semi")
+        stream = stream.join(watchlist.select("url").distinct() if not watchlist.isStreaming else watchlist.select("url"), "url", "left_semi")
     return stream
 
 
@@ -45,29 +45,32 @@ def monitor_changes(stream: DataFrame, emit_unchanged: bool = False, ttl_ms: int
     ``ttl_ms`` (T7) forgets URLs not seen for that long (processing-time timeout)."""
     from webloom.session import ship_package
     ship_package(stream.sparkSession)
-    hashed = stream.select("url", F.sha2(F.col("html"), 256).alias("hash"),
-                           F.substring("html", 1, 1000).alias("preview"), F.col("ts").cast("timestamp").alias("ts"))
+    hashed = stream.select("url", content_hash("html").alias("hash"), line_hashes("html").alias("lines"),
+                           F.col("ts").cast("timestamp").alias("ts"))
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
         prev = state.get if state.exists else None
-        h, pv, last = (prev[0], prev[1], prev[2]) if prev else (None, None, None)
+        h, before, last = prev if prev else (None, None, None)
         out = []
         rows = pd.concat(list(pdfs)).sort_values(["ts", "hash"], kind="stable")
         for r in rows.itertuples(index=False):
             if last is not None and r.ts < last:
-                continue  # late capture
+                if emit_unchanged:
+                    out.append((r.url, False, "late", h, r.hash, None, r.ts))
+                continue
             if h is None:
                 out.append((r.url, True, "initial", "", r.hash, None, r.ts))
             elif h == r.hash:
                 if emit_unchanged:
                     out.append((r.url, False, "none", h, r.hash, None, r.ts))
             else:
-                out.append((r.url, True, "content", h, r.hash, _diff(pv or "", r.preview or ""), r.ts))
-            h, pv, last = r.hash, r.preview, r.ts
-        state.update((h, pv, last))
+                summary = f"+{_absent(r.lines, before)} lines added, -{_absent(before, r.lines)} lines removed"
+                out.append((r.url, True, "content", h, r.hash, summary, r.ts))
+            h, before, last = r.hash, r.lines, r.ts
+        state.update((h, [int(x) for x in before], last))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=[f.name for f in EVENT_SCHEMA.fields])
@@ -84,12 +87,13 @@ def event_payload(events: DataFrame) -> DataFrame:
 
 
 def subscribe(events: DataFrame, path: str, checkpoint: str, fn=None, trigger: dict | None = None):
-    """T3 + S12: deliver change events per micro-batch: to a user callback, else appended as JSON
-    payload rows to a parquet outbox.  Restart-safe through the checkpoint."""
+    """T3 + S12: deliver change events per micro-batch: to a user callback, else as JSON payload rows of a parquet
+    outbox with one folder per batch. A batch that is replayed after a failure overwrites its own folder, so no event
+    is there twice; a callback gets the batch id to guard itself."""
     def deliver(batch: DataFrame, batch_id: int):
         if fn is not None:
             fn(batch, batch_id)
         else:
-            event_payload(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+            event_payload(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     w = events.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
