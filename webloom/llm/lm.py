@@ -24,13 +24,13 @@ from webloom.llm.common import written
 from webloom.session import ship_package
 
 #: Words that every task knows (a bound for what is broadcast); all others are looked up by a join.
-HEAD = 400_000
+HEAD = 200_000
 #: Words with an output and input vector of their own, words of a class, endings and frequency bins of other classes.
 NEURAL, CLASS_WORDS, ENDINGS, BINS = 1024, 32, 8, 3
 CLASSES = NEURAL // CLASS_WORDS + (BINS + 1) * ENDINGS
 TAIL_CLASS = CLASSES - ENDINGS
 #: State size, steps of a window, documents scored side by side, tokens that a task holds at once.
-HIDDEN, WINDOW, LANES, HELD_TOKENS = 16, 32, 512, 4_000_000
+HIDDEN, WINDOW, LANES, HELD_TOKENS = 16, 32, 512, 2_000_000
 #: Training: documents of the sample, tasks, rounds of averaging, updates of a task in a round, lanes, step size.
 TRAIN_DOCS, TASKS, ROUNDS, UPDATES, TRAIN_LANES, RATE = 4096, 6, 3, 250, 64, 0.02
 #: Distinct words counted in a task before they are handed on.
