@@ -16,7 +16,7 @@ from webloom.llm.queries import QUERIES
 def small_head(n=1200):
     rng = np.random.default_rng(0)
     words = [b"", *(f"w{i}".encode() for i in range(n))]
-    return lm.Head({w: i for i, w in enumerate(words)}, np.sort(rng.integers(3, 1000, n + 1))[::-1].astype(float), 10 ** 6, n + 100,
+    return lm.Head(lm._Numbers((w, i) for i, w in enumerate(words)), np.sort(rng.integers(3, 1000, n + 1))[::-1].astype(float), 10 ** 6, n + 100,
                    np.arange(8.0), np.arange(8.0))
 
 

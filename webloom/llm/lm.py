@@ -24,17 +24,17 @@ from webloom.llm.common import written
 from webloom.session import ship_package
 
 #: Words that every task knows (a bound for what is broadcast); all others are looked up by a join.
-HEAD = 200_000
+HEAD = 120_000
 #: Words with an output and input vector of their own, words of a class, endings and frequency bins of other classes.
 NEURAL, CLASS_WORDS, ENDINGS, BINS = 1024, 32, 8, 3
 CLASSES = NEURAL // CLASS_WORDS + (BINS + 1) * ENDINGS
 TAIL_CLASS = CLASSES - ENDINGS
 #: State size, steps of a window, documents scored side by side, tokens that a task holds at once.
-HIDDEN, WINDOW, LANES, HELD_TOKENS = 16, 32, 512, 2_000_000
+HIDDEN, WINDOW, LANES, HELD_TOKENS = 16, 32, 512, 1_000_000
 #: Training: documents of the sample, tasks, rounds of averaging, updates of a task in a round, lanes, step size.
 TRAIN_DOCS, TASKS, ROUNDS, UPDATES, TRAIN_LANES, RATE = 4096, 6, 3, 250, 64, 0.02
 #: Distinct words counted in a task before they are handed on.
-COUNTED = 300_000
+COUNTED = 80_000
 END = b""  # the end token: words are never empty
 SMOOTH = 0.1
 
@@ -72,11 +72,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("t").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+class _Numbers(dict):
+    """Head words by number; any other word is minus one minus its ending class."""
+
+    def __missing__(self, word):
+        return -1 - zlib.crc32(word[-2:]) % ENDINGS
+
+
 @dataclass
 class Head:
     """What a task knows of the vocabulary. Head words are numbered: the end token, then by falling count."""
 
-    number: dict[bytes, int]
+    number: _Numbers
     counts: np.ndarray
     total: int  # N
     distinct: int  # V
@@ -103,11 +110,6 @@ class Head:
         return self.total + SMOOTH * (self.distinct + 1)
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        return -1 - zlib.crc32(word[-2:]) % ENDINGS
-
-
 def learn_head(counts: DataFrame) -> Head:
     """From the whole count table. Words are taken from the most frequent down, by eighths of powers of two of the
     count, while they fit in HEAD; the driver gets at most HEAD words, 512 bin totals and ENDINGS sums."""
@@ -125,7 +127,7 @@ def learn_head(counts: DataFrame) -> Head:
         tail_total[r.e], tail_distinct[r.e] = r.c, r.words
     if not rows:
         rows = [(END, 0)]
-    return Head({w: i for i, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], float), sum(r.c for r in totals),
+    return Head(_Numbers((w, i) for i, (w, _) in enumerate(rows)), np.array([c for _, c in rows], float), sum(r.c for r in totals),
                 sum(r.words for r in totals), tail_total, tail_distinct)
 
 
@@ -324,7 +326,7 @@ def _numbers(table: dict, texts: list) -> tuple[np.ndarray, np.ndarray, list[lis
 def _copy(shared, held, updates: int, k: int):
     """Group map of round ``k``: one group of texts -> its trained parameters."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        flat, lengths, _ = _numbers(_Numbers(shared.value.number), sorted(t or b"" for t in table.column("t").to_pylist()))
+        flat, lengths, _ = _numbers(shared.value.number, sorted(t or b"" for t in table.column("t").to_pylist()))
         got = train_copy(Network(held.value), shared.value, flat, lengths, updates, RATE * 0.7 ** k, k)
         data = np.concatenate([got.p[n].ravel() for n in sorted(got.p)]).astype(np.float32).tobytes()
         return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(flat)], pa.int64()), "p": pa.array([data], pa.binary())})
@@ -353,8 +355,6 @@ def train(sample: DataFrame, head: Head, shared, rounds: int = ROUNDS, updates:
     return net
 
 
-_LOADED: dict[int, _Numbers] = {}
-
 _SCORED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()),
                         T.StructField("lp", T.DoubleType()), T.StructField("tail", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
 
@@ -363,10 +363,7 @@ def _score(shared, params):
     """Arrow map (kept columns..., t) -> (kept columns..., fields of _SCORED)."""
     def run(batches):
         head, net = shared.value, Network(params.value)
-        if id(head) not in _LOADED:
-            _LOADED.clear()
-            _LOADED[id(head)] = _Numbers(head.number)
-        table = _LOADED[id(head)]
+        table = head.number
 
         def scored(rows, flats, lengths, tails):
             flat, sizes = np.concatenate(flats), np.concatenate(lengths)
