@@ -45,3 +45,90 @@ def test_stream_equals_batch(spark, tmp_path):
     empty = snapshot_rows(caps(spark, rows)).where(F.lit(False))
     b = sorted((r.url, r.change_type, r.current_hash) for r in detect_changes(caps(spark, rows), empty).collect())
     assert s == b
+
+
+def test_equal_texts_of_any_length_have_no_diff(spark):
+    from webloom.functions.text import diff_summary
+    long = "\n".join(f"line {i}" for i in range(500))
+    df = spark.createDataFrame([(long, long, long.replace("line 450", "edited"))], "a string, b string, c string")
+    r = df.select(diff_summary("a", "b").alias("same"), diff_summary("a", "c").alias("one"), diff_summary("a", "c", chars=100).alias("cut")).first()
+    assert tuple(r) == ("+0 lines added, -0 lines removed", "+1 lines added, -1 lines removed", "+0 lines added, -0 lines removed")
+
+
+def test_line_diff_counts_occurrences(spark):
+    from webloom.operators.changes import line_diff
+    old = spark.createDataFrame([(1, "a\nb\nb"), (2, None), (3, "x")], "doc_id long, text string")
+    new = spark.createDataFrame([(1, "a\nc\nc\nc"), (2, "y"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.added, r.removed) for r in line_diff(old, new).collect()}
+    assert got == {1: (3, 2), 2: (1, 0), 3: (0, 1), 4: (0, 0)}
+
+
+def test_late_captures_are_one_rule(spark, tmp_path):
+    from webloom.streaming.monitor import monitor_changes
+    t0, t1, t2 = (dt.datetime(2024, 1, d) for d in (1, 2, 3))
+    stored = snapshot_rows(caps(spark, [("u", "two", t1)]))
+    late = caps(spark, [("u", "one", t0), ("u", "three\nlines", t2)])
+    changes, snaps = check_for_changes(late, stored)
+    assert [(r.change_type, r.has_changed) for r in changes.orderBy("ts").collect()] == [("late", False), ("content", True)]
+    assert [r.ts for r in snaps.collect()] == [t2]
+    assert check_for_changes(late.where("ts < '2024-01-02'"), stored)[1].first().ts == t1  # a late capture is no snapshot
+    for part, rows in (("a", caps(spark, [("u", "two", t1)])), ("b", late)):
+        rows.write.parquet(str(tmp_path / "in" / part))
+        src = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        (monitor_changes(src, emit_unchanged=True).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination())
+    got = sorted((r.ts, r.change_type, r.diff_summary) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(t0, "late", None), (t1, "initial", None), (t2, "content", "+2 lines added, -1 lines removed")]
+
+
+def test_snapshot_versions_are_written_and_read(spark, tmp_path):
+    from webloom.operators.changes import monitoring_stats, read_snapshots, write_snapshots
+    snaps = snapshot_rows(caps(spark, [("a", "1", dt.datetime(2024, 1, 1)), ("b", "2", dt.datetime(2024, 1, 1))]))
+    path = write_snapshots(snaps, str(tmp_path / "snap"), "7")
+    back = read_snapshots(spark, path)
+    assert path.endswith("/v=7") and sorted(map(str, back.select(*snaps.columns).collect())) == sorted(map(str, snaps.collect()))
+    assert {(r.url, r.total_urls, len(r.hash)) for r in monitoring_stats(back).collect()} == {("a", 2, 19), ("b", 2, 19)}
+
+
+def test_watch_list_events_and_replay(spark, tmp_path):
+    import json
+    from webloom.streaming.monitor import monitor_changes, subscribe, watched
+    schema = "url string, html string, ts timestamp, status_code int"
+    rows = [("a", "x", dt.datetime(2024, 1, 1), 200), ("b", "x", dt.datetime(2024, 1, 1), 200), ("a", "", dt.datetime(2024, 1, 2), 500)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    wanted = spark.createDataFrame([("a",), ("a",), ("z",)], "url string")
+    events = monitor_changes(watched(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), wanted))
+    subscribe(events, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    payloads = [json.loads(r.payload) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert [(p["url"], p["change_type"], p["timestamp"]) for p in payloads] == [("a", "initial", "2024-01-01T00:00:00.000000")]
+    got = []
+    again = monitor_changes(watched(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), wanted))
+    subscribe(again, "", str(tmp_path / "ck2"), fn=lambda batch, i: got.append((i, batch.count()))).awaitTermination()
+    assert got[0] == (0, 1)
+
+
+def test_state_expires(spark, tmp_path):
+    """T7 runs on processing time, so its stream keeps a running trigger."""
+    import time
+    from webloom.streaming.monitor import monitor_changes
+    schema = "url string, html string, ts timestamp"
+    (tmp_path / "in").mkdir()
+    src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+
+    def events():
+        try:
+            return [r.change_type for r in spark.read.parquet(str(tmp_path / "out")).where("url = 'u'").collect()]
+        except Exception:  # noqa: BLE001  nothing is written yet
+            return []
+    q = (monitor_changes(src, ttl_ms=1000).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="300 milliseconds").start())
+    try:
+        for n, part in ((1, "a"), (2, "b")):
+            caps(spark, [("u", "same", dt.datetime(2024, 1, n))]).write.parquet(str(tmp_path / "in" / part))
+            until = time.time() + 40
+            while len(events()) < n and time.time() < until:
+                time.sleep(0.5)
+            time.sleep(6)  # the state is forgotten
+    finally:
+        q.stop()
+    assert events() == ["initial", "initial"]

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from webloom.functions.blocks import classify_block, is_retryable
-from webloom.operators.fetchlog import burst_exceeded, circuit_state, cooling_down, host_delay, request_rate
+from webloom.operators.fetchlog import burst_exceeded, cooling_down, latest_fresh, request_rate
 
 
 def test_retry_statuses(spark):
@@ -28,23 +28,6 @@ def _log(spark, oks, start=0, step=1):
                                   for i, ok in enumerate(oks)], "host string, ts timestamp, ok boolean, status_code int")
 
 
-def test_circuit_open_half_closed(spark):
-    base = dt.datetime(2024, 1, 1)
-    rows = [("h", base + dt.timedelta(seconds=s), ok, 200) for s, ok in
-            [(0, False), (1, False), (2, False), (40, True), (41, True), (42, True), (43, True)]]
-    log = spark.createDataFrame(rows, "host string, ts timestamp, ok boolean, status_code int")
-    out = circuit_state(log, threshold=3, recovery_s=30).orderBy("ts").collect()
-    assert [r.state_after for r in out[:3]] == ["CLOSED", "CLOSED", "OPEN"]
-    assert out[3].state_seen == "HALF_OPEN"
-    assert [r.state_after for r in out[3:]] == ["HALF_OPEN", "HALF_OPEN", "CLOSED", "CLOSED"]
-
-
-def test_delay_rises_then_falls(spark):
-    out = [r.delay for r in host_delay(_log(spark, [False] * 5 + [True] * 6)).orderBy("ts").collect()]
-    assert out[:5] == sorted(out[:5]) and out[4] > 1.0
-    assert out[9] < out[4]
-
-
 def test_rates(spark):
     log = _log(spark, [True] * 4, step=20)
     r = [x.requests_in_window for x in request_rate(log, seconds=60).orderBy("ts").collect()]
@@ -53,31 +36,42 @@ def test_rates(spark):
     assert b == [False, True, True, True]
 
 
-def test_cooldown_skip_and_reset(spark):
+def test_rates_against_counting(spark):
+    import random
+    rng = random.Random(1)
     base = dt.datetime(2024, 1, 1)
-    rows = [("u", base + dt.timedelta(seconds=s), f) for s, f in
-            [(0, True), (1, True), (2, True), (3, True), (400, True), (401, False), (402, True)]]
-    log = spark.createDataFrame(rows, "url string, ts timestamp, failed boolean")
-    out = cooling_down(log, threshold=3, cooldown_s=300).orderBy("ts").collect()
-    assert [r.skip_direct for r in out] == [False, False, False, True, False, False, False]
-    assert [r.failures for r in out] == [1, 2, 3, 4, 1, 0, 1]
+    rows = [(i, f"h{i % 2}", base + dt.timedelta(seconds=rng.randint(0, 400))) for i in range(300)]
+    got = {r.i: r.requests_in_window for r in request_rate(spark.createDataFrame(rows, "i long, host string, ts timestamp"), seconds=37).collect()}
+    assert got == {i: sum(g == h and dt.timedelta(0) <= t - u < dt.timedelta(seconds=37) for _, g, u in rows) for i, h, t in rows}
 
 
-def test_stream_folds_equal_batch(spark, tmp_path):
-    from webloom.streaming.folds import stream_circuit_state, stream_host_delay
+def test_failure_runs_against_a_loop(spark):
+    import random
+    rng = random.Random(2)
     base = dt.datetime(2024, 1, 1)
-    rows = [("h", base + dt.timedelta(seconds=s), ok, 200 if ok else 429) for s, ok in
-            [(0, False), (1, False), (2, False), (40, True), (41, True), (42, True), (43, True), (44, True), (45, True)]]
-    schema = "host string, ts timestamp, ok boolean, status_code int"
-    log = spark.createDataFrame(rows, schema)
-    log.coalesce(1).write.parquet(str(tmp_path / "in"))
-    for name, fn, batch, cols in [
-            ("c", lambda s: stream_circuit_state(s, threshold=3, recovery_s=30),
-             circuit_state(log, threshold=3, recovery_s=30), ["ts", "state_seen", "state_after"]),
-            ("d", stream_host_delay, host_delay(log), ["ts", "delay"])]:
-        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        q = (fn(src).writeStream.format("parquet").option("path", str(tmp_path / name))
-             .option("checkpointLocation", str(tmp_path / (name + "ck"))).trigger(availableNow=True).start())
-        q.awaitTermination()
-        got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / name)).select(*cols).collect())
-        assert got == sorted(tuple(r) for r in batch.select(*cols).collect())
+    rows, t = [], {"u": 0, "v": 0}
+    for i in range(600):
+        u = rng.choice("uv")
+        t[u] += rng.choice([0, 1, 5, 50, 299, 300, 301, 2000])
+        rows.append((i, u, base + dt.timedelta(seconds=t[u]), rng.random() < 0.8))
+    want, state = {}, {}
+    for i, u, at, failed in sorted(rows, key=lambda r: (r[2], r[0])):
+        count, last = state.get(u, (0, None))
+        fresh = last is not None and (at - last).total_seconds() < 300
+        skip = count >= 3 and fresh
+        if count >= 3 and not fresh:
+            count = 0
+        count = count + 1 if failed else 0
+        state[u] = (count, at if failed else None)
+        want[i] = (skip, count)
+    log = spark.createDataFrame(rows, "i long, url string, ts timestamp, failed boolean")
+    for bucket in (100, 86_400):
+        out = cooling_down(log, threshold=3, cooldown_s=300, tie="i", bucket_s=bucket)
+        assert {r.i: (r.skip_direct, r.failures) for r in out.collect()} == want
+
+
+def test_latest_row_of_equal_times_is_the_largest(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("h", 1, t), ("h", 3, t), ("h", 2, t), ("g", 9, t - dt.timedelta(days=9))], "host string, n int, ts timestamp")
+    got = {r.host: (r.n, r.fresh) for r in latest_fresh(df, "host", "ts", "2024-01-01 00:01:00", 300).collect()}
+    assert got == {"h": (3, True), "g": (9, False)}

@@ -27,8 +27,19 @@ def test_render_results(spark):
     from webloom.sources.reports import render_results
     p = json.dumps({"results": [{"title": "A", "href": "https://a", "content": "x" * 400}, {"url": "https://b"}]})
     df = spark.createDataFrame([("q", p)], "query string, payload string")
-    md = render_results(df, "markdown").collect()[0].report
+    md = render_results(df, "markdown", shown=10, chars=300).collect()[0].report
     assert md.startswith("# Search Results for: q\n\nFound 2 results\n\n## 1. A\n**URL:** https://a\n\n" + "x" * 300 + "...\n")
     assert "## 2. Untitled\n**URL:** https://b\n\n...\n" in md
-    html = render_results(df, "html").collect()[0].report
+    html = render_results(df, "html", shown=1, chars=300).collect()[0].report
     assert html.startswith('<h1>Search Results for: q</h1>\n<div class="result">\n<h3><a href="https://a">A</a></h3>')
+    assert html.count("<h3>") == 1 and render_results(df, "json").first().report == p
+    assert "x" * 400 + "\n" in render_results(df).first().report  # nothing is cut unless asked
+
+
+def test_feed_limits_are_asked_for(spark):
+    from webloom.sources.feeds import USUAL_LIMITS, read_feed
+    rows = "".join(f'<tr class="result"><td><a class="result-link" href="https://c.test/{i}">{"t" * 250}</a></td></tr>' for i in range(14))
+    feed = spark.createDataFrame([("q", "duckduckgo", 0, f"<table>{rows}</table>")], "query string, engine string, doc_no long, payload string")
+    assert read_feed(feed).count() == 14 and len(read_feed(feed).first().title) == 250
+    cut = read_feed(feed, limits=USUAL_LIMITS)
+    assert cut.count() == 10 and len(cut.first().title) == 200
