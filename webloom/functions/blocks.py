@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.common import let
+
 from webloom.functions.common import col as _c
 
 # Detection patterns (regular expressions, matched case-insensitively).
@@ -69,16 +71,17 @@ def classify_block(status, html) -> Column:
     Same precedence as the rule: status first, then captcha and block text (high), then the
     rate-limit check overwrites confidence to medium unless the status is 429."""
     s, h = _c(status), F.coalesce(_c(html), F.lit(""))
-    cap, blk_txt, rl = is_captcha(h), is_block_text(h), is_rate_limited(s, h)
-    blocked = F.coalesce(s.isin(403, 503), F.lit(False)) | blk_txt
-    limited = F.coalesce(s == 429, F.lit(False)) | rl
-    conf = F.when(F.coalesce(s.isin(403, 503), F.lit(False)), "medium") \
-        .when(F.coalesce(s == 429, F.lit(False)), "high").otherwise("low")
-    conf = F.when(cap | blk_txt, "high").otherwise(conf)
-    conf = F.when(rl, F.when(F.coalesce(s == 429, F.lit(False)), "high").otherwise("medium")).otherwise(conf)
-    typ = F.when(cap, "captcha").when(limited, "rate_limited").when(blocked, "blocked").otherwise("none")
-    return F.struct(cap.alias("is_captcha"), blocked.alias("is_blocked"), limited.alias("is_rate_limited"),
-                    (cap | blocked | limited).alias("requires_action"), typ.alias("type"), conf.alias("confidence"))
+    forbidden, too_many = F.coalesce(s.isin(403, 503), F.lit(False)), F.coalesce(s == 429, F.lit(False))
+
+    def verdict(v):  # each pattern list is searched once
+        cap, text, rate = v["cap"], v["text"], v["rate"]
+        blocked, limited = forbidden | text, too_many | rate
+        by_status = F.when(forbidden, "medium").when(too_many, "high").otherwise("low")
+        conf = F.when(rate, F.when(too_many, "high").otherwise("medium")).when(cap | text, "high").otherwise(by_status)
+        kind = F.when(cap, "captcha").when(limited, "rate_limited").when(blocked, "blocked").otherwise("none")
+        return F.struct(cap.alias("is_captcha"), blocked.alias("is_blocked"), limited.alias("is_rate_limited"),
+                        (cap | blocked | limited).alias("requires_action"), kind.alias("type"), conf.alias("confidence"))
+    return let(F.struct(is_captcha(h).alias("cap"), is_block_text(h).alias("text"), is_rate_limited(s, h).alias("rate")), verdict)
 
 
 def is_retryable(status, error_type=None, retry_on=("TimeoutError", "ConnectionError"),
