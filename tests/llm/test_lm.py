@@ -125,3 +125,54 @@ def test_defined_cases(spark):
     assert lm.score(df.limit(0), F.lit(True), ["doc_id"], rounds=1, updates=1).count() == 0
     unseen = lm.score(df, F.lit(False), ["doc_id"], rounds=1, updates=1).collect()
     assert {(r.n_known, r.train_tokens) for r in unseen} == {(0, 0)} and all(math.isfinite(r.score) for r in unseen)
+
+
+def test_training_covers_every_token(monkeypatch):
+    """One long document among short ones: the windows of a pass hold each token once."""
+    head, told, real = small_head(), [], lm.Network.gradients
+
+    def counted(self, x, h, cls, word, valid, *more):
+        told.append((cls[valid], valid.size))
+        return real(self, x, h, cls, word, valid, *more)
+    monkeypatch.setattr(lm.Network, "gradients", counted)
+    rng = np.random.default_rng(4)
+    lengths = np.array([20_020] + [5] * 100)
+    flat = rng.integers(-8, len(head.counts), lengths.sum()).astype(np.int32)
+    lm.train_copy(lm.Network.fresh(head), head, flat, lengths, 10 ** 9, 0.02, 0)
+    cls = np.where(flat >= 0, head.cls[np.maximum(flat, 0)], lm.TAIL_CLASS - 1 - flat)
+    assert np.bincount(np.concatenate([c for c, _ in told])).tolist() == np.bincount(cls).tolist()
+    assert sum(size for _, size in told) < 1.02 * lengths.sum()  # hardly any padding
+
+
+def test_pieces_hold_every_row_and_their_states(spark):
+    """More documents than the sample once had, and one of several pieces: all tokens, in groups that grow in number."""
+    docs = spark.createDataFrame([(i, f"a b w{i}") for i in range(5000)] + [(5000, " ".join(f"w{i * i % 997}" for i in range(10_000)))], "doc_id long, text string")
+    learned = docs.select(F.col("text").cast("binary").alias("t"))
+    head = lm.learn_head(lm.count_words(learned))
+    rows = lm.pieces(learned, head, spark.sparkContext.broadcast(head), 9).collect()
+    assert sum(len(r.codes) // 2 - r.lead for r in rows) == head.total == 30_001 and {r.g for r in rows} == set(range(9))
+    words = [head.number[w] for w in lm.words_of(docs.where("doc_id = 5000").first().text.encode())]
+    codes = lm.codes_of(head, np.array(words))
+    parts = sorted((np.frombuffer(r.codes, np.uint16)[r.lead:] for r in rows if len(r.codes) > 100), key=len)
+    assert sorted(map(len, parts)) == sorted([4096, 4096, 10_001 - 8192])
+    assert sorted(np.concatenate(parts).tolist()) == sorted(codes.tolist())
+    net, one = lm.Network.fresh(head), np.array([len(codes)])
+    net.p = {k: v * 2 for k, v in net.p.items()}
+    walk = lm.Stream(codes, one, np.array([0]))
+    whole = net.states(walk.inp[:, None], np.zeros((1, lm.HIDDEN), np.float32))[:, 0]
+    assert np.abs(walk.warm(net)[1:] - whole[walk.at[1:] - 1]).max() < 1e-4
+
+
+def test_gradients_stop_where_a_text_begins():
+    head = small_head()
+    net = lm.Network.fresh(head)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 90, (6, 2)).astype(np.int32)
+    cls, word, all_, begins = x // lm.CLASS_WORDS, x, np.ones(x.shape, bool), np.zeros(x.shape, bool)
+    begins[3] = True
+    zero = np.zeros((2, lm.HIDDEN), np.float32)
+    got, last = net.gradients(x, zero, cls, word, all_, begins)
+    a, b = (net.gradients(x[c], zero, cls[c], word[c], all_[c]) for c in (slice(0, 3), slice(3, 6)))
+    assert np.allclose(last, b[1])
+    for k in got:
+        assert np.allclose(got[k], (a[0][k] + b[0][k]) / 2, atol=1e-6)

@@ -5,8 +5,9 @@ the most frequent words have classes of CLASS_WORDS with a softmax of their own
 classes by frequency and ending with their share of the class's counts; so are the words beyond the bounded head,
 with 0.1 added to each count and to one unseen word. The sum over all words, seen or not, is one.
 
-Training is truncated backpropagation in numpy, on a bounded sample, in rounds: tasks train copies on their part and
-the driver averages them. Scoring carries the state from window to window through each whole document."""
+Training is truncated backpropagation in numpy over every training document once, in rounds: the documents are dealt
+to groups of bounded token count, more groups as the input grows; each round trains a copy on each of its groups and
+averages the copies by tokens. Scoring carries the state from window to window through each whole document."""
 
 from __future__ import annotations
 
@@ -31,8 +32,12 @@ CLASSES = NEURAL // CLASS_WORDS + (BINS + 1) * ENDINGS
 TAIL_CLASS = CLASSES - ENDINGS
 #: State size, steps of a window, documents scored side by side, tokens that a task holds at once.
 HIDDEN, WINDOW, LANES, HELD_TOKENS = 16, 32, 512, 1_000_000
-#: Training: documents of the sample, tasks, rounds of averaging, updates of a task in a round, lanes, step size.
-TRAIN_DOCS, TASKS, ROUNDS, UPDATES, TRAIN_LANES, RATE = 4096, 6, 3, 250, 64, 0.02
+#: Training: tokens of a group (on average), rounds of averaging, step size.
+GROUP, ROUNDS, RATE = 1 << 20, 3, 0.02
+#: Lanes of a group, least and most; between them as many as give about STEPS updates in the pass over the group.
+LEAST_LANES, TRAIN_LANES, STEPS = 64, 256, 128
+#: Tokens of a piece of a long document, and tokens before a piece or lane that bring up its state.
+PIECE, CONTEXT = 4096, 128
 #: Distinct words counted in a task before they are handed on.
 COUNTED = 80_000
 END = b""  # the end token: words are never empty
@@ -148,12 +153,15 @@ class Network:
                     "c": np.log(head.mass + 0.5).astype(np.float32), "W": normal(NEURAL, HIDDEN) * 0.1,
                     "w": np.where(shares > 0, np.log(shares + 1e-9), -30).astype(np.float32)})
 
-    def states(self, x: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each step of inputs ``x`` (steps, lanes) from ``h``; with ``keep`` what the way back needs."""
+    def states(self, x: np.ndarray, h: np.ndarray, keep: bool = False, begins: np.ndarray | None = None):
+        """States after each step of inputs ``x`` (steps, lanes) from ``h``; with ``keep`` what the way back needs.
+        Where ``begins`` (steps, lanes) holds, a text begins and the state before is zero."""
         gates, u, k = self.p["G"], self.p["U"], HIDDEN
         out = np.empty((*x.shape, k), np.float32)
         kept = []
         for t in range(len(x)):
+            if begins is not None:
+                h = np.where(begins[t][:, None], np.float32(0), h)
             g, s = gates[x[t]], h @ u
             zr = 1 / (1 + np.exp(-(g[:, :2 * k] + s[:, :2 * k])))
             z, r = zr[:, :k], zr[:, k:]
@@ -178,10 +186,11 @@ class Network:
             out[rows] += inner[np.arange(len(rows)), word[rows] - a] - np.log(np.exp(inner).sum(axis=1))
         return out
 
-    def gradients(self, x: np.ndarray, h: np.ndarray, cls: np.ndarray, word: np.ndarray, valid: np.ndarray):
-        """Gradients of the mean loss over one window, cut at its beginning, and the last state."""
+    def gradients(self, x: np.ndarray, h: np.ndarray, cls: np.ndarray, word: np.ndarray, valid: np.ndarray,
+                  begins: np.ndarray | None = None):
+        """Gradients of the mean loss over one window, cut at its beginning and where a text begins, and the last state."""
         p, k = self.p, HIDDEN
-        hs, kept = self.states(x, h, keep=True)
+        hs, kept = self.states(x, h, keep=True, begins=begins)
         flat, ok = hs.reshape(-1, k), valid.ravel()
         cls, word = cls.ravel(), np.where(ok, word.ravel(), -1)
         n = max(ok.sum(), 1)
@@ -212,7 +221,11 @@ class Network:
             to_state = np.concatenate([dz, dr, dn * r], axis=1)
             g["U"] += before.T @ to_state
             back = total * z + to_state @ p["U"].T
-        np.add.at(g["G"], x.ravel(), to_gates.reshape(-1, 3 * k))
+            if begins is not None:
+                back[begins[t]] = 0
+        order = np.argsort(x.ravel(), kind="stable")
+        inputs, first = np.unique(x.ravel()[order], return_index=True)
+        g["G"][inputs] = np.add.reduceat(to_gates.reshape(-1, 3 * k)[order], first, axis=0)
         return g, hs[-1]
 
 
@@ -258,12 +271,10 @@ class Lanes:
         at = np.minimum(at, self.ends[self.doc] - 1)
         return self.inp[at], self.cls[at], self.word[at], self.own[at], valid
 
-    def advance(self, steps: int, h: np.ndarray, again: bool = False) -> bool:
-        """Move on; False when no lane is left. ``again``: begin with the first document when the queue is empty."""
+    def advance(self, steps: int, h: np.ndarray) -> bool:
+        """Move on; False when no lane is left."""
         self.cur, self.h = self.cur + steps, h.copy()
         for lane in np.flatnonzero(self.cur >= self.ends[self.doc]):
-            if self.next >= len(self.queue) and again:
-                self.next = 0
             if self.next < len(self.queue):
                 self.doc[lane] = self.queue[self.next]
                 self.cur[lane] = self.starts[self.doc[lane]]
@@ -288,34 +299,79 @@ def log_likelihoods(net: Network, head: Head, numbers: np.ndarray, lengths: np.n
     return total
 
 
-def train_copy(net: Network, head: Head, numbers: np.ndarray, lengths: np.ndarray, updates: int, rate: float, seed: int) -> Network:
-    """Up to ``updates`` windows of truncated backpropagation (Adam), at most one pass over the documents."""
-    updates = min(updates, max(1, len(numbers) // (TRAIN_LANES * WINDOW)))
-    order = np.random.default_rng(seed).permutation(len(lengths))
-    starts = np.cumsum(lengths) - lengths
-    numbers = np.concatenate([numbers[starts[i]:starts[i] + lengths[i]] for i in order])
-    walk = Lanes(numbers, lengths[order], head, TRAIN_LANES)
-    walk.queue = np.arange(len(lengths))
-    walk.doc = walk.queue[:len(walk.doc)].copy()
-    walk.cur = walk.starts[walk.doc].copy()
+class Stream:
+    """Pieces of texts one after the other, cut into lanes of one length that are walked side by side, so that a window
+    has no padding. A lane that begins inside a piece has the state that the CONTEXT tokens before it give."""
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, leads: np.ndarray):
+        n, starts = len(codes), np.cumsum(lengths) - lengths
+        codes = codes.astype(np.int32)
+        self.inp = np.empty_like(codes)
+        self.inp[1:] = codes[:-1]
+        self.inp[starts] = 0  # a text begins after an end token
+        self.begins = np.zeros(n, bool)
+        self.begins[starts] = True
+        self.valid = np.arange(n) - np.repeat(starts, lengths) >= np.repeat(leads, lengths)
+        self.cls = np.where(codes < NEURAL, codes // CLASS_WORDS, codes - NEURAL)
+        self.word = np.where(codes < NEURAL, codes, -1)
+        lanes = min(n, max(LEAST_LANES, min(TRAIN_LANES, n // (WINDOW * STEPS))))
+        self.span = -(-n // lanes)
+        self.at = np.arange(0, n, self.span)
+        self.updates = -(-self.span // WINDOW)
+        self.steps = -(-self.span // self.updates)
+
+    def warm(self, net: Network) -> np.ndarray:
+        """States of ``net`` before the first token of each lane."""
+        at = np.maximum(self.at + np.arange(-CONTEXT, 0)[:, None], 0)
+        return net.states(self.inp[at], np.zeros((len(self.at), HIDDEN), np.float32), begins=self.begins[at])[-1]
+
+    def window(self, i: int):
+        """Inputs, classes, words, validity and beginnings of the ``i``-th steps of every lane."""
+        step = np.arange(i * self.steps, min((i + 1) * self.steps, self.span))[:, None]
+        at = self.at + step
+        inside = at < len(self.inp)
+        at = np.minimum(at, len(self.inp) - 1)
+        return self.inp[at], self.cls[at], self.word[at], self.valid[at] & inside, self.begins[at]
+
+
+def codes_of(head: Head, numbers: np.ndarray) -> np.ndarray:
+    """What the network knows of words by number: one of the NEURAL, or NEURAL and the class."""
+    known = numbers >= 0
+    return np.where(known, head.inp[np.where(known, numbers, 0)], NEURAL + TAIL_CLASS - 1 - numbers).astype(np.uint16)
+
+
+def train_codes(net: Network, codes: np.ndarray, lengths: np.ndarray, leads: np.ndarray, updates: int | None, rate: float) -> Network:
+    """One pass of truncated backpropagation (Adam) over all pieces, or its first ``updates`` windows where that is asked."""
     p = {k: v.copy() for k, v in net.p.items()}
     own = Network(p)
+    if not len(codes):
+        return own
+    walk = Stream(codes, lengths, leads)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for step in range(1, updates + 1):
-        x, cls, word, _, valid = walk.window(WINDOW)
-        g, h = own.gradients(x, walk.h, cls, word, valid)
+    n = walk.updates if updates is None else min(updates, walk.updates)
+    h = walk.warm(net)
+    for step in range(1, n + 1):
+        x, cls, word, valid, begins = walk.window(step - 1)
+        g, h = own.gradients(x, h, cls, word, valid, begins)
         norm = np.sqrt(sum(float((d * d).sum()) for d in g.values()))
         cut = min(1.0, 1.0 / max(norm, 1e-9))
-        pace = rate * (1 - 0.9 * step / updates) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
+        pace = rate * (1 - 0.9 * step / n) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
         for k, d in g.items():
             d *= np.float32(cut)
             m[k] += np.float32(0.1) * (d - m[k])
             v[k] += np.float32(0.01) * (d * d - v[k])
             p[k] -= np.float32(pace) * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))
-        walk.advance(len(x), h, again=True)
     return own
 
 
+def train_copy(net: Network, head: Head, numbers: np.ndarray, lengths: np.ndarray, updates: int | None, rate: float, seed: int) -> Network:
+    """:func:`train_codes` over whole documents of numbered words, in an order by ``seed``."""
+    order = np.random.default_rng(seed).permutation(len(lengths))
+    starts = np.cumsum(lengths) - lengths
+    numbers = np.concatenate([numbers[starts[i]:starts[i] + lengths[i]] for i in order] or [numbers])
+    return train_codes(net, codes_of(head, numbers), lengths[order], np.zeros(len(lengths), np.int64), updates, rate)
+
+
 def _numbers(table: dict, texts: list) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
     words = [words_of(t) for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -323,29 +379,64 @@ def _numbers(table: dict, texts: list) -> tuple[np.ndarray, np.ndarray, list[lis
     return flat, lengths, words
 
 
-def _copy(shared, held, updates: int, k: int):
-    """Group map of round ``k``: one group of texts -> its trained parameters."""
+def pieces(learned: DataFrame, head: Head, shared, groups: int) -> DataFrame:
+    """``g int, lead int, codes binary`` of every token of column ``t`` (binary): texts in pieces of at most PIECE tokens
+    (16-bit codes), each after the ``lead`` tokens before it, dealt to ``groups`` by a hash of text and piece."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                flat, lengths, _ = _numbers(shared.value.number, part.column(1).to_pylist())
+                codes, ends = codes_of(shared.value, flat), np.cumsum(lengths)
+                made = [(i, k, max(a - CONTEXT, start), a, min(a + PIECE, end))
+                        for i, (start, end) in enumerate(zip(ends - lengths, ends, strict=True)) for k, a in enumerate(range(start, end, PIECE))]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(pa.array([i for i, *_ in made], pa.int64())), pa.array([k for _, k, *_ in made], pa.int32()),
+                    pa.array([a - b for _, _, b, a, _ in made], pa.int32()), pa.array([codes[b:c].tobytes() for _, _, b, _, c in made], pa.binary())],
+                    names=["h", "k", "lead", "codes"])
+    cut = learned.select(F.xxhash64("t").alias("h"), "t").mapInArrow(run, "h long, k int, lead int, codes binary")
+    return cut.select(F.pmod(F.xxhash64("h", "k"), F.lit(groups)).cast("int").alias("g"), "lead", "codes")
+
+
+def _copy(held, updates: int | None, k: int):
+    """Group map of round ``k``: the pieces of one group -> its trained parameters."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        flat, lengths, _ = _numbers(shared.value.number, sorted(t or b"" for t in table.column("t").to_pylist()))
-        got = train_copy(Network(held.value), shared.value, flat, lengths, updates, RATE * 0.7 ** k, k)
+        rows = sorted(zip(table.column("codes").to_pylist(), table.column("lead").to_pylist(), strict=True))
+        rows = [rows[i] for i in np.random.default_rng(k).permutation(len(rows))]
+        codes, leads = np.frombuffer(b"".join(c for c, _ in rows), np.uint16), np.array([x for _, x in rows])
+        got = train_codes(Network(held.value), codes, np.array([len(c) // 2 for c, _ in rows]), leads, updates, RATE * 0.7 ** k)
         data = np.concatenate([got.p[n].ravel() for n in sorted(got.p)]).astype(np.float32).tobytes()
-        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(flat)], pa.int64()), "p": pa.array([data], pa.binary())})
+        return pa.table({"n": pa.array([len(codes) - int(leads.sum())], pa.int64()), "p": pa.array([data], pa.binary())})
     return run
 
 
-def train(sample: DataFrame, head: Head, shared, rounds: int = ROUNDS, updates: int = UPDATES, tasks: int = TASKS) -> Network:
-    """Rounds of averaging over ``sample`` (column t, binary; about TRAIN_DOCS rows). Each of ``tasks`` groups of texts
-    trains a copy and sends its parameters, 0.4 MB, to the driver, which averages them by tokens."""
-    spark = sample.sparkSession
+def mean_of(copies: DataFrame) -> tuple[int, np.ndarray | None]:
+    """Tokens ``n`` of all copies, and the mean of their parameters ``p`` by tokens. Tasks add up their copies and the
+    sums are added in tasks again, so the driver gets about the square root of the partitions of them."""
+    def add(total, row):
+        mine = np.frombuffer(bytes(row.p), np.float32).astype(float) * row.n
+        return total[0] + row.n, mine if total[1] is None else total[1] + mine
+
+    def both(a, b):
+        return a[0] + b[0], b[1] if a[1] is None else a[1] if b[1] is None else a[1] + b[1]
+    n, whole = copies.rdd.treeAggregate((0, None), add, both)
+    return n, whole / n if n else None
+
+
+def train(learned: DataFrame, head: Head, shared, rounds: int = ROUNDS, updates: int | None = None) -> Network:
+    """One pass over every row of ``learned`` (column t, binary), a share of the groups in each round. A group's copy
+    sends its parameters, 0.4 MB, on to be averaged by tokens. ``updates`` bounds the windows of a group, for callers
+    who want less than all."""
+    spark = learned.sparkSession
     net = Network.fresh(head)
-    dealt = written(sample.select("t", F.pmod(F.xxhash64("t"), F.lit(tasks)).cast("int").alias("g")), "lm-sample")
-    out = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("p", T.BinaryType())])
+    groups = rounds * max(1, -(-int(head.total) // (GROUP * max(rounds, 1))))
+    dealt = written(pieces(learned, head, shared, max(groups, 1)), "lm-pieces")
+    out = T.StructType([T.StructField("n", T.LongType()), T.StructField("p", T.BinaryType())])
     for k in range(rounds):
         held = spark.sparkContext.broadcast(net.p)
-        rows = sorted(dealt.groupBy("g").applyInArrow(_copy(shared, held, updates, k), out).collect(), key=lambda r: r.g)
-        if not rows:
-            break
-        mean = np.average([np.frombuffer(bytes(r.p), np.float32) for r in rows], axis=0, weights=[r.n for r in rows])
+        _, mean = mean_of(dealt.where(F.col("g") % rounds == k).groupBy("g").applyInArrow(_copy(held, updates, k), out))
+        if mean is None:
+            continue
         at = 0
         for name in sorted(net.p):
             shape = net.p[name].shape
@@ -398,12 +489,12 @@ def _score(shared, params):
     return run
 
 
-def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", train_docs: int = TRAIN_DOCS,
-          rounds: int = ROUNDS, updates: int = UPDATES) -> DataFrame:
+def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", rounds: int = ROUNDS,
+          updates: int | None = None) -> DataFrame:
     """One row per row of ``df``: the ``key`` columns, ``n_tokens, n_known, train_tokens, base_score, score``.
 
-    ``learn``: which rows to learn from. Counts cover all of them; the network is trained on those whose text hash is
-    least, about ``train_docs`` of them. Scores are log10; a null text is the empty text, which has the end token
+    ``learn``: which rows to learn from. Counts cover all of them, and the network is trained on all of them, each
+    token once (or the first ``updates`` windows of each group, if that is asked). Scores are log10; a null text is the empty text, which has the end token
     alone. Repeated rows are scored each. Without any row to learn from, every word is unseen and the network is
     untrained. An empty table gives an empty result; other columns are ignored.
 
@@ -416,10 +507,7 @@ def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", trai
     counts = written(count_words(learned), "counts")
     head = learn_head(counts)
     shared = spark.sparkContext.broadcast(head)
-    n_docs = int(head.counts[0])
-    share = min(1.0, train_docs / max(n_docs, 1))
-    hashed = F.shiftrightunsigned(F.xxhash64("t"), 11) / float(1 << 53)
-    net = train(learned.where(hashed < share), head, shared, rounds, updates)
+    net = train(learned, head, shared, rounds, updates)
     params = spark.sparkContext.broadcast(net.p)
     source = rows.select(*[F.col(f"`{k}`") for k in key], "t")
     schema = T.StructType([source.schema[k] for k in key] + list(_SCORED))
