@@ -176,3 +176,13 @@ def test_gradients_stop_where_a_text_begins():
     assert np.allclose(last, b[1])
     for k in got:
         assert np.allclose(got[k], (a[0][k] + b[0][k]) / 2, atol=1e-6)
+
+
+def test_null_texts_and_copies_go_to_all_groups(spark):
+    """A third of rows null in key and text, a third copies of one text: no group holds more than its part of either."""
+    rows = [(None, None)] * 1000 + [(None, "the same text")] * 1000 + [(i, f"a b w{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("t"))
+    head = lm.learn_head(lm.count_words(df))
+    dealt = lm.pieces(df, head, spark.sparkContext.broadcast(head), 10).groupBy("g", F.length("codes").alias("n")).count().collect()
+    assert sum(r["count"] for r in dealt) == 3000 and {r.g for r in dealt} == set(range(10))
+    assert all(r["count"] < 270 for r in dealt)  # null: 1 token; copies and others: 4, 2000 rows in all

@@ -381,7 +381,8 @@ def _numbers(table: dict, texts: list) -> tuple[np.ndarray, np.ndarray, list[lis
 
 def pieces(learned: DataFrame, head: Head, shared, groups: int) -> DataFrame:
     """``g int, lead int, codes binary`` of every token of column ``t`` (binary): texts in pieces of at most PIECE tokens
-    (16-bit codes), each after the ``lead`` tokens before it, dealt to ``groups`` by a hash of text and piece."""
+    (16-bit codes), each after the ``lead`` tokens before it, dealt to ``groups`` by a hash of the piece, the text, the
+    row's key columns (all others) and the row's number, so that null texts, null keys and copies go to all groups."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -394,7 +395,8 @@ def pieces(learned: DataFrame, head: Head, shared, groups: int) -> DataFrame:
                     part.column(0).take(pa.array([i for i, *_ in made], pa.int64())), pa.array([k for _, k, *_ in made], pa.int32()),
                     pa.array([a - b for _, _, b, a, _ in made], pa.int32()), pa.array([codes[b:c].tobytes() for _, _, b, _, c in made], pa.binary())],
                     names=["h", "k", "lead", "codes"])
-    cut = learned.select(F.xxhash64("t").alias("h"), "t").mapInArrow(run, "h long, k int, lead int, codes binary")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in learned.columns if c != "t"], F.coalesce("t", F.lit(b"")), F.monotonically_increasing_id())
+    cut = learned.select(row.alias("h"), "t").mapInArrow(run, "h long, k int, lead int, codes binary")
     return cut.select(F.pmod(F.xxhash64("h", "k"), F.lit(groups)).cast("int").alias("g"), "lead", "codes")
 
 
@@ -424,7 +426,7 @@ def mean_of(copies: DataFrame) -> tuple[int, np.ndarray | None]:
 
 
 def train(learned: DataFrame, head: Head, shared, rounds: int = ROUNDS, updates: int | None = None) -> Network:
-    """One pass over every row of ``learned`` (column t, binary), a share of the groups in each round. A group's copy
+    """One pass over every row of ``learned`` (key columns, and t, binary), a share of the groups in each round. A group's copy
     sends its parameters, 0.4 MB, on to be averaged by tokens. ``updates`` bounds the windows of a group, for callers
     who want less than all."""
     spark = learned.sparkSession
@@ -503,7 +505,7 @@ def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", roun
     spark = df.sparkSession
     ship_package(spark)
     rows = df.select(*[F.col(f"`{k}`") for k in key], F.coalesce(learn, F.lit(False)).alias("__learn"), F.col(f"`{text}`").cast("binary").alias("t"))
-    learned = rows.where("__learn")
+    learned = rows.where("__learn").drop("__learn")
     counts = written(count_words(learned), "counts")
     head = learn_head(counts)
     shared = spark.sparkContext.broadcast(head)
