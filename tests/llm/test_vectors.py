@@ -73,3 +73,33 @@ def test_defined_cases(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
     only_bad = vectors.near_duplicates(df.where("vec_id in (3, 4)")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in only_bad) == [(3, 0, 3, True), (4, 0, 4, True)]
+
+
+def _graph(x):
+    """Pruned neighbours of unit vectors, both ways, padded with -1."""
+    both = [set() for _ in x]
+    for i, kept in enumerate(vectors.robust_prune(x)):
+        for j in kept:
+            both[i].add(int(j))
+            both[int(j)].add(i)
+    flat = np.full((len(x), max(map(len, both))), -1)
+    for i, near in enumerate(both):
+        flat[i, :len(near)] = sorted(near)
+    return flat
+
+
+def test_groups_without_singles_between_them():
+    """25 groups of 130 near copies: each is an island of the graph, and there are more of them than medoids."""
+    rng = np.random.default_rng(6)
+    x = vectors.unit(clustered(rng, [130] * 25, 0.05).astype(float))
+    seen = np.concatenate([vectors.range_search(x, graph, rows, 0.9, 24) for graph in [_graph(x)] for rows in np.array_split(np.arange(len(x)), 13)])
+    truth = x @ x.T >= 0.95
+    assert (seen & truth).sum() >= 0.999 * truth.sum()
+
+
+def test_brute_force_after_the_last_round(spark):
+    """Without a round of searching, the cells are compared by brute force."""
+    rng = np.random.default_rng(7)
+    x = clustered(rng, [1] * 20 + [4] * 5, 0.05)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0, "x") for i, v in enumerate(x)], SCHEMA)
+    assert sum(r.n_links for r in vectors.near_duplicates(df, rounds=0).collect()) == 5 * 4 * 3

@@ -1,8 +1,8 @@
 """Embedding near-duplicates on a robust-pruned flat graph.
 
 Vectors are dealt to overlapping cluster shards. Each shard builds a robust-pruned neighbour graph, the adjacency
-lists of a vector from all its shards are united into one flat graph, and every vector searches it from the medoids:
-greedily to its neighbourhood, then by widening the search through all vectors in range. What is found is verified
+lists of a vector from all its shards are united into one flat graph, and every vector searches it from itself, the
+medoids and a vector of each connected part of the graph: greedily to its neighbourhood, then by widening the search through all vectors in range. What is found is verified
 by cosine in double precision, and the recall of the whole is audited against brute force for a bounded sample."""
 
 from __future__ import annotations
@@ -128,14 +128,24 @@ def medoids(x: np.ndarray) -> np.ndarray:
     return np.array(taken)
 
 
-def range_search(x: np.ndarray, neighbours: np.ndarray, asking: np.ndarray, floor: float, beam: int) -> np.ndarray:
+def entries(x: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    """Where every search on a graph begins: the medoids, and one row of each connected part."""
+    row, place = np.nonzero(neighbours >= 0)
+    moved, _ = _forest(len(x), np.stack([row, neighbours[row, place]], axis=1))
+    return np.union1d(medoids(x), np.setdiff1d(np.arange(len(x)), moved))
+
+
+def range_search(x: np.ndarray, neighbours: np.ndarray, asking: np.ndarray, floor: float, beam: int,
+                 start: np.ndarray | None = None) -> np.ndarray:
     """For each row of ``asking``, whether each row of ``x`` was seen by a search on the graph ``neighbours`` (padded
-    with -1): greedy with ``beam`` best candidates from the medoids, then on through every row at ``floor`` or more."""
+    with -1): greedy with ``beam`` best candidates from the row itself and from ``start`` (default: :func:`entries`),
+    then on through every row at ``floor`` or more."""
     n, m = len(asking), len(x)
     q = x[asking]
     near = np.full((n, m + 1), -2.0, np.float32)  # similarity where seen; column m takes the padding
-    start = medoids(x)
+    start = entries(x, neighbours) if start is None else start
     near[:, start] = q @ x[start].T
+    near[np.arange(n), asking] = 1
     done = np.zeros((n, m + 1), bool)
     done[:, m] = True
 
@@ -175,8 +185,8 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
 
 
-def _search(threshold: float, beam: int):
-    """Group map of one cell (two sub-shards i <= j of a cluster): rows kind, a, b. ``n``: b copies link with a;
+def _search(threshold: float, beam: int | None):
+    """Group map of one cell (two sub-shards i <= j of a cluster), by brute force if ``beam`` is None: rows kind, a, b. ``n``: b copies link with a;
     ``t``: a and b hang together; ``x``: a link between vectors of different homes, which other cells may find too."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         cells = [c.as_py() for c in key]
@@ -191,9 +201,10 @@ def _search(threshold: float, beam: int):
         graph = _flat(ids, table.column("nbrs").combine_chunks())
         links = np.zeros((0, 2), np.int64)
         asking = np.flatnonzero(home)
+        start = entries(x, graph) if beam else None
         for at in range(0, len(asking), 256):
             mine = asking[at:at + 256]
-            seen = range_search(x, graph, mine, threshold - SLACK, beam)
+            seen = range_search(x, graph, mine, threshold - SLACK, beam, start) if beam else x[mine] @ x.T >= threshold - 1e-9
             r, c = np.nonzero(seen)
             a, b = mine[r], c
             ok = (a != b) & ((sub[a] != sub[b]) | (i == j))
@@ -243,9 +254,9 @@ def _forest(n: int, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return moved, root[moved]
 
 
-def find_links(reps: DataFrame, threshold: float, margin: float, beam: int) -> tuple[DataFrame, DataFrame]:
+def find_links(reps: DataFrame, threshold: float, margin: float, beam: int | None) -> tuple[DataFrame, DataFrame]:
     """For distinct vectors (id, copies, v) of one length: (id, n) with the copies of other vectors linked to each, and
-    (a, b) links that connect what is linked."""
+    (a, b) links that connect what is linked. Without a ``beam`` every cell is compared by blocks of brute force."""
     spark = reps.sparkSession
     n = reps.count()
     sample = np.array([r.v for r in reps.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()])
@@ -309,7 +320,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     ``n_links``: other rows linked directly by a cosine of at least ``threshold``; ``component_id``: the smallest key
     reachable; ``kept``: whether that is the row's own; ``recall``: of the audit. If the audit finds less than
-    ``target``, shards overlap more and the beam doubles, ``rounds`` times at most.
+    ``target``, shards overlap more and the beam doubles, ``rounds`` times at most; after that all cells are compared
+    by brute force.
 
     Exact copies are one vector with a count, so they cost nothing and link with each other. Null, zero and non-finite
     vectors, and those of another length than the table's most frequent one, link with nothing. A repeated key is
@@ -326,8 +338,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     classes = written(good.where(F.size("v") == sizes.d).groupBy("v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
                       .withColumn("id", F.monotonically_increasing_id()), "classes")
     reps = classes.select("id", "copies", "v")
-    for attempt in range(rounds):
-        counts, links = find_links(reps, threshold, margin, beam)
+    for attempt in range(rounds + 1):
+        counts, links = find_links(reps, threshold, margin, beam if attempt < rounds else None)
         counts = written(counts, "counts")
         recall = audit(reps, counts, threshold)
         if recall >= target:
