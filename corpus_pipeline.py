@@ -48,8 +48,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether decoding them gives the vocabulary strings back."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, "text", keep=["doc_id", "lang", "source"])
+    """Token ids of every document, the ``decoded`` vocabulary strings of these ids, and ``round_trip``: whether they
+    spell the words of the text."""
+    kept = ["doc_id", "lang", "source"]
+    coded = bpe.encode(docs.select(*kept, "text"), TOKENIZER, "text", keep=[*kept, "text"])
+    read = bpe.decode(coded, TOKENIZER, "ids")
+    return bpe.round_trip(read, TOKENIZER, "text", "decoded", keep=[*kept, "ids", "n_tokens", "decoded"])
 
 
 def _known(names: list[str]) -> list[str]:

@@ -88,3 +88,17 @@ def test_extra_columns(spark, docs):
     d = docs.limit(30).select("*", F.lit(1).alias("fp"), F.lit("x").alias("lang_pred"), F.lit(2).alias("ids"), F.lit(3).alias("copy"), F.lit(4).alias("component"))
     for _, stage in cp.STAGES:
         assert stage(spark, d, SF).count() >= 0
+
+
+def test_tokens_stage_decodes(spark, docs):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "Ünïted  a<|endoftext|>b </w> 12\n😀 的", None, "s", 4)], SCHEMA)
+    for r in cp.tokens(spark, docs.unionByName(odd), SF).collect():
+        assert r.decoded == t.decode(r.ids, skip_special_tokens=False) and r.round_trip
+
+
+def test_round_trip_tells_a_lost_token(spark):
+    from webloom.llm import bpe
+    df = spark.createDataFrame([("one two", "one</w>"), ("one two", "one</w> two</w>"), ("one two", "two</w> one</w>"), (None, None)], "text string, decoded string")
+    rows = bpe.round_trip(df, cp.TOKENIZER).collect()
+    assert [r.round_trip for r in rows] == [False, True, False, True]

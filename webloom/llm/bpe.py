@@ -54,6 +54,7 @@ class Bpe:
         self.word = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         self.symbols = byte_symbols()
+        self.bytes_of = {c: b for b, c in enumerate(self.symbols)}
         self.known: dict[str, tuple[str, str]] = {}
 
     def normalised(self, text: str) -> str:
@@ -119,6 +120,23 @@ class Bpe:
         """Vocabulary strings with a space between them; ids outside the vocabulary are left out."""
         return " ".join(self.strings[i] for i in ids if i in self.strings)
 
+    def told_by(self, decoded: str) -> str:
+        """The words that vocabulary strings spell, each followed by a space, special tokens by none."""
+        out = bytearray()
+        for s in decoded.split(" ") if decoded else ():
+            if s in self.added:
+                out += s.encode()
+                continue
+            ends = bool(self.suffix) and s.endswith(self.suffix)
+            out += bytes(self.bytes_of[c] for c in (s[:-len(self.suffix)] if ends else s))
+            out += b" " * ends
+        return out.decode("utf-8", "replace")
+
+    def told(self, text: str) -> str:
+        """What :meth:`told_by` must give for the ids of ``text``: its normalised words and special tokens."""
+        return "".join(part if k % 2 else "".join(w + " " for w in self.word.findall(self.normalised(part)))
+                       for k, part in enumerate(self.special.split(text)))
+
 
 _LOADED: dict[int, Bpe] = {}
 
@@ -167,9 +185,22 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None =
     return map_values(df, F.col(f"`{ids}`"), out, start, df.columns if keep is None else keep)
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """Adds ``round_trip boolean``: whether ``decoded`` spells the normalised words and special tokens of ``text``, all
+    of them in their order. A null is the empty text."""
+    shared = _shared(df, path)
+    out = T.StructType([T.StructField("round_trip", T.BooleanType())])
+
+    def start():
+        bpe = _loaded(shared)
+        return lambda rows: [[bpe.told_by(r["d"] or "") == bpe.told(r["t"] or "") for r in rows]]
+    value = F.struct(F.col(f"`{text}`").alias("t"), F.col(f"`{decoded}`").alias("d"))
+    return map_values(df, value, out, start, df.columns if keep is None else keep)
+
+
 def digests(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_tokens, ids_sha256, decoded_sha256``: what :func:`encode` and then :func:`decode` give, digested in
-    the task that encodes. The ids are read back from their digested form and decoded by their own strings."""
+    the task that encodes. The ids are read back from their digested form and decoded by :meth:`Bpe.decode`."""
     shared = _shared(df, path)
     out = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                         T.StructField("decoded_sha256", T.StringType())])
@@ -180,10 +211,9 @@ def digests(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
         def work(texts):
             made = []
             for t in texts:
-                ids, strings = bpe.spelled(t or "")
-                joined = " ".join(ids)
+                joined = " ".join(bpe.spelled(t or "")[0])
                 made.append((joined.count(" ") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(),
-                             hashlib.sha256(" ".join(strings).encode()).hexdigest()))
+                             hashlib.sha256(bpe.decode(list(map(int, joined.split()))).encode()).hexdigest()))
             return [list(c) for c in zip(*made, strict=True)] if made else [[], [], []]
         return work
     return map_values(df, F.col(f"`{text}`"), out, start, df.columns if keep is None else keep)
