@@ -42,9 +42,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document by its source's target rate: shares by the square root of source size, as many rows as
-    came in. Copies are rows of their own."""
+    came in. Copies are rows of their own. Every row has a draw and a place of its own, by doc_id, a hash of its contents
+    and, among equal rows, a number: these are counted as one row and dealt out again, so no task holds all of them."""
     names = _known(docs.columns)
-    return mixing.mix(docs.select(*names), mixing.source_rates(docs, "source"), "source", ("doc_id",), seed=42).select(*names)
+    counted = docs.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__row", F.xxhash64(*names))
+    rows = counted.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*names, "__row", "__nth")
+    return mixing.mix(rows, mixing.source_rates(docs, "source"), "source", ("doc_id", "__row", "__nth"), seed=42).select(*names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,3 +102,14 @@ def test_round_trip_tells_a_lost_token(spark):
     df = spark.createDataFrame([("one two", "one</w>"), ("one two", "one</w> two</w>"), ("one two", "two</w> one</w>"), (None, None)], "text string, decoded string")
     rows = bpe.round_trip(df, cp.TOKENIZER).collect()
     assert [r.round_trip for r in rows] == [False, True, False, True]
+
+
+def test_mix_draws_rows_of_one_key_apart(spark):
+    """A third of rows without doc_id, a third equal rows: each is drawn by itself, and shares are met."""
+    odd = spark.createDataFrame([(None, f"text {i}", "en", "hot", 6) for i in range(1000)] + [(7, "same", "en", "hot", 4)] * 1000
+                                + [(100 + i, f"t{i}", "en", "cold", 3) for i in range(100)], SCHEMA)
+    got = [r.text for r in cp.source_mix(spark, odd, SF).collect()]
+    hot = 2100 * 2000 ** 0.5 / (2000 ** 0.5 + 100 ** 0.5) / 2000
+    null = [t for t in got if t.startswith("text")]
+    assert abs(len(null) - 1000 * hot) < 130 and 400 < len(set(null)) < 650 and abs(got.count("same") - 1000 * hot) < 130
+    assert sorted(got) == sorted(r.text for r in cp.source_mix(spark, odd.repartition(3), SF).collect())

@@ -75,10 +75,11 @@ def mix(docs: DataFrame, rates: DataFrame, source: str = "source", key: tuple[st
         seed: int = 42, n_out: int | None = None) -> DataFrame:
     """Every document repeated by its Poisson count, in a global pseudo-random order: all columns of ``docs``, then
     ``copy`` (from 1), ``copies`` and ``mix_key`` (input columns of these names are dropped). Rows are dealt to
-    partitions by ``mix_key`` and sorted by it inside, which is a global shuffle: no source or key shares a partition.
+    partitions by ``mix_key`` and sorted by it inside, which is a global shuffle as far as keys differ.
 
-    Rates are joined on the source. The draw depends on seed and ``key`` alone, so repeated rows with one key get one
-    count, each; null keys are the empty string. A source without a rate gets 0. Empty input gives an empty result."""
+    Rates are joined on the source. The draw and ``mix_key`` depend on seed and ``key`` alone, so rows with one key get
+    one count, each, and their copies of one number share a partition; null keys are the empty string. Where a key may
+    be null or repeated, name columns in ``key`` that tell rows apart, as the pipeline does. A source without a rate gets 0. Empty input gives an empty result."""
     added = ("copy", "copies", "mix_key", "source_key", "rate")
     kept = [c for c in docs.columns if c.lower() not in added]
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in key]
