@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_one_query_each():
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

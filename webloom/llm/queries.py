@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, chat, language, lm, mixing, pii, simhash, topk, urls, vectors
+from webloom.llm import bpe, chat, language, lm, mixing, packing, pii, prefix_trie, simhash, topk, urls, vectors, whitening
 from webloom.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,8 @@ ORACLES: dict[str, str] = {}
 
 #: The tokenizer file of op2 and of the pipeline.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The tokenizer file of op11.
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(name: str, sql: str | None = None):
@@ -154,3 +156,58 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(held_out("doc_id", 10), F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
     return lm.score(docs, ~F.col("held_out"), ["doc_id", "held_out"], "text")
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = packing.pack(docs, BYTE_TOKENIZER, "text", tokens=2048)
+    return found.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id",
+                        F.col("offset").cast("long").alias("offset"))
+
+
+#: crc32 from its polynomial; a node is the text of its turns' lengths and texts, its ancestors are the prefixes of one member.
+_OP12 = r"""
+WITH crc_table AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) g(b)),
+s AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, c - c % 20 AS b FROM s),
+h AS (SELECT c, b, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii((c::VARCHAR)[i])::BIGINT)),
+             lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 4 AS h FROM ids, crc_table),
+own AS (SELECT h.c, s.pos + 4 AS pos, r, x FROM h JOIN s ON s.c = h.c AND s.pos > h.h
+        UNION ALL SELECT h.c, s.pos, r, x FROM h JOIN s ON s.c = h.b AND s.pos <= h.h),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, md5(length(r) || ':' || r || x) AS m,
+             length(x) AS n, len(regexp_extract_all(x, '[^ 	-
+]+')) AS words FROM own),
+p AS (SELECT c, d, words, string_agg(m, '') OVER (PARTITION BY c ORDER BY d) AS path FROM t
+      UNION ALL SELECT c, 0, 0, '' FROM ids),
+e AS (SELECT *, max(d) OVER (PARTITION BY c) AS size FROM p),
+n AS (SELECT path, d, min(c) AS c, count(*) AS members, any_value(words) AS words,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = size), '')) AS ends FROM e GROUP BY path, d),
+k AS (SELECT n.path, count(k.path) AS children FROM n LEFT JOIN n k ON k.d = n.d + 1 AND k.path[:32 * n.d] = n.path GROUP BY n.path),
+a AS (SELECT e.path, sum((n.members - 1) * n.words) AS saved, count(*) FILTER (k.children = 0) AS leaves
+      FROM n JOIN k ON k.path = n.path JOIN e ON e.c = n.c AND e.d <= n.d GROUP BY e.path)
+SELECT n.c::BIGINT AS conv_id, n.d::BIGINT AS depth, u.c::BIGINT AS parent_conv_id, n.members::BIGINT AS n_convs, k.children::BIGINT AS n_children,
+       a.leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN k ON k.path = n.path JOIN a ON a.path = n.path LEFT JOIN n u ON u.d = n.d - 1 AND u.path = n.path[:32 * (n.d - 1)]
+"""
+
+
+@query("op12_trie", _OP12)
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = written(prefix_trie.conversations(table(spark, sf_dir, "conversations")), "conversations")
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return prefix_trie.trie(prefix_trie.rebuilt(convs, F.col("conv") - F.col("conv") % 20, head))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = whitening.quantised(F.col("embedding"), scale=64, shift=1_000_000)
+    rows = written(whitening.prepared(table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x")), "x"), "vectors")
+    model = whitening.fit(rows, "x", components=16)
+    return (whitening.whiten(rows, model, "x")
+            .select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+            .select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+                    F.element_at(F.array(*[F.lit(float(e / model.trace)) for e in model.values] or [F.lit(0.0)]), F.col("at") + 1).alias("explained"),
+                    F.lit(model.identity_error).alias("identity_error")))
