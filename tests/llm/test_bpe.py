@@ -47,12 +47,28 @@ def test_long_word_and_special_cases(own, library):
 
 
 def test_memory_is_bounded(own, library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
-    own.known = {}
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
+    own.known, own.known_bytes = {}, 0
     same(own, library, "one two three four five six one two seven")
     assert len(own.known) <= 3
 
 
+def test_slices_are_bounded_by_bytes(spark, library, monkeypatch):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 95, "c" * 300, "", "d"])], names=["t"])
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 100)
+    assert [p.num_rows for p in bpe._slices(batch, 0)] == [2, 1, 1, 2]
+
+
+def test_coded(spark, library):
+    df = spark.createDataFrame([(1, "Ünïted  a<|endoftext|>b </w> 12\n😀 的", 7), (None, None, 7), (2, "", 7), (2, "", 7)], "doc_id long, text string, ids long")
+    out = bpe.coded(df, PATH)
+    assert out.columns == ["doc_id", "text", "ids", "n_tokens", "decoded", "round_trip"]
+    for r in out.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False) and r.round_trip
+
+
 def test_whole_table(spark, library):
     import hashlib
     sf = "/root/testdata/sf0.001"
