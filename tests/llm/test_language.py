@@ -63,3 +63,29 @@ def test_defined_cases(spark):
 def test_sample_is_bounded_and_counts_copies_once(spark):
     df = spark.createDataFrame([("the same", "en")] * 50 + [(f"word {chr(97 + i % 26)}{i} x", "en") for i in range(30)], "text string, lang string")
     assert len(language.training_rows(df, per_language=7)) == 7 and len(language.training_rows(df)) == 31
+
+
+def test_many_languages_are_all_learned(spark):
+    """200 languages with a word of their own each; every one can be predicted, with or without tasks that fit."""
+    def word(i):
+        return "".join(chr(97 + (i * 7 + k * k * (i % 11 + 3)) % 26) for k in range(9))
+    rows = [(f"{word(i)} {word(i)} {chr(98 + k)}", f"x{i}" if i else "en") for i in range(200) for k in range(3)] + [("das wort", "de"), ("le mot", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    sample = language.training_rows(df, per_language=3)
+    assert len({lang for lang, _ in sample}) == 202 and len(sample) == 602
+    model = language.train(sample, spark)
+    plain = language.train(sample)
+    assert model.families == plain.families and np.array_equal(model.family_weights, plain.family_weights)
+    assert list(model.pair_weights) == [("de", "en")] and np.array_equal(model.pair_weights["de", "en"], plain.pair_weights["de", "en"])
+    told = [model.predict(t)[0] == lang for t, lang in rows]
+    assert sum(told) / len(told) > 0.95
+    assert len(language.training_rows(df, per_language=3, total=404)) == 602 - 0  # at least 5 each, so all of 3
+    assert len({lang for lang, _ in language.training_rows(df, total=10)}) == 202
+
+
+def test_features_of_long_texts_run_on(monkeypatch):
+    text = "Ein langes Wort, und noch eines!  12 " * 7 + "é"
+    whole = language.features(text)
+    for piece in (1, 2, 3, 5, 64):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert np.array_equal(language.features(text), whole)

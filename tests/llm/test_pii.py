@@ -76,3 +76,13 @@ def test_defined_cases(spark):
     assert red.columns == df.columns and sorted(str(r.text) for r in red.collect()) == ["", "<email>", "<email>", "None"]
     assert pii.find(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
     assert pii.find(df.select(F.lit("9" * 500_000).alias("text"))).first().spans == []
+
+
+def test_long_values_are_whole():
+    anchors = pii.automaton()
+    for key in ("k1" * 40, "a1b2-" * 50_000, "9f" * 100):
+        text = f"api_key: {key} end"
+        assert ("account", 9, 9 + len(key)) in pii.find_spans(anchors, text)
+        assert pii.redacted(text, pii.find_spans(anchors, text)) == "api_key: <account> end"
+    inside = "token=" + "-token-1" * 30_000  # cues inside a value; walked once
+    assert ("account", 6, len(inside)) in pii.find_spans(anchors, inside)

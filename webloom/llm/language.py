@@ -6,18 +6,21 @@ the related languages apart by vote. Features are hashed character n-grams of th
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.common import map_values, written
+from webloom.session import ship_package
 
 #: Hash buckets of the features.
 BUCKETS = 1 << 13
-#: Texts longer than this are hashed in pieces, so that the memory of a task is bounded; the counts are of the whole.
+#: Characters of a text hashed at once, so that the memory of a task is bounded; n-grams run on from piece to piece.
 PIECE = 1 << 20
 
 #: Families of related languages by ISO 639-1 code. A language not listed is a family of its own.
@@ -44,21 +47,23 @@ def features(text: str) -> np.ndarray | None:
     """Unit vector of square roots of n-gram counts (n from 1 to 3, words padded with a space); None without a letter.
     Characters that aren't letters part words and are not features."""
     counts = np.zeros(BUCKETS)
-    letters = False
-    for at in range(0, len(text), PIECE):
-        codes = np.frombuffer(text[at:at + PIECE].lower().encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
-        known = _letter_table()
+    letters, tail = False, np.empty(0, np.uint32)
+    known = _letter_table()
+    for at in range(-1, len(text) + PIECE, PIECE):  # a space before the text and one behind it
+        piece = text[max(at, 0):at + PIECE].lower() if at < len(text) else ""
+        codes = np.frombuffer(piece.encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
         is_letter = known[codes]
-        if not is_letter.any():
-            continue
-        letters = True
-        codes = np.concatenate([[32], np.where(is_letter, codes, 32), [32]]).astype(np.uint32)
-        codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]  # runs of others are one space
+        letters |= bool(is_letter.any())
+        edge = np.array([32], np.uint32)
+        codes = np.concatenate([tail, edge[:at < 0], np.where(is_letter, codes, 32).astype(np.uint32), edge[:at >= len(text)]])
+        codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])[:len(codes)]]  # runs of others are one space
         one = codes * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ (codes[1:] + np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
         three = (two[:-1] ^ (codes[2:] + np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
-        for h in (one, two, three):
-            counts += np.bincount((h >> np.uint32(15)) % BUCKETS, minlength=BUCKETS)
+        seen = len(tail)  # n-grams that end in the tail were counted with the piece before
+        for n, h in enumerate((one, two, three)):
+            counts += np.bincount((h[max(seen - n, 0):] >> np.uint32(15)) % BUCKETS, minlength=BUCKETS)
+        tail = codes[-2:]
     if not letters:
         return None
     counts = np.sqrt(counts)
@@ -136,41 +141,81 @@ def _logistic(m: float) -> float:
     return float(1 / (1 + np.exp(-2 * np.clip(m, -20, 20))))
 
 
-def train(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """From (language, feature vector) rows, in their order."""
-    langs = sorted({lang for lang, _ in rows})
+def _duels(langs: list[str]) -> tuple[list[str], dict[str, list[str]], list[tuple]]:
+    """Families in order, their languages, and the separators to fit: ``("family", f, None)`` against the rest (one for
+    two families, none for one), ``("pair", a, b)`` inside."""
     families = sorted({family_of(n) for n in langs})
     members = {f: [n for n in langs if family_of(n) == f] for f in families}
+    rest = families if len(families) > 2 else families[:len(families) - 1]
+    pairs = [("pair", a, b) for names in members.values() for a, b in itertools.combinations(names, 2)]
+    return families, members, [("family", f, None) for f in rest] + pairs
+
+
+def _fit(duel: tuple, y: np.ndarray, dense: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    kind, a, b = duel
+    if kind == "pair":
+        both = np.flatnonzero((y == a) | (y == b))
+        return fit_svm(dense(both), np.where(y[both] == a, 1.0, -1.0)).astype(np.float32)
+    side = np.array([1.0 if family_of(n) == a else -1.0 for n in y])
+    return fit_svm(dense(np.arange(len(y))), side).astype(np.float32)
+
+
+def _model(families: list[str], members: dict[str, list[str]], duels: list[tuple], weights: list[np.ndarray]) -> Model:
+    found = {(a, b): w for (kind, a, b), w in zip(duels, weights, strict=True)}
+    rows = [found[f, None] if (f, None) in found else -found[families[0], None] if len(families) == 2 else np.zeros(BUCKETS + 1, np.float32)
+            for f in families]
+    return Model(families, members, np.array(rows, np.float32).reshape(-1, BUCKETS + 1), {k: w for k, w in found.items() if k[1] is not None})
+
+
+def train(rows: list[tuple[str, np.ndarray]], spark: SparkSession | None = None) -> Model:
+    """From (language, feature vector) rows, in their order. With a session, the separators are fitted by its tasks, a
+    few each, from the broadcast sample; the result is the same."""
     if not rows:
         return Model([], {}, np.zeros((0, BUCKETS + 1)), {})
-    x, y = np.array([f for _, f in rows]), np.array([lang for lang, _ in rows])
-    fam = np.array([family_of(n) for n in y])
-    sides = [np.where(fam == f, 1.0, -1.0) for f in families]
-    if len(families) == 2:
-        w = fit_svm(x, sides[0])
-        weights = np.array([w, -w])
-    else:
-        weights = np.array([fit_svm(x, s) for s in sides]) if len(families) > 1 else np.zeros((1, BUCKETS + 1))
-    pairs = {}
-    for names in members.values():
-        for a, b in itertools.combinations(names, 2):
-            both = (y == a) | (y == b)
-            pairs[a, b] = fit_svm(x[both], np.where(y[both] == a, 1.0, -1.0))
-    return Model(families, members, weights.astype(np.float32), {k: v.astype(np.float32) for k, v in pairs.items()})
+    y = np.array([lang for lang, _ in rows])
+    families, members, duels = _duels(sorted(set(y.tolist())))
+    if spark is None or len(duels) < 2:
+        x = np.array([f for _, f in rows])
+        return _model(families, members, duels, [_fit(d, y, lambda at: x[at]) for d in duels])
+    ship_package(spark)
+    used = [np.flatnonzero(f).astype(np.int32) for _, f in rows]
+    sample = spark.sparkContext.broadcast((y, used, [f[u] for (_, f), u in zip(rows, used, strict=True)]))
+
+    def work(batches):
+        y, used, values = sample.value
+
+        def dense(at):
+            x = np.zeros((len(at), BUCKETS))
+            for k, i in enumerate(at.tolist()):
+                x[k, used[i]] = values[i]
+            return x
+        for batch in batches:
+            for at, *duel in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                w = _fit(tuple(duel), y, dense)
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([w.tobytes()], pa.binary())], names=["at", "w"])
+    # a separator is a task: there are as many as families and pairs of languages
+    table = spark.createDataFrame([(i, *d) for i, d in enumerate(duels)], "at long, kind string, a string, b string")
+    fitted = table.repartitionByRange(min(len(duels), 512), "at").mapInArrow(work, "at long, w binary").collect()
+    weights = [np.frombuffer(r["w"], np.float32) for r in sorted(fitted, key=lambda r: r["at"])]
+    return _model(families, members, duels, weights)
 
 
 def training_rows(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300,
-                  languages: int = 64) -> list[tuple[str, np.ndarray]]:
-    """The bounded training sample: of each of the ``languages`` most frequent languages, the ``per_language`` different
-    texts of least hash. Their features are counted over the whole texts inside the tasks, and at most ``languages *
-    per_language`` sparse vectors of up to BUCKETS entries reach the driver. Distinct hashes are ranked, cut to
-    ``per_language`` inside the tasks before the shuffle. Null or letterless texts and null languages are left out."""
+                  total: int = 6_400) -> list[tuple[str, np.ndarray]]:
+    """The bounded training sample: of every language, the ``per_language`` different texts of least hash, or
+    fewer where languages are so many that these were more than ``total`` in all (at least 5 of each). No language is left
+    out. Features are counted over the whole texts inside the tasks; sparse vectors of up to BUCKETS entries reach the driver.
+    Distinct hashes are ranked by language and a part of the hash first, so that one language is split over tasks.
+    Null or letterless texts and null languages are left out; an empty table gives no rows."""
     rows = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"),
                            F.xxhash64(F.col(f"`{text}`")).alias("h")).where("t is not null and l is not null")
-    common = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(languages).select("l")
+    names = rows.agg(F.count_distinct("l").alias("n")).first()["n"]
+    most = max(min(per_language, total // max(names, 1)), min(5, per_language))
+    split = F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(64))).orderBy("h"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    picked = rows.select("l", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_language).drop("r")
-    picked = written(picked.join(F.broadcast(common), "l"), "language-sample")  # at most languages * per_language rows
+    few = rows.select("l", "h").distinct().withColumn("r", split).where(F.col("r") <= most)
+    picked = few.withColumn("r", rank).where(F.col("r") <= most).drop("r")
+    picked = written(picked, "language-sample")  # at most the bound above
     texts = rows.join(F.broadcast(picked), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
     out = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))])
 
@@ -182,15 +227,15 @@ def training_rows(labelled: DataFrame, text: str = "text", lang: str = "lang", p
         return work
     found = []
     for r in sorted(map_values(texts, F.col("t"), out, start, ["l", "h"]).where(F.size("at") > 0).collect(), key=lambda r: (r.l, r.h)):
-        x = np.zeros(BUCKETS)
+        x = np.zeros(BUCKETS, np.float32)
         x[r["at"]] = r["value"]
         found.append((r.l, x))
     return found
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to every row of ``df`` from its whole text alone. The model (families and pairs
-    of at most 64 languages, 32 kB each) is broadcast. Null or letterless texts, and any text under a model without
+    """Adds ``lang_pred`` and ``score`` to every row of ``df`` from its whole text alone. The model (a vector of
+    32 kB for every family, and for every pair of languages inside one) is broadcast: it grows with the languages, not the rows. Null or letterless texts, and any text under a model without
     languages, are ``und`` with score 0. Repeated rows stay; columns with an added name are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

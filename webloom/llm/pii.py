@@ -130,8 +130,9 @@ def url_from(text: str, start: int, after: int) -> tuple[int, int] | None:
     return (start, end) if end > after else None
 
 
-def account_from(text: str, start: int, after: int) -> tuple[int, int] | None:
-    """The value that follows a cue: optional words ``number``/``no``/``id``, a ``:`` , ``=`` or ``#`` or spaces, quotes."""
+def account_from(text: str, start: int, after: int, known: list[int]) -> tuple[int, int] | None:
+    """The value that follows a cue, whole at any length: optional words ``number``/``no``/``id``, a ``:`` , ``=`` or ``#`` or
+    spaces, quotes. ``known``: the run of value characters walked last, and its last digit."""
     if start and text[start - 1] in WORD:
         return None
     at, lower = after, text[after:after + 24].lower()
@@ -142,13 +143,15 @@ def account_from(text: str, start: int, after: int) -> tuple[int, int] | None:
     if at < len(text) and text[at] in WORD:
         return None
     at = run_end(text, at, frozenset(" :=#\"'"))
-    end = run_end(text, at, VALUE, 65)
+    if not known[0] <= at < known[1]:  # cues inside a long run don't walk it again
+        stop = run_end(text, at, VALUE)
+        known[:] = at, stop, next((i for i in range(stop - 1, at - 1, -1) if text[i] in DIGITS), -1)
+    _, end, digit = known
     if end - at <= 4:  # groups of up to four, as account numbers are printed
-        while end - at <= 64 and text[end:end + 1] == " " and 0 < (stop := run_end(text, end + 1, VALUE, 5)) - end - 1 <= 4 \
+        while text[end:end + 1] == " " and 0 < (stop := run_end(text, end + 1, VALUE, 5)) - end - 1 <= 4 \
                 and any(c in DIGITS for c in text[end + 1:stop]):
-            end = stop
-    value = text[at:end]
-    return (at, end) if 6 <= len(value) <= 64 and any(c in DIGITS for c in value) else None
+            end = digit = stop
+    return (at, end) if end - at >= 6 and digit >= at else None
 
 
 #: Ranks of kinds among spans that begin at one place.
@@ -166,7 +169,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 def find_spans(anchors: ahocorasick.Automaton, text: str) -> list[tuple[str, int, int]]:
     """All spans as (kind, start, end), by start, then kind as listed in KINDS."""
-    spans = []
+    spans, known = [], [0, 0, -1]
     done = dict.fromkeys(("email", "ip", "card", "phone", "url"), 0)  # where the next match of a kind may begin
     for last, (what, size) in anchors.iter(lowered(text)):
         at = last - size + 1
@@ -198,7 +201,7 @@ def find_spans(anchors: ahocorasick.Automaton, text: str) -> list[tuple[str, int
             if at >= done["url"] and (found := url_from(text, at, last + 1)):
                 done["url"] = found[1]
                 spans.append(("url", *found))
-        elif found := account_from(text, at, last + 1):
+        elif found := account_from(text, at, last + 1, known):
             spans.append(("account", *found))
     return sorted(set(spans), key=lambda s: (s[1], RANK[s[0]], s[2]))
 
@@ -248,7 +251,9 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digests(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds counts by base kind, ``base_sha256`` of the base spans and ``spans``, all spans as a string."""
+    """Adds counts by base kind, ``base_sha256`` of the base spans and ``spans``, all spans as a string. A null or empty
+    text has none, texts are read whole, repeated rows stay, an empty table gives no rows; an added column replaces one of its
+    name, other columns (or those in ``keep``) stay."""
     out = T.StructType([*[T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS],
                         T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 

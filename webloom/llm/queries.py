@@ -37,7 +37,7 @@ def held_out(key: str, folds: int):
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = docs.where(~F.coalesce(held_out("doc_id", 5), F.lit(False)))
-    model = language.train(language.training_rows(learned, "text", "lang"))
+    model = language.train(language.training_rows(learned, "text", "lang"), spark)
     return language.identify(docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), "text"), model, "text",
                              keep=["doc_id", "held_out"])
 
