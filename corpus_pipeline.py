@@ -15,8 +15,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told: those predicted ``und`` (null, or without a letter) go, all others
-    stay. The prediction fills ``lang`` where it is null. The model is fitted on this stage's own input."""
-    model = language.train(language.training_rows(docs, "text", "lang"))
+    stay. The prediction fills ``lang`` where it is null. The model is fitted on this stage's own input. Repeated rows stay,
+    an empty table gives none, columns that documents don't have go."""
+    model = language.train(language.training_rows(docs, "text", "lang"), spark)
     names = list(docs.columns)
     told = language.identify(docs.select(*[f"`{c}`" for c in columns_without(docs, ("lang_pred", "score"))]), model, "text")
     return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*_known(names))
@@ -36,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in ``text`` by ``<kind>`` and counts ``n_chars`` again; no document goes."""
+    """Replaces personal data in ``text`` by ``<kind>`` and counts ``n_chars`` again; no document goes. A null text
+    stays null, with a null count; repeated rows stay, an empty table gives none, columns that documents don't have go."""
     return pii.redact(docs.select(*_known(docs.columns)), "text").withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -52,11 +54,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, the ``decoded`` vocabulary strings of these ids, and ``round_trip``: whether they
-    spell the words of the text."""
-    kept = ["doc_id", "lang", "source"]
-    coded = bpe.encode(docs.select(*kept, "text"), TOKENIZER, "text", keep=[*kept, "text"])
-    read = bpe.decode(coded, TOKENIZER, "ids")
-    return bpe.round_trip(read, TOKENIZER, "text", "decoded", keep=[*kept, "ids", "n_tokens", "decoded"])
+    spell the words of the text. Null and empty texts have no ids; every row stays."""
+    return bpe.coded(docs, TOKENIZER, "text", keep=["doc_id", "lang", "source"])
 
 
 def _known(names: list[str]) -> list[str]:
