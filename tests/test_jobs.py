@@ -107,6 +107,31 @@ def test_query_tables(spark):
     assert {(r["query"], r.relevance_score) for r in rows} == {("red boat", 2), ("w12", 11), ("w1", 11)}
 
 
+def test_many_queries_in_blocks(spark, monkeypatch):
+    """10,000 queries against a plain loop, in several blocks; no nested loop or cartesian product in the plan."""
+    from webloom.operators import fit, matching
+    from webloom.operators.discovery import score_urls
+    monkeypatch.setattr(matching, "BLOCK_PATTERNS", 6000)
+    asked = [f"W{i % 700} b{i}" for i in range(10_000)] + ["", "  ", None, "É a", "http"]
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    texts = ["w1 b1 w12", "", None, "B9999 w69", "é", "nothing of it", "http://w5b5"]
+    urls = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "k long, url string, query string")
+    scored = score_urls(urls, queries)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and scored.columns == ["k", "url", "query", "relevance_score"]
+    want = set()
+    for k, t in enumerate(texts):
+        for q in set(asked) - {None} if t is not None else ():
+            score = 10 * (q.lower() in t.lower()) + sum(w in t.lower() for w in set(q.lower().split()))
+            if score:
+                want.add((k, q, score))
+    assert {(r.k, r["query"], r.relevance_score) for r in scored.collect()} == want
+    docs = urls.select("k", F.col("url").alias("t"))
+    got = {(r.k, r["query"], r.score) for r in fit.score_paragraphs(docs, "k", "t", queries).collect()}
+    assert got == {(k, q, n) for k, t in enumerate(texts) if t is not None for q in set(asked) - {None}
+                   if (n := sum(w in t.lower() for w in set(q.lower().split())))}
+
+
 def test_table_extraction_both_halves(spark):
     schema = T.StructType([T.StructField("headers", T.ArrayType(T.StringType()), False)])
     docs = spark.createDataFrame([(1, "  <p>page</p>"), (2, "plain " * 2000), (3, None)], "doc_id long, text string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import match_count, query_words
 from webloom.functions.urls import link_ok, resolve_url, same_netloc, site_root
-from webloom.operators.fit import with_queries
+from webloom.operators.matching import pattern_scores
 from webloom.session import materialize
 from webloom.sources.sitemaps import read_robots, sitemap_urls
 
@@ -86,9 +86,12 @@ def url_relevance(url, query: str) -> Column:
 
 
 def score_urls(urls: DataFrame, queries: DataFrame, url: str = "url") -> DataFrame:
-    """Every URL with every query of the table ``queries(query)`` that it is relevant to, and its score."""
-    scored = with_queries(urls, queries).withColumn("relevance_score", relevance(F.col(url), F.col("query")))
-    return scored.where(F.col("relevance_score") > 0)
+    """Every URL with every query of the table ``queries(query)`` that it is relevant to, and its score (F9). A URL
+    is searched once for all queries and their words; null queries and URLs give no rows."""
+    word = queries.select("query", F.explode(query_words(F.col("query"))).alias("pattern"), F.lit(1).alias("weight"))
+    whole = queries.select("query", F.lower("query").alias("pattern"), F.lit(10).alias("weight"))
+    both = whole.unionByName(word).groupBy("query", "pattern").agg(F.sum_distinct("weight").alias("weight"))
+    return pattern_scores(urls, F.lower(F.col(url)), both.withColumn("weight", F.col("weight").cast("int")), "relevance_score")
 
 
 def search_within_site(sites: DataFrame, docs: DataFrame, query: str, n: int = 20, max_urls: int | None = None) -> DataFrame:

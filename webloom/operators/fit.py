@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.common import col as _c
 from webloom.functions.text import chunk_starts, cut, match_count, query_words
+from webloom.operators.matching import pattern_scores
 
 
 def fit_text(md, query: str | None, max_length: int | None = None, sep: str = "\n\n", top: int = 10) -> Column:
@@ -46,25 +47,12 @@ def paragraph_table(docs: DataFrame, key: str, text: str, query: str, sep: str =
     return p.withColumn("score", match_count(words, F.lower("para")))
 
 
-#: Queries that are packed into one row of the table that meets the scored rows.
-QUERY_GROUP = 256
-
-
-def with_queries(rows: DataFrame, queries: DataFrame, column: str = "query") -> DataFrame:
-    """Every row with every query: a stated query set against all rows, as J7 and J8 ask. The distinct queries are
-    packed in groups of about QUERY_GROUP, so what meets the rows has one row a group, and a group is exploded only
-    beside the row that it scores. Null queries are left out."""
-    groups = max(1, -(-queries.count() // QUERY_GROUP))
-    packed = (queries.select(F.col(column).alias("_q")).where("_q is not null").distinct()
-              .groupBy(F.pmod(F.xxhash64("_q"), F.lit(groups)).alias("_g")).agg(F.collect_list("_q").alias("_qs")))
-    return rows.join(packed, F.lit(True)).withColumn(column, F.explode("_qs")).drop("_g", "_qs")
-
-
 def score_paragraphs(docs: DataFrame, key: str, text: str, queries: DataFrame, sep: str = "\n\n") -> DataFrame:
-    """Every paragraph with every query of the table ``queries(query)`` that it has a word of, and its score."""
+    """Every paragraph with every query of the table ``queries(query)`` that it has a word of, and its score. A
+    paragraph is searched once for the words of all queries; null queries and texts give no rows."""
     p = docs.select(key, F.posexplode(F.split(text, re.escape(sep), -1)).alias("pos", "para"))
-    scored = with_queries(p, queries).withColumn("score", match_count(query_words(F.col("query")), F.lower("para")))
-    return scored.where(F.col("score") > 0)
+    words = queries.select("query", F.explode(query_words(F.col("query"))).alias("pattern"), F.lit(1).alias("weight"))
+    return pattern_scores(p, F.lower("para"), words, "score")
 
 
 def within_budget(paras: DataFrame, key: str, max_length: int) -> DataFrame:
