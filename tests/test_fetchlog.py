@@ -3,6 +3,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from webloom.functions.blocks import classify_block, is_retryable
+from pyspark.sql import functions as F
+
 from webloom.operators.fetchlog import burst_exceeded, cooling_down, latest_fresh, request_rate
 
 
@@ -75,3 +77,13 @@ def test_latest_row_of_equal_times_is_the_largest(spark):
     df = spark.createDataFrame([("h", 1, t), ("h", 3, t), ("h", 2, t), ("g", 9, t - dt.timedelta(days=9))], "host string, n int, ts timestamp")
     got = {r.host: (r.n, r.fresh) for r in latest_fresh(df, "host", "ts", "2024-01-01 00:01:00", 300).collect()}
     assert got == {"h": (3, True), "g": (9, False)}
+
+
+def test_a_run_of_100_000_segments(spark):
+    """One URL that fails every 400 s: a count that reaches the threshold begins anew after each pause."""
+    n = 100_000
+    log = spark.range(n).select(F.col("id").alias("i"), F.lit("u").alias("url"), F.timestamp_seconds(F.col("id") * 400).alias("ts"),
+                                F.lit(True).alias("failed"))
+    out = cooling_down(log, threshold=3, cooldown_s=300)
+    wrong = out.where((F.col("failures") != F.col("i") % 3 + 1) | F.col("skip_direct"))
+    assert wrong.count() == 0 and out.count() == n

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.session import materialize
+
 
 def _us(ts) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
@@ -73,27 +75,56 @@ def cooling_down(log: DataFrame, key: str = "url", ts: str = "ts", failed: str =
     threshold begins anew), then the count after the row's own outcome.
 
     Gaps and islands: a run is the rows after a success up to the next one, a segment of it is parted from the one
-    before by a pause of at least the cooldown. Only a pause can end a count, so each run folds its segments' sizes;
-    there are no more of them than cooldowns in the run's time. ``tie`` orders rows of equal time."""
+    before by a pause of at least the cooldown. Only a pause can end a count, so a segment of n failures takes a count below
+    the threshold, at its begin, to ``count + n``, or to 0 where that has reached the threshold at the next pause: a function
+    of ``threshold`` states. These functions are composed over the segments of a time bucket, then over buckets, then
+    over groups of buckets, and each segment's count at its begin is read off; every list has a bounded length, and the
+    work is linear in the segments. ``tie`` orders rows of equal time."""
     from webloom.functions.text import url_key
+    if threshold < 1:
+        raise ValueError("threshold must be at least 1")
     order = ["_us", *([tie] if tie else [])]
     base = (log.withColumn("url_key", url_key(F.col(key))).withColumn("_us", _us(ts))
             .withColumn("_b", F.floor(F.col("_us") / (bucket_s * 1_000_000)).cast("long")).withColumn("_f", F.coalesce(F.col(failed), F.lit(False))))
     one = _carried(base, "url_key", order, "_b", {"_n": F.lit(1), "_ok": (~F.col("_f")).cast("long")}, {"_before": F.struct("_us", "_f")})
     pause = F.col("_before").isNotNull() & F.col("_before._f") & (F.col("_us") - F.col("_before._us") >= int(cooldown_s * 1_000_000))
     two = one.withColumn("_run", F.col("_ok") - (~F.col("_f")).cast("long")).withColumn("_pause", pause.cast("long"))
-    rows = _carried(two, "url_key", order, "_b", {"_seg": F.col("_pause")}, {})
-    sizes = rows.groupBy("url_key", "_run", "_seg").agg(F.count_if("_f").alias("_size"), F.min("_n").alias("_from"))
-    segs = sizes.groupBy("url_key", "_run").agg(F.array_sort(F.collect_list(F.struct("_seg", "_size", "_from"))).alias("_segs"))
-
-    def step(acc, seg):
-        begun = F.when(acc["c"] >= threshold, F.lit(0).cast("long")).otherwise(acc["c"])
-        return F.struct((begun + seg["_size"]).alias("c"),
-                        F.concat(acc["out"], F.array(F.struct(seg["_seg"].alias("_seg"), seg["_from"].alias("_from"), begun.alias("_begun")))).alias("out"))
-    start = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<_seg:bigint,_from:bigint,_begun:bigint>>").alias("out"))
-    begun = segs.select("url_key", "_run", F.explode(F.aggregate("_segs", start, step, lambda acc: acc["out"])).alias("s")).select(
-        "url_key", "_run", "s.*")
+    rows = materialize(_carried(two, "url_key", order, "_b", {"_seg": F.col("_pause")}, {}), "failure-rows")
+    states = F.sequence(F.lit(0), F.lit(threshold - 1))
+    sizes = materialize(rows.groupBy("url_key", "_run", "_seg").agg(F.count_if("_f").alias("_size"), F.min("_n").alias("_from"), F.min("_b").alias("_at"))
+             .withColumn("_fn", F.transform(states, lambda s: F.when(s + F.col("_size") >= threshold, 0).otherwise((s + F.col("_size")).cast("int"))))
+             .withColumn("_far", F.floor(F.col("_at") / BUCKETS).cast("long")), "failure-segments")
+    run = ["url_key", "_run"]
+    near, buckets = _composed(sizes, [*run, "_far", "_at"], "_seg", threshold)
+    wide, groups = _composed(buckets, [*run, "_far"], "_at", threshold)
+    top, _ = _composed(groups, run, "_far", threshold)
+    begun = (near.join(wide.select(*run, "_far", "_at", F.col("_in").alias("_in2")), [*run, "_far", "_at"])
+             .join(top.select(*run, "_far", F.col("_in").alias("_in3")), [*run, "_far"]))
+    entry = F.get("_in", F.get("_in2", F.get("_in3", F.lit(0))))  # a run begins with 0
+    begun = begun.select(*run, "_seg", entry.cast("long").alias("_begun")).join(sizes.select(*run, "_seg", "_from"), [*run, "_seg"])
     count = F.col("_begun") + F.col("_n") - F.col("_from")  # failures before this row; all earlier rows of a run have failed
     out = rows.join(begun, ["url_key", "_run", "_seg"])
     return out.select(*log.columns, "url_key", ((count >= threshold) & (F.col("_n") > F.col("_from"))).alias("skip_direct"),
                       F.when(F.col("_f"), count + 1).otherwise(0).cast("int").alias("failures"))
+
+
+#: Time buckets of a group of buckets.
+BUCKETS = 512
+
+
+def _composed(steps: DataFrame, group: list[str], order: str, states: int) -> tuple[DataFrame, DataFrame]:
+    """Compose the functions ``_fn`` (array<int>: the state after, by the state before) of each group in order: every step
+    with ``_in``, the state at its begin by the state at its group's begin, and every group with its whole ``_fn``.
+    A group's list must be short: a bucket has a segment a cooldown at most, a group of buckets has BUCKETS, and a run
+    has a group for each BUCKETS buckets of its time."""
+    lists = steps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, "_fn"))).alias("_l"))
+    same = F.sequence(F.lit(0), F.lit(states - 1))
+    kind = f"array<struct<o:{dict(steps.dtypes)[order]},i:array<int>>>"
+    start = F.struct(same.alias("now"), F.array().cast(kind).alias("out"))
+
+    def step(acc, x):
+        return F.struct(F.transform(acc["now"], lambda s: F.get(x["_fn"], s)).alias("now"),
+                        F.concat(acc["out"], F.array(F.struct(x[order].alias("o"), acc["now"].alias("i")))).alias("out"))
+    folded = lists.select(*group, F.aggregate("_l", start, step).alias("_r"))
+    each = folded.select(*group, F.explode("_r.out").alias("_o")).select(*group, F.col("_o.o").alias(order), F.col("_o.i").alias("_in"))
+    return each, folded.select(*group, F.col("_r.now").alias("_fn"))
