@@ -90,6 +90,34 @@ def test_snapshot_versions_are_written_and_read(spark, tmp_path):
     assert {(r.url, r.total_urls, len(r.hash)) for r in monitoring_stats(back).collect()} == {("a", 2, 19), ("b", 2, 19)}
 
 
+def test_the_version_log_names_the_current_snapshot(spark, tmp_path):
+    import pytest
+    from webloom.operators.changes import SNAPSHOT_SCHEMA, read_snapshots, write_snapshots
+    root = str(tmp_path / "snap")
+    none = read_snapshots(spark, root)
+    assert none.count() == 0 and none.schema == spark.createDataFrame([], SNAPSHOT_SCHEMA).schema
+    first = caps(spark, [("a", "1", dt.datetime(2024, 1, 1)), ("b", "2", dt.datetime(2024, 1, 1))])
+    changes, snaps = check_for_changes(first, none)
+    assert {r.change_type for r in changes.collect()} == {"initial"}
+    write_snapshots(snaps, root, "one")
+    held = read_snapshots(spark, root)
+    changes, snaps = check_for_changes(caps(spark, [("a", "x", dt.datetime(2024, 1, 2))]), held)
+    assert [r.change_type for r in changes.collect()] == ["content"]
+    write_snapshots(snaps, root, "two")
+    assert sorted((r.url, r.ts.day) for r in read_snapshots(spark, root).collect()) == [("a", 2), ("b", 1)]
+    assert sorted((r.url, r.ts.day) for r in held.collect()) == [("a", 1), ("b", 1)]  # a reader keeps its version
+    assert read_snapshots(spark, root, "one").count() == 2
+    # a write that died before its entry, or with an empty one, isn't seen and may be done again
+    snaps.limit(1).write.parquet(root + "/v=three")
+    (tmp_path / "snap" / "_versions" / "0000000003").write_text("")
+    assert read_snapshots(spark, root).count() == 2
+    write_snapshots(snaps.limit(1), root, "three")
+    assert read_snapshots(spark, root).count() == 1
+    for call in (lambda: write_snapshots(snaps, root, "one"), lambda: read_snapshots(spark, root, "four")):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_watch_list_events_and_replay(spark, tmp_path):
     import json
     from webloom.streaming.monitor import monitor_changes, subscribe, watched

@@ -51,16 +51,58 @@ def next_snapshots(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
     return latest.select("url", "s.*", url_key(F.col("url")).alias("url_key"))
 
 
+SNAPSHOT_SCHEMA = "url string, hash string, ts timestamp, content_length long, lines array<bigint>, url_key string"
+
+
+def _entries(spark, path: str):
+    """File system, folder of the version log, and the numbers and names of its committed versions, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path.rstrip('/')}/_versions")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.listStatus(folder) if fs.exists(folder) else ():
+        name = status.getPath().getName()
+        if name.isdigit() and status.getLen() > 0:  # an empty entry is a commit that died on its way
+            stream = fs.open(status.getPath())
+            try:
+                found.append((int(name), bytes(stream.readNBytes(int(status.getLen()))).decode()))
+            finally:
+                stream.close()
+    return fs, folder, sorted(found)
+
+
 def write_snapshots(snapshots: DataFrame, path: str, version: str) -> str:
-    """Write a new immutable version directory (readers keep the old one until they switch)."""
-    out = f"{path.rstrip('/')}/v={version}"
+    """Write a version's own folder and then, last, the entry of the version log that makes it the current one.
+
+    Readers go on with the version they read; one that begins before the entry is there sees the one before. A version
+    whose write failed is in no entry and may be written again, a committed one is never written again. Log entries
+    are created only if absent, so of two writers of one number the second fails."""
+    spark, root = snapshots.sparkSession, path.rstrip("/")
+    fs, folder, entries = _entries(spark, root)
+    if version in [v for _, v in entries]:
+        raise ValueError(f"version {version} is there already")
+    out = f"{root}/v={version}"
     snapshots.write.mode("overwrite").parquet(out)
+    taken = [int(s.getPath().getName()) for s in (fs.listStatus(folder) if fs.exists(folder) else ()) if s.getPath().getName().isdigit()]
+    entry = fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{max(taken, default=0) + 1:010d}"), False)
+    entry.write(bytearray(version.encode()))
+    entry.close()
     return out
 
 
-def read_snapshots(spark, path: str) -> DataFrame:
-    """S10."""
-    return spark.read.parquet(path)
+def read_snapshots(spark, path: str, version: str | None = None) -> DataFrame:
+    """The current version under ``path``, one row a URL, or the named one while its folder is kept; a table without rows if there
+    is none. ``path`` may also be a version's own folder."""
+    root = path.rstrip("/")
+    _, _, entries = _entries(spark, root)
+    if version is None and not entries:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if root.rsplit("/", 1)[-1].startswith("v=") and folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return spark.read.parquet(root)
+        return spark.createDataFrame([], SNAPSHOT_SCHEMA)
+    if version is not None and version not in [v for _, v in entries]:
+        raise ValueError(f"no version {version}")
+    return spark.read.option("basePath", f"{root}/v={version or entries[-1][1]}").parquet(f"{root}/v={version or entries[-1][1]}")
 
 
 def monitoring_stats(snapshots: DataFrame) -> DataFrame:

@@ -460,6 +460,24 @@ def q_changes(spark, sf_dir):
     return changes.select("url", "has_changed", "change_type", "previous_hash", "current_hash", "diff_summary")
 
 
+@query("snapshot_versions", _CHANGES_SQL + """
+SELECT url, current_hash AS hash, '2024-02-01 00:00:00' AS last_check, ph IS NULL OR ph <> current_hash AS changed FROM j
+""")
+def q_snapshot_versions(spark, sf_dir):
+    """Captures are folded into a first version, later ones compared with it and folded into a second; what is
+    read at the end is the second, beside how it differs from the first."""
+    from webloom.operators.changes import read_snapshots, write_snapshots
+    from webloom.plans.jobs import check_for_changes
+    root = _scratch(spark, "snapshot-versions")
+    current, stored = _captures(spark, sf_dir)
+    write_snapshots(stored, root, "1")
+    _, snaps = check_for_changes(current, read_snapshots(spark, root))
+    write_snapshots(snaps, root, "2")
+    before = read_snapshots(spark, root, "1").select("url", F.col("hash").alias("before"))
+    return read_snapshots(spark, root).join(before, "url", "left").select(
+        "url", "hash", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_check"), (~F.col("hash").eqNullSafe(F.col("before"))).alias("changed"))
+
+
 @query("monitor_stats", _CHANGES_SQL + """
 SELECT url, '2024-02-01 00:00:00' AS last_check, substr(current_hash, 1, 16) || '...' AS hash, count(*) OVER () AS total_urls
 FROM j
