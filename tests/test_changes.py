@@ -135,28 +135,37 @@ def test_watch_list_events_and_replay(spark, tmp_path):
     assert got[0] == (0, 1)
 
 
-def test_state_expires(spark, tmp_path):
-    """T7 runs on processing time, so its stream keeps a running trigger."""
-    import time
+def test_state_expires_on_event_time(spark, tmp_path):
+    """T7 under availableNow, each run restarted from the checkpoint: the timer drops u's state once v moves the watermark."""
     from webloom.streaming.monitor import monitor_changes
     schema = "url string, html string, ts timestamp"
     (tmp_path / "in").mkdir()
     src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    day = lambda n: dt.datetime(2024, 1, n)
+    for part, rows in (("a", [("u", "same", day(1)), ("w", "same", day(1))]), ("b", [("w", "same", day(2))]), ("c", [("v", "x", day(5))]),
+                       ("d", [("u", "same", day(6)), ("w", "other", day(6)), ("v", "x", day(6))])):
+        caps(spark, rows).write.parquet(str(tmp_path / "in" / part))
+        (monitor_changes(src, emit_unchanged=True, ttl_ms=2 * 86_400_000).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination())
+    got = sorted((r.url, r.ts.day, r.change_type) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("u", 1, "initial"), ("u", 6, "initial"), ("v", 5, "initial"), ("v", 6, "none"),
+                   ("w", 1, "initial"), ("w", 2, "none"), ("w", 6, "initial")]
+
+
+def test_captures_without_a_time_are_late(spark, tmp_path):
+    from webloom.streaming.monitor import monitor_changes
+    schema = "url string, html string, ts timestamp"
+    rows = [("u", "one", None), ("u", "one", dt.datetime(2024, 1, 1)), ("u", None, dt.datetime(2024, 1, 2)), ("u", "two\nlines", dt.datetime(2024, 1, 3))]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    events = monitor_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), emit_unchanged=True)
+    (events.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+     .trigger(availableNow=True).start().awaitTermination())
+    got = [(r.ts and r.ts.day, r.change_type) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=str)[-1] == (None, "late") and len(got) == 4
 
-    def events():
-        try:
-            return [r.change_type for r in spark.read.parquet(str(tmp_path / "out")).where("url = 'u'").collect()]
-        except Exception:  # noqa: BLE001  nothing is written yet
-            return []
-    q = (monitor_changes(src, ttl_ms=1000).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-         .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="300 milliseconds").start())
-    try:
-        for n, part in ((1, "a"), (2, "b")):
-            caps(spark, [("u", "same", dt.datetime(2024, 1, n))]).write.parquet(str(tmp_path / "in" / part))
-            until = time.time() + 40
-            while len(events()) < n and time.time() < until:
-                time.sleep(0.5)
-            time.sleep(6)  # the state is forgotten
-    finally:
-        q.stop()
-    assert events() == ["initial", "initial"]
+
+def test_diff_of_200_000_changed_lines(spark):
+    from webloom.functions.text import diff_summary
+    df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit("old "), i)), "\n").alias("a"),
+                               F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_001)), lambda i: F.concat(F.lit("new "), i % 70_000)), "\n").alias("b"))
+    assert df.select(diff_summary("a", "b").alias("d")).first().d == "+200001 lines added, -200000 lines removed"

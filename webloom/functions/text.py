@@ -104,10 +104,22 @@ def line_hashes(s, chars: int | None = None) -> Column:
 
 
 def line_diff_counts(old_lines, new_lines) -> Column:
-    """J4 of two arrays of line hashes: struct(added, removed) = occurrences of lines absent on the other side."""
-    def only(a, b):
-        return let(F.array_except(a, b), lambda gone: F.size(F.filter(a, lambda x: F.array_contains(gone, x))))
-    return F.struct(only(_c(new_lines), _c(old_lines)).alias("added"), only(_c(old_lines), _c(new_lines)).alias("removed"))
+    """J4 of two arrays of line hashes: struct(added, removed) = occurrences of lines absent on the other side. The lines of both are
+    sorted together and merged in one walk, which closes a run of equal lines when the next one begins."""
+    both = F.array_sort(F.concat(F.transform(_c(old_lines), lambda x: F.struct(x.alias("x"), F.lit(False).alias("new"))),
+                                 F.transform(_c(new_lines), lambda x: F.struct(x.alias("x"), F.lit(True).alias("new")))))
+    none = F.lit(0)
+    start = F.struct(F.lit(None).cast("bigint").alias("x"), none.alias("o"), none.alias("n"), none.alias("added"), none.alias("removed"))
+
+    def closed(acc):
+        return acc["added"] + F.when(acc["o"] == 0, acc["n"]).otherwise(0), acc["removed"] + F.when(acc["n"] == 0, acc["o"]).otherwise(0)
+
+    def step(acc, e):
+        same, old, new = acc["x"].eqNullSafe(e["x"]), F.when(e["new"], 0).otherwise(1), F.when(e["new"], 1).otherwise(0)
+        added, removed = closed(acc)
+        return F.struct(e["x"].alias("x"), (F.when(same, acc["o"]).otherwise(0) + old).alias("o"), (F.when(same, acc["n"]).otherwise(0) + new).alias("n"),
+                        F.when(same, acc["added"]).otherwise(added).alias("added"), F.when(same, acc["removed"]).otherwise(removed).alias("removed"))
+    return F.aggregate(both, start, step, lambda acc: F.struct(closed(acc)[0].alias("added"), closed(acc)[1].alias("removed")))
 
 
 def diff_text(counts: Column) -> Column:

@@ -7,11 +7,13 @@ they change nothing, and are reported as such when unchanged captures are."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from webloom.functions.text import content_hash, line_hashes
 
@@ -21,7 +23,7 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("current_hash", T.StringType()), T.StructField("diff_summary", T.StringType()),
     T.StructField("ts", T.TimestampType())])
 STATE_SCHEMA = T.StructType([T.StructField("hash", T.StringType()), T.StructField("lines", T.ArrayType(T.LongType())),
-                             T.StructField("last_ts", T.TimestampType())])
+                             T.StructField("last_us", T.LongType())])
 
 
 def _absent(lines, others) -> int:
@@ -40,43 +42,81 @@ def watched(stream: DataFrame, watchlist: DataFrame | None = None) -> DataFrame:
     return stream
 
 
-def monitor_changes(stream: DataFrame, emit_unchanged: bool = False, ttl_ms: int | None = None) -> DataFrame:
-    """Per-URL keyed state -> change events (initial / content, and none when asked).
-    ``ttl_ms`` (T7) forgets URLs not seen for that long (processing-time timeout)."""
-    from webloom.session import ship_package
-    ship_package(stream.sparkSession)
-    hashed = stream.select("url", content_hash("html").alias("hash"), line_hashes("html").alias("lines"),
-                           F.col("ts").cast("timestamp").alias("ts"))
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        prev = state.get if state.exists else None
-        h, before, last = prev if prev else (None, None, None)
+class ChangeMonitor(StatefulProcessor):
+    """T1 with its state in a value state of each URL, and T7 by a timer on event time."""
+
+    def __init__(self, emit_unchanged: bool, ttl_ms: int | None):
+        self.emit_unchanged, self.ttl_ms = emit_unchanged, ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        url = key[0]
+        stored = self.seen.get() if self.seen.exists() else None
+        h, before, last = stored if stored else (None, None, None)
+        captures = []
+        for pdf in rows:
+            captures += zip(pdf["us"].tolist(), pdf["hash"].tolist(), pdf["lines"].tolist(), strict=True)
+        captures.sort(key=lambda c: (c[0], c[1] or ""))
         out = []
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "hash"], kind="stable")
-        for r in rows.itertuples(index=False):
-            if last is not None and r.ts < last:
-                if emit_unchanged:
-                    out.append((r.url, False, "late", h, r.hash, None, r.ts))
+        for us, new, lines in captures:
+            if us < 0 or (last is not None and us < last):  # without a time, or late
+                if self.emit_unchanged:
+                    out.append((url, False, "late", h, new, None, us))
                 continue
+            if self.ttl_ms and last is not None and us - last >= self.ttl_ms * 1000:
+                h, before = None, None
+            lines = [] if lines is None else lines
             if h is None:
-                out.append((r.url, True, "initial", "", r.hash, None, r.ts))
-            elif h == r.hash:
-                if emit_unchanged:
-                    out.append((r.url, False, "none", h, r.hash, None, r.ts))
+                out.append((url, True, "initial", "", new, None, us))
+            elif h == new:
+                if self.emit_unchanged:
+                    out.append((url, False, "none", h, new, None, us))
             else:
-                summary = f"+{_absent(r.lines, before)} lines added, -{_absent(before, r.lines)} lines removed"
-                out.append((r.url, True, "content", h, r.hash, summary, r.ts))
-            h, before, last = r.hash, r.lines, r.ts
-        state.update((h, [int(x) for x in before], last))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=[f.name for f in EVENT_SCHEMA.fields])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return hashed.groupBy("url").applyInPandasWithState(fn, EVENT_SCHEMA, STATE_SCHEMA, "append", timeout)
+                out.append((url, True, "content", h, new, f"+{_absent(lines, before)} lines added, -{_absent(before, lines)} lines removed", us))
+            h, before, last = new, lines, us
+        if last is not None:
+            self.seen.update((h, [int(x) for x in before], last))
+            if self.ttl_ms:
+                expiry = last // 1000 + self.ttl_ms
+                for timer in list(self.handle.listTimers()):
+                    if timer != expiry:
+                        self.handle.deleteTimer(timer)
+                self.handle.registerTimer(expiry)
+        frame = pd.DataFrame(out, columns=[f.name for f in EVENT_SCHEMA.fields])
+        frame["ts"] = pd.to_datetime(frame["ts"].where(frame["ts"] >= 0), unit="us")
+        yield frame
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def monitor_changes(stream: DataFrame, emit_unchanged: bool = False, ttl_ms: int | None = None, lateness: str = "0 seconds") -> DataFrame:
+    """Per-URL keyed state -> change events (initial / content, and none and late when asked).
+
+    ``ttl_ms`` (T7) forgets a URL that long after its last capture, on the captures' own time: the next capture is an initial one, and
+    a timer drops the state once the watermark, ``lateness`` behind the newest capture, has passed. This needs no running
+    trigger: it holds for ``availableNow`` and over restarts. With it, captures behind the watermark are dropped by
+    Spark. A capture without a time is late. Captures of a URL in a micro-batch are taken batch by batch and ordered in
+    memory, as hashes."""
+    from webloom.session import ship_package
+    spark = stream.sparkSession
+    ship_package(spark)
+    if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):  # this state needs it
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = F.col("ts").cast("timestamp")
+    hashed = stream.select("url", content_hash("html").alias("hash"), line_hashes("html").alias("lines"), at.alias("ts"),
+                           F.coalesce(F.unix_micros(at), F.lit(-1)).alias("us"))
+    if ttl_ms:
+        hashed = hashed.withWatermark("ts", lateness)
+    return hashed.groupBy("url").transformWithStateInPandas(
+        ChangeMonitor(emit_unchanged, ttl_ms), EVENT_SCHEMA, "append", "EventTime" if ttl_ms else "None")
 
 
 def event_payload(events: DataFrame) -> DataFrame:
