@@ -65,6 +65,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def dealt_for_parsing(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` in ``partitions`` tasks, or as many as the session's ``webloom.parse.partitions`` states; as it is without either.
+    Spark packs files into splits by bytes, which can starve a stage whose cost is Python time: state a number of
+    tasks where an archive has few splits (or lower ``spark.sql.files.maxPartitionBytes``, which needs no shuffle)."""
+    n = partitions or int(df.sparkSession.conf.get("webloom.parse.partitions", None) or 0)
+    return df.repartition(n) if n else df
+
+
 _SCRATCH: list = []
 
 

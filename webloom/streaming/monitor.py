@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +23,13 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("change_type", T.StringType()), T.StructField("previous_hash", T.StringType()),
     T.StructField("current_hash", T.StringType()), T.StructField("diff_summary", T.StringType()),
     T.StructField("ts", T.TimestampType())])
-STATE_SCHEMA = T.StructType([T.StructField("hash", T.StringType()), T.StructField("lines", T.ArrayType(T.LongType())),
+STATE_SCHEMA = T.StructType([T.StructField("hash", T.StringType()), T.StructField("lines", T.BinaryType()),
                              T.StructField("last_us", T.LongType())])
 
 
 def _absent(lines, others) -> int:
     """How many of ``lines`` (with repeats) are not among ``others``."""
-    known = set(others)
-    return sum(x not in known for x in lines)
+    return int((~np.isin(np.asarray(lines, np.int64), np.asarray(others, np.int64))).sum())
 
 
 def watched(stream: DataFrame, watchlist: DataFrame | None = None) -> DataFrame:
@@ -54,8 +54,8 @@ class ChangeMonitor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         url = key[0]
-        stored = self.seen.get() if self.seen.exists() else None
-        h, before, last = stored if stored else (None, None, None)
+        stored = self.seen.get()  # each call on the state is a round trip to the JVM
+        h, before, last = (stored[0], np.frombuffer(stored[1], np.int64), stored[2]) if stored else (None, None, None)
         captures = []
         for pdf in rows:
             captures += zip(pdf["us"].tolist(), pdf["hash"].tolist(), pdf["lines"].tolist(), strict=True)
@@ -78,16 +78,19 @@ class ChangeMonitor(StatefulProcessor):
                 out.append((url, True, "content", h, new, f"+{_absent(lines, before)} lines added, -{_absent(before, lines)} lines removed", us))
             h, before, last = new, lines, us
         if last is not None:
-            self.seen.update((h, [int(x) for x in before], last))
+            if stored is None or (h, last) != (stored[0], stored[2]):
+                self.seen.update((h, np.asarray(before, np.int64).tobytes(), last))
             if self.ttl_ms:
                 expiry = last // 1000 + self.ttl_ms
                 for timer in list(self.handle.listTimers()):
                     if timer != expiry:
                         self.handle.deleteTimer(timer)
                 self.handle.registerTimer(expiry)
-        frame = pd.DataFrame(out, columns=[f.name for f in EVENT_SCHEMA.fields])
-        frame["ts"] = pd.to_datetime(frame["ts"].where(frame["ts"] >= 0), unit="us")
-        yield frame
+        if out:
+            *values, us = zip(*out, strict=True)
+            at = np.array([t if t >= 0 else np.iinfo(np.int64).min for t in us]).astype("datetime64[us]")  # the least is NaT
+            names = [f.name for f in EVENT_SCHEMA.fields]
+            yield pd.DataFrame(dict(zip(names, [*[list(v) for v in values], at], strict=True)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
