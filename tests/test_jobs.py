@@ -107,6 +107,30 @@ def test_query_tables(spark):
     assert {(r["query"], r.relevance_score) for r in rows} == {("red boat", 2), ("w12", 11), ("w1", 11)}
 
 
+def test_crawl_of_many_seeds_against_a_loop(spark):
+    """200 seeds on two hosts: bitmaps of several blocks, with and without a cap."""
+    import random
+    from webloom.operators.crawl import crawl
+    rng = random.Random(4)
+    urls = [f"http://h{i % 2}/p{i}" for i in range(120)]
+    out = {u: sorted({rng.choice(urls) for _ in range(2)}) for u in urls}
+    arch = spark.createDataFrame([(u, "".join(f'<a href="{v}">x</a>' for v in out[u]), u != urls[7]) for u in urls], "url string, html string, success boolean")
+    seeds = [(u, u) for u in urls] + [(f"http://h0/s{i}", rng.choice(urls)) for i in range(80)] + [("http://none/", "http://none/")]
+    table = spark.createDataFrame(seeds + seeds[:5], "seed string, url string")
+
+    def loop(start, cap):
+        depth, level = ({start: 0} if start in out and start != urls[7] else {}), [start]
+        for d in range(1, 4):
+            if cap and len(depth) >= cap:
+                break
+            level = [v for u in level if u in depth for v in out[u] if v.split("/")[2] == u.split("/")[2] and v != urls[7] and v not in depth]
+            depth |= dict.fromkeys(level, d)
+        return sorted((d, u) for u, d in depth.items())[:cap]
+    for cap in (None, 5):
+        got = {(r.seed, r.url, r.depth) for r in crawl(table, arch, max_depth=3, max_pages=cap).collect()}
+        assert got == {(s, u, d) for s, start in seeds for d, u in loop(start, cap)}
+
+
 def test_many_queries_in_blocks(spark, monkeypatch):
     """10,000 queries against a plain loop, in several blocks; no nested loop or cartesian product in the plan."""
     from webloom.operators import fit, matching
