@@ -131,6 +131,51 @@ def test_crawl_of_many_seeds_against_a_loop(spark):
         assert got == {(s, u, d) for s, start in seeds for d, u in loop(start, cap)}
 
 
+def test_page_callbacks_and_replay(spark, tmp_path):
+    """A callback that fails gets its batch again, with the same id and rows."""
+    import pytest
+    pages = spark.createDataFrame([(f"u{i}", "x" * i) for i in range(20)], "url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in"))
+    calls, kept = [], {}
+
+    def fn(batch, batch_id):
+        calls.append(batch_id)
+        kept[batch_id] = sorted(r.url for r in batch.collect())
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+    with pytest.raises(Exception):
+        jobs.for_each_batch(src, fn, str(tmp_path / "ck")).awaitTermination()
+    jobs.for_each_batch(src, fn, str(tmp_path / "ck")).awaitTermination()
+    assert calls == [0, 0] and sorted(sum(kept.values(), [])) == sorted(f"u{i}" for i in range(20))
+
+    def count(rows):
+        n = sum(len(r["html"]) for r in rows)
+        if n > 100:
+            raise ValueError("large")
+        return n
+    got = jobs.for_each_partition(pages.repartitionByRange(2, F.length("html")), count).orderBy("partition").collect()
+    assert [(r.rows, r.result, r.error) for r in got] == [(10, 45.0, None), (10, None, "ValueError: large")]
+
+
+def test_a_hot_site_is_ranked_in_ranges(spark):
+    from webloom.operators.discovery import limit_urls
+    rows = [("hot" if i % 3 else f"s{i % 5}", f"u{i:04d}", i % 2, i // 50, None, i % 7) for i in range(3000)] + [(None, "x", 0, 0, 0, 0)]
+    urls = spark.createDataFrame(rows, "site string, url string, method_rank int, o0 int, o1 int, o2 int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked, first = limit_urls(urls), limit_urls(urls, 7)
+        got = {(r.site, r.url): r["rank"] for r in ranked.collect()}
+        few = {(r.site, r.url): r["rank"] for r in first.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, seen = {}, {}
+    for site, url, *_ in sorted(rows, key=lambda r: (str(r[0]), r[2], r[3], r[5], r[1])):
+        seen[site] = seen.get(site, 0) + 1
+        want[site, url] = seen[site]
+    assert got == want and few == {k: v for k, v in want.items() if v <= 7}
+
+
 def test_many_queries_in_blocks(spark, monkeypatch):
     """10,000 queries against a plain loop, in several blocks; no nested loop or cartesian product in the plan."""
     from webloom.operators import fit, matching

@@ -37,6 +37,8 @@ def test_numbers(spark):
     assert one(spark, lambda c: TX.parse_number(c, -1.0), "none") == -1.0
     assert one(spark, TX.cell_number, "1,234") == 1234.0
     assert one(spark, TX.cell_number, "abc") is None
+    assert int(one(spark, TX.cell_integer, " 9,007,199,254,740,993 ")) == 9007199254740993
+    assert one(spark, TX.cell_integer, "1.5") is None and one(spark, TX.cell_number, "99999999999999999999") == 1e20
 
 
 def test_query_words_and_diff(spark):

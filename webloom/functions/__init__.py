@@ -5,5 +5,5 @@ from webloom.functions.urls import (  # noqa: F401
 )
 from webloom.functions.text import (  # noqa: F401
     py_strip, content_hash, url_key, query_words, match_count, clean_markdown, truncate_tokens,
-    cut, parse_number, cell_number,
+    cut, parse_number, cell_integer, cell_number,
 )

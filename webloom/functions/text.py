@@ -82,13 +82,19 @@ def parse_number(text, default=None) -> Column:
     return F.coalesce(v, F.lit(default).cast("double"))
 
 
+def cell_integer(raw) -> Column:
+    """X7 for integers: the exact value as DECIMAL(38,0) after dropping commas; NULL with a '.' or when it is no integer."""
+    t = F.replace(_c(raw), F.lit(","), F.lit(""))
+    return F.when(t.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(F.regexp_replace(t, r"\s", "")).try_cast("decimal(38,0)"))
+
+
 def cell_number(raw) -> Column:
-    """X7: '.' present -> float, else integer, after dropping commas; NULL when it is not a number."""
+    """X7: '.' present -> float, else integer, after dropping commas; NULL when it is not a number. A DOUBLE: integers beyond
+    2**53 are exact in :func:`cell_integer` only."""
     r = _c(raw)
     t = F.replace(r, F.lit(","), F.lit(""))
-    as_int = F.when(t.rlike(r"^\s*[+-]?\d+\s*$"), t.try_cast("bigint").cast("double"))
     as_float = F.when(t.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), t.try_cast("double"))
-    return F.when(F.instr(r, ".") > 0, as_float).otherwise(as_int)
+    return F.when(F.instr(r, ".") > 0, as_float).otherwise(cell_integer(r).cast("double"))
 
 
 def paragraphs(md, sep: str = "\n\n") -> Column:

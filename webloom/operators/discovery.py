@@ -61,9 +61,20 @@ def distinct_first(urls: DataFrame) -> DataFrame:
 
 
 def limit_urls(urls: DataFrame, n: int | None = None) -> DataFrame:
-    """First n per site in discovery order (None: all), with 1-based ``rank``."""
-    w = Window.partitionBy("site").orderBy("method_rank", "o0", "o1", "o2", "url")
-    ranked = urls.withColumn("rank", F.row_number().over(w))
+    """First n per site in discovery order (None: all), with 1-based ``rank``.
+
+    Rows are dealt by ranges of (site, order), so that a site with a third of all URLs lies in many tasks, and are
+    ranked inside their range; the counts of a site's earlier ranges, one row each, are added."""
+    order = ["method_rank", "o0", "o1", "o2", "url"]
+    ranged = materialize(materialize(urls, "urls").repartitionByRange("site", *order).withColumn("_part", F.spark_partition_id()), "ranged-urls")
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("site", "_part").orderBy(*order)))
+    before = Window.partitionBy("site").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("site", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    base = counts.select(F.col("site").alias("_site"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if n is not None:
+        local = local.where(F.col("_local") <= n)
+    ranked = (local.join(base, F.col("site").eqNullSafe(F.col("_site")) & (F.col("_part") == F.col("_p")))
+              .withColumn("rank", (F.col("_local") + F.col("_before")).cast("int")).drop("_site", "_p", "_part", "_local", "_before"))
     return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 

@@ -175,7 +175,10 @@ def _xpath_value(cfg, base: Column) -> Column:
 def extract_xpath(parsed: DataFrame, base_xpath: str, fields: dict, namespaces: dict | None = None,
                   keep: list[str] | None = None) -> DataFrame:
     """Base nodes by XPath; per field the first hit: attribute, else trimmed string value;
-    missing -> the field default.  Qualified names are matched literally (``namespaces`` accepted)."""
+    missing -> the field default. Pages are HTML, whose tree has no namespaces: a qualified name is matched as it is
+    written (``svg:path``), and a non-empty ``namespaces`` is refused, since nothing could be resolved by it."""
+    if namespaces:
+        raise ValueError("HTML has no namespaces: write the prefix as part of the name")
     pred, terminal = compile_xpath(base_xpath)
     if pred is None or terminal:
         raise ValueError("the base XPath must select elements")
@@ -282,12 +285,13 @@ def extract_tables(parsed: DataFrame, keep: list[str] | None = None) -> DataFram
 
 
 def table_cells(tables: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """X7 long form: one row per data cell with ``raw`` text and ``num`` (NULL when not a number)."""
-    from webloom.functions.text import cell_number
+    """X7 long form: one row per data cell with ``raw`` text, ``num`` (NULL when not a number) and ``num_int``, the exact
+    value of an integer."""
+    from webloom.functions.text import cell_integer, cell_number
     keep = keep or [c for c in ("page_id", "url") if c in tables.columns]
     return (tables.select(*keep, "table_idx", F.posexplode("rows").alias("row_idx", "row"))
             .select(*keep, "table_idx", "row_idx", F.posexplode("row").alias("col_idx", "raw"))
-            .withColumn("num", cell_number("raw")))
+            .withColumn("num", cell_number("raw")).withColumn("num_int", cell_integer("raw")))
 
 
 # ----------------------------------------------------------------------------- X8 links, X9 images

@@ -126,6 +126,41 @@ def process_pages(pages: DataFrame, fn, schema) -> DataFrame:
     return pages.mapInPandas(run, out)
 
 
+def for_each_batch(pages: DataFrame, fn, checkpoint: str, trigger: dict | None = None):
+    """G3 on a stream of pages: ``fn(batch, batch_id)`` for every micro-batch. A batch whose call failed, or whose commit was
+    lost, comes again with its id and its rows, so a callback that keeps results by batch id counts each page once."""
+    w = pages.writeStream.foreachBatch(lambda batch, batch_id: fn(batch, int(batch_id))).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def for_each_partition(pages: DataFrame, fn) -> DataFrame:
+    """G3 on a table: ``fn(rows)`` gets an iterator over the rows (dicts) of each partition, in its task, and returns a number or
+    nothing. One row a partition comes back, ``partition, rows, result, error``; a call that raises is a row with its
+    error, and the others go on. A lost task calls again. The callback runs when the result is read."""
+    from webloom.session import ship_package
+    ship_package(pages.sparkSession)
+
+    def run(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+        seen = 0
+
+        def rows():
+            nonlocal seen
+            for pdf in batches:
+                for rec in pdf.to_dict("records"):
+                    seen += 1
+                    yield rec
+        result = error = None
+        try:
+            result = fn(rows())
+        except Exception as e:  # noqa: BLE001
+            error = f"{type(e).__name__}: {e}"
+        yield pd.DataFrame({"partition": [TaskContext.get().partitionId()], "rows": [seen], "result": [None if result is None else float(result)],
+                            "error": [error]})
+    return pages.mapInPandas(run, "partition int, rows long, result double, error string")
+
+
 def apply_strategy(parsed: DataFrame, strategy) -> DataFrame:
     """A strategy is any object with ``apply(parsed) -> DataFrame`` (or a plain function)."""
     return parsed.transform(strategy.apply if hasattr(strategy, "apply") else strategy)
