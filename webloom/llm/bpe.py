@@ -71,6 +71,7 @@ class Bpe:
         self.known: dict[str, tuple] = {}
         self.known_bytes = 0
         self.compare = True
+        self.memory: int | None = None  # bytes of words remembered, CACHE_BYTES if not given
 
     def normalised(self, text: str) -> str:
         text = self.spaces.sub(self.space, unicodedata.normalize("NFC", text))
@@ -126,7 +127,7 @@ class Bpe:
             words = self.word.findall(self.normalised(part)) if part else []
             known = self.known
             for w in set(words).difference(known):
-                if self.known_bytes > CACHE_BYTES:
+                if self.known_bytes > (self.memory or CACHE_BYTES):
                     known, self.known_bytes = {}, 0
                     self.known = known
                 got = known[w] = self.spell(w)
@@ -194,13 +195,13 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def coded(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None,
-          columns: tuple[str, ...] = ("ids", "n_tokens", "decoded", "round_trip")) -> DataFrame:
+          columns: tuple[str, ...] = ("ids", "n_tokens", "decoded", "round_trip"), memory: int | None = None) -> DataFrame:
     """Adds, of these, the named columns: ``ids array<int>``, ``n_tokens long``, ``decoded string`` (the vocabulary strings of the
     ids, joined by single spaces), ``round_trip boolean`` (whether these spell the text's normalised words and special
     tokens, all in their order), ``ids_sha256`` and ``decoded_sha256`` (hex digests of the decimal ids joined by a space, and of ``decoded``).
 
     One Arrow map over slices of bounded text: each distinct word is encoded once, its ids are decoded and compared with
-    it, and whole texts are joined from that. ``path``: the tokenizer file, on the driver. A null text is the empty text,
+    it, and whole texts are joined from that; ``memory`` bounds the bytes of words a Python worker remembers. ``path``: the tokenizer file, on the driver. A null text is the empty text,
     which has no ids, an empty ``decoded`` and makes the round trip; special tokens spelled in a text become their ids. Texts are
     never cut. Repeated rows and ids are rows of their own, an empty table gives none. Columns of ``df`` named like an
     added one are replaced; all others stay (or those in ``keep``)."""
@@ -232,6 +233,7 @@ def coded(df: DataFrame, path: str, text: str = "text", keep: list[str] | None =
         bpe = _loaded(shared)
         if bpe.compare != ("round_trip" in columns):
             bpe.compare, bpe.known, bpe.known_bytes = "round_trip" in columns, {}, 0
+        bpe.memory = memory
         for batch in batches:
             for part in _slices(batch, len(kept)):
                 texts = [bpe.spelled(t) for t in part.column(len(kept)).to_pylist()]
@@ -274,4 +276,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", decoded: str = "dec
 def digests(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_tokens, ids_sha256, decoded_sha256``: what :func:`encode` and then :func:`decode` give, digested in
     the task that encodes; cases as in :func:`coded`."""
-    return coded(df, path, text, keep, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return coded(df, path, text, keep, ("n_tokens", "ids_sha256", "decoded_sha256"), memory=2 * CACHE_BYTES)
