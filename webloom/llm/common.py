@@ -41,12 +41,12 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back. A lost executor then
-    costs a re-read, and the plan above is not run again by each consumer (``checkpoint()`` runs it twice)."""
+    costs a re-read, and the plan above is not run again by each consumer (``checkpoint()`` runs it twice). ``options`` are the writer's."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

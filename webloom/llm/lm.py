@@ -5,12 +5,14 @@ the most frequent words have classes of CLASS_WORDS with a softmax of their own
 classes by frequency and ending with their share of the class's counts; so are the words beyond the bounded head,
 with 0.1 added to each count and to one unseen word. The sum over all words, seen or not, is one.
 
+Texts are split once, into blocks of word codes that are written; counting, training and scoring read these.
 Training is truncated backpropagation in numpy over every training document once, in rounds: the documents are dealt
 to groups of bounded token count, more groups as the input grows; each round trains a copy on each of its groups and
 averages the copies by tokens. Scoring carries the state from window to window through each whole document."""
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -32,14 +34,17 @@ CLASSES = NEURAL // CLASS_WORDS + (BINS + 1) * ENDINGS
 TAIL_CLASS = CLASSES - ENDINGS
 #: State size, steps of a window, documents scored side by side, tokens that a task holds at once.
 HIDDEN, WINDOW, LANES, HELD_TOKENS = 16, 32, 512, 1_000_000
+#: States whose outputs are computed at once: fewer lanes have longer windows.
+AT_ONCE = 8192
 #: Training: tokens of a group (on average), rounds of averaging, step size.
 GROUP, ROUNDS, RATE = 1 << 20, 3, 0.02
 #: Lanes of a group, least and most; between them as many as give about STEPS updates in the pass over the group.
 LEAST_LANES, TRAIN_LANES, STEPS = 64, 256, 128
 #: Tokens of a piece of a long document, and tokens before a piece or lane that bring up its state.
 PIECE, CONTEXT = 4096, 128
-#: Distinct words counted in a task before they are handed on.
-COUNTED = 80_000
+#: Tokens of a coded block, and how Parquet writes rows as large as these: sizes are looked at after a few.
+BLOCK = 1 << 19
+BLOCK_FILES = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 2, "parquet.page.size.row.check.min": 2}
 END = b""  # the end token: words are never empty
 SMOOTH = 0.1
 
@@ -56,25 +61,61 @@ def ending(word: Column) -> Column:
     return F.pmod(F.crc32(F.substring(word, -2, 2)), F.lit(ENDINGS)).cast("int")
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """``word binary, c long`` over column ``t`` (binary): counted in the tasks, then summed by word."""
-    def run(batches):
-        counts: Counter = Counter()
+class _Local(dict):
+    """Words of a block by the order in which they came."""
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def coded(df: DataFrame, learn: Column, key: list[str], text: str) -> DataFrame:
+    """Every text split once: one row per block of about BLOCK tokens, ``key`` (structs of the key columns), ``learn`` and
+    ``sizes`` by document, ``codes`` (32-bit places in ``words`` of all tokens), the block's ``words`` and their ``times``
+    in documents to learn from. A document is in one block; a longer one than BLOCK makes its block longer."""
+    keys = F.struct(*([F.col(f"`{k}`") for k in key] or [F.lit(0).alias("none")]))
+    src = df.select(keys.alias("key"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(f"`{text}`").cast("binary").alias("t"))
+    schema = T.StructType([T.StructField("key", T.ArrayType(src.schema["key"].dataType)), T.StructField("learn", T.ArrayType(T.BooleanType())),
+                           T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()),
+                           T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType()))])
+
+    def block(parts, flats, sizes, table):
+        flat, size = np.concatenate(flats), np.concatenate(sizes)
+        learned = np.concatenate([p.column(1).to_numpy(zero_copy_only=False) for p in parts]).astype(bool)
+        times = np.bincount(flat[np.repeat(learned, size)], minlength=len(table))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.RecordBatch.from_arrays([
+            one(pa.concat_arrays([p.column(0) for p in parts])), one(pa.array(learned)), one(pa.array(size)), pa.array([flat.tobytes()], pa.binary()),
+            one(pa.array(list(table), pa.binary())), one(pa.array(times.astype(np.int64)))], names=schema.names)
+
+    def run(batches):
+        parts, flats, sizes, table, held = [], [], [], _Local(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for t in batch.column(0).slice(at, 256).to_pylist():
-                    counts.update(words_of(t))
-                if len(counts) >= COUNTED:
-                    yield flush()
-        if counts:
-            yield flush()
-    ship_package(texts.sparkSession)
-    return texts.select("t").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+                part = batch.slice(at, 256)
+                flat, size = _numbers(table, part.column(2).to_pylist())
+                parts.append(part)
+                flats.append(flat)
+                sizes.append(size)
+                held += len(flat)
+                if held >= BLOCK:
+                    yield block(parts, flats, sizes, table)
+                    parts, flats, sizes, table, held = [], [], [], _Local(), 0
+        if parts:
+            yield block(parts, flats, sizes, table)
+    ship_package(df.sparkSession)
+    return src.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id())
+
+
+def counts_of(blocks: DataFrame) -> DataFrame:
+    """``word binary, c long`` over the documents of coded blocks to learn from: a word's times in each block, summed."""
+    times = blocks.select(F.explode(F.arrays_zip("words", "times")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    return times.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``word binary, c long`` over column ``t`` (binary)."""
+    return counts_of(coded(texts, F.lit(True), [], "t"))
 
 
 class _Numbers(dict):
@@ -104,7 +145,7 @@ class Head:
         self.cls = np.where(rank < NEURAL, rank // CLASS_WORDS, NEURAL // CLASS_WORDS + bins * ENDINGS + ends).astype(np.int32)
         self.inp = np.where(rank < NEURAL, rank, NEURAL + self.cls).astype(np.int32)
         mass = np.bincount(self.cls, weights=self.counts, minlength=CLASSES)
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             self.own = np.where(rank < NEURAL, 0.0, np.log(self.counts / mass[self.cls])).astype(np.float32)
         self.mass = mass.copy()
         self.mass[TAIL_CLASS:] += self.tail_total + SMOOTH
@@ -153,150 +194,210 @@ class Network:
                     "c": np.log(head.mass + 0.5).astype(np.float32), "W": normal(NEURAL, HIDDEN) * 0.1,
                     "w": np.where(shares > 0, np.log(shares + 1e-9), -30).astype(np.float32)})
 
-    def states(self, x: np.ndarray, h: np.ndarray, keep: bool = False, begins: np.ndarray | None = None):
-        """States after each step of inputs ``x`` (steps, lanes) from ``h``; with ``keep`` what the way back needs.
-        Where ``begins`` (steps, lanes) holds, a text begins and the state before is zero."""
-        gates, u, k = self.p["G"], self.p["U"], HIDDEN
-        out = np.empty((*x.shape, k), np.float32)
-        kept = []
-        for t in range(len(x)):
-            if begins is not None:
-                h = np.where(begins[t][:, None], np.float32(0), h)
-            g, s = gates[x[t]], h @ u
-            zr = 1 / (1 + np.exp(-(g[:, :2 * k] + s[:, :2 * k])))
-            z, r = zr[:, :k], zr[:, k:]
-            n = np.tanh(g[:, 2 * k:] + r * s[:, 2 * k:])
+    def _forward(self, x: np.ndarray, h: np.ndarray, keep: bool, begins: np.ndarray | None):
+        """States (HIDDEN + 1, steps, lanes), a row of ones last, so that output weights hold their own offsets; and with
+        ``keep`` the states before, gates, candidates and sums that the way back needs. Lanes are the inner axis of all arrays."""
+        k, (steps, lanes) = HIDDEN, x.shape
+        sign = np.repeat(np.array([-1, 1], np.float32), [2 * k, k])[:, None]
+        gates, u = np.ascontiguousarray(self.p["G"].T, np.float32) * sign, np.ascontiguousarray(self.p["U"].T, np.float32) * sign
+        out = np.empty((k + 1, steps, lanes), np.float32)
+        out[k] = 1
+        s, held = np.empty((3 * k, lanes), np.float32), np.empty((k, lanes), np.float32)
+        kept = tuple(np.empty((n, steps, lanes), np.float32) for n in (k, 2 * k, k, k)) if keep else ()
+        h = np.ascontiguousarray(h.T, np.float32)
+        fresh = begins.any(axis=1) if begins is not None else np.zeros(steps, bool)
+        for t in range(steps):
+            if fresh[t]:
+                h = np.where(begins[t], np.float32(0), h)
+            g = gates.take(x[t], axis=1)
+            np.matmul(u, h, out=s)
+            zr = g[:2 * k]
+            zr += s[:2 * k]
+            np.minimum(zr, 80, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(zr[k:], s[2 * k:], out=held)
+            n = g[2 * k:]
+            n += held
+            np.tanh(n, out=n)
             if keep:
-                kept.append((h, z, r, n, s[:, 2 * k:]))
-            h = n + z * (h - n)
-            out[t] = h
-        return (out, kept) if keep else out
+                kept[0][:, t], kept[1][:, t], kept[2][:, t], kept[3][:, t] = h, zr, n, s[2 * k:]
+            np.subtract(h, n, out=held)
+            held *= zr[:k]
+            h = out[:k, t]
+            np.add(held, n, out=h)
+        return out, kept
+
+    def states(self, x: np.ndarray, h: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+        """States (steps, lanes, HIDDEN) after each step of inputs ``x`` (steps, lanes) from ``h``.
+        Where ``begins`` (steps, lanes) holds, a text begins and the state before is zero."""
+        return self._forward(x, h, False, begins)[0][:HIDDEN].transpose(1, 2, 0)
 
     def class_logits(self, h: np.ndarray) -> np.ndarray:
         return h @ self.p["C"] + self.p["c"]
 
+    def _class_weights(self, dtype=np.float32) -> np.ndarray:
+        return np.concatenate([self.p["C"].T, self.p["c"][:, None]], axis=1).astype(dtype)
+
+    def _word_weights(self, dtype=np.float32) -> np.ndarray:
+        return np.concatenate([self.p["W"], self.p["w"][:, None]], axis=1).astype(dtype)
+
     def log_probability(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log of P(class), and of P(word | class) where the word is one of the NEURAL (else -1)."""
-        logits = self.class_logits(h)
-        logits -= logits.max(axis=1, keepdims=True)
-        out = logits[np.arange(len(h)), cls] - np.log(np.exp(logits).sum(axis=1))
-        for rows, a in _by_class(word):
-            inner = h[rows] @ self.p["W"][a:a + CLASS_WORDS].T + self.p["w"][a:a + CLASS_WORDS]
-            inner -= inner.max(axis=1, keepdims=True)
-            out[rows] += inner[np.arange(len(rows)), word[rows] - a] - np.log(np.exp(inner).sum(axis=1))
+        return self._log_p(np.concatenate([h.T, np.ones((1, len(h)), h.dtype)]), cls, word)
+
+    def _log_p(self, ha: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
+        logits = self._class_weights(ha.dtype) @ ha
+        logits -= logits.max(axis=0)
+        out = logits[cls, np.arange(len(cls))]
+        out -= np.log(np.exp(logits, out=logits).sum(axis=0))
+        rows, inner, _, _ = self._inner(ha, word)
+        inner -= inner.max(axis=0)
+        own = inner[word[rows] % CLASS_WORDS, np.arange(len(rows))]
+        out[rows] += own - np.log(np.exp(inner, out=inner).sum(axis=0))
         return out
 
+    def _inner(self, ha: np.ndarray, word: np.ndarray):
+        """Rows whose word has a vector, by class; logits of the words of each row's class (CLASS_WORDS, rows); the rows'
+        states; and (class, from, to) of each class that has rows."""
+        rows = np.flatnonzero(word >= 0)
+        cls = (word[rows] // CLASS_WORDS).astype(np.uint16)
+        order = np.argsort(cls, kind="stable")
+        rows, cls = rows[order], cls[order]
+        states, weights = ha.take(rows, axis=1), self._word_weights(ha.dtype)
+        inner = np.empty((CLASS_WORDS, len(rows)), ha.dtype)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cls)) + 1, [len(rows)]]) if len(rows) else np.zeros(1, int)
+        parts = [(int(cls[i]), int(i), int(j)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        for c, i, j in parts:
+            np.matmul(weights[c * CLASS_WORDS:(c + 1) * CLASS_WORDS], states[:, i:j], out=inner[:, i:j])
+        return rows, inner, states, parts
+
     def gradients(self, x: np.ndarray, h: np.ndarray, cls: np.ndarray, word: np.ndarray, valid: np.ndarray,
                   begins: np.ndarray | None = None):
         """Gradients of the mean loss over one window, cut at its beginning and where a text begins, and the last state."""
-        p, k = self.p, HIDDEN
-        hs, kept = self.states(x, h, keep=True, begins=begins)
-        flat, ok = hs.reshape(-1, k), valid.ravel()
+        p, k, (steps, lanes) = self.p, HIDDEN, x.shape
+        hs, (before, zr, cand, s) = self._forward(x, h, True, begins)
+        flat, ok = hs.reshape(k + 1, -1), valid.ravel()
         cls, word = cls.ravel(), np.where(ok, word.ravel(), -1)
-        n = max(ok.sum(), 1)
-        logits = self.class_logits(flat)
-        d = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(d)), cls] -= 1
-        d *= (ok / n).astype(np.float32)[:, None]
+        n = np.float32(max(ok.sum(), 1))
         g = {name: np.zeros_like(v) for name, v in p.items()}
-        g["C"], g["c"] = flat.T @ d, d.sum(axis=0)
-        dh = d @ p["C"].T
-        for rows, a in _by_class(word):
-            inner = flat[rows] @ p["W"][a:a + CLASS_WORDS].T + p["w"][a:a + CLASS_WORDS]
-            e = np.exp(inner - inner.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(rows)), word[rows] - a] -= 1
-            e /= np.float32(n)
-            g["W"][a:a + CLASS_WORDS], g["w"][a:a + CLASS_WORDS] = e.T @ flat[rows], e.sum(axis=0)
-            dh[rows] += e @ p["W"][a:a + CLASS_WORDS]
-        dh = dh.reshape(hs.shape)
-        back, to_gates = np.zeros_like(h), np.empty((*x.shape, 3 * k), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            before, z, r, cand, s = kept[t]
-            total = dh[t] + back
-            dn = total * (1 - z) * (1 - cand * cand)
-            dz, dr = total * (before - cand) * z * (1 - z), dn * s * r * (1 - r)
-            to_gates[t] = np.concatenate([dz, dr, dn], axis=1)
-            to_state = np.concatenate([dz, dr, dn * r], axis=1)
-            g["U"] += before.T @ to_state
-            back = total * z + to_state @ p["U"].T
-            if begins is not None:
-                back[begins[t]] = 0
-        order = np.argsort(x.ravel(), kind="stable")
+        weights = self._class_weights()
+        d = weights @ flat
+        d -= d.max(axis=0)
+        np.exp(d, out=d)
+        d *= ok / (n * d.sum(axis=0))
+        d[cls, np.arange(len(cls))] -= ok / n
+        to = d @ flat.T
+        g["C"], g["c"] = to[:, :k].T, to[:, k]
+        dh = weights[:, :k].T @ d
+        rows, e, states, parts = self._inner(flat, word)
+        e -= e.max(axis=0)
+        np.exp(e, out=e)
+        e /= n * e.sum(axis=0)
+        e[word[rows] % CLASS_WORDS, np.arange(len(rows))] -= 1 / n
+        back = np.empty((k, len(rows)), np.float32)
+        for c, i, j in parts:
+            own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
+            to = e[:, i:j] @ states[:, i:j].T
+            g["W"][own], g["w"][own] = to[:, :k], to[:, k]
+            np.matmul(p["W"][own].T, e[:, i:j], out=back[:, i:j], casting="same_kind")
+        dh[:, rows] += back
+        dh = dh.reshape(k, steps, lanes)
+        z, r = zr[:k], zr[k:]
+        to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), s * r * (1 - r)
+        gates = np.empty((3 * k, steps, lanes), np.float32)  # to the gates; the state's part of the last third is times r
+        total, part, back = (np.empty((m * k, lanes), np.float32) for m in (1, 3, 1))
+        back[:] = 0
+        u = np.ascontiguousarray(p["U"], np.float32)
+        stop = begins.any(axis=1) if begins is not None else np.zeros(steps, bool)
+        for t in range(steps - 1, -1, -1):
+            np.add(dh[:, t], back, out=total)
+            dz, dr, dn = gates[:k, t], gates[k:2 * k, t], gates[2 * k:, t]
+            np.multiply(total, to_cand[:, t], out=dn)
+            np.multiply(total, to_z[:, t], out=dz)
+            np.multiply(dn, to_r[:, t], out=dr)
+            part[:2 * k] = gates[:2 * k, t]
+            np.multiply(dn, r[:, t], out=part[2 * k:])
+            np.matmul(u, part, out=back)
+            total *= z[:, t]
+            back += total
+            if stop[t]:
+                back[:, begins[t]] = 0
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
         inputs, first = np.unique(x.ravel()[order], return_index=True)
-        g["G"][inputs] = np.add.reduceat(to_gates.reshape(-1, 3 * k)[order], first, axis=0)
-        return g, hs[-1]
-
-
-def _by_class(word: np.ndarray):
-    """(rows, first word) of each class that has words here."""
-    rows = np.flatnonzero(word >= 0)
-    cls = word[rows] // CLASS_WORDS
-    order = np.argsort(cls, kind="stable")
-    rows, cls = rows[order], cls[order]
-    cuts = np.flatnonzero(np.diff(cls)) + 1
-    for part in np.split(rows, cuts):
-        if len(part):
-            yield part, int(word[part[0]]) // CLASS_WORDS * CLASS_WORDS
+        g["G"][inputs] = np.add.reduceat(gates.reshape(3 * k, -1).T[order], first, axis=0)
+        gates[2 * k:] *= r
+        g["U"] = before.reshape(k, -1) @ gates.reshape(3 * k, -1).T
+        return g, hs[:k, -1].T
 
 
 class Lanes:
-    """Documents walked side by side in windows. A lane that ends its document takes the next; state is carried from
-    window to window, and is zero where a document begins."""
+    """Whole documents dealt to lanes that are walked side by side in windows: the longest first, each to the shortest
+    lane. State is carried from window to window, and is zero where a document begins; a lane at its end drops out."""
 
     def __init__(self, numbers: np.ndarray, lengths: np.ndarray, head: Head, lanes: int):
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        held: list[list[int]] = [[] for _ in range(min(lanes, len(lengths)))]
+        short = [(0, i) for i in range(len(held))]
+        for d in np.argsort(-lengths, kind="stable").tolist():
+            size, lane = short[0]
+            held[lane].append(d)
+            heapq.heapreplace(short, (size + int(lengths[d]), lane))
+        full = sorted(((sum(int(lengths[d]) for d in docs), docs) for docs in held), key=lambda x: -x[0])
+        docs = np.array([d for _, of in full for d in of], int)
+        sizes = lengths[docs]
+        first = np.cumsum(sizes) - sizes  # of each document, in the order of lanes
+        #: Places of the tokens in the order of lanes.
+        self.places = np.arange(int(sizes.sum())) + np.repeat(starts[docs] - first, sizes)
+        numbers = numbers[self.places]
         known = numbers >= 0
         at = np.where(known, numbers, 0)
-        tail = TAIL_CLASS - 1 - numbers
-        self.cls = np.where(known, head.cls[at], tail).astype(np.int32)
+        self.cls = np.where(known, head.cls[at], TAIL_CLASS - 1 - numbers).astype(np.int32)
         inp = np.where(known, head.inp[at], NEURAL + self.cls).astype(np.int32)
         self.word = np.where(known & (numbers < NEURAL), numbers, -1).astype(np.int32)
         self.own = np.where(known, head.own[at], 0).astype(np.float32)
-        ends = np.cumsum(lengths)
-        self.starts, self.ends = ends - lengths, ends
         self.inp = np.empty_like(inp)
         self.inp[1:] = inp[:-1]
-        self.inp[self.starts] = 0  # a text begins after an end token
-        self.queue = np.argsort(-lengths, kind="stable")
-        self.next = min(lanes, len(lengths))
-        self.doc = self.queue[:self.next].copy()
-        self.cur = self.starts[self.doc].copy()
-        self.h = np.zeros((self.next, HIDDEN), np.float32)
+        self.inp[first] = 0  # a text begins after an end token
+        self.begins = np.zeros(len(inp), bool)
+        self.begins[first] = True
+        sizes = np.array([n for n, _ in full])
+        self.ends = np.cumsum(sizes)
+        self.cur = self.ends - sizes
+        self.h = np.zeros((len(sizes), HIDDEN), np.float32)
+
+    def _at(self, steps: int):
+        at = self.cur[None, :] + np.arange(min(steps, int((self.ends - self.cur).max())))[:, None]
+        return np.minimum(at, self.ends - 1), at < self.ends
 
     def window(self, steps: int):
         """Inputs, classes, words, own shares and validity of the next steps of every lane."""
-        at = self.cur[None, :] + np.arange(min(steps, int((self.ends[self.doc] - self.cur).max())))[:, None]
-        valid = at < self.ends[self.doc]
-        at = np.minimum(at, self.ends[self.doc] - 1)
+        at, valid = self._at(steps)
         return self.inp[at], self.cls[at], self.word[at], self.own[at], valid
 
     def advance(self, steps: int, h: np.ndarray) -> bool:
         """Move on; False when no lane is left."""
-        self.cur, self.h = self.cur + steps, h.copy()
-        for lane in np.flatnonzero(self.cur >= self.ends[self.doc]):
-            if self.next < len(self.queue):
-                self.doc[lane] = self.queue[self.next]
-                self.cur[lane] = self.starts[self.doc[lane]]
-                self.h[lane] = 0
-                self.next += 1
-        left = self.cur < self.ends[self.doc]
-        if not left.all():
-            self.doc, self.cur, self.h = self.doc[left], self.cur[left], self.h[left]
-        return bool(len(self.doc))
+        self.cur = self.cur + steps
+        left = self.cur < self.ends
+        self.cur, self.ends, self.h = self.cur[left], self.ends[left], h[left]
+        return bool(left.any())
 
 
 def log_likelihoods(net: Network, head: Head, numbers: np.ndarray, lengths: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """Natural log-probability of each whole document, but for its tail words' shares of their classes."""
-    total = np.zeros(len(lengths))
-    walk, going = Lanes(numbers, lengths, head, lanes), len(lengths) > 0
+    if not len(lengths):
+        return np.zeros(0)
+    told = np.zeros(len(numbers))
+    walk, going = Lanes(numbers, lengths, head, lanes), True
     while going:
-        x, cls, word, own, valid = walk.window(WINDOW)
-        hs = net.states(x, walk.h)
-        lp = net.log_probability(hs.reshape(-1, HIDDEN), cls.ravel(), np.where(valid, word, -1).ravel()).reshape(x.shape) + own
-        np.add.at(total, walk.doc, np.where(valid, lp, 0).sum(axis=0, dtype=float))
-        going = walk.advance(len(x), hs[-1])
-    return total
+        at, valid = walk._at(max(WINDOW, AT_ONCE // len(walk.cur)))
+        hs, _ = net._forward(walk.inp[at], walk.h, False, walk.begins[at])
+        lp = net._log_p(hs.reshape(HIDDEN + 1, -1), walk.cls[at].ravel(), np.where(valid, walk.word[at], -1).ravel())
+        told[walk.places[at[valid]]] = lp.reshape(at.shape)[valid] + walk.own[at[valid]]
+        going = walk.advance(len(at), hs[:HIDDEN, -1].T)
+    return np.add.reduceat(told, np.cumsum(lengths) - lengths)
 
 
 class Stream:
@@ -323,7 +424,7 @@ class Stream:
     def warm(self, net: Network) -> np.ndarray:
         """States of ``net`` before the first token of each lane."""
         at = np.maximum(self.at + np.arange(-CONTEXT, 0)[:, None], 0)
-        return net.states(self.inp[at], np.zeros((len(self.at), HIDDEN), np.float32), begins=self.begins[at])[-1]
+        return net.states(self.inp[at], np.zeros((len(self.at), HIDDEN), np.float32), self.begins[at])[-1]
 
     def window(self, i: int):
         """Inputs, classes, words, validity and beginnings of the ``i``-th steps of every lane."""
@@ -372,32 +473,47 @@ def train_copy(net: Network, head: Head, numbers: np.ndarray, lengths: np.ndarra
     return train_codes(net, codes_of(head, numbers), lengths[order], np.zeros(len(lengths), np.int64), updates, rate)
 
 
-def _numbers(table: dict, texts: list) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+def _numbers(table: dict, texts: list) -> tuple[np.ndarray, np.ndarray]:
     words = [words_of(t) for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((n for w in words for n in map(table.__getitem__, w)), np.int32, int(lengths.sum()))
-    return flat, lengths, words
+    return np.fromiter((n for w in words for n in map(table.__getitem__, w)), np.int32, int(lengths.sum())), lengths
 
 
-def pieces(learned: DataFrame, head: Head, shared, groups: int) -> DataFrame:
-    """``g int, lead int, codes binary`` of every token of column ``t`` (binary): texts in pieces of at most PIECE tokens
-    (16-bit codes), each after the ``lead`` tokens before it, dealt to ``groups`` by a hash of the piece, the text, the
-    row's key columns (all others) and the row's number, so that null texts, null keys and copies go to all groups."""
+def _blocks(batches, number: _Numbers):
+    """Of each coded block of Arrow batches: the row, the documents' sizes, places in the block's words and numbers of all
+    tokens. Each word of a block is looked up once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            places = np.frombuffer(row.column("codes")[0].as_buffer(), np.int32)
+            words = row.column("words")[0].values
+            numbers = np.fromiter(map(number.__getitem__, words.to_pylist()), np.int32, len(words))
+            yield row, row.column("sizes")[0].values.to_numpy(), places, numbers[places]
+
+
+def pieces_of(blocks: DataFrame, shared, groups: int) -> DataFrame:
+    """``g int, lead int, codes binary`` of every token to learn from in coded blocks: texts in pieces of at most PIECE
+    tokens (16-bit codes), each after the ``lead`` tokens before it, dealt to ``groups`` by a hash of the piece, the
+    document's place in its block and the block's number, so that null texts, null keys and copies go to all groups."""
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                flat, lengths, _ = _numbers(shared.value.number, part.column(1).to_pylist())
-                codes, ends = codes_of(shared.value, flat), np.cumsum(lengths)
-                made = [(i, k, max(a - CONTEXT, start), a, min(a + PIECE, end))
-                        for i, (start, end) in enumerate(zip(ends - lengths, ends, strict=True)) for k, a in enumerate(range(start, end, PIECE))]
+        for row, sizes, _, flat in _blocks(batches, shared.value.number):
+            codes, ends = codes_of(shared.value, flat), np.cumsum(sizes)
+            learn = np.flatnonzero(row.column("learn")[0].values.to_numpy(zero_copy_only=False)).tolist()
+            made = [(i, k, max(a - CONTEXT, start), a, min(a + PIECE, end)) for i, start, end in ((i, int(ends[i] - sizes[i]), int(ends[i])) for i in learn)
+                    for k, a in enumerate(range(start, end, PIECE))]
+            for at in range(0, len(made), 1024):
+                part = made[at:at + 1024]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array([i for i, *_ in made], pa.int64())), pa.array([k for _, k, *_ in made], pa.int32()),
-                    pa.array([a - b for _, _, b, a, _ in made], pa.int32()), pa.array([codes[b:c].tobytes() for _, _, b, _, c in made], pa.binary())],
-                    names=["h", "k", "lead", "codes"])
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in learned.columns if c != "t"], F.coalesce("t", F.lit(b"")), F.monotonically_increasing_id())
-    cut = learned.select(row.alias("h"), "t").mapInArrow(run, "h long, k int, lead int, codes binary")
-    return cut.select(F.pmod(F.xxhash64("h", "k"), F.lit(groups)).cast("int").alias("g"), "lead", "codes")
+                    row.column("block").take(pa.array(np.zeros(len(part), np.int64))), pa.array([i for i, *_ in part], pa.int32()),
+                    pa.array([k for _, k, *_ in part], pa.int32()), pa.array([a - b for _, _, b, a, _ in part], pa.int32()),
+                    pa.array([codes[b:c].tobytes() for _, _, b, _, c in part], pa.binary())], names=["block", "i", "k", "lead", "codes"])
+    cut = blocks.select("block", "learn", "sizes", "codes", "words").mapInArrow(run, "block long, i int, k int, lead int, codes binary")
+    return cut.select(F.pmod(F.xxhash64("block", "i", "k"), F.lit(groups)).cast("int").alias("g"), "lead", "codes")
+
+
+def pieces(learned: DataFrame, head: Head, shared, groups: int) -> DataFrame:
+    """:func:`pieces_of` over all texts of column ``t`` (binary)."""
+    return pieces_of(coded(learned, F.lit(True), [c for c in learned.columns if c != "t"], "t"), shared, groups)
 
 
 def _copy(held, updates: int | None, k: int):
@@ -425,14 +541,14 @@ def mean_of(copies: DataFrame) -> tuple[int, np.ndarray | None]:
     return n, whole / n if n else None
 
 
-def train(learned: DataFrame, head: Head, shared, rounds: int = ROUNDS, updates: int | None = None) -> Network:
-    """One pass over every row of ``learned`` (key columns, and t, binary), a share of the groups in each round. A group's copy
+def train(blocks: DataFrame, head: Head, shared, rounds: int = ROUNDS, updates: int | None = None) -> Network:
+    """One pass over every document to learn from in coded ``blocks``, a share of the groups in each round. A group's copy
     sends its parameters, 0.4 MB, on to be averaged by tokens. ``updates`` bounds the windows of a group, for callers
     who want less than all."""
-    spark = learned.sparkSession
+    spark = blocks.sparkSession
     net = Network.fresh(head)
     groups = rounds * max(1, -(-int(head.total) // (GROUP * max(rounds, 1))))
-    dealt = written(pieces(learned, head, shared, max(groups, 1)), "lm-pieces")
+    dealt = written(pieces_of(blocks, shared, max(groups, 1)), "lm-pieces")
     out = T.StructType([T.StructField("n", T.LongType()), T.StructField("p", T.BinaryType())])
     for k in range(rounds):
         held = spark.sparkContext.broadcast(net.p)
@@ -453,44 +569,47 @@ _SCORED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 
 
 def _score(shared, params):
-    """Arrow map (kept columns..., t) -> (kept columns..., fields of _SCORED)."""
+    """Arrow map of coded blocks (key, sizes, codes, words) -> (key, fields of _SCORED), a row a document."""
     def run(batches):
         head, net = shared.value, Network(params.value)
-        table = head.number
 
-        def scored(rows, flats, lengths, tails):
-            flat, sizes = np.concatenate(flats), np.concatenate(lengths)
-            lp = log_likelihoods(net, head, flat, sizes)
-            ends = np.cumsum(sizes)
+        def scored(keys, flats, sizes, tails):
+            flat, size = np.concatenate(flats), np.concatenate(sizes)
+            starts = np.cumsum(size) - size
             known = flat >= 0
-            base = np.add.reduceat(np.where(known, head.base[np.where(known, flat, 0)], 0), ends - sizes)
-            seen = np.add.reduceat((known & (head.counts[np.where(known, flat, 0)] > 0)).astype(np.int64), ends - sizes)
-            made = [pa.array(sizes), pa.array(seen), pa.array(base), pa.array(lp), pa.array([list(t) for t in tails], pa.list_(pa.binary())),
-                    pa.array([list(t.values()) for t in tails], pa.list_(pa.int32()))]
-            kept = pa.Table.from_batches(rows).combine_chunks()
-            for b in pa.table([*kept.columns, *made], names=[*kept.column_names, *_SCORED.names]).to_batches(1024):
-                yield b
-
-        rows, flats, lengths, tails, held = [], [], [], [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                flat, sizes, words = _numbers(table, part.column(part.num_columns - 1).to_pylist())
-                at_word = np.concatenate([[0], np.cumsum(sizes)])
-                for i, w in enumerate(words):
-                    tails.append(Counter(w[j] for j in np.flatnonzero(flat[at_word[i]:at_word[i + 1]] < 0)))
-                rows.append(part.select(range(part.num_columns - 1)))
-                flats.append(flat)
-                lengths.append(sizes)
-                held += len(flat)
-                if held >= HELD_TOKENS:
-                    yield from scored(rows, flats, lengths, tails)
-                    rows, flats, lengths, tails, held = [], [], [], [], 0
-        if rows:
-            yield from scored(rows, flats, lengths, tails)
+            at = np.where(known, flat, 0)
+            base = np.add.reduceat(np.where(known, head.base[at], 0), starts)
+            seen = np.add.reduceat((known & (head.counts[at] > 0)).astype(np.int64), starts)
+            made = [pa.array(size), pa.array(seen), pa.array(base), pa.array(log_likelihoods(net, head, flat, size))]
+            made += [pa.concat_arrays(column) for column in zip(*tails, strict=True)]
+            yield from pa.table([pa.concat_arrays(keys), *made], names=["key", *_SCORED.names]).to_batches(1024)
+
+        keys, flats, sizes, tails, held = [], [], [], [], 0
+        for row, size, places, flat in _blocks(batches, head.number):
+            keys.append(row.column("key")[0].values)
+            flats.append(flat)
+            sizes.append(size)
+            tails.append(_tails(row.column("words")[0].values, size, places, flat))
+            held += len(flat)
+            if held >= HELD_TOKENS:
+                yield from scored(keys, flats, sizes, tails)
+                keys, flats, sizes, tails, held = [], [], [], [], 0
+        if keys:
+            yield from scored(keys, flats, sizes, tails)
     return run
 
 
+def _tails(words: pa.Array, sizes: np.ndarray, places: np.ndarray, flat: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """By document: its distinct words beyond the head, and how often it has each."""
+    beyond = np.flatnonzero(flat < 0)
+    doc = np.searchsorted(np.cumsum(sizes), beyond, side="right")
+    pairs, times = np.unique(doc * np.int64(max(len(words), 1)) + places[beyond], return_counts=True)
+    doc, place = np.divmod(pairs, max(len(words), 1))
+    cuts = pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)).astype(np.int32))
+    return (pa.ListArray.from_arrays(cuts, words.take(pa.array(place))),
+            pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))))
+
+
 def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", rounds: int = ROUNDS,
           updates: int | None = None) -> DataFrame:
     """One row per row of ``df``: the ``key`` columns, ``n_tokens, n_known, train_tokens, base_score, score``.
@@ -504,16 +623,15 @@ def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", roun
     by row; nothing that grows with the vocabulary is broadcast or collected."""
     spark = df.sparkSession
     ship_package(spark)
-    rows = df.select(*[F.col(f"`{k}`") for k in key], F.coalesce(learn, F.lit(False)).alias("__learn"), F.col(f"`{text}`").cast("binary").alias("t"))
-    learned = rows.where("__learn").drop("__learn")
-    counts = written(count_words(learned), "counts")
+    blocks = written(coded(df, learn, key, text), "lm-blocks", **BLOCK_FILES)
+    counts = written(counts_of(blocks), "counts")
     head = learn_head(counts)
     shared = spark.sparkContext.broadcast(head)
-    net = train(learned, head, shared, rounds, updates)
+    net = train(blocks, head, shared, rounds, updates)
     params = spark.sparkContext.broadcast(net.p)
-    source = rows.select(*[F.col(f"`{k}`") for k in key], "t")
-    schema = T.StructType([source.schema[k] for k in key] + list(_SCORED))
-    scored = written(source.mapInArrow(_score(shared, params), schema).withColumn("__row", F.monotonically_increasing_id()), "scored")
+    schema = T.StructType([T.StructField("key", blocks.schema["key"].dataType.elementType), *_SCORED])
+    made = blocks.select("key", "sizes", "codes", "words").mapInArrow(_score(shared, params), schema)
+    scored = written(made.withColumn("__row", F.monotonically_increasing_id()), "scored")
     tails = scored.select("__row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("__row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
     met = tails.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     mass = F.array(*[F.lit(float(t + SMOOTH * (d + 1))) for t, d in zip(head.tail_total, head.tail_distinct, strict=True)])
@@ -523,6 +641,6 @@ def score(df: DataFrame, learn: Column, key: list[str], text: str = "text", roun
         F.sum(F.col("times") * (ten - float(np.log10(head.denominator)))).alias("tail_base"),
         F.sum(F.col("times") * (ten - F.log10(F.get(mass, ending(F.col("word")))))).alias("tail_lp"))
     return scored.join(sums, "__row", "left").select(
-        *[F.col(f"`{k}`") for k in key], "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        *[F.col(f"key.`{k}`") for k in key], "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(head.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
         (F.col("lp") / float(np.log(10)) + F.coalesce("tail_lp", F.lit(0.0))).alias("score"))
