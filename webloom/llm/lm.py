@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -197,28 +197,26 @@ class Network:
     def _forward(self, x: np.ndarray, h: np.ndarray, keep: bool, begins: np.ndarray | None):
         """States (HIDDEN + 1, steps, lanes), a row of ones last, so that output weights hold their own offsets; and with
         ``keep`` the states before, gates, candidates and sums that the way back needs. Lanes are the inner axis of all arrays."""
-        k, (steps, lanes) = HIDDEN, x.shape
-        sign = np.repeat(np.array([-1, 1], np.float32), [2 * k, k])[:, None]
-        gates, u = np.ascontiguousarray(self.p["G"].T, np.float32) * sign, np.ascontiguousarray(self.p["U"].T, np.float32) * sign
+        k, (steps, lanes), one_half = HIDDEN, x.shape, np.float32(0.5)
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * k, k])[:, None]  # 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2
+        gates, u = np.ascontiguousarray(self.p["G"].T, np.float32) * half, np.ascontiguousarray(self.p["U"].T, np.float32) * half
         out = np.empty((k + 1, steps, lanes), np.float32)
         out[k] = 1
-        s, held = np.empty((3 * k, lanes), np.float32), np.empty((k, lanes), np.float32)
+        g, s, held = (np.empty((m * k, lanes), np.float32) for m in (3, 3, 1))
+        zr, n = g[:2 * k], g[2 * k:]
         kept = tuple(np.empty((n, steps, lanes), np.float32) for n in (k, 2 * k, k, k)) if keep else ()
         h = np.ascontiguousarray(h.T, np.float32)
         fresh = begins.any(axis=1) if begins is not None else np.zeros(steps, bool)
         for t in range(steps):
             if fresh[t]:
                 h = np.where(begins[t], np.float32(0), h)
-            g = gates.take(x[t], axis=1)
+            gates.take(x[t], axis=1, out=g, mode="clip")
             np.matmul(u, h, out=s)
-            zr = g[:2 * k]
             zr += s[:2 * k]
-            np.minimum(zr, 80, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
+            np.tanh(zr, out=zr)
+            zr *= one_half
+            zr += one_half
             np.multiply(zr[k:], s[2 * k:], out=held)
-            n = g[2 * k:]
             n += held
             np.tanh(n, out=n)
             if keep:
@@ -248,12 +246,11 @@ class Network:
         return self._log_p(np.concatenate([h.T, np.ones((1, len(h)), h.dtype)]), cls, word)
 
     def _log_p(self, ha: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
-        logits = self._class_weights(ha.dtype) @ ha
-        logits -= logits.max(axis=0)
+        weights = self._class_weights(ha.dtype)
+        logits = _in_range(weights @ ha, weights)
         out = logits[cls, np.arange(len(cls))]
         out -= np.log(np.exp(logits, out=logits).sum(axis=0))
         rows, inner, _, _ = self._inner(ha, word)
-        inner -= inner.max(axis=0)
         own = inner[word[rows] % CLASS_WORDS, np.arange(len(rows))]
         out[rows] += own - np.log(np.exp(inner, out=inner).sum(axis=0))
         return out
@@ -271,7 +268,7 @@ class Network:
         parts = [(int(cls[i]), int(i), int(j)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         for c, i, j in parts:
             np.matmul(weights[c * CLASS_WORDS:(c + 1) * CLASS_WORDS], states[:, i:j], out=inner[:, i:j])
-        return rows, inner, states, parts
+        return rows, _in_range(inner, weights), states, parts
 
     def gradients(self, x: np.ndarray, h: np.ndarray, cls: np.ndarray, word: np.ndarray, valid: np.ndarray,
                   begins: np.ndarray | None = None):
@@ -283,8 +280,7 @@ class Network:
         n = np.float32(max(ok.sum(), 1))
         g = {name: np.zeros_like(v) for name, v in p.items()}
         weights = self._class_weights()
-        d = weights @ flat
-        d -= d.max(axis=0)
+        d = _in_range(weights @ flat, weights)
         np.exp(d, out=d)
         d *= ok / (n * d.sum(axis=0))
         d[cls, np.arange(len(cls))] -= ok / n
@@ -292,7 +288,6 @@ class Network:
         g["C"], g["c"] = to[:, :k].T, to[:, k]
         dh = weights[:, :k].T @ d
         rows, e, states, parts = self._inner(flat, word)
-        e -= e.max(axis=0)
         np.exp(e, out=e)
         e /= n * e.sum(axis=0)
         e[word[rows] % CLASS_WORDS, np.arange(len(rows))] -= 1 / n
@@ -326,12 +321,20 @@ class Network:
                 back[:, begins[t]] = 0
         order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
         inputs, first = np.unique(x.ravel()[order], return_index=True)
-        g["G"][inputs] = np.add.reduceat(gates.reshape(3 * k, -1).T[order], first, axis=0)
+        g["G"][inputs] = np.add.reduceat(gates.reshape(3 * k, -1).take(order, axis=1), first, axis=1).T
         gates[2 * k:] *= r
         g["U"] = before.reshape(k, -1) @ gates.reshape(3 * k, -1).T
         return g, hs[:k, -1].T
 
 
+def _in_range(logits: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``logits`` whose exp stays inside single precision: states are within 1, so weights bound them; where these are
+    too large, each column's largest is taken off."""
+    if np.abs(weights).sum(axis=1).max(initial=0) > 60:
+        logits -= logits.max(axis=0)
+    return logits
+
+
 class Lanes:
     """Whole documents dealt to lanes that are walked side by side in windows: the longest first, each to the shortest
     lane. State is carried from window to window, and is zero where a document begins; a lane at its end drops out."""
@@ -476,7 +479,7 @@ def train_copy(net: Network, head: Head, numbers: np.ndarray, lengths: np.ndarra
 def _numbers(table: dict, texts: list) -> tuple[np.ndarray, np.ndarray]:
     words = [words_of(t) for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return np.fromiter((n for w in words for n in map(table.__getitem__, w)), np.int32, int(lengths.sum())), lengths
+    return np.fromiter(map(table.__getitem__, chain.from_iterable(words)), np.int32, int(lengths.sum())), lengths
 
 
 def _blocks(batches, number: _Numbers):
