@@ -21,6 +21,31 @@ def test_initial_none_content(spark):
     assert [(r.url, r.checks, r.changes) for r in monitor_counters(detect_changes(cur, empty)).collect()] == [("u", 3, 1)]
 
 
+def test_hot_url_is_chained_over_time_buckets(spark):
+    """A URL with most captures, over many buckets with gaps, equal and null times, late rows, and a null URL."""
+    import hashlib
+    import random
+    rng, t0 = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [("hot", f"v{rng.randrange(3)}", t0 + dt.timedelta(seconds=rng.randrange(40) * 450 + 86_400 * rng.randrange(3))) for _ in range(1500)]
+    rows += [("hot", "v1", None), ("hot", "v2", None), ("one", "a", t0), (None, "n1", t0), (None, "n2", t0 + dt.timedelta(days=9)), ("old", "b", t0)]
+    rows += [("old", "c", t0 + dt.timedelta(days=2)), ("old", "c", t0 + dt.timedelta(days=3))]
+    stored = snapshot_rows(caps(spark, [("old", "b", t0 + dt.timedelta(days=1))]))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want, before = [], {"old": sha("b")}
+    for u, h, t in sorted(rows, key=lambda r: (str(r[0]), r[2] is not None, r[2] or t0, sha(r[1]))):
+        if (u, t) == ("old", t0):
+            want.append((str(u), str(t), sha(h), "late", sha("b"), None))
+            continue
+        was = before.get(u)
+        kind = "initial" if was is None else "none" if was == sha(h) else "content"
+        want.append((str(u), str(t), sha(h), kind, was or "", "+1 lines added, -1 lines removed" if kind == "content" else None))
+        before[u] = sha(h)
+    for bucket_s in (900, 3600, 10 ** 9):
+        out = detect_changes(caps(spark, rows), stored, bucket_s=bucket_s).collect()
+        got = [(str(r.url), str(r.ts), r.current_hash, r.change_type, r.previous_hash, r.diff_summary) for r in out]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_snapshot_roundtrip_and_monitoring(spark):
     t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
     stored = snapshot_rows(caps(spark, [("a", "1", t0), ("b", "2", t0)]))

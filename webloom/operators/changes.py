@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.text import content_hash, diff_text, line_diff_counts, line_hashes, url_key
+from webloom.session import materialize
 
 
 def _captures(pages: DataFrame, url: str, content: str, ts: str | None, chars: int | None) -> DataFrame:
@@ -20,18 +21,37 @@ def snapshot_rows(pages: DataFrame, url: str = "url", content: str = "html", ts:
     return _captures(pages, url, content, ts, chars).withColumn("url_key", url_key(F.col("url")))
 
 
+def _chained(captures: DataFrame, bucket_s: int) -> DataFrame:
+    """``captures`` with ``before``, hash and lines of the capture before it of the same ``url`` and ``late``, by time and hash
+    (a null time comes first). A URL's captures are sorted inside time buckets; the first of a bucket takes the last of
+    the URL's bucket before, found through bucket numbers alone, of which there is one a URL and bucket. Rows are hashes
+    of pages and are written once, as three joins read them; with one bucket a URL nothing is joined to them."""
+    when = F.unix_micros(F.col("ts").cast("timestamp"))
+    dealt = captures.withColumn("_b", F.coalesce(F.floor(when / (bucket_s * 1_000_000)).cast("long"), F.lit(-1 << 62)))
+    inside = Window.partitionBy("url", "late", "_b").orderBy("ts", "hash")
+    rows = materialize(dealt.withColumn("before", F.lag(F.struct("hash", "lines")).over(inside))
+                       .withColumn("_last", F.lead(F.lit(True)).over(inside).isNull()), "captures")
+    lasts = rows.where("_last")
+    follow = lasts.select("url", "late", "_b").withColumn("_p", F.lag("_b").over(Window.partitionBy("url", "late").orderBy("_b"))).where("_p IS NOT NULL")
+    ends = lasts.select(F.col("url").alias("_u"), F.col("late").alias("_l"), F.col("_b").alias("_e"), F.struct("hash", "lines").alias("_tail"))
+    carry = follow.join(ends, F.col("url").eqNullSafe(F.col("_u")) & (F.col("late") == F.col("_l")) & (F.col("_p") == F.col("_e"))).select(
+        F.col("_u"), F.col("_l"), F.col("_b").alias("_e"), "_tail")
+    met = rows.join(carry, F.col("url").eqNullSafe(F.col("_u")) & (F.col("late") == F.col("_l")) & (F.col("_b") == F.col("_e")), "left")
+    return met.select(*captures.columns, F.coalesce("before", "_tail").alias("before"))
+
+
 def detect_changes(current: DataFrame, snapshots: DataFrame, url: str = "url", content: str = "html",
-                   ts: str | None = "ts", chars: int | None = None) -> DataFrame:
+                   ts: str | None = "ts", chars: int | None = None, bucket_s: int = 3600) -> DataFrame:
     """Each capture vs the previous capture of its URL in this batch, else the stored snapshot.
 
     no previous -> (true, 'initial', ''); equal hash -> (false, 'none'); else (true, 'content') with a line diff of the
     whole pages. A capture older than the stored snapshot is (false, 'late'), as on the stream: it is reported, is
-    compared with nothing and never becomes a snapshot."""
+    compared with nothing and never becomes a snapshot. ``bucket_s``: captures of one URL are sorted in one task for so many
+    seconds of their time at most, so a URL with a large part of all captures is split."""
     snap = snapshots.select("url", F.col("hash").alias("snap_hash"), F.col("lines").alias("snap_lines"), F.col("ts").alias("snap_ts"))
     j = _captures(current, url, content, ts, chars).join(snap, "url", "left")
     j = j.withColumn("late", F.coalesce(F.col("ts") < F.col("snap_ts"), F.lit(False)))
-    w = Window.partitionBy("url", "late").orderBy("ts", "hash")
-    j = j.withColumn("before", F.lag(F.struct("hash", "lines")).over(w))
+    j = _chained(j, bucket_s)
     prev_hash, prev_lines = F.coalesce("before.hash", "snap_hash"), F.coalesce("before.lines", "snap_lines")
     change = (F.when(F.col("late"), "late").when(prev_hash.isNull(), "initial")
               .when(prev_hash == F.col("hash"), "none").otherwise("content"))
