@@ -6,6 +6,7 @@ Everything here is native Column work: ``filter``/``transform``/``aggregate`` ov
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Callable
 
@@ -17,7 +18,7 @@ from webloom.functions.common import let
 from webloom.functions.text import parse_number, py_strip
 from webloom.functions.urls import is_external, link_ok, netloc, resolve_url
 from webloom.operators.dom import NODE_TYPE
-from webloom.operators.select import compile_css, compile_xpath
+from webloom.operators.select import Selector, bind, compile_css, compile_xpath, lower_bound
 
 
 
@@ -72,6 +73,16 @@ def find_in(el: Column, pred, nodes: Column | None = None) -> Column:
     return first(F.filter(descendants(el, nodes), lambda n: F.coalesce(pred(n), F.lit(False))))
 
 
+def hit_ids(pred, tree) -> Column:
+    """Ids of the nodes that pass, in document order."""
+    return F.transform(F.filter(tree.nodes, lambda n: F.coalesce(pred(n, tree), F.lit(False))), lambda n: n["id"])
+
+
+def first_between(ascending: Column, low: Column, high: Column) -> Column:
+    """The first number of a sorted array in ``[low, high]``, null if there is none; a binary search."""
+    return let(F.get(ascending, lower_bound(ascending, low)), lambda i: F.when(i <= high, i))
+
+
 def tag_is(*tags):
     return lambda n: n["tag"].isin(*tags)
 
@@ -102,74 +113,84 @@ class Field:
         return Field(**cfg)
 
 
-def _css_value(f: Field, base: Column, html: Column | None) -> Column:
+def _css_value(f: Field, el: Column, html: Column | None) -> Column:
     dtype = "double" if f.type == "number" else "string"
     default = F.lit(f.default).cast(dtype)
     if f.type == "html" and html is None:
         raise ValueError("field type 'html' needs parse_pages(..., keep_html=True)")
-
-    def compute(el):
-        if f.type == "html":
-            v = F.substring(html, el["s0"] + 1, el["s1"] - el["s0"])
-        elif f.type == "attribute":
-            v = F.coalesce(el["attrs"].getItem(f.attribute or ""), default)
-        elif f.type == "number":
-            v = parse_number(text_of(el), f.default)
-        else:
-            v = text_of(el)
-        if f.transform is not None:
-            v = let(v, lambda x: F.when(_truthy(x, dtype), f.transform(x)).otherwise(x))
-        return F.when(el.isNull(), default).otherwise(v)
-
-    if f.selector.startswith("@"):
-        return compute(base)
-    pred = compile_css(f.selector)
-    return let(find_in(base, lambda n: pred(n, NODES_())), compute)
+    if f.type == "html":
+        v = F.substring(html, el["s0"] + 1, el["s1"] - el["s0"])
+    elif f.type == "attribute":
+        v = F.coalesce(el["attrs"].getItem(f.attribute or ""), default)
+    elif f.type == "number":
+        v = parse_number(text_of(el), f.default)
+    else:
+        v = text_of(el)
+    if f.transform is not None:
+        v = let(v, lambda x: F.when(_truthy(x, dtype), f.transform(x)).otherwise(x))
+    return F.when(el.isNull(), default).otherwise(v)
+
+
+def _records(parsed: DataFrame, base: Selector, fields: dict, value, keep: list[str] | None, multiple: bool = True) -> DataFrame:
+    """One row per base element. ``fields``: name -> Selector, or None for the base itself; ``value(name, element)`` reads it.
+
+    Every selector runs over the nodes of a page once; a base finds its first hit by binary search in the sorted ids.
+    For a relative path of several steps the hits of the last step inside the base are tested, up to all of them."""
+    sought = {k: s for k, s in fields.items() if s is not None}
+
+    def page(tree):
+        bases = find_all(lambda n: base.pred(n, tree), tree.nodes)
+        bases = bases if multiple else F.slice(bases, 1, 1)
+        if not sought:
+            return F.transform(bases, lambda b: record(None, b, tree))
+        ids = F.struct(*[hit_ids(s.pred or s.own, tree).alias(k) for k, s in sought.items()])
+        return let(ids, lambda h: F.transform(bases, lambda b: record(h, b, tree)))
+
+    def record(h, b, tree):
+        def read(k, s):
+            if s is None:
+                return value(k, b).alias(k)
+            return let(F.get(tree.nodes, hit(s, h[k], b, tree)), lambda el: value(k, el)).alias(k)
+        return F.struct(*[read(k, s) for k, s in fields.items()])
+
+    def hit(s, ids, b, tree):
+        if s.chain is None:
+            return first(ids) if s.document else first_between(ids, b["id"] + 1, b["last"])
+        if s.inside:
+            return first_between(ids, b["id"] + 1, b["last"])
+        start = lower_bound(ids, b["id"] + 1)
+        inside = let(start, lambda lo: F.slice(ids, lo + 1, lower_bound(ids, b["last"] + 1) - lo))
+        return first(F.filter(inside, lambda i: F.coalesce(let(F.get(tree.nodes, i), lambda n: s.chain(n, tree, b)), F.lit(False))))
+
+    rec = bind([x for s in (base, *sought.values()) for x in s.siblings], NODES_(), page)
+    keep = keep or [c for c in ("page_id", "url") if c in parsed.columns]
+    return (parsed.select(*keep, F.posexplode(rec).alias("pos", "r"))
+            .select(*keep, "pos", *[F.col("r")[n].alias(n) for n in fields]))
 
 
 def extract_css(parsed: DataFrame, base_selector: str, fields: dict, multiple: bool = True,
                 keep: list[str] | None = None, html_col: str = "html") -> DataFrame:
     """One row per base element (all, or the first when ``multiple=False``), one column per field."""
     fields = {k: Field.of(v) for k, v in fields.items()}
-    base_pred = compile_css(base_selector)
     html = F.col(html_col) if html_col in parsed.columns else None
-    bases = find_all(lambda n: base_pred(n, NODES_()))
-    if not multiple:
-        bases = F.slice(bases, 1, 1)
-    rec = F.transform(bases, lambda b: F.struct(
-        b["id"].alias("node_id"),
-        *[_css_value(f, b, html).alias(name) for name, f in fields.items()]))
-    keep = keep or [c for c in ("page_id", "url") if c in parsed.columns]
-    return (parsed.select(*keep, F.posexplode(rec).alias("pos", "r"))
-            .select(*keep, "pos", *[F.col("r")[n].alias(n) for n in fields]))
+    selectors = {k: None if f.selector.startswith("@") else compile_css(f.selector) for k, f in fields.items()}
+    return _records(parsed, compile_css(base_selector), selectors, lambda k, el: _css_value(fields[k], el, html), keep, multiple)
 
 
 # ----------------------------------------------------------------------------- X4 XPath records
 
-def _xpath_value(cfg, base: Column) -> Column:
-    if isinstance(cfg, str):
-        path, attr, default = cfg, None, None
-    else:
-        path = cfg.get("xpath", cfg.get("selector", "."))
-        attr, default = cfg.get("attribute"), cfg.get("default")
-    pred, terminal = compile_xpath(path)
+def _xpath_value(terminal: tuple | None, attr: str | None, default, el: Column) -> Column:
     dflt = F.lit(default).cast("string")
-
-    def compute(el):
-        if terminal and terminal[0] == "attr":
-            v = el["attrs"].getItem(terminal[1])
-        elif terminal and terminal[0] == "text":
-            own = F.filter(F.sequence(el["t0"], F.greatest(el["t1"] - 1, el["t0"])),
-                           lambda i: (i < el["t1"]) & (F.get(TPAR_(), i) == el["id"]))
-            v = F.get(TEXTS_(), first(own))
-        else:
-            v = F.when(el.isNotNull(), el["attrs"].getItem(attr) if attr else py_strip(raw_text_of(el)))
-            return F.when(el.isNotNull(), v).otherwise(dflt)
-        return let(v, lambda x: F.when(x.isNotNull(), x if attr else py_strip(x)).otherwise(dflt))
-
-    if pred is None:
-        return compute(base)
-    return let(find(lambda n: pred(n, NODES_(), base["id"])), compute)
+    if terminal and terminal[0] == "attr":
+        v = el["attrs"].getItem(terminal[1])
+    elif terminal and terminal[0] == "text":
+        own = F.filter(F.sequence(el["t0"], F.greatest(el["t1"] - 1, el["t0"])),
+                       lambda i: (i < el["t1"]) & (F.get(TPAR_(), i) == el["id"]))
+        v = F.get(TEXTS_(), first(own))
+    else:
+        v = F.when(el.isNotNull(), el["attrs"].getItem(attr) if attr else py_strip(raw_text_of(el)))
+        return F.when(el.isNotNull(), v).otherwise(dflt)
+    return let(v, lambda x: F.when(x.isNotNull(), x if attr else py_strip(x)).otherwise(dflt))
 
 
 def extract_xpath(parsed: DataFrame, base_xpath: str, fields: dict, namespaces: dict | None = None,
@@ -179,15 +200,13 @@ def extract_xpath(parsed: DataFrame, base_xpath: str, fields: dict, namespaces:
     written (``svg:path``), and a non-empty ``namespaces`` is refused, since nothing could be resolved by it."""
     if namespaces:
         raise ValueError("HTML has no namespaces: write the prefix as part of the name")
-    pred, terminal = compile_xpath(base_xpath)
-    if pred is None or terminal:
+    base = compile_xpath(base_xpath, document=True)
+    if base.pred is None or base.terminal:
         raise ValueError("the base XPath must select elements")
-    bases = find_all(lambda n: pred(n, NODES_(), None))
-    rec = F.transform(bases, lambda b: F.struct(
-        b["id"].alias("node_id"), *[_xpath_value(c, b).alias(k) for k, c in fields.items()]))
-    keep = keep or [c for c in ("page_id", "url") if c in parsed.columns]
-    return (parsed.select(*keep, F.posexplode(rec).alias("pos", "r"))
-            .select(*keep, "pos", *[F.col("r")[n].alias(n) for n in fields]))
+    fields = {k: {"xpath": c} if isinstance(c, str) else c for k, c in fields.items()}
+    paths = {k: compile_xpath(c.get("xpath", c.get("selector", "."))) for k, c in fields.items()}
+    return _records(parsed, base, {k: p if p.pred or p.own else None for k, p in paths.items()},
+                    lambda k, el: _xpath_value(paths[k].terminal, fields[k].get("attribute"), fields[k].get("default"), el), keep)
 
 
 # ----------------------------------------------------------------------------- X5 label/value
@@ -195,13 +214,7 @@ def extract_xpath(parsed: DataFrame, base_xpath: str, fields: dict, namespaces:
 LABEL_CONTAINERS = ("div", "article", "section", "li")
 
 
-def _label_value(el: Column, name: str, dtype: T.DataType) -> Column:
-    import re as _re
-    _re.compile(name)
-    rx = "(?i)" + name
-    hits = F.filter(F.sequence(el["t0"], F.greatest(el["t1"] - 1, el["t0"])),
-                    lambda i: (i < el["t1"]) & F.get(TEXTS_(), i).rlike(rx))
-
+def _label_value(el: Column, hits: Column, dtype: T.DataType) -> Column:
     def from_hit(ti):
         txt = F.get(TEXTS_(), ti)
         par = F.get(NODES_(), F.get(TPAR_(), ti))
@@ -222,7 +235,7 @@ def _label_value(el: Column, name: str, dtype: T.DataType) -> Column:
                 .when(nxt.isNotNull(), text_of(nxt))
                 .otherwise(py_strip(txt)))
 
-    value = let(first(hits), lambda ti: F.when(ti.isNotNull(), from_hit(ti)))
+    value = let(first_between(hits, el["t0"], el["t1"] - 1), lambda ti: F.when(ti.isNotNull(), from_hit(ti)))
     if isinstance(dtype, T.StringType):
         return value
     num = F.replace(F.regexp_extract(value, r"[\d,]+\.?\d*", 0), F.lit(","), F.lit(""))
@@ -233,10 +246,16 @@ def _label_value(el: Column, name: str, dtype: T.DataType) -> Column:
 
 def extract_labels(parsed: DataFrame, schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
     """For every div/article/section/li, each field is the text next to the first text that
-    matches the field name (case-insensitive); rows missing a non-nullable field are dropped."""
-    cands = find_all(tag_is(*LABEL_CONTAINERS))
-    rec = F.transform(cands, lambda e: F.struct(
-        e["id"].alias("node_id"), *[_label_value(e, f.name, f.dataType).alias(f.name) for f in schema.fields]))
+    matches the field name (case-insensitive); rows missing a non-nullable field are dropped. A page's texts are tested
+    once a field; a container finds its first hit by binary search."""
+    names = [re.compile(f.name).pattern for f in schema.fields]
+    places = F.filter(F.sequence(F.lit(0), F.size(TEXTS_())), lambda i: i < F.size(TEXTS_()))
+
+    def naming(pattern):
+        return F.filter(places, lambda i: F.get(TEXTS_(), i).rlike("(?i)" + pattern))
+    hits = [naming(n).alias(f"f{k}") for k, n in enumerate(names)]
+    rec = let(F.struct(*hits), lambda h: F.transform(find_all(tag_is(*LABEL_CONTAINERS)), lambda e: F.struct(
+        *[_label_value(e, h[f"f{k}"], f.dataType).alias(f.name) for k, f in enumerate(schema.fields)])))
     keep = keep or [c for c in ("page_id", "url") if c in parsed.columns]
     out = (parsed.select(*keep, F.posexplode(rec).alias("pos", "r"))
            .select(*keep, "pos", *[F.col("r")[f.name].alias(f.name) for f in schema.fields]))

@@ -1,9 +1,11 @@
 """CSS selectors and an XPath subset, compiled on the driver into Column predicates over the DOM arrays.
 
-A compiled selector is a function ``pred(node, nodes, ctx) -> Column[boolean]`` where ``node`` is a
-struct Column of the node type (see ``dom``), ``nodes`` the page's node array and ``ctx`` an optional
-context node id (for relative XPath).  Structural relations use the O(1) ``F.get(nodes, i)`` lookup:
-ancestor and preceding-sibling tests walk the parent/prev pointers with ``aggregate`` (O(depth)).
+A compiled selector (``Selector``) has predicates over ``node``, a struct Column of the node type (see ``dom``), and
+``tree``, the page's node array with the sibling indexes that the selector asks for; ``bind`` makes the tree once a page.
+Parents are O(1) ``F.get(nodes, i)`` lookups, ancestor tests walk the parent pointers with ``aggregate`` (O(depth)). What
+asks about earlier siblings (``~``, positions) is a count in a sorted index of (parent, node) keys, found by binary
+search, so a long list of siblings is not walked for each of them. Node ids are in document order and an element's
+descendants are the ids up to its ``last``: what is inside an element is a range of a sorted list of hits (``lower_bound``).
 Unsupported syntax raises ``ValueError`` here, at plan time, never inside a task.
 
 CSS: type, ``*``, ``.c``, ``#i``, ``[a]``, ``[a=v]``, ``~= ^= $= *= |=``, descendant, ``>``, ``+``, ``~``,
@@ -22,42 +24,77 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.common import let
 
 
 def _attr(node: Column, name: str) -> Column:
     return node["attrs"].getItem(name)
 
 
-def any_ancestor(node: Column, nodes: Column, test) -> Column:
+def any_ancestor(node: Column, tree: "Tree", test) -> Column:
     """True when some proper ancestor of ``node`` satisfies ``test(ancestor)``."""
     init = F.struct(node["parent"].alias("cur"), F.lit(False).alias("hit"))
     walk = F.aggregate(
         F.sequence(F.lit(1), F.greatest(node["depth"], F.lit(1))), init,
-        lambda acc, _i: F.struct(
-            F.get(nodes, acc["cur"])["parent"].alias("cur"),
-            (acc["hit"] | F.coalesce(test(F.get(nodes, acc["cur"])), F.lit(False))).alias("hit")))
+        lambda acc, _i: let(F.get(tree.nodes, acc["cur"]), lambda up: F.struct(
+            up["parent"].alias("cur"), (acc["hit"] | F.coalesce(test(up), F.lit(False))).alias("hit"))))
     return walk["hit"]
 
 
-def any_prev_sibling(node: Column, nodes: Column, test) -> Column:
-    init = F.struct(node["prev"].alias("cur"), F.lit(False).alias("hit"))
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(node["idx"] - 1, F.lit(1))), init,
-        lambda acc, _i: F.struct(
-            F.get(nodes, acc["cur"])["prev"].alias("cur"),
-            (acc["hit"] | F.coalesce(test(F.get(nodes, acc["cur"])), F.lit(False))).alias("hit")))
-    return walk["hit"]
+def parent_is(node: Column, tree: "Tree", test) -> Column:
+    return node["parent"].isNotNull() & F.coalesce(let(F.get(tree.nodes, node["parent"]), test), F.lit(False))
 
 
-def same_tag_position(node: Column, nodes: Column) -> Column:
-    """1-based position of ``node`` among its siblings with the same tag (XPath ``name[k]``)."""
-    init = F.struct(node["prev"].alias("cur"), F.lit(1).alias("k"))
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(node["idx"] - 1, F.lit(1))), init,
-        lambda acc, _i: F.struct(
-            F.get(nodes, acc["cur"])["prev"].alias("cur"),
-            (acc["k"] + F.when(F.get(nodes, acc["cur"])["tag"] == node["tag"], 1).otherwise(0)).alias("k")))
-    return walk["k"]
+def lower_bound(ascending: Column, value: Column) -> Column:
+    """How many elements of a sorted array are below ``value``: a binary search of ``log2(size)`` steps."""
+    def half(acc, _i):
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        right = F.get(ascending, mid) < value
+        return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(mid).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(ascending).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(ascending)))), start, half, lambda acc: acc["lo"])
+
+
+def _place(node: Column, low: Column | None = None) -> Column:
+    """Sort key of a node among all: its parent, then itself; with ``low`` the key before all of that parent's children."""
+    return F.shiftleft(F.coalesce(node["parent"], F.lit(-1)).cast("long") + 1, 32) + (node["id"].cast("long") if low is None else low)
+
+
+@dataclass(frozen=True, eq=False)
+class Siblings:
+    """How many earlier siblings of a node pass ``test`` (those of its own tag only, with ``same_tag``)."""
+    test: object
+    same_tag: bool = False
+
+    def keys(self, tree: "Tree") -> Column:
+        own = F.filter(tree.nodes, lambda n: F.coalesce(self.test(n, tree), F.lit(False)))
+        return F.sort_array(F.transform(own, lambda n: self._key(n)))
+
+    def before(self, node: Column, tree: "Tree") -> Column:
+        keys = tree.keys[self]
+        return lower_bound(keys, self._key(node)) - lower_bound(keys, self._key(node, F.lit(0).cast("long")))
+
+    def _key(self, node: Column, low: Column | None = None) -> Column:
+        return F.struct(node["tag"].alias("tag"), _place(node, low).alias("at")) if self.same_tag else _place(node, low)
+
+
+@dataclass
+class Tree:
+    """A page's nodes and the sorted keys of the sibling indexes."""
+    nodes: Column
+    keys: dict
+
+
+def bind(siblings: list, nodes: Column, body) -> Column:
+    """``body(tree)`` with every index computed once; one may use those before it. All are fields of one bound struct: Catalyst
+    takes two lambdas for equal that differ in nothing but the outer variables they use, and would drop one of them."""
+    def step(k: int, tree: Tree) -> Column:
+        if k == len(siblings):
+            return body(tree)
+        known = [tree.keys[s].alias(f"k{j}") for j, s in enumerate(siblings[:k])]
+        return let(F.struct(*known, siblings[k].keys(tree).alias(f"k{k}")),
+                   lambda all_keys: step(k + 1, Tree(nodes, {s: all_keys[f"k{j}"] for j, s in enumerate(siblings[:k + 1])})))
+    return step(0, Tree(nodes, {}))
 
 
 # ----------------------------------------------------------------------------- CSS
@@ -73,21 +110,36 @@ _TOKEN = re.compile(
 @dataclass
 class Compound:
     tag: str | None = None
-    tests: list = field(default_factory=list)   # functions node -> Column
+    tests: list = field(default_factory=list)   # functions (node, tree) -> Column
 
-    def pred(self, node: Column, nodes: Column) -> Column:
+    def pred(self, node: Column, tree: Tree) -> Column:
         c = F.lit(True) if self.tag in (None, "*") else (node["tag"] == self.tag)
         for t in self.tests:
-            c = c & t(node, nodes)
+            c = c & t(node, tree)
         return c
 
 
+@dataclass
+class Selector:
+    """``pred(node, tree)`` for CSS and for paths from the document. A relative path is ``own(node, tree)``, the tests of its last step,
+    and ``chain(node, tree, ctx)``, how the node hangs below the context node; ``inside`` says that it is a descendant
+    at any depth, so that its first hit is the first of its range; ``document``, that a path starts at the document and has one
+    first hit for all bases. ``siblings`` are the indexes ``bind`` makes for it."""
+    siblings: list
+    pred: object = None
+    own: object = None
+    chain: object = None
+    inside: bool = False
+    document: bool = False
+    terminal: tuple | None = None
+
+
 def _attr_test(name: str, op: str | None, val: str | None):
     name = name.lower()
     if val is not None and len(val) >= 2 and val[0] == val[-1] and val[0] in "'\"":
         val = val[1:-1]
 
-    def test(node, nodes):
+    def test(node, tree):
         a = _attr(node, name)
         if op is None:
             return a.isNotNull()
@@ -126,8 +178,8 @@ def _nth(arg: str):
 def _nth_test(pos_fn, arg):
     step, off = _nth(arg)
 
-    def test(node, nodes):
-        p = pos_fn(node, nodes)
+    def test(node, tree):
+        p = pos_fn(node, tree)
         if step == 0:
             return p == off
         d = p - off
@@ -135,7 +187,7 @@ def _nth_test(pos_fn, arg):
     return test
 
 
-def _pseudo_test(name: str, arg: str | None):
+def _pseudo_test(name: str, arg: str | None, siblings: list):
     name = name.lower()
     if name == "first-child":
         return lambda n, ns: n["prev"].isNull()
@@ -146,14 +198,16 @@ def _pseudo_test(name: str, arg: str | None):
     if name == "nth-child" and arg:
         return _nth_test(lambda n, ns: n["idx"], arg)
     if name == "nth-of-type" and arg:
-        return _nth_test(same_tag_position, arg)
+        alike = Siblings(lambda n, t: F.lit(True), same_tag=True)
+        siblings.append(alike)
+        return _nth_test(lambda n, t: alike.before(n, t) + 1, arg)
     if name == "not" and arg:
-        inner = compile_css(arg)
-        return lambda n, ns: ~F.coalesce(inner(n, ns), F.lit(False))
+        inner = _css_pred(arg, siblings)
+        return lambda n, t: ~F.coalesce(inner(n, t), F.lit(False))
     raise ValueError(f"unsupported pseudo-class :{name}")
 
 
-def _parse_css(sel: str):
+def _parse_css(sel: str, siblings: list):
     """-> list of complex selectors; each is [(combinator, Compound)], first combinator None."""
     out, cur, comp, comb = [], [], None, None
     pos, s = 0, sel.strip()
@@ -199,7 +253,7 @@ def _parse_css(sel: str):
         elif m.group("aname"):
             comp.tests.append(_attr_test(m.group("aname"), m.group("aop"), m.group("aval")))
         elif m.group("pseudo"):
-            comp.tests.append(_pseudo_test(m.group("pseudo"), m.group("parg")))
+            comp.tests.append(_pseudo_test(m.group("pseudo"), m.group("parg"), siblings))
     if comp is not None:
         cur.append((comb, comp))
     elif comb not in (None, " "):
@@ -210,34 +264,40 @@ def _parse_css(sel: str):
     return out
 
 
-def _complex_pred(chain, k, node, nodes):
-    comb, comp = chain[k]
-    c = comp.pred(node, nodes)
-    if k == 0:
-        return c
-    left = lambda a: _complex_pred(chain, k - 1, a, nodes)
+def _joined(left, comb: str, comp: Compound, siblings: list):
+    """The predicate of a compound that follows what ``left`` selects."""
     if comb == " ":
-        return c & any_ancestor(node, nodes, left)
+        return lambda n, t: comp.pred(n, t) & any_ancestor(n, t, lambda a: left(a, t))
     if comb == ">":
-        return c & node["parent"].isNotNull() & F.coalesce(left(F.get(nodes, node["parent"])), F.lit(False))
+        return lambda n, t: comp.pred(n, t) & parent_is(n, t, lambda a: left(a, t))
     if comb == "+":
-        return c & node["prev"].isNotNull() & F.coalesce(left(F.get(nodes, node["prev"])), F.lit(False))
+        return lambda n, t: comp.pred(n, t) & n["prev"].isNotNull() & F.coalesce(let(F.get(t.nodes, n["prev"]), lambda a: left(a, t)), F.lit(False))
     if comb == "~":
-        return c & any_prev_sibling(node, nodes, left)
+        earlier = Siblings(left)
+        siblings.append(earlier)
+        return lambda n, t: comp.pred(n, t) & (earlier.before(n, t) > 0)
     raise ValueError(f"unsupported combinator {comb!r}")
 
 
-def compile_css(selector: str):
-    """CSS selector -> ``pred(node, nodes, ctx=None)``."""
-    chains = _parse_css(selector)
+def _css_pred(selector: str, siblings: list):
+    preds = []
+    for (_, first), *rest in _parse_css(selector, siblings):
+        pred = first.pred
+        for comb, comp in rest:
+            pred = _joined(pred, comb, comp, siblings)
+        preds.append(pred)
 
-    def pred(node, nodes, ctx=None):
-        c = None
-        for ch in chains:
-            p = _complex_pred(ch, len(ch) - 1, node, nodes)
-            c = p if c is None else (c | p)
+    def either(node, tree):
+        c = preds[0](node, tree)
+        for p in preds[1:]:
+            c = F.coalesce(c, F.lit(False)) | p(node, tree)
         return c
-    return pred
+    return either
+
+
+def compile_css(selector: str) -> Selector:
+    siblings: list = []
+    return Selector(siblings, pred=_css_pred(selector, siblings))
 
 
 # ----------------------------------------------------------------------------- XPath
@@ -327,40 +387,44 @@ def parse_xpath(path: str) -> XPath:
     return XPath(absolute, steps, terminal)
 
 
-def _passes(tests: list, node, nodes):
+def _passes(tests: list, siblings: list):
     """All of a step's tests; a number is the position among the siblings that pass the tests before it."""
     *before, last = tests
+    if not before:
+        return last.pred
+    left = _passes(before, siblings)
     if isinstance(last, Compound):
-        return last.pred(node, nodes) & _passes(before, node, nodes) if before else last.pred(node, nodes)
-    if len(before) == 1 and not before[0].tests:
-        place = node["idx"] if before[0].tag == "*" else same_tag_position(node, nodes)
-    else:
-        place = F.size(F.filter(nodes, lambda s: s["parent"].eqNullSafe(node["parent"]) & (s["id"] <= node["id"])
-                                & F.coalesce(_passes(before, s, nodes), F.lit(False))))
-    return _passes(before, node, nodes) & (place == last)
-
-
-def _xstep_pred(xp: XPath, k: int, node, nodes, ctx):
-    axis, tests = xp.steps[k]
-    c = _passes(tests, node, nodes)
+        return lambda n, t: left(n, t) & last.pred(n, t)
+    if len(before) == 1 and before[0].tag == "*" and not before[0].tests:
+        return lambda n, t: n["idx"] == last
+    earlier = Siblings(left)
+    siblings.append(earlier)
+    return lambda n, t: left(n, t) & (earlier.before(n, t) == last - 1)
+
+
+def _linked(steps: list, passes: list, k: int, absolute: bool):
+    """``chain(node, tree, ctx)``: how a node that passes step ``k`` hangs below the steps before it."""
     if k == 0:
-        if xp.absolute or ctx is None:
-            return c & node["parent"].isNull() if axis == "child" else c
-        if axis == "child":
-            return c & (node["parent"] == ctx)
-        return c & (node["id"] > ctx) & (node["id"] <= F.get(nodes, ctx)["last"])
-    left = lambda a: _xstep_pred(xp, k - 1, a, nodes, ctx)
-    if axis == "child":
-        return c & node["parent"].isNotNull() & F.coalesce(left(F.get(nodes, node["parent"])), F.lit(False))
-    return c & any_ancestor(node, nodes, left)
-
-
-def compile_xpath(path: str):
-    """XPath -> (pred(node, nodes, ctx), terminal); pred is None for '.' (the context node itself)."""
+        if absolute:
+            return lambda n, t, ctx: n["parent"].isNull() if steps[0][0] == "child" else F.lit(True)
+        if steps[0][0] == "child":
+            return lambda n, t, ctx: n["parent"] == ctx["id"]
+        return lambda n, t, ctx: (n["id"] > ctx["id"]) & (n["id"] <= ctx["last"])
+    up = _linked(steps, passes, k - 1, absolute)
+    rise = parent_is if steps[k][0] == "child" else any_ancestor
+    return lambda n, t, ctx: rise(n, t, lambda a: passes[k - 1](a, t) & up(a, t, ctx))
+
+
+def compile_xpath(path: str, document: bool = False) -> Selector:
+    """A path; neither ``pred`` nor ``own`` is set for '.' (the context node itself). With ``document`` a relative path
+    starts at the document, as the path of base nodes does."""
     xp = parse_xpath(path)
+    siblings: list = []
     if not xp.steps:
-        return None, xp.terminal
-
-    def pred(node, nodes, ctx=None):
-        return _xstep_pred(xp, len(xp.steps) - 1, node, nodes, ctx)
-    return pred, xp.terminal
+        return Selector(siblings, terminal=xp.terminal)
+    passes = [_passes(tests, siblings) for _, tests in xp.steps]
+    own, absolute = passes[-1], xp.absolute or document
+    chain = _linked(xp.steps, passes, len(xp.steps) - 1, absolute)
+    if absolute:
+        return Selector(siblings, pred=lambda n, t: own(n, t) & chain(n, t, None), document=True, terminal=xp.terminal)
+    return Selector(siblings, own=own, chain=chain, inside=len(xp.steps) == 1 and xp.steps[0][0] == "desc", terminal=xp.terminal)
