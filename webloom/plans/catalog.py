@@ -1279,3 +1279,176 @@ def q_markdown_blocks(spark, sf_dir):
         c("p_brand"), "</li><li>", c("p_type"), "</li></ol>")])
     pages = bucket_pages(part, "p_partkey", block, 20, "https://shop.example.com/md/")
     return to_markdown(pages).select("page_id", "markdown")
+
+
+# ----------------------------------------------------------------------------- archives, user code, whole jobs
+
+_ARCHIVE_SQL = """
+WITH a AS (SELECT page_id, url, html, CASE WHEN page_id % 7 = 0 THEN 404 WHEN page_id % 7 <> 1 THEN 200 END AS status_code FROM pages)
+"""
+
+
+def _landed_archive(spark, sf_dir) -> str:
+    """``pages`` as somebody landed them: every seventh was not found, every seventh has no status."""
+    path = _scratch(spark, "archive")
+    status = F.when(F.col("page_id") % 7 == 0, 404).when(F.col("page_id") % 7 != 1, 200)
+    table(spark, sf_dir, "pages").select("page_id", "url", "html", status.alias("status_code")).write.parquet(path)
+    return path
+
+
+@query("archive_scan", _ARCHIVE_SQL + """
+SELECT page_id, url, status_code, status_code IS NOT DISTINCT FROM 200 AS success,
+       CASE WHEN status_code IS NOT DISTINCT FROM 200 THEN md5(html) ELSE md5('') END AS html_md5,
+       CASE WHEN status_code IS DISTINCT FROM 200 THEN 'HTTP ' || coalesce(CAST(status_code AS VARCHAR), '?') END AS error
+FROM a
+""")
+def q_archive_scan(spark, sf_dir):
+    """S1."""
+    from webloom.sources.pages import read_pages
+    return read_pages(spark, _landed_archive(spark, sf_dir)).select("page_id", "url", "status_code", "success", F.md5("html").alias("html_md5"), "error")
+
+
+@query("successful_pages", _ARCHIVE_SQL + "SELECT page_id, url, md5(html) AS html_md5 FROM a WHERE status_code = 200")
+def q_successful_pages(spark, sf_dir):
+    """P4."""
+    from webloom.sources.pages import read_pages, successful
+    return successful(read_pages(spark, _landed_archive(spark, sf_dir))).select("page_id", "url", F.md5("html").alias("html_md5"))
+
+
+@query("archive_progress", _ARCHIVE_SQL + "SELECT count(*) AS total, count(*) FILTER (status_code = 200) AS succeeded FROM a")
+def q_archive_progress(spark, sf_dir):
+    """The two counts that a job reports while it writes the archive's rows."""
+    from webloom.plans.jobs import observed
+    from webloom.sources.pages import read_pages
+    rows, progress = observed(read_pages(spark, _landed_archive(spark, sf_dir)), "archive")
+    rows.write.parquet(_scratch(spark, "archive-out"))
+    counts = progress.get
+    return spark.createDataFrame([(counts["total"], counts["succeeded"])], "total long, succeeded long")
+
+
+def _capture_runs(spark, sf_dir, root: str):
+    """Stored captures (a), then current captures (b) of a file stream, with a status; yields the stream for each run."""
+    pages = table(spark, sf_dir, "pages").withColumn("status_code", F.when(F.col("page_id") % 11 == 0, 500).otherwise(200))
+    edited = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</p>"), F.lit("</p>\n"))).otherwise(F.col("html"))
+    stored = pages.where(F.col("page_id") % 5 != 0).select("url", "html", "status_code", F.lit(_SNAP_TS).cast("timestamp").alias("ts"))
+    current = pages.select("url", edited.alias("html"), "status_code", F.lit(_CHECK_TS).cast("timestamp").alias("ts"))
+    for part, rows in (("a", stored), ("b", current)):
+        rows.write.parquet(f"{root}/in/{part}")
+        yield spark.readStream.schema(stored.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+
+
+@query("watched_changes", _CHANGES_SQL + """
+, w AS (SELECT url FROM pages WHERE page_id % 2 = 0 AND page_id % 11 <> 0)
+SELECT url, true AS has_changed, CASE WHEN ph IS NULL THEN 'initial' ELSE 'content' END AS change_type,
+       CASE WHEN ph IS NOT NULL THEN
+         '+' || len(list_filter(string_split(cpre, chr(10)), lambda x: NOT list_contains(string_split(ppre, chr(10)), x)))
+         || ' lines added, -' ||
+         len(list_filter(string_split(ppre, chr(10)), lambda x: NOT list_contains(string_split(cpre, chr(10)), x)))
+         || ' lines removed' END AS diff_summary
+FROM j WHERE url IN (SELECT url FROM w) AND (ph IS NULL OR ph <> current_hash)
+""")
+def q_watched_changes(spark, sf_dir):
+    """Captures of status 200 of the URLs on a watch list; their events as payloads of an outbox."""
+    from webloom.streaming.monitor import monitor_changes, subscribe, watched
+    root = _scratch(spark, "watched-changes")
+    wanted = table(spark, sf_dir, "pages").where(F.col("page_id") % 2 == 0).select("url")
+    for stream in _capture_runs(spark, sf_dir, root):
+        subscribe(monitor_changes(watched(stream, wanted)), f"{root}/out", f"{root}/ckpt").awaitTermination()
+    fields = "url string, has_changed boolean, change_type string, timestamp string, diff_summary string"
+    out = spark.read.parquet(f"{root}/out").select(F.from_json("payload", fields).alias("e")).select("e.*")
+    return out.where(F.col("timestamp").startswith(_CHECK_TS[:10])).select("url", "has_changed", "change_type", "diff_summary")
+
+
+@query("expired_changes", "SELECT url, 'initial' AS change_type, '' AS previous_hash FROM pages WHERE page_id % 11 <> 0")
+def q_expired_changes(spark, sf_dir):
+    """State that lives ten days is gone when the captures of the next month come."""
+    from webloom.streaming.monitor import monitor_changes, watched
+    root = _scratch(spark, "expired-changes")
+    for stream in _capture_runs(spark, sf_dir, root):
+        (monitor_changes(watched(stream), emit_unchanged=True, ttl_ms=10 * 24 * 3600 * 1000).writeStream.format("parquet")
+         .option("checkpointLocation", f"{root}/ckpt").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination())
+    events = spark.read.parquet(f"{root}/out").where(F.col("ts") == F.lit(_CHECK_TS).cast("timestamp"))
+    return events.select("url", "change_type", "previous_hash")
+
+
+@query("page_processor", """
+SELECT CASE WHEN page_id % 10 <> 3 THEN page_id END AS page_id, CASE WHEN page_id % 10 <> 3 THEN CAST((length(html) - length(replace(html, '<a ', ''))) / 3 AS BIGINT) END AS n_anchors,
+       CASE WHEN page_id % 10 = 3 THEN 'ValueError: refused' END AS error
+FROM pages
+""")
+def q_page_processor(spark, sf_dir):
+    """G1: a user function over pages; what it raises is the row's error."""
+    from pyspark.sql import types as T
+    from webloom.plans.jobs import process_pages
+
+    def anchors(page):
+        if page["page_id"] % 10 == 3:
+            raise ValueError("refused")
+        return {"page_id": page["page_id"], "n_anchors": page["html"].count("<a ")}
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("n_anchors", T.LongType())])
+    return process_pages(table(spark, sf_dir, "pages").select("page_id", "html"), anchors, schema)
+
+
+@query("link_strategy", f"SELECT page_id, count(*) AS links FROM ({_LINKS_SQL}) GROUP BY page_id")
+def q_link_strategy(spark, sf_dir):
+    """A strategy of the caller's over parsed pages."""
+    from webloom.operators.extract import extract_links
+    from webloom.plans.jobs import apply_strategy
+
+    class LinkCounts:
+        def apply(self, parsed):
+            return extract_links(parsed).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    return apply_strategy(_parsed(spark, sf_dir), LinkCounts())
+
+
+@query("field_transform", """
+SELECT p_partkey, upper(p_name) AS name, round(round(p_retailprice, 2) * 2, 2) AS double_price, 'none' AS missing FROM part
+""")
+def q_field_transform(spark, sf_dir):
+    """Transforms of found values; a missing field keeps its default."""
+    from webloom.operators.dom import parse_pages
+    from webloom.operators.extract import extract_css
+    recs = extract_css(parse_pages(product_pages(spark, sf_dir)), "div.product", {
+        "key": {"selector": "@", "type": "attribute", "attribute": "data-key"},
+        "name": {"selector": "h2", "transform": F.upper},
+        "price": {"selector": "h2 ~ span.price", "type": "number", "transform": lambda v: v * 2},
+        "missing": {"selector": "em", "default": "none", "transform": F.upper}})
+    return recs.select(F.col("key").cast("long").alias("p_partkey"), "name", F.round("price", 2).alias("double_price"), "missing")
+
+
+@query("extract_job", """
+SELECT 'https://shop.example.com/parts/' || (p_partkey // 100) AS url, p_partkey, p_name AS name FROM part
+""")
+def q_extract_job(spark, sf_dir):
+    """A URL list, partly not in the archive, to CSS records."""
+    from webloom.plans.jobs import extract
+    archive = product_pages(spark, sf_dir).select("url", "html", F.lit(200).alias("status_code"), F.lit(True).alias("success"),
+                                                 F.lit(None).cast("string").alias("error"))
+    urls = archive.select("url").unionByName(archive.select(F.concat("url", F.lit("#gone")).alias("url")))
+    recs = extract(urls, archive, "div.product", {"key": {"selector": "@", "type": "attribute", "attribute": "data-key"}, "name": "h2.name"})
+    return recs.select("url", F.col("key").cast("long").alias("p_partkey"), "name")
+
+
+@query("table_requests", """
+SELECT p_partkey, 0 AS chunk_idx,
+       sha256('Extract data from this markdown content:' || chr(10) || chr(10) || '```markdown' || chr(10)
+              || CASE WHEN p_partkey % 2 = 0 THEN '## ' || p_name || chr(10) || chr(10) || p_type ELSE p_name || ' ' || p_type END
+              || chr(10) || '```') AS user_hash
+FROM part
+""")
+def q_table_requests(spark, sf_dir):
+    """First half of C9: pages go through Markdown, plain texts as they are."""
+    from pyspark.sql import types as T
+    from webloom.plans.jobs import table_requests
+    page = F.concat(F.lit("<h2>"), esc("p_name"), F.lit("</h2><p>"), esc("p_type"), F.lit("</p>"))
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, page).otherwise(F.concat_ws(" ", "p_name", "p_type")).alias("text"))
+    schema = T.StructType([T.StructField("name", T.StringType(), False)])
+    return table_requests(docs, "p_partkey", "text", schema, "Extract the tables").select("p_partkey", "chunk_idx", F.sha2("user_prompt", 256).alias("user_hash"))
+
+
+@query("table_extraction", ORACLES["merge_tables"])
+def q_table_extraction(spark, sf_dir):
+    """Second half of C9."""
+    from webloom.plans.jobs import table_extraction
+    m = table_extraction(_responses(spark, sf_dir).select("doc_id", "chunk_idx", F.col("table_response").alias("response")))
+    return m.select("doc_id", F.array_join("headers", "|").alias("headers"), "caption", "chunk_idx", "row_idx", F.array_join("row", "|").alias("row"))
