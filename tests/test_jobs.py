@@ -239,3 +239,20 @@ def test_field_transform(parse):
     from webloom.operators.extract import Field, extract_css
     out = extract_css(parse("<b> 4 km</b>"), "b", {"t": Field(selector="@", transform=F.upper)}).collect()
     assert out[0].t == "4 KM"
+
+
+def test_latest_page_is_found_without_a_second_shuffle_of_markup(spark):
+    from webloom.sources.pages import latest_pages
+    rows = [("a", 1, True, "x"), ("a", 2, False, "y"), ("a", 2, True, "z"), ("a", 2, True, "zz"), ("a", 2, True, "zz"), ("b", None, True, "n"),
+            ("b", None, False, "m"), ("c", None, None, None), (None, 3, True, "q"), (None, 4, True, "r"), ("", 9, True, "s"), ("d", 5, None, "k"), ("d", 5, False, "l")]
+    pages = spark.createDataFrame(rows, "url string, ts int, success boolean, html string")
+    got = {(r.url, r.ts, r.success, r.html) for r in latest_pages(pages).collect()}
+    assert got == {("a", 2, True, "zz"), ("b", None, True, "n"), ("c", None, None, None), (None, 4, True, "r"), ("", 9, True, "s"), ("d", 5, False, "l")}
+    assert latest_pages(pages.drop("ts", "success")).count() == 6 and latest_pages(pages.limit(0)).count() == 0
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = latest_pages(pages)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") == 2, plan

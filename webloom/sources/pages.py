@@ -21,12 +21,21 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def latest_pages(pages: DataFrame, ts: str | None = None) -> DataFrame:
     """One row per URL: the latest by ``ts`` (a column named ts if there is one), then a successful one, then the
-    largest row, so that the choice is the same in every run."""
+    largest row, so that the choice is the same in every run.
+
+    The greatest (ts, success) of a URL comes from a scan of these columns alone; rows that have it are found by a join on
+    the URL, so markup is shuffled once and only a URL's equally late rows meet in the aggregate, which keeps that partitioning."""
     ts = ts or ("ts" if "ts" in pages.columns else None)
     cols = [c for c in pages.columns if c != "url"]
     plain = [c for c in cols if pages.schema[c].dataType.typeName() not in ("map", "variant")]
-    order = F.struct(*([F.col(ts)] if ts else []), *[F.col(c) for c in ("success",) if c in cols], *plain)
-    return pages.groupBy("url").agg(F.max_by(F.struct(*cols), order).alias("_p")).select("url", "_p.*")
+    ahead = [c for c in dict.fromkeys([ts, "success"]) if c and c in cols]
+    same = ["__url", "__none"]  # a null URL is a group as well
+    rows = pages.select("*", F.coalesce("url", F.lit("")).alias("__url"), F.isnull("url").alias("__none"))
+    if ahead:
+        best = rows.groupBy(*same).agg(F.max(F.struct(*ahead)).alias("__best"))
+        late = F.struct(*[F.col(f"`{c}`") for c in ahead]) >= F.col("__best")  # none is above: an order, to join on the URL alone
+        rows = rows.join(best, same).where(late)
+    return rows.groupBy(*same).agg(F.max_by(F.struct("url", *cols), F.struct(*plain)).alias("_p")).select("_p.*")
 
 
 def fetch_batch(urls: DataFrame, pages: DataFrame, ts: str | None = None) -> DataFrame:
