@@ -18,6 +18,15 @@ def brute(docs, queries, k):
     return out
 
 
+def brute_rows(docs, asking, k):
+    """By row number: a query is a row, its candidates all other rows."""
+    out = []
+    for a in asking:
+        scored = sorted((-sum(x * y for x, y in zip(docs[a][1], v)), i) for n, (i, v) in enumerate(docs) if n != a)
+        out += [(docs[a][0], place, i, -s) for place, (s, i) in enumerate(scored[:k], 1)]
+    return out
+
+
 def run(spark, docs, queries, k):
     frame = lambda rows: spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)
     return {tuple(r) for r in topk.exact_topk(frame(docs), frame(queries), k).collect()}
@@ -39,9 +48,9 @@ def test_wide_integers_are_exact(spark):
 
 
 def test_blocks_below_the_kth_score_are_skipped():
-    chunk = topk.Chunk(np.array([0]), np.array([[1, 0]]), 2)
+    chunk = topk.Chunk(np.array([0]), np.array([0]), np.array([[1, 0]]), 2)
     docs = np.array([[100 - i, 7] for i in range(10 * topk.BLOCK)])
-    chunk.meet(np.arange(1, len(docs) + 1), docs)
+    chunk.meet(np.arange(1, len(docs) + 1), np.ones(len(docs), np.int64), docs)
     assert chunk.scored == 1 and list(chunk.score) == [100, 99]
 
 
@@ -55,5 +64,20 @@ def test_quantised(spark):
 def test_defined_cases(spark):
     rows = [(0, [1, 2]), (0, [1, 1]), (1, [3]), (None, [9, 9]), (2, None), (3, []), (4, [1, 1])]
     got = run(spark, rows, [(0, [1, 2]), (0, [1, 1]), (None, [1]), (7, None)], 9)
-    assert got == {(0, 1, 1, 3), (0, 2, 4, 2), (0, 3, 3, 0)}  # the least of two vectors asks; rows 0 are the query's own
+    # both rows of id 0 ask, and each is a candidate of the other
+    assert got == set(brute_rows([(0, [1, 2]), (0, [1, 1]), (1, [3, 0]), (3, [0, 0]), (4, [1, 1])], [0, 1], 9))
     assert run(spark, [], [], 5) == set() and run(spark, rows, [], 5) == set() and run(spark, [], rows[:1], 5) == set()
+
+
+def test_repeated_ids_and_rows_are_candidates_and_queries_each(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "PACK", 8)
+    monkeypatch.setattr(topk, "CHUNK", 3)
+    rng = random.Random(5)
+    docs = [(rng.choice([0, 0, 0, 1, 2, 7]), [rng.randint(-1, 1) for _ in range(3)]) for _ in range(90)]
+    frame = lambda rows: spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)
+    asking = [n for n in range(90) if docs[n][0] in (0, 7)]
+    got = [tuple(r) for r in topk.exact_topk(frame(docs), frame([docs[n] for n in asking]), 5).collect()]
+    assert sorted(got) == sorted(brute_rows(docs, asking, 5))
+    padded = [(0, [1, 0]), (0, [1]), (0, [2, 0, 0])]
+    assert sorted(tuple(r) for r in topk.exact_topk(frame(padded), frame(padded), 5).collect()) == sorted(brute_rows([(0, [1]), (0, [1]), (0, [2])], [0, 1, 2], 5))

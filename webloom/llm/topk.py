@@ -20,7 +20,7 @@ BLOCK, PACK, CHUNK = 64, 1024, 1024
 #: Integers up to here are exact in the double-precision products.
 EXACT = 2 ** 53
 
-_PACKED = "part_key long, n int, dims int, ids binary, vectors binary"
+_PACKED = "part_key long, n int, dims int, ids binary, marks binary, vectors binary"
 
 
 def quantised(vector, scale: int = 256):
@@ -30,38 +30,45 @@ def quantised(vector, scale: int = 256):
     return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
+def _trimmed(vector):
+    """A vector without its trailing zeros, which change no product."""
+    back = F.array_position(F.reverse(F.transform(vector, lambda x: x != 0)), True)
+    return F.when(back == 0, F.slice(vector, 1, 0)).otherwise(F.slice(vector, 1, (F.size(vector) - back + 1).cast("int")))
+
+
 def _pack(rows: int):
-    """Arrow map from sorted (id, vector) rows to packed rows of at most ``rows`` vectors, padded with zeros."""
-    names = ["part_key", "n", "dims", "ids", "vectors"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    """Arrow map from sorted (id, mark, vector) rows to packed rows of at most ``rows`` vectors, padded with zeros."""
+    names = ["part_key", "n", "dims", "ids", "marks", "vectors"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-    def packed(ids, vectors):
+    def packed(ids, marks, vectors):
         dims = max(map(len, vectors))
         m = np.zeros((len(vectors), dims), np.int64)
         for i, v in enumerate(vectors):
             m[i, :len(v)] = v
-        values = [ids[0], len(ids), dims, np.array(ids, np.int64).tobytes(), m.tobytes()]
+        values = [marks[0], len(ids), dims, np.array(ids, np.int64).tobytes(), np.array(marks, np.int64).tobytes(), m.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
     def run(batches):
-        ids, vectors = [], []
+        held = [], [], []  # ids, marks, vectors
         for batch in batches:
             for a in range(0, batch.num_rows, rows):
-                ids += batch.column(0).slice(a, rows).to_pylist()
-                vectors += batch.column(1).slice(a, rows).to_pylist()
-                while len(ids) >= rows:
-                    yield packed(ids[:rows], vectors[:rows])
-                    del ids[:rows], vectors[:rows]
-        if ids:
-            yield packed(ids, vectors)
+                for c, values in enumerate(held):
+                    values += batch.column(c).slice(a, rows).to_pylist()
+                while len(held[0]) >= rows:
+                    yield packed(*[values[:rows] for values in held])
+                    for values in held:
+                        del values[:rows]
+        if held[0]:
+            yield packed(*held)
     return run
 
 
 class Chunk:
     """The running top-k of one chunk of queries."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.numbers, self.vectors, self.k = ids, numbers, vectors, k
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = len(ids)
         self.row, self.score, self.doc = np.empty(0, np.int64), np.empty(0, object), np.empty(0, np.int64)
@@ -72,8 +79,8 @@ class Chunk:
         most = int(np.abs(self.vectors).max(initial=0)) * int(np.abs(docs).max(initial=0)) * docs.shape[1]
         return np.float64 if most < EXACT and not (self.vectors == np.iinfo(np.int64).min).any() else object
 
-    def meet(self, ids: np.ndarray, docs: np.ndarray) -> None:
-        """Search the blocks of one packed row of documents."""
+    def meet(self, ids: np.ndarray, nth: np.ndarray, docs: np.ndarray) -> None:
+        """Search the blocks of one packed row of documents. A query's own row is the first of those of its id and vector."""
         dims = max(docs.shape[1], self.vectors.shape[1])
         pad = lambda m: np.pad(m, ((0, 0), (0, dims - m.shape[1])))
         kind = self._wide(docs)
@@ -97,8 +104,10 @@ class Chunk:
                 scores = q[mine] @ d[a:a + BLOCK].T
                 self.scored += len(mine)
                 here = ids[a:a + BLOCK]
-                good = np.asarray(scores >= self.kth[mine][:, None], bool) & (here[None, :] != self.ids[mine][:, None])
-                i, j = np.nonzero(good)
+                i, j = np.nonzero(np.asarray(scores >= self.kth[mine][:, None], bool))
+                own = (here[j] == self.ids[mine[i]]) & (nth[a + j] == 1)
+                own[own] = (d[a + j[own]] == q[mine[i[own]]]).all(axis=1)
+                i, j = i[~own], j[~own]
                 if len(i):
                     self._merge(mine[i], scores[i, j], here[j])
 
@@ -120,26 +129,26 @@ class Chunk:
         self.kth[row[last]] = score[last]
 
     def results(self) -> pa.RecordBatch:
-        scores = [max(min(int(s), 2 ** 63 - 1), -2 ** 63) for s in self.score]
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.doc), pa.array(scores, pa.int64())],
-                                          names=["query_id", "doc_id", "score"])
+        scores = pa.array([int(s) for s in self.score], pa.int64())  # fails beyond a long
+        return pa.RecordBatch.from_arrays([pa.array(self.numbers[self.row]), pa.array(self.ids[self.row]), pa.array(self.doc), scores],
+                                          names=["number", "query_id", "doc_id", "score"])
 
 
 def _search(k: int):
-    """Arrow map over (part, q_key, q_n, q_dims, q_ids, q_vectors, n, dims, ids, vectors) sorted by part and q_key."""
-    def matrix(n, dims, data):
-        return np.frombuffer(data, np.int64).reshape(n, dims)
+    """Arrow map over (part, q_key, q_n, q_dims, q_ids, q_marks, q_vectors, n, dims, ids, marks, vectors) sorted by part and q_key."""
+    def numbers(data):
+        return np.frombuffer(data, np.int64)
 
     def run(batches):
         key, chunk = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                part, q_key, qn, qd, qi, qv, n, dims, ids, vectors = (batch.column(c)[i].as_py() for c in range(10))
+                part, q_key, qn, qd, qi, qm, qv, n, dims, ids, marks, vectors = (batch.column(c)[i].as_py() for c in range(12))
                 if (part, q_key) != key:
                     if chunk is not None:
                         yield chunk.results()
-                    key, chunk = (part, q_key), Chunk(np.frombuffer(qi, np.int64), matrix(qn, qd, qv), k)
-                chunk.meet(np.frombuffer(ids, np.int64), matrix(n, dims, vectors))
+                    key, chunk = (part, q_key), Chunk(numbers(qi), numbers(qm), numbers(qv).reshape(qn, qd), k)
+                chunk.meet(numbers(ids), numbers(marks), numbers(vectors).reshape(n, dims))
         if chunk is not None:
             yield chunk.results()
     return run
@@ -147,28 +156,38 @@ def _search(k: int):
 
 def exact_topk(docs: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "vector") -> DataFrame:
     """``query_id, rank (from 1), doc_id, score``: of each query the ``k`` documents of largest inner product (all, if
-    fewer), ties to the smaller id; documents with the query's own id are left out.
+    fewer), ties to the smaller id. A query's own row, a document of its id and vector, is left out once; other rows of
+    its id, and further copies of the row, are candidates.
 
-    Both tables hold ``key`` long and ``vector`` array<long>. Rows with a null key or vector take no part; a shorter
-    vector counts as padded with zeros, an empty one scores 0; repeated documents are candidates each; of repeated
-    queries the least vector asks. Scores that pass a long are cut to its range. Empty tables give an empty result.
+    Both tables hold ``key`` long and ``vector`` array<long>. Rows with a null key, vector or component take no part; a shorter
+    vector counts as padded with zeros, an empty one scores 0; repeated documents are candidates each, repeated queries
+    ask each. A score in the result that passes a long fails the job. Empty tables give an empty result.
 
-    Documents are dealt by id range, packed PACK to a row; every chunk of CHUNK queries is copied to each part and
+    Equal documents are counted before they are dealt; k + 1 rows of each are packed, as no result can hold more of
+    them. Documents are dealt by id range, packed PACK to a row; every chunk of CHUNK queries is copied to each part and
     joined on it, so a task holds one chunk and one packed row. At most k rows a query and part are ranked at the end."""
     spark = docs.sparkSession
     ship_package(spark)
-    d = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id is not null and v is not null")
-    q = (queries.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"))
-         .where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")))
-    packed = written(d.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(_pack(PACK), _PACKED), "packed")
+
+    def counted(rows):
+        held = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id is not null and v is not null")
+        held = held.where(~F.exists("v", lambda x: x.isNull()))
+        return held.select("id", _trimmed("v").alias("v")).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
+    d = counted(docs).select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k + 1)))).alias("nth"), "v")
+    q = written(counted(queries).withColumn("number", F.monotonically_increasing_id()), "queries")
     n = q.count()
-    chunks = q.repartitionByRange(max(1, -(-n // CHUNK)), "id").sortWithinPartitions("id").mapInArrow(_pack(CHUNK), _PACKED)
+    ranged = d.repartitionByRange("id", "v", "nth").sortWithinPartitions("id", "v", "nth")
+    packed = written(ranged.mapInArrow(_pack(PACK), _PACKED), "packed")
+    chunks = (q.repartitionByRange(max(1, -(-n // CHUNK)), "number").sortWithinPartitions("number").select("id", "number", "v")
+              .mapInArrow(_pack(CHUNK), _PACKED))
     parts = max(1, min(packed.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    spread = packed.select(F.pmod(F.xxhash64("part_key"), F.lit(parts)).cast("int").alias("part"), "n", "dims", "ids", "vectors")
+    spread = packed.select(F.pmod(F.xxhash64("ids", "vectors"), F.lit(parts)).cast("int").alias("part"), "n", "dims", "ids", "marks", "vectors")
     copied = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("part_key").alias("q_key"),
-                           F.col("n").alias("q_n"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    met = (copied.join(spread, "part").sortWithinPartitions("part", "q_key")
-           .select("part", "q_key", "q_n", "q_dims", "q_ids", "q_vectors", "n", "dims", "ids", "vectors"))
-    best = met.mapInArrow(_search(k), "query_id long, doc_id long, score long")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+                           *[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "marks", "vectors")])
+    names = ["part", "q_key", *[f"q_{c}" for c in ("n", "dims", "ids", "marks", "vectors")], "n", "dims", "ids", "marks", "vectors"]
+    met = copied.join(spread, "part").sortWithinPartitions("part", "q_key").select(*names)
+    best = met.mapInArrow(_search(k), "number long, query_id long, doc_id long, score long")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+    each = q.where("n > 1").select("number", F.col("n").alias("times"))
+    asked = ranked.join(each, "number", "left").withColumn("__ask", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
+    return asked.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
