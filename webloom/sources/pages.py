@@ -24,25 +24,35 @@ def latest_pages(pages: DataFrame, ts: str | None = None) -> DataFrame:
     largest row, so that the choice is the same in every run.
 
     The greatest (ts, success) of a URL comes from a scan of these columns alone; rows that have it are found by a join on
-    the URL, so markup is shuffled once and only a URL's equally late rows meet in the aggregate, which keeps that partitioning."""
-    ts = ts or ("ts" if "ts" in pages.columns else None)
-    cols = [c for c in pages.columns if c != "url"]
-    plain = [c for c in cols if pages.schema[c].dataType.typeName() not in ("map", "variant")]
-    ahead = [c for c in dict.fromkeys([ts, "success"]) if c and c in cols]
-    same = ["__url", "__none"]  # a null URL is a group as well
-    rows = pages.select("*", F.coalesce("url", F.lit("")).alias("__url"), F.isnull("url").alias("__none"))
-    if ahead:
-        best = rows.groupBy(*same).agg(F.max(F.struct(*ahead)).alias("__best"))
-        late = F.struct(*[F.col(f"`{c}`") for c in ahead]) >= F.col("__best")  # none is above: an order, to join on the URL alone
-        rows = rows.join(best, same).where(late)
-    return rows.groupBy(*same).agg(F.max_by(F.struct("url", *cols), F.struct(*plain)).alias("_p")).select("_p.*")
+    the URL, so markup is shuffled once and only a URL's equally late rows meet in the aggregate, which keeps that partitioning.
+    Rows without a URL are one group of their own."""
+    return _latest_named(pages.where("url is not null"), ts).unionByName(_largest(pages.where("url is null"), _ahead(pages, ts)))
+
+
+def _ahead(pages: DataFrame, ts: str | None) -> list[str]:
+    return [c for c in dict.fromkeys([ts or "ts", "success"]) if c in pages.columns and c != "url"]
+
+
+def _largest(rows: DataFrame, ahead: list[str]) -> DataFrame:
+    cols = [c for c in rows.columns if c != "url"]
+    plain = [c for c in cols if rows.schema[c].dataType.typeName() not in ("map", "variant")]
+    return rows.groupBy("url").agg(F.max_by(F.struct(*cols), F.struct(*ahead, *plain)).alias("_p")).select("url", "_p.*")
+
+
+def _latest_named(pages: DataFrame, ts: str | None) -> DataFrame:
+    ahead = _ahead(pages, ts)
+    if not ahead:
+        return _largest(pages, ahead)
+    best = pages.groupBy("url").agg(F.max(F.struct(*ahead)).alias("__best"))
+    late = F.struct(*[F.col(f"`{c}`") for c in ahead]) >= F.col("__best")  # none is above: an order, to join on the URL alone
+    return _largest(pages.join(best, "url").where(late).drop("__best"), [])
 
 
 def fetch_batch(urls: DataFrame, pages: DataFrame, ts: str | None = None) -> DataFrame:
     """Every requested URL gets exactly one outcome row, from the archive's latest row of it, however often either
     side names it; URLs missing from the archive -> success false + error."""
     wanted = urls.select("url").distinct()
-    known = latest_pages(pages.join(wanted, "url", "left_semi"), ts)
+    known = _latest_named(pages.join(wanted, "url", "left_semi"), ts)
     cols = [c for c in pages.columns if c != "url"]
     j = wanted.join(known, "url", "left")
     return j.select("url", *[F.col(c) for c in cols if c not in ("success", "error")],
