@@ -39,6 +39,23 @@ def test_one_outcome_for_each_url(spark, archive):
         ("http://a.test/", True, None), ("http://b.test/", False, "HTTP 404"), ("gone", False, "not in page archive")} and len(rows) == 3
 
 
+def test_outcomes_from_a_union_of_archives_without_broadcasts(spark, tmp_path):
+    from webloom.sources.pages import fetch_batch
+    spark.range(40).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("<p>x").alias("html")).write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p")).withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
+    older = pages.withColumns({"html": F.lit(""), "success": F.lit(False), "error": F.lit("HTTP 500")})
+    archive = pages.withColumn("ts", F.lit(2)).unionByName(older.withColumn("ts", F.lit(1)))
+    wanted = pages.select("url").unionByName(pages.select("url")).unionByName(pages.select(F.concat("url", F.lit("#gone")).alias("url")))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = fetch_batch(wanted, archive).select("url", "success", "error").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.url, r.success, r.error) for r in rows) == sorted(
+        [(f"u{i}", True, None) for i in range(40)] + [(f"u{i}#gone", False, "not in page archive") for i in range(40)])
+
+
 def test_scrape_parses_once(spark, archive):
     out = jobs.scrape(urls(spark, "http://a.test/", "gone"), archive)
     rows = {r.url: r for r in out.collect()}

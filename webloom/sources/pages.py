@@ -50,9 +50,12 @@ def _latest_named(pages: DataFrame, ts: str | None) -> DataFrame:
 
 def fetch_batch(urls: DataFrame, pages: DataFrame, ts: str | None = None) -> DataFrame:
     """Every requested URL gets exactly one outcome row, from the archive's latest row of it, however often either
-    side names it; URLs missing from the archive -> success false + error."""
+    side names it; URLs missing from the archive -> success false + error.
+
+    The wanted URLs are distinct, so an inner join keeps the rows that a semi join would. Spark pushes a semi join below a
+    union in ``pages``; its legs, joined apart, then claim one partitioning that they lose again at run time (Spark 4.1.2: "Can't zip RDDs")."""
     wanted = urls.select("url").distinct()
-    known = _latest_named(pages.join(wanted, "url", "left_semi"), ts)
+    known = _latest_named(pages.join(wanted, "url"), ts)
     cols = [c for c in pages.columns if c != "url"]
     j = wanted.join(known, "url", "left")
     return j.select("url", *[F.col(c) for c in cols if c not in ("success", "error")],
