@@ -43,3 +43,30 @@ def test_parse_pages_columns(parse):
     r = parse("<html><body><p>x</p></body></html>").collect()[0]
     assert [n.tag for n in r.nodes] == ["html", "body", "p"]
     assert r.texts == ["x"] and r.parse_error is None
+
+
+def test_a_batch_is_parsed_in_portions_of_bounded_markup(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from webloom.operators.dom import parse_pages
+    htmls = ["<p>é</p>" * 20_000, None, "", "<b>x</b>" * 60_000, "<i>z"] + ["<p>y</p>" * 5_000] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(htmls)), pa.int64()), pa.array(htmls, pa.string())], names=["page_id", "html"])
+
+    class Pages:
+        """Hands the Python stage whole batches, as Spark does."""
+        sparkSession = spark
+        schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType())])
+
+        def __init__(self, *batches):
+            self.batches = batches
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter(self.batches)))
+    out = parse_pages(Pages(batch, batch.slice(0, 0)))
+    sizes = [len("".join(htmls[i] or "" for i in b.column("page_id").to_pylist()).encode()) for b in out]
+    assert all(n <= 600_000 or b.num_rows == 1 for n, b in zip(sizes, out)), sizes
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["page_id"] for r in rows] == list(range(len(htmls)))
+    assert [len(r["nodes"]) for r in rows] == [20_000, 0, 0, 60_000, 1] + [5_000] * 40 and not any(r["parse_error"] for r in rows)
+    nulls = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.nulls(1)], names=["page_id", "html"])
+    assert parse_pages(Pages(nulls))[0].to_pylist()[0]["nodes"] == []

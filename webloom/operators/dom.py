@@ -24,6 +24,7 @@ import bisect
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -280,6 +281,24 @@ def _dom_arrays(htmls, bases, markdown=None):
     return texts, tpar, nodes, pa.array(errors, pa.string()), pa.array(mds, pa.string())
 
 
+PORTION_BYTES = 1 << 19  # markup whose nodes a task holds as Python objects at a time
+
+
+def _portions(batch: pa.RecordBatch, html_col: str):
+    """Slices of ``batch`` with at most ``PORTION_BYTES`` of markup, or one larger page. Nodes of a page take some hundred
+    times its markup while they are Python objects, and a batch holds whole pages by number, whatever their size."""
+    start = held = 0
+    markup = batch.column(html_col)
+    markup = markup.cast(pa.string()) if pa.types.is_null(markup.type) else markup
+    for i, n in enumerate(pc.binary_length(markup).to_pylist()):
+        n = n or 0
+        if i > start and held + n > PORTION_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield batch.slice(start)
+
+
 def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = False, partitions: int | None = None,
                 markdown=None) -> DataFrame:
     """Append ``texts, text_parent, nodes, parse_error`` to every page row (one Arrow pass; no job is started here,
@@ -296,7 +315,7 @@ def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = Fals
     keep_names = [f.name for f in keep]
 
     def run(batches):
-        for b in batches:
+        for b in (p for whole in batches for p in _portions(whole, html_col)):
             htmls = b.column(html_col).to_pylist()
             bases = b.column("url").to_pylist() if "url" in b.schema.names else [None] * len(htmls)
             texts, tpar, nodes, errs, mds = _dom_arrays(htmls, bases, markdown)
