@@ -107,3 +107,22 @@ def test_parse_starts_no_job_and_reads_a_stream(spark, tmp_path):
     (parse_pages(stream).select("page_id", "texts").writeStream.format("parquet").option("path", str(tmp_path / "out"))
      .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination())
     assert [r.texts for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [["x"]]
+
+
+def test_rendered_pages_are_dealt_out_by_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from webloom.plans.catalog import QUERIES, meta_pages
+    rows = spark.range(12_001).select(F.col("id").alias("p_partkey"), F.concat(F.lit("a b"), "id").alias("p_name"), F.lit("T").alias("p_type"), F.lit("B").alias("p_brand"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    tasks = meta_pages(spark, str(tmp_path)).select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+    assert len(tasks) == 3 and max(r["count"] for r in tasks) <= 5_001 and sum(r["count"] for r in tasks) == 12_001
+    rows.limit(0).write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+    assert QUERIES["page_metadata"](spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_properties_are_found_once(parse):
+    from webloom.operators.extract import _prefixed_map
+    col = _prefixed_map("property", "og:")
+    assert str(col).count("property") <= 3, str(col)  # the filter and the key, not again for every entry
+    out = parse("".join(f'<meta property="og:k{i % 7}" content="{i}">' for i in range(50)) + '<meta property="og:" content="x">')
+    assert out.select(col.alias("m")).first().m == {f"k{i % 7}": str(i) for i in range(43, 50)}

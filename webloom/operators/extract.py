@@ -385,9 +385,9 @@ def _prefixed_map(attr: str, prefix: str, nodes: Column | None = None) -> Column
     entries = F.filter(F.transform(metas, lambda n: F.struct(
         F.replace(n["attrs"].getItem(attr), F.lit(prefix), F.lit("")).alias("key"),
         F.coalesce(n["attrs"].getItem("content"), F.lit("")).alias("value"))), lambda e: e["key"] != "")
-    last_wins = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last_wins)
+    def last_wins(es):
+        return F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.greatest(F.size(es) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(let(entries, last_wins))
 
 
 def _keywords(nodes: Column | None = None, missing: Column | None = None) -> Column:

@@ -73,6 +73,12 @@ def dealt_for_parsing(df: DataFrame, partitions: int | None = None) -> DataFrame
     return df.repartition(n) if n else df
 
 
+def dealt_by_rows(df: DataFrame, rows_a_task: int = 5000) -> DataFrame:
+    """``df`` dealt out in tasks of about ``rows_a_task`` rows, for narrow rows that become pages: a table of a few MB can
+    be one split whose pages take minutes to parse. Starts one count; select the columns that are needed first."""
+    return df.repartition(max(1, -(-df.count() // rows_a_task)))
+
+
 _SCRATCH: list = []
 
 
