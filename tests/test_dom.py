@@ -70,3 +70,21 @@ def test_a_batch_is_parsed_in_portions_of_bounded_markup(spark):
     assert [len(r["nodes"]) for r in rows] == [20_000, 0, 0, 60_000, 1] + [5_000] * 40 and not any(r["parse_error"] for r in rows)
     nulls = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.nulls(1)], names=["page_id", "html"])
     assert parse_pages(Pages(nulls))[0].to_pylist()[0]["nodes"] == []
+
+
+def test_batches_for_python_are_bounded_by_bytes_unless_the_session_states_a_bound(spark):
+    import pyarrow as pa
+    from webloom import session
+
+    def sizes(rows):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"]) for b in rows)
+    other, stated = spark.newSession(), spark.newSession()
+    for k in session.BATCH_SETTINGS:
+        other.conf.unset(k)
+    stated.conf.set(session.BATCH_SETTINGS[1], "77")
+    for s in (other, stated):
+        session.bound_batches(s)
+    assert stated.conf.get(session.BATCH_SETTINGS[1]) == "77" and session.BATCH_SETTINGS[0] not in stated.conf.getAll
+    pages = other.range(0, 4000, 1, 1).selectExpr("id", "repeat('<p>x</p>', 1000) AS html")
+    found = [r.n for r in pages.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 30e6 and max(found) < 6e6, found

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from webloom.llm.common import columns_without, map_values, quoted
-from webloom.session import ship_package
+from webloom.session import bound_batches, ship_package
 
 #: Bytes of words and their encodings that a Python worker remembers; the memory is emptied when full.
 CACHE_BYTES = 128 << 20
@@ -206,6 +206,7 @@ def coded(df: DataFrame, path: str, text: str = "text", keep: list[str] | None =
     never cut. Repeated rows and ids are rows of their own, an empty table gives none. Columns of ``df`` named like an
     added one are replaced; all others stay (or those in ``keep``)."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     shared = _shared(df, path)
     types = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "decoded": T.StringType(), "round_trip": T.BooleanType(),
              "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}

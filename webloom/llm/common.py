@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from webloom.session import checkpoint_dir, ship_package
+from webloom.session import bound_batches, checkpoint_dir, ship_package
 
 #: Rows whose Python values are alive at once inside a task; Arrow batches are cut to this.
 SLICE_ROWS = 256
@@ -69,6 +69,7 @@ def map_values(df: DataFrame, value: Column, out: T.StructType, fn: Callable[[],
     """Arrow map over one value column. ``fn()`` runs once per task and returns a function from a list of values
     (None for null) to one list per field of ``out``. ``keep`` columns pass through unless an output has their name."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     kept = [c for c in keep if c.lower() not in {f.name.lower() for f in out}]
     src = df.select(*[quoted(c) for c in kept], value.alias("__value"))
     schema = T.StructType([src.schema[c] for c in kept] + list(out))

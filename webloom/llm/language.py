@@ -6,7 +6,6 @@ the related languages apart by vote. Features are hashed character n-grams of th
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,19 +79,35 @@ def _letter_table() -> np.ndarray:
     return _TABLE[0]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 30) -> np.ndarray:
-    """Linear SVM (squared hinge) by dual coordinate descent in a fixed order of examples; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    norm = (x * x).sum(axis=1) + 0.5 / c
+Sparse = tuple[np.ndarray, np.ndarray]  # a row's columns with a value, and these values
+
+
+def sparse(x: np.ndarray) -> Sparse:
+    used = np.flatnonzero(x).astype(np.int32)
+    return used, x[used]
+
+
+def fit_svm(x: np.ndarray | list[Sparse], y: np.ndarray, c: float = 4.0, epochs: int = 30, width: int = BUCKETS) -> np.ndarray:
+    """Linear SVM (squared hinge) by dual coordinate descent in a fixed order of examples; the last weight is the bias.
+    Examples are rows of an array, or sparse rows of ``width`` columns; one at a time is spread out in double precision."""
+    rows, width = ([sparse(r) for r in x], x.shape[1]) if isinstance(x, np.ndarray) else (x, width)
+    row = np.zeros(width + 1)
+
+    def spread(i: int) -> np.ndarray:
+        row[:] = 0.0
+        row[rows[i][0]] = rows[i][1]
+        row[-1] = 1.0
+        return row
+    w, alpha = np.zeros(width + 1), np.zeros(len(rows))
+    norm = np.array([(spread(i) * row).sum() for i in range(len(rows))]) + 0.5 / c
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / c
+        for i in rng.permutation(len(rows)):
+            gradient = y[i] * (spread(i) @ w) - 1 + alpha[i] * 0.5 / c
             new = max(alpha[i] - gradient / norm[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * row
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -151,13 +166,13 @@ def _duels(langs: list[str]) -> tuple[list[str], dict[str, list[str]], list[tupl
     return families, members, [("family", f, None) for f in rest] + pairs
 
 
-def _fit(duel: tuple, y: np.ndarray, dense: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def _fit(duel: tuple, y: np.ndarray, rows: list[Sparse]) -> np.ndarray:
     kind, a, b = duel
     if kind == "pair":
         both = np.flatnonzero((y == a) | (y == b))
-        return fit_svm(dense(both), np.where(y[both] == a, 1.0, -1.0)).astype(np.float32)
+        return fit_svm([rows[i] for i in both.tolist()], np.where(y[both] == a, 1.0, -1.0)).astype(np.float32)
     side = np.array([1.0 if family_of(n) == a else -1.0 for n in y])
-    return fit_svm(dense(np.arange(len(y))), side).astype(np.float32)
+    return fit_svm(rows, side).astype(np.float32)
 
 
 def _model(families: list[str], members: dict[str, list[str]], duels: list[tuple], weights: list[np.ndarray]) -> Model:
@@ -169,29 +184,22 @@ def _model(families: list[str], members: dict[str, list[str]], duels: list[tuple
 
 def train(rows: list[tuple[str, np.ndarray]], spark: SparkSession | None = None) -> Model:
     """From (language, feature vector) rows, in their order. With a session, the separators are fitted by its tasks, a
-    few each, from the broadcast sample; the result is the same."""
+    few each, from the broadcast sample; the result is the same. A task holds the sample's sparse rows and one of them spread out."""
     if not rows:
         return Model([], {}, np.zeros((0, BUCKETS + 1)), {})
     y = np.array([lang for lang, _ in rows])
     families, members, duels = _duels(sorted(set(y.tolist())))
+    held = [sparse(f) for _, f in rows]
     if spark is None or len(duels) < 2:
-        x = np.array([f for _, f in rows])
-        return _model(families, members, duels, [_fit(d, y, lambda at: x[at]) for d in duels])
+        return _model(families, members, duels, [_fit(d, y, held) for d in duels])
     ship_package(spark)
-    used = [np.flatnonzero(f).astype(np.int32) for _, f in rows]
-    sample = spark.sparkContext.broadcast((y, used, [f[u] for (_, f), u in zip(rows, used, strict=True)]))
+    sample = spark.sparkContext.broadcast((y, held))
 
     def work(batches):
-        y, used, values = sample.value
-
-        def dense(at):
-            x = np.zeros((len(at), BUCKETS))
-            for k, i in enumerate(at.tolist()):
-                x[k, used[i]] = values[i]
-            return x
+        y, held = sample.value
         for batch in batches:
             for at, *duel in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                w = _fit(tuple(duel), y, dense)
+                w = _fit(tuple(duel), y, held)
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([w.tobytes()], pa.binary())], names=["at", "w"])
     # a separator is a task: there are as many as families and pairs of languages
     table = spark.createDataFrame([(i, *d) for i, d in enumerate(duels)], "at long, kind string, a string, b string")

@@ -307,8 +307,9 @@ def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = Fals
     Filter and project *before* calling this: the Python stage is an optimizer barrier. ``partitions``, or the session's
     ``webloom.parse.partitions``, deals the pages out anew first, for an input of fewer splits than cores. ``markdown`` (html, base url, tree -> text) adds a ``markdown`` column from the same parse;
     the base is the ``url`` column, if there is one."""
-    from webloom.session import dealt_for_parsing, ship_package
+    from webloom.session import bound_batches, dealt_for_parsing, ship_package
     ship_package(pages.sparkSession)
+    bound_batches(pages.sparkSession)
     pages = dealt_for_parsing(pages, partitions)
     keep = [f for f in pages.schema.fields if keep_html or f.name != html_col]
     out_schema = T.StructType(keep + DOM_FIELDS + ([T.StructField("markdown", T.StringType())] if markdown else []))

@@ -108,6 +108,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch of rows that a session without a statement of its own hands to Python (Spark: 64 MB): an executor
+#: holds a batch, and room to grow, for every task, in the JVM and once more in Python.
+BATCH_BYTES = "4m"
+BATCH_SETTINGS = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's Python stages by bytes, unless it states a bound by itself. Rows
+    and results are the same; Spark reads the setting as a stage starts, so it stays set."""
+    if not set(BATCH_SETTINGS) & set(spark.conf.getAll):
+        spark.conf.set(BATCH_SETTINGS[0], BATCH_BYTES)
+
+
 _SHIPPED: set = set()
 
 
