@@ -88,3 +88,23 @@ def test_batches_for_python_are_bounded_by_bytes_unless_the_session_states_a_bou
     pages = other.range(0, 4000, 1, 1).selectExpr("id", "repeat('<p>x</p>', 1000) AS html")
     found = [r.n for r in pages.mapInArrow(sizes, "n long").collect()]
     assert sum(found) > 30e6 and max(found) < 6e6, found
+
+
+def test_nothing_of_a_handed_over_portion_is_held(spark):
+    import gc
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from webloom.operators.dom import parse_pages
+
+    class Pages:
+        sparkSession = spark
+        schema = T.StructType([T.StructField("html", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run(iter([pa.RecordBatch.from_arrays([pa.array(["<p>x</p>" * 10_000] * 20)], names=["html"])]))
+    gc.collect()
+    start, out = pa.total_allocated_bytes(), parse_pages(Pages())
+    size = next(out).nbytes
+    gc.collect()
+    markup = 20 * 80_000
+    assert size > 2e6 and pa.total_allocated_bytes() - start < markup + size / 4

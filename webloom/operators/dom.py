@@ -315,12 +315,16 @@ def parse_pages(pages: DataFrame, html_col: str = "html", keep_html: bool = Fals
     out_schema = T.StructType(keep + DOM_FIELDS + ([T.StructField("markdown", T.StringType())] if markdown else []))
     keep_names = [f.name for f in keep]
 
+    def parsed(b: pa.RecordBatch) -> pa.RecordBatch:
+        htmls = b.column(html_col).to_pylist()
+        bases = b.column("url").to_pylist() if "url" in b.schema.names else [None] * len(htmls)
+        texts, tpar, nodes, errs, mds = _dom_arrays(htmls, bases, markdown)
+        arrays = [b.column(n) for n in keep_names] + [texts, tpar, nodes, errs] + ([mds] if markdown else [])
+        return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema])
+
     def run(batches):
-        for b in (p for whole in batches for p in _portions(whole, html_col)):
-            htmls = b.column(html_col).to_pylist()
-            bases = b.column("url").to_pylist() if "url" in b.schema.names else [None] * len(htmls)
-            texts, tpar, nodes, errs, mds = _dom_arrays(htmls, bases, markdown)
-            arrays = [b.column(n) for n in keep_names] + [texts, tpar, nodes, errs] + ([mds] if markdown else [])
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema])
+        for whole in batches:
+            for b in _portions(whole, html_col):
+                yield parsed(b)  # nothing of a portion is held here while the next one is parsed
 
     return pages.mapInArrow(run, out_schema)
