@@ -108,3 +108,27 @@ def test_nothing_of_a_handed_over_portion_is_held(spark):
     gc.collect()
     markup = 20 * 80_000
     assert size > 2e6 and pa.total_allocated_bytes() - start < markup + size / 4
+
+
+def test_plain_start_tags_are_read_at_once_and_as_the_library_reads_them(monkeypatch):
+    from html.parser import HTMLParser
+    from webloom.operators import dom
+    by_library, quick = [], dom._Builder.parse_starttag
+    read = HTMLParser.parse_starttag
+
+    def library(self, i):
+        self.plain = 0
+        by_library.append(i)
+        return read(self, i)
+    monkeypatch.setattr(HTMLParser, "parse_starttag", library)
+    plain = '<html><head><META Name="a" content="x > y"><meta property="og:k" content=""></head><body class="b"><p>t</p></body></html>'
+    odd = "<a href=\"a&amp;b\">l</a><br/><i x=1><i x=\"1\"y='2'><b  c=\"d\"><script>if (a <b c=\"d\">)</script><title><p></title><textarea>\n<p></textarea><x-y z=\"1\"><p"
+    for html in (plain, odd, plain + odd + plain):
+        monkeypatch.setattr(dom._Builder, "parse_starttag", quick)
+        by_library.clear()
+        new = flatten(build_tree(html))
+        assert html != plain or not by_library
+        monkeypatch.setattr(dom._Builder, "parse_starttag", library)
+        old = flatten(build_tree(html))
+        assert all(getattr(new, f) == getattr(old, f) for f in new.__slots__)
+    assert [html[a:b] for html in (plain,) for a, b in zip(flatten(build_tree(plain)).s0, flatten(build_tree(plain)).s1)][2] == '<META Name="a" content="x > y">'

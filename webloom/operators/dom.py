@@ -21,6 +21,7 @@ This is the only Python stage; every extractor downstream is native Column work
 from __future__ import annotations
 
 import bisect
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,6 +38,13 @@ PRESERVE_WS = frozenset(["pre", "textarea"])
 _ASCII_SPACES = str.maketrans("", "", "\x20\x0a\x09\x0c\x0d")
 
 
+#: A start tag written plainly: one space before each attribute, values in double quotes and without references.
+_PLAIN_TAG = re.compile(r'<([a-zA-Z][a-zA-Z0-9]*)((?: [a-zA-Z][a-zA-Z:_-]*="[^"&]*")*)>')
+_PLAIN_ATTR = re.compile(r' ([a-zA-Z][a-zA-Z:_-]*)="([^"&]*)"')
+#: Elements whose content the standard library's parser reads by rules of their own.
+_RAW_TAGS = frozenset("script style textarea title iframe noembed noframes noscript plaintext xmp".split())
+
+
 class Elem:
     __slots__ = ("tag", "attrs", "children", "s0", "s1")
 
@@ -73,6 +81,20 @@ class _Builder(HTMLParser):
         self.preserving = 0   # open pre/textarea elements
         self.open_tags = {}   # open elements by tag: an end tag without one is ignored at once
         self.pending = []
+        self.plain = 0        # length of the start tag at hand, if it is a plain one
+
+    def parse_starttag(self, i):
+        """Plain start tags by two expressions, which give what the library's steps give; all others by the library."""
+        m = _PLAIN_TAG.match(self.rawdata, i)
+        tag = m.group(1).lower() if m else ""
+        if not m or tag in _RAW_TAGS:
+            self.plain = 0
+            return super().parse_starttag(i)
+        self.plain = m.end() - i
+        self.lasttag = tag
+        found = _PLAIN_ATTR.findall(m.group(2)) if m.group(2) else ()
+        self.handle_starttag(tag, [(k.lower(), v) for k, v in found])
+        return m.end()
 
     def _pos(self) -> int:
         line, col = self.getpos()
@@ -95,7 +117,7 @@ class _Builder(HTMLParser):
             d[k] = "" if v is None else v          # a repeated attribute: the last one wins
         start = self._pos()
         e = Elem(tag, d, start)
-        e.s1 = start + len(self.get_starttag_text() or "")
+        e.s1 = start + (self.plain or len(self.get_starttag_text() or ""))
         self.stack[-1].children.append(e)
         return e
 
@@ -170,10 +192,10 @@ def flatten(root: Elem) -> _PageNodes:
     out = _PageNodes()
     texts, tpar = out.texts, out.text_parent
 
-    def visit_children(elem, my_id, depth):
-        prev_sib = None
-        k = 0
-        for ch in elem.children:
+    above = []  # of the open elements: what is left of their children, and their state
+    children, my_id, depth, prev_sib, k = iter(root.children), None, 0, None, 0
+    while True:
+        for ch in children:
             if isinstance(ch, Elem):
                 k += 1
                 nid = len(out.tag)
@@ -188,29 +210,24 @@ def flatten(root: Elem) -> _PageNodes:
                 out.akeys.append(list(ch.attrs.keys()))
                 out.avals.append(list(ch.attrs.values()))
                 out.t0.append(len(texts))
-                out.t1.append(None)
-                out.last.append(None)
+                out.t1.append(len(texts))
+                out.last.append(nid)
                 out.s0.append(ch.s0)
                 out.s1.append(ch.s1)
                 prev_sib = nid
-                yield ch, nid, depth + 1
+                if ch.children:
+                    above.append((children, my_id, depth, prev_sib, k))
+                    children, my_id, depth, prev_sib, k = iter(ch.children), nid, depth + 1, None, 0
+                    break
             elif ch.plain:
                 texts.append(str(ch))
                 tpar.append(my_id)
-
-    stack = [(None, visit_children(root, None, 0))]
-    while stack:
-        owner, it = stack[-1]
-        nxt = next(it, None)
-        if nxt is None:
-            stack.pop()
-            if owner is not None:
-                out.t1[owner] = len(texts)
-                out.last[owner] = len(out.tag) - 1
-            continue
-        ch, nid, depth = nxt
-        stack.append((nid, visit_children(ch, nid, depth)))
-    return out
+        else:
+            if my_id is None:
+                return out
+            out.t1[my_id] = len(texts)
+            out.last[my_id] = len(out.tag) - 1
+            children, my_id, depth, prev_sib, k = above.pop()
 
 
 NODE_TYPE = T.StructType([
