@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from webloom.llm import topk
@@ -130,6 +131,14 @@ def test_grid_holds_all_documents_and_copies_little():
         assert groups * docs + parts * asked <= 2 * min(g * docs + max(held, parts * groups / g) * asked for g in range(1, parts * groups + 1))
 
 
+def test_a_task_without_documents_holds_no_queries():
+    row = lambda task, asks, v: (task, asks, 1, 1, np.int64(7).tobytes(), np.int8(1).tobytes(), np.int8(2).tobytes(), np.int8(v).tobytes())
+    names = ["task", "asks", "n", "dims", "ids", "marks", "times", "vectors"]
+    rows = [row(0, 1, 3), row(1, 0, 4), row(1, 1, 3), row(2, 0, 4), row(3, 1, 3), row(3, 1, 4)]
+    got = [b.to_pylist() for b in topk._search(2)([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])])]
+    assert got == [[{"number": 1, "query_id": 7, "times": 2, "doc_id": 7, "score": 12}]]
+
+
 def searched(docs, queries, k, width=np.int64):
     """By Chunk alone: documents are rows of (id, vector), their numbers are their places."""
     nth, seen = [], {}

@@ -19,7 +19,7 @@ from webloom.session import bound_batches, ship_package
 #: Documents of a block, documents packed into a row, and queries packed into a row and searched at once.
 BLOCK, PACK, CHUNK = 64, 1024, 1024
 #: Blocks of one matrix product, and the share of blocks from which on those left are scored without an order of each query.
-TILE, MANY = 16, 0.125
+TILE, MANY = 8, 0.125
 #: Documents, and bytes of their vectors, that a task holds; products of two weights that are worth a task.
 HELD, HELD_BYTES, WORTH = 2 ** 18, 2 ** 26, 3 * 10 ** 10
 #: Integers up to here are exact in the products of a type.
@@ -38,7 +38,8 @@ def quantised(vector, scale: int = 256):
 def _trimmed(vector):
     """A vector without its trailing zeros, which change no product."""
     back = F.array_position(F.reverse(F.transform(vector, lambda x: x != 0)), True)
-    return F.when(back == 0, F.slice(vector, 1, 0)).otherwise(F.slice(vector, 1, (F.size(vector) - back + 1).cast("int")))
+    cut = F.when(back == 0, F.slice(vector, 1, 0)).otherwise(F.slice(vector, 1, (F.size(vector) - back + 1).cast("int")))
+    return F.when(F.try_element_at(vector, F.lit(-1)) != 0, vector).otherwise(cut)
 
 
 def _narrow(m: np.ndarray) -> np.ndarray:
@@ -72,7 +73,7 @@ def _pack(rows: int):
             a = 0
             while a < batch.num_rows:
                 part = batch.slice(a, rows - n)
-                held.append([*[part.column(c).to_numpy() for c in range(3)], _matrix(part.column(3))])
+                held.append([*[part.column(c).to_numpy() for c in range(3)], _narrow(_matrix(part.column(3)))])
                 a, n = a + part.num_rows, n + part.num_rows
                 if n == rows:
                     yield packed(held)
@@ -242,7 +243,7 @@ def _search(k: int):
             for i in range(batch.num_rows):
                 task, asks, n, dims, ids, marks, times, vectors = (batch.column(c)[i].as_py() for c in range(8))
                 if task != key:
-                    if asked and part:
+                    if asked:
                         yield found(part, asked)
                     key, part, docs, asked, waiting = task, None, [], [], 0
                 m = np.frombuffer(vectors, f"i{len(vectors) // (n * dims)}").reshape(n, dims) if dims else np.zeros((n, 0), np.int8)
@@ -253,24 +254,28 @@ def _search(k: int):
                 if docs:
                     ids, nth, _, m = whole(docs)
                     part, docs = Part(ids, nth, m), []
+                if part is None:  # no document was dealt to this task
+                    continue
                 asked.append(row)
                 waiting += n
-                if waiting >= CHUNK and part:
+                if waiting >= CHUNK:
                     yield found(part, asked)
                     asked, waiting = [], 0
-        if asked and part:
+        if asked:
             yield found(part, asked)
     return run
 
 
 def _grid(docs: int, size: int, packs: int, dims: int, asked: int, most: int) -> tuple[int, int]:
     """Parts of the documents and groups of the queries, so that few rows are copied: parts are copied to each group, groups
-    to each part. ``size`` is the bytes of the documents' vectors; ``most`` tasks, or as many as hold all documents."""
+    to each part. ``size`` is the bytes of the documents' vectors. There are ``most`` tasks or fewer, but as many as hold
+    all documents; where they would copy more than three times all rows, fewer and up to 64 times as long."""
     if not docs or not asked:
         return 1, 1
-    tasks = max(1, min(most, -(-docs * asked * max(1, dims) // WORTH)))
-    chunks = -(-asked // CHUNK)
-    groups = max(1, min(tasks, chunks, round((tasks * asked / docs) ** 0.5)))
+    work, chunks = docs * asked * max(1, dims), -(-asked // CHUNK)
+    frugal = max(9 * (docs + asked) ** 2 // (4 * docs * asked), -(-work // (64 * WORTH)))
+    tasks = max(1, min(most, -(-work // WORTH), frugal))
+    groups = max(1, min(tasks, chunks, round((tasks * asked / docs) ** 0.5 + 0.2)))  # rather larger parts
     parts = min(packs, max(-(-tasks // groups), -(-docs // HELD), -(-size // HELD_BYTES)))
     return parts, min(chunks, max(groups, tasks // parts))
 
@@ -293,9 +298,10 @@ def exact_topk(docs: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
 
     Equal documents are counted before they are dealt; k + 1 rows of each are packed, as no result can hold more of
     them. Documents are dealt by id range (and a hash of the vector), packed PACK to a row, queries CHUNK to a row, in
-    the smallest type that holds their weights. Packed rows meet in a grid of tasks, one for each part of the documents and group of the queries:
-    there is no join, so nothing is broadcast, and the driver gets counts alone. A task holds one part (about HELD
-    documents at most) and one chunk. At most k rows a query and part are ranked at the end."""
+    the smallest type that holds their weights. Packed rows meet in a grid of tasks, one for each part of the documents
+    and group of the queries: there is no join, so nothing is broadcast, and the driver gets counts and samples of ids
+    and hashes alone. A task holds one part (about HELD documents at most) and one chunk. At most k rows a query and
+    part are ranked at the end."""
     spark = docs.sparkSession
     ship_package(spark)
     bound_batches(spark)
@@ -303,7 +309,7 @@ def exact_topk(docs: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     def counted(rows):
         held = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id is not null and v is not null")
         held = held.where(~F.exists("v", lambda x: x.isNull()))
-        return held.select("id", _trimmed("v").alias("v")).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
+        return held.select("id", _trimmed(F.col("v")).alias("v")).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
     once = F.lit(1).cast("long")
     d = counted(docs).select("id", F.explode(F.sequence(once, F.least("n", F.lit(k + 1)))).alias("nth"), once.alias("times"), "v")
     q = written(counted(queries).withColumn("number", F.monotonically_increasing_id()), "queries")
